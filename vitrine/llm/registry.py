@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from vitrine.llm import bpe, chat, quality, simhash
+from vitrine.llm import ann, bpe, chat, mixing, quality, simhash, toxicity, warc
 
-MODULES = (simhash, chat, quality, bpe)
+MODULES = (simhash, toxicity, ann, chat, quality, bpe, mixing, warc)
 
 
 def queries() -> dict:
