@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from vitrine.llm import ann, bpe, chat, mixing, quality, simhash, toxicity, warc
+import corpus_pipeline
+from vitrine.llm import ann, bpe, chat, mixing, quality, simhash, substring_dedup, suffix_dedup, toxicity, warc
 
-MODULES = (simhash, toxicity, ann, chat, quality, bpe, mixing, warc)
+MODULES = (simhash, substring_dedup, toxicity, ann, chat, quality, bpe, suffix_dedup, mixing, warc)
 
 
 def queries() -> dict:
     found: dict = {}
     for m in MODULES:
         found |= m.QUERIES
-    return found
+    return found | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict:
