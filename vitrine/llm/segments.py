@@ -39,6 +39,10 @@ LAST = np.uint64(0xFFFFFFFFFFFFFFFF)
 _TABLE = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def byte_hashes(data):
+    return _TABLE[data]
+
+
 def mixed(h):
     h = h ^ (h >> np.uint64(31))
     h = h * MIX
@@ -86,7 +90,7 @@ class Tokens:
         self.kind = kind
         if kind == "bytes":
             self.data = data
-            self.hashes = _TABLE[np.frombuffer(data, np.uint8)]
+            self.hashes = byte_hashes(np.frombuffer(data, np.uint8))
             return
         b = np.frombuffer(data, np.uint8)
         word = np.ones(len(b) + 2, bool)

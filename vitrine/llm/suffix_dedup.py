@@ -1,8 +1,7 @@
 """Removal of repeated byte strings by longest-previous-factor arrays.
 
 Texts are cut into segments (see segments.py) so that equal windows of `width` bytes meet in one block. A block's distinct
-segments are joined in the order of their first places, its suffixes sorted by prefix doubling over the real bytes, and
-the previous and next smaller positions in suffix order give each position its earlier match. Where that match has
+segments are joined in the order of their first places, the suffixes that can match are sorted, and the previous and next smaller positions in suffix order give each position its earlier match. Where that match has
 width bytes or more, the position starts a later copy and its match is a source. `keep_first` removes later copies only;
 without it, every copy goes, the first as well.
 
@@ -20,25 +19,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitrine.llm.common import checkpointed, table
-from vitrine.llm.segments import Plan, blocks, covered, distinct_contents, mask_runs
+from vitrine.llm.segments import Plan, blocks, byte_hashes, covered, distinct_contents, gram_hashes, mask_runs
 
 WIDTH, GRAM = 200, 32
 BLOCK_BYTES = 1 << 21
 
 
-def prefix_ranks(data, width: int):
-    """Ranks of the prefixes of `size` bytes at each position, size being 8 times a power of two and at most width."""
-    padded = np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.uint64)
-    n = len(data)
-    packed = np.zeros(n, np.uint64)
+def packed_bytes(data):
+    """The eight bytes from each position on as one big-endian number, zeros past the end."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    out = np.zeros(len(data), np.uint64)
     for j in range(8):
-        packed = packed << np.uint64(8) | padded[j : n + j]
-    rank, size = np.unique(packed, return_inverse=True)[1].astype(np.int64), 8
-    while size * 2 <= width:
-        behind = np.concatenate([rank[size:], np.zeros(min(size, n), np.int64)])[:n]
-        rank = np.unique(rank * (n + 1) + behind, return_inverse=True)[1].astype(np.int64)
-        size *= 2
-    return rank, size
+        out <<= np.uint64(8)
+        out |= padded[j : len(data) + j]
+    return out
 
 
 def smaller(order, step: int):
@@ -54,23 +48,39 @@ def smaller(order, step: int):
 
 
 def earlier_matches(contents: list[bytes], width: int):
-    """(starts, later, source): windows' offsets in the joined contents; which windows have an earlier match of width
-    bytes or more, and which are such a match."""
+    """(n, later, source): windows of each content; which windows, in the order of the contents, have an earlier match of
+    width bytes or more, and which are such a match.
+
+    Only windows that share a hash with another can have one, so only their suffixes are sorted: by their first eight
+    bytes, then by the hash of the window, then by place. That keeps equal windows together, as the full suffix order
+    does, which is all that matches of width bytes or more depend on; each match is then compared byte by byte."""
     lengths = np.fromiter(map(len, contents), np.int64, len(contents))
     offsets = np.concatenate([[0], np.cumsum(lengths)[:-1]])
     n = np.maximum(lengths - width + 1, 0)
     starts = np.repeat(offsets - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    rank, size = prefix_ranks(np.frombuffer(b"".join(contents), np.uint8), width)
-    first, last = rank[starts], rank[starts + width - size]
-    order = np.lexsort((starts, last, first))  # windows in suffix order, ties by position
     later, source = np.zeros(len(starts), bool), np.zeros(len(starts), bool)
+    data = np.frombuffer(b"".join(contents), np.uint8)
+    hashes = gram_hashes(byte_hashes(data), width)[starts] if len(starts) else np.zeros(0, np.uint64)
+    by_hash = np.argsort(hashes)
+    equal = hashes[by_hash[1:]] == hashes[by_hash[:-1]]
+    if not equal.any():
+        return n, later, source
+    met = np.sort(by_hash[np.concatenate([[False], equal]) | np.concatenate([equal, [False]])])
+    packed = packed_bytes(data)
+    order = np.lexsort((hashes[met], packed[starts[met]]))  # places in met, in suffix order; ties stay by position
     for step in (-1, 1):
         near = smaller(order, step)
         here = np.flatnonzero(near >= 0)
-        a, b = order[here], order[near[here]]
-        same = (first[a] == first[b]) & (last[a] == last[b])
-        later[a[same]] = True
-        source[b[same]] = True
+        a, b = met[order[here]], met[order[near[here]]]
+        same = hashes[a] == hashes[b]
+        a, b = a[same], b[same]
+        for j in range(0, width, 8):
+            at = min(j, width - 8) if width >= 8 else 0
+            same = packed[starts[a] + at] == packed[starts[b] + at]
+            if not same.all():
+                a, b = a[same], b[same]
+        later[a] = True
+        source[b] = True
     return n, later, source
 
 
