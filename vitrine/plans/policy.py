@@ -1,5 +1,170 @@
-"""Queries."""
+"""Gates, publication, lifecycle, fit and recommendation."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from vitrine.operators import fit, policy
 from vitrine.plans.catalogue import Catalogue
+from vitrine.plans.common import DIMENSION_SQL, GATE_SQL, acceptances, cards, decisions, gates
+from vitrine.sources.views import view
 
 CATALOGUE = Catalogue()
+add = CATALOGUE.add
+_GATES = f"WITH {GATE_SQL.strip()}"
+
+
+def _gate(name):
+    return lambda spark, d: gates(spark, d).where(F.col("gate_name") == name).select("version_id", "status", "reason")
+
+
+for _id, _name in (("pol1_license", "license_compatibility"), ("pol2_vulnerability", "critical_vulnerability"), ("pol3_provenance", "missing_provenance"), ("pol4_permissions", "unsafe_declared_permissions")):
+    add(_id, f"{_GATES} SELECT version_id, status, reason FROM gates WHERE gate_name = '{_name}'")(_gate(_name))
+
+
+@add("pol5_gates", f"{_GATES} SELECT version_id, gate_name, status, is_blocking, reason FROM gates")
+def pol5_gates(spark, d):
+    return gates(spark, d)
+
+
+@add("pol6_publication", f"{_GATES} SELECT version_id, n_blocking = 0 AS allowed, blocking, warnings FROM decisions")
+def pol6_publication(spark, d):
+    rows = decisions(spark, d)
+    return rows.select("version_id", "allowed", F.array_join("blocking", ",").alias("blocking"), F.array_join("warnings", ",").alias("warnings"))
+
+
+@add("pol7_acceptances", f"{_GATES} SELECT version_id, gate_name FROM accepted")
+def pol7_acceptances(spark, d):
+    return policy.valid_acceptances(acceptances(gates(spark, d))).select("version_id", "gate_name")
+
+
+_GUARD_SQL = f"""{_GATES}, {DIMENSION_SQL.strip()},
+b AS (SELECT version_id, arg_max(asset_id, identified_at) AS asset_id, max(identified_at) AS bound_at FROM {{binding}} JOIN {{revision}} USING (revision_id) GROUP BY version_id),
+newest AS (SELECT asset_id, max(identified_at) AS newest FROM {{revision}} WHERE snapshot_status = 'snapshotted' GROUP BY asset_id),
+guards AS (
+  SELECT v.version_id, NOT coalesce(newest > bound_at, FALSE) AS g1, confidence IS NOT NULL AS g2, coalesce(confidence, 0) >= 0.6 AS g3, d.n_blocking = 0 AS g4, bound_at IS NOT NULL AS g5,
+    v.version_id % 10 <> 0 AS g6, n_faces > 0 AS g7
+  FROM {{capability_version}} AS v LEFT JOIN cards USING (version_id) LEFT JOIN b USING (version_id) LEFT JOIN newest USING (asset_id) LEFT JOIN decisions AS d USING (version_id) LEFT JOIN counts USING (version_id)),
+failed AS (SELECT version_id, concat_ws(',', CASE WHEN NOT g1 THEN 'current_revision' END, CASE WHEN NOT g2 THEN 'required_scorecard' END, CASE WHEN NOT g3 THEN 'confidence_threshold' END,
+    CASE WHEN NOT g4 THEN 'no_blocking_gate' END, CASE WHEN NOT g5 THEN 'source_binding' END, CASE WHEN NOT g6 THEN 'summary' END, CASE WHEN NOT g7 THEN 'interfaces' END) AS failed FROM guards)"""
+
+
+def _guards(spark, d):
+    versions = view(spark, d, "capability_version").select("version_id", F.when(F.col("version_id") % 10 != 0, "a summary").otherwise(" ").alias("summary"))
+    return policy.guard_row(versions, cards(spark, d), decisions(spark, d), view(spark, d, "binding"), view(spark, d, "revision"), view(spark, d, "evidence"))
+
+
+@add("lif1_guards", f"{_GUARD_SQL} SELECT version_id, failed FROM failed")
+def lif1_guards(spark, d):
+    return policy.guard_failures(_guards(spark, d)).select("version_id", F.array_join("failed", ",").alias("failed"))
+
+
+@add("lif2_transitions", f"""{_GUARD_SQL}, r AS (SELECT version_id, failed, CASE version_id % 4 WHEN 0 THEN 'candidate' WHEN 1 THEN 'analyzed' WHEN 2 THEN 'verified' ELSE 'cataloged' END AS from_state FROM failed)
+SELECT version_id, CASE WHEN from_state = 'cataloged' THEN 'noop' WHEN from_state <> 'verified' THEN 'illegal' WHEN failed <> '' THEN 'refused' ELSE 'advanced' END AS outcome FROM r""")
+def lif2_transitions(spark, d):
+    states = F.array(*map(F.lit, ("candidate", "analyzed", "verified", "cataloged")))
+    asked = view(spark, d, "capability_version").select("version_id", F.get(states, (F.col("version_id") % 4).cast("int")).alias("from_state"), F.lit("cataloged").alias("target"))
+    return policy.transition_outcomes(asked, _guards(spark, d)).select("version_id", "outcome")
+
+
+@add("lif3_threshold", f"WITH {DIMENSION_SQL.strip()} SELECT version_id, confidence >= 0.6 AS passed FROM cards")
+def lif3_threshold(spark, d):
+    return cards(spark, d).select("version_id", (F.col("confidence") >= policy.CONFIDENCE_THRESHOLD).alias("passed"))
+
+
+_FIT_SQL = """
+WITH cand AS (SELECT version_id FROM {capability_version}),
+i AS (SELECT DISTINCT req_id, version_id FROM {requirement_constraint} AS c JOIN {evidence} AS e ON c.kind = 'required_interface' AND e.evidence_type = 'interface' AND lower(e.name) = lower(trim(c.name))
+  AND (coalesce(fragment, '') = '' OR contains(coalesce(signature, ''), fragment))),
+f AS (SELECT DISTINCT req_id, version_id FROM {requirement_constraint} AS c JOIN {evidence} AS e ON c.kind = 'forbidden_dependency' AND e.evidence_type = 'dependency' AND lower(e.name) = lower(c.name)
+  AND lower(e.ecosystem) = lower(c.ecosystem)),
+l AS (SELECT version_id, list(upper(spdx_id)) AS spdx FROM {evidence} WHERE evidence_type = 'license' GROUP BY version_id),
+rows AS (
+  SELECT c.req_id, cand.version_id, c.kind,
+    CASE c.kind WHEN 'required_interface' THEN CASE WHEN i.req_id IS NULL THEN 'missing_interface' END
+      WHEN 'license_allowlist' THEN CASE WHEN spdx_ids = '' THEN 'malformed_constraint' WHEN NOT coalesce(list_has_any(spdx, string_split(upper(spdx_ids), ',')), FALSE) THEN 'license_mismatch' END
+      WHEN 'forbidden_dependency' THEN CASE WHEN c.ecosystem = '' THEN 'malformed_constraint' WHEN f.req_id IS NOT NULL THEN 'forbidden_dependency_present' END
+      ELSE 'unknown_constraint_kind' END AS gap
+  FROM cand CROSS JOIN {requirement_constraint} AS c LEFT JOIN l ON l.version_id = cand.version_id
+  LEFT JOIN i ON i.req_id = c.req_id AND i.version_id = cand.version_id LEFT JOIN f ON f.req_id = c.req_id AND f.version_id = cand.version_id),
+fits AS (SELECT req_id, version_id, CAST(round(CAST(count(*) FILTER (gap IS NULL) AS DECIMAL(10,0)) / count(*), 3) AS DECIMAL(6,3)) AS fit_score,
+  count(*) FILTER (gap IN ('license_mismatch', 'forbidden_dependency_present')) AS blocking_gap_count FROM rows GROUP BY req_id, version_id)"""
+
+
+def _rows(spark, d):
+    return fit.fit_rows(view(spark, d, "requirement_constraint"), view(spark, d, "capability_version"), view(spark, d, "evidence"))
+
+
+def _kind(kind):
+    return lambda spark, d: _rows(spark, d).where(F.col("kind") == kind).select("req_id", "version_id", "contribution", "gap", "is_blocking")
+
+
+for _id, _name in (("fit1_interface", "required_interface"), ("fit2_license", "license_allowlist"), ("fit3_dependency", "forbidden_dependency")):
+    add(_id, f"{_FIT_SQL.strip()} SELECT req_id, version_id, CAST(gap IS NULL AS INT) AS contribution, gap, coalesce(gap IN ('license_mismatch', 'forbidden_dependency_present'), FALSE) AS is_blocking FROM rows WHERE kind = '{_name}'")(_kind(_name))
+
+_SCORES = f"{_FIT_SQL.strip()} SELECT req_id, version_id, fit_score, blocking_gap_count FROM fits"
+
+
+@add("fit4_fit", _SCORES)
+@add("jon9_requirements", _SCORES)
+@add("agg11_contributions", _SCORES)
+def fit4_fit(spark, d):
+    return fit.fit_scores(_rows(spark, d))
+
+
+_RANK_SQL = f"""{_FIT_SQL.strip()}, {DIMENSION_SQL.strip()},
+ranks AS (SELECT fits.*, coalesce(total_score, 0) AS intrinsic_score, row_number() OVER (PARTITION BY req_id ORDER BY blocking_gap_count, fit_score DESC, coalesce(total_score, 0) DESC, fits.version_id) AS rank
+  FROM fits LEFT JOIN cards USING (version_id))"""
+
+
+def _ranked(spark, d):
+    return fit.ranked(fit.fit_scores(_rows(spark, d)), cards(spark, d))
+
+
+@add("win5_ranks", f"{_RANK_SQL} SELECT req_id, version_id, rank FROM ranks WHERE rank <= 50")
+def win5_ranks(spark, d):
+    return _ranked(spark, d).where("rank <= 50").select("req_id", "version_id", "rank")
+
+
+_REC_SQL = f"""{_RANK_SQL},
+best AS (SELECT *, CASE WHEN fit_score >= 0.9 AND intrinsic_score >= 0.7 AND blocking_gap_count = 0 THEN 'strong_adopt' WHEN fit_score >= 0.6 AND intrinsic_score >= 0.6 AND blocking_gap_count = 0 THEN 'adapt_close_match'
+  WHEN fit_score >= 0.3 AND intrinsic_score >= 0.5 THEN 'reference_partial' WHEN fit_score < 0.3 THEN 'reject_low_fit' ELSE '__default__' END AS rule_name FROM ranks WHERE rank = 1),
+pins AS (SELECT version_id, max(revision_id) AS revision_id FROM {{binding}} GROUP BY version_id),
+recs AS (SELECT r.req_id, CASE rule_name WHEN 'strong_adopt' THEN 'ADOPT' WHEN 'adapt_close_match' THEN 'ADAPT' WHEN 'reference_partial' THEN 'REFERENCE' WHEN 'reject_low_fit' THEN 'REJECT' ELSE 'BUILD' END AS verdict,
+  coalesce(rule_name, '__no_candidates__') AS rule_name, best.version_id,
+  CASE WHEN rule_name IN ('strong_adopt', 'adapt_close_match', 'reference_partial') THEN revision_id END AS pinned_revision
+  FROM {{requirement}} AS r LEFT JOIN best USING (req_id) LEFT JOIN pins ON pins.version_id = best.version_id)"""
+
+
+def _recommended(spark, d):
+    pins = fit.pins(view(spark, d, "binding"), view(spark, d, "revision"))
+    return fit.recommend(view(spark, d, "requirement"), _ranked(spark, d), pins)
+
+
+_REC = f"{_REC_SQL} SELECT req_id, verdict, rule_name, version_id, pinned_revision FROM recs"
+
+
+@add("rec1_rules", _REC)
+@add("rec2_recommend", _REC)
+def rec2_recommend(spark, d):
+    return _recommended(spark, d)
+
+
+@add("rec3_trace", f"{_REC_SQL} SELECT req_id, version_id, evidence_id FROM recs JOIN {{evidence}} AS e USING (version_id) WHERE e.evidence_type IN ('interface', 'license')")
+def rec3_trace(spark, d):
+    support = view(spark, d, "evidence").where("evidence_type in ('interface', 'license')").select("version_id", "evidence_id")
+    return _recommended(spark, d).join(support, "version_id").select("req_id", "version_id", "evidence_id")
+
+
+_BUILD = f"{_REC_SQL} SELECT req_id, verdict = 'BUILD' AND req_id % 2 = 0 AS allowed, CASE WHEN verdict <> 'BUILD' THEN 'not_build' WHEN req_id % 2 = 1 THEN 'not_authorized' ELSE 'authorized' END AS reason FROM recs"
+
+
+@add("pol12_build_gate", _BUILD)
+def pol12_build_gate(spark, d):
+    signed = view(spark, d, "requirement").where("req_id % 2 = 0").select("req_id")
+    return fit.build_gate(view(spark, d, "requirement"), _recommended(spark, d), signed)
+
+
+@add("pol13_authorizable", f"{_REC_SQL} SELECT req_id FROM recs WHERE verdict = 'BUILD'")
+def pol13_authorizable(spark, d):
+    return fit.authorizable(_recommended(spark, d), _ranked(spark, d))

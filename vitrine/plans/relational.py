@@ -1,5 +1,278 @@
-"""Queries."""
+"""Joins, aggregates, windows, top-k and set operations over the registry views."""
 
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from vitrine.functions.text import successor_keys, tail_name
+from vitrine.operators import registry as r
 from vitrine.plans.catalogue import Catalogue
+from vitrine.plans.common import DIMENSION_SQL, cards, gates, acceptances
+from vitrine.sources.views import view
 
 CATALOGUE = Catalogue()
+add = CATALOGUE.add
+
+
+@add("jon1_revision_asset", "SELECT s_suppkey, n_name, r_name, coalesce(n, 0) AS n_lines FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey LEFT JOIN (SELECT l_suppkey, count(*) AS n FROM {lineitem} GROUP BY l_suppkey) ON l_suppkey = s_suppkey")
+def jon1_revision_asset(spark, d):
+    lines = view(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.count("*").alias("n_lines"))
+    rows = view(spark, d, "supplier").join(view(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(view(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return rows.join(lines, "s_suppkey", "left").na.fill(0, ["n_lines"]).select("s_suppkey", "n_name", "r_name", "n_lines")
+
+
+@add("jon2_bound_evidence", "SELECT b.version_id, e.evidence_id, e.evidence_type FROM {binding} AS b JOIN {evidence} AS e ON e.version_id = b.version_id AND e.revision_id = b.revision_id")
+def jon2_bound_evidence(spark, d):
+    return view(spark, d, "binding").join(view(spark, d, "evidence"), ["version_id", "revision_id"]).select("version_id", "evidence_id", "evidence_type")
+
+
+_ACCEPTED = "WITH f AS (SELECT version_id FROM {evidence} WHERE evidence_type = 'secret_indicator' GROUP BY version_id) SELECT version_id, version_id % 7 = 0 AND version_id % 2 = 0 AS accepted FROM f"
+
+
+@add("jon4_accepted_flag", _ACCEPTED)
+def jon4_accepted_flag(spark, d):
+    from vitrine.operators.policy import valid_acceptances
+
+    failed = gates(spark, d).where("gate_name = 'critical_vulnerability' and status = 'fail'")
+    ok = valid_acceptances(acceptances(failed)).select("version_id").distinct().withColumn("a", F.lit(True))
+    return failed.join(ok, "version_id", "left").select("version_id", F.col("a").isNotNull().alias("accepted"))
+
+
+@add("jon5_not_judged", "SELECT id FROM {capability} WHERE id NOT IN (SELECT doc_id FROM {labels})")
+def jon5_not_judged(spark, d):
+    return view(spark, d, "capability").join(view(spark, d, "labels").select(F.col("doc_id").alias("id")), "id", "left_anti").select("id")
+
+
+@add("jon6_newer_revision", """
+WITH b AS (SELECT version_id, arg_max(asset_id, identified_at) AS asset_id, max(identified_at) AS bound_at FROM {binding} JOIN {revision} USING (revision_id) GROUP BY version_id)
+SELECT version_id, bound_at, max(r.identified_at) AS newest FROM b JOIN {revision} AS r ON r.asset_id = b.asset_id AND r.identified_at > bound_at AND snapshot_status = 'snapshotted' GROUP BY version_id, bound_at""")
+def jon6_newer_revision(spark, d):
+    return r.newer_revisions(view(spark, d, "binding"), view(spark, d, "revision"))
+
+
+@add("jon7_link_candidates", "SELECT a.tail, a.id AS library_id, b.id AS repo_id FROM {capability} AS a JOIN {capability} AS b ON lower(a.tail) = lower(b.tail) WHERE a.component_kind = 'library' AND b.component_kind = 'repo' AND (a.id + b.id) % 5 <> 0")
+def jon7_link_candidates(spark, d):
+    cap = view(spark, d, "capability")
+    lib, repo = (cap.where(F.col("component_kind") == k).select("id", "tail") for k in ("library", "repo"))
+    asked = lib.withColumnRenamed("id", "library_id").join(repo.withColumnRenamed("id", "repo_id"), "tail").where("(library_id + repo_id) % 5 = 0").select("library_id", "repo_id")
+    return r.link_candidates(cap, asked).select("tail", "library_id", "repo_id")
+
+
+@add("jon8_successors", """
+WITH n AS (SELECT o_orderkey AS ref, p_name FROM {orders} JOIN {part} ON p_partkey = o_custkey % 200),
+k AS (SELECT ref, 1 AS pos, 'pypi:' || replace(p_name, ' ', '-') AS normalized_key FROM n UNION ALL SELECT ref, 2, 'npm:' || replace(p_name, ' ', '-') FROM n)
+SELECT ref, id AS successor_id FROM (SELECT ref, c.id, row_number() OVER (PARTITION BY ref ORDER BY pos, c.id) AS n FROM k JOIN {capability} AS c USING (normalized_key)) WHERE n = 1""")
+def jon8_successors(spark, d):
+    part = view(spark, d, "part").select("p_partkey", F.replace("p_name", F.lit(" "), F.lit("-")).alias("name"))
+    names = view(spark, d, "orders").select(F.col("o_orderkey").alias("ref"), (F.col("o_custkey") % 200).alias("p_partkey")).join(part, "p_partkey")
+    return r.resolve_successors(names, view(spark, d, "capability"))
+
+
+@add("jon12_dimensions", "SELECT provider, count(*) AS n, count(DISTINCT lang) AS n_lang FROM {response} JOIN {documents} ON doc_id = request_id GROUP BY provider")
+def jon12_dimensions(spark, d):
+    docs = view(spark, d, "documents").select(F.col("doc_id").alias("request_id"), "lang")
+    return view(spark, d, "response").join(docs, "request_id").groupBy("provider").agg(F.count("*").alias("n"), F.count_distinct("lang").alias("n_lang"))
+
+
+@add("agg1_counts", "SELECT v.version_id, count(*) FILTER (evidence_type = 'interface') AS n_interface, count(*) FILTER (evidence_type = 'dependency') AS n_dependency, count(evidence_id) AS n_evidence FROM {capability_version} AS v LEFT JOIN {evidence} USING (version_id) GROUP BY v.version_id")
+def agg1_counts(spark, d):
+    n = view(spark, d, "evidence").groupBy("version_id").agg(F.count_if(F.col("evidence_type") == "interface").alias("n_interface"), F.count_if(F.col("evidence_type") == "dependency").alias("n_dependency"), F.count("*").alias("n_evidence"))
+    return view(spark, d, "capability_version").select("version_id").join(n, "version_id", "left").na.fill(0)
+
+
+@add("agg3_best_card", f"WITH {DIMENSION_SQL.strip()} SELECT capability_id, max(total_score) AS total_score, max(confidence) AS confidence FROM {{capability_version}} JOIN cards USING (version_id) GROUP BY capability_id")
+def agg3_best_card(spark, d):
+    rows = view(spark, d, "capability_version").join(cards(spark, d), "version_id")
+    return rows.groupBy("capability_id").agg(F.max("total_score").alias("total_score"), F.max("confidence").alias("confidence"))
+
+
+@add("agg4_candidates", "SELECT DISTINCT version_id FROM {evidence}")
+def agg4_candidates(spark, d):
+    return view(spark, d, "evidence").select("version_id").distinct()
+
+
+_RELIABLE = "SELECT provider, count(*) AS total, count(*) FILTER (raw_response LIKE '{%') AS valid, round(avg(latency_ms), 4) AS latency FROM {response} GROUP BY provider"
+
+
+@add("agg5_reliability", _RELIABLE)
+@add("jud8_reliability", _RELIABLE)
+def agg5_reliability(spark, d):
+    rows = view(spark, d, "response").groupBy("provider")
+    return rows.agg(F.count("*").alias("total"), F.count_if(F.startswith("raw_response", F.lit("{"))).alias("valid"), F.round(F.avg("latency_ms"), 4).alias("latency"))
+
+
+@add("agg6_content_hash", "SELECT revision, count(*) AS n_files, sha256(string_agg(path || chr(9) || content_hash || chr(10), '' ORDER BY path, content_hash)) AS content_hash FROM {file} GROUP BY revision")
+def agg6_content_hash(spark, d):
+    return r.content_hashes(view(spark, d, "file"))
+
+
+_OUTCOME = "CASE k % 5 WHEN 0 THEN 'new' WHEN 1 THEN 'updated' WHEN 2 THEN 'unchanged' WHEN 3 THEN 'deprecated' ELSE 'error' END"
+
+
+@add("agg7_run_counters", "SELECT step, " + ", ".join(f"count(*) FILTER ({_OUTCOME} = '{o}') AS n_{o}" for o in ("new", "updated", "unchanged", "deprecated", "error")) + " FROM {attempt} GROUP BY step")
+def agg7_run_counters(spark, d):
+    return r.outcome_counts(view(spark, d, "attempt").withColumn("outcome", F.expr(_OUTCOME)), "step")
+
+
+@add("agg8_cursor", "SELECT step, max(CAST(ts AS STRING)) AS cursor FROM {attempt} GROUP BY step")
+def agg8_cursor(spark, d):
+    return view(spark, d, "attempt").groupBy("step").agg(F.max(F.col("ts").cast("string")).alias("cursor"))
+
+
+@add("agg9_value_sets", "SELECT version_id, string_agg(DISTINCT spdx_id, ',' ORDER BY spdx_id) AS spdx_ids FROM {evidence} WHERE evidence_type = 'license' GROUP BY version_id")
+def agg9_value_sets(spark, d):
+    rows = view(spark, d, "evidence").where("evidence_type = 'license'").groupBy("version_id")
+    return rows.agg(F.array_join(F.array_sort(F.collect_set("spdx_id")), ",").alias("spdx_ids"))
+
+
+@add("win1_latest_run", "SELECT step, run, CAST(ts AS STRING) AS ts FROM (SELECT *, row_number() OVER (PARTITION BY step ORDER BY CASE WHEN status = 'failed' THEN NULL ELSE ts END DESC NULLS LAST, event_id DESC) AS n FROM {attempt}) WHERE n = 1")
+def win1_latest_run(spark, d):
+    done = F.when(F.col("status") != "failed", F.col("ts"))
+    return r.latest(view(spark, d, "attempt"), ["step"], done.desc_nulls_last(), F.desc("event_id")).select("step", "run", F.col("ts").cast("string").alias("ts"))
+
+
+@add("win2_latest_class", "SELECT run, step, event_id FROM (SELECT *, row_number() OVER (PARTITION BY run, step ORDER BY ts DESC, event_id DESC) AS n FROM {attempt}) WHERE n = 1")
+def win2_latest_class(spark, d):
+    return r.latest(view(spark, d, "attempt"), ["run", "step"], F.desc("ts"), F.desc("event_id")).select("run", "step", "event_id")
+
+
+_LINEAGE = "SELECT DISTINCT capability_id, asset_id, version_id, year AS made FROM {capability_version} JOIN {binding} USING (version_id) JOIN {revision} USING (revision_id)"
+
+
+@add("win4_supersession", f"WITH l AS ({_LINEAGE}) SELECT capability_id, asset_id, version_id, lead(version_id) OVER (PARTITION BY capability_id, asset_id ORDER BY made, version_id) AS superseded_by FROM l")
+@add("reg5_lineage", f"WITH l AS ({_LINEAGE}) SELECT capability_id, asset_id, version_id, lead(version_id) OVER (PARTITION BY capability_id, asset_id ORDER BY made, version_id) AS superseded_by FROM l")
+def win4_supersession(spark, d):
+    rows = view(spark, d, "capability_version").join(view(spark, d, "binding"), "version_id").join(view(spark, d, "revision"), "revision_id")
+    lineage = rows.select("capability_id", "asset_id", "version_id", F.col("year").alias("made")).distinct()
+    return r.supersession(lineage).drop("made")
+
+
+@add("win6_first_seen", "SELECT step, user_seen, event_id FROM (SELECT step, run AS user_seen, event_id, row_number() OVER (PARTITION BY step, run ORDER BY event_id) AS n FROM {attempt}) WHERE n = 1")
+def win6_first_seen(spark, d):
+    return r.latest(view(spark, d, "attempt"), ["step", "run"], F.asc("event_id")).select("step", F.col("run").alias("user_seen"), "event_id")
+
+
+@add("win7_top_per_stage", "SELECT component_kind, id, stars FROM (SELECT *, row_number() OVER (PARTITION BY component_kind ORDER BY stars DESC NULLS LAST, id) AS n FROM {capability}) WHERE n <= 3")
+def win7_top_per_stage(spark, d):
+    w = Window.partitionBy("component_kind").orderBy(F.desc_nulls_last("stars"), "id")
+    return view(spark, d, "capability").withColumn("n", F.row_number().over(w)).where("n <= 3").select("component_kind", "id", "stars")
+
+
+@add("win8_pins", "SELECT version_id, max(revision_id) AS pinned_revision FROM {binding} JOIN {revision} USING (revision_id) GROUP BY version_id")
+def win8_pins(spark, d):
+    from vitrine.operators.fit import pins
+
+    return pins(view(spark, d, "binding"), view(spark, d, "revision"))
+
+
+@add("win10_prior_run", "SELECT run, k % 3 AS config, max(event_id) AS event_id FROM {attempt} WHERE status = 'succeeded' GROUP BY run, k % 3")
+def win10_prior_run(spark, d):
+    done = view(spark, d, "attempt").where("status = 'succeeded'").withColumn("config", F.col("k") % 3)
+    return r.latest(done, ["run", "config"], F.desc("event_id")).select("run", "config", "event_id")
+
+
+@add("ord2_work_selection", "SELECT id FROM {capability} ORDER BY days_old NULLS LAST, id LIMIT 40")
+def ord2_work_selection(spark, d):
+    return view(spark, d, "capability").orderBy(F.asc_nulls_last("days_old"), "id").limit(40).select("id")
+
+
+@add("set1_symmetric", "WITH k AS (SELECT l_partkey AS a, l_suppkey AS b FROM {lineitem} WHERE l_discount >= 0.08 AND l_linenumber <> 3) SELECT a, b FROM k UNION ALL SELECT b, a FROM k")
+def set1_symmetric(spark, d):
+    links = view(spark, d, "lineitem").select(F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b"), (F.round(F.col("l_discount") * 100) / 10).alias("confidence"), F.when(F.col("l_linenumber") == 3, "NOT_SAME: other").otherwise("same").alias("rationale"))
+    return r.symmetric(links, 0.8)
+
+
+@add("set2_intersection", "SELECT version_id, string_agg(DISTINCT spdx_id, ',' ORDER BY spdx_id) AS ok FROM {evidence} WHERE evidence_type = 'license' AND spdx_id IN ('MIT', 'Apache-2.0', 'ISC') GROUP BY version_id")
+def set2_intersection(spark, d):
+    rows = view(spark, d, "evidence").where("evidence_type = 'license'").groupBy("version_id").agg(F.collect_set("spdx_id").alias("s"))
+    ok = F.array_sort(F.array_intersect("s", F.array(*map(F.lit, ("MIT", "Apache-2.0", "ISC")))))
+    return rows.where(F.size(ok) > 0).select("version_id", F.array_join(ok, ",").alias("ok"))
+
+
+@add("set3_difference", "SELECT v.version_id, t.t AS missing FROM {capability_version} AS v, (VALUES ('dependency'), ('interface'), ('license')) AS t(t) EXCEPT SELECT version_id, evidence_type FROM {evidence}")
+def set3_difference(spark, d):
+    want = F.array(*map(F.lit, ("dependency", "interface", "license")))
+    have = view(spark, d, "evidence").groupBy("version_id").agg(F.collect_set("evidence_type").alias("have"))
+    rows = view(spark, d, "capability_version").select("version_id").join(have, "version_id", "left")
+    return rows.select("version_id", F.explode(F.array_except(want, F.coalesce("have", F.array().cast("array<string>")))).alias("missing"))
+
+
+@add("set4_union_of_terms", "SELECT id, min(pos) AS pos FROM (SELECT id, 0 AS pos FROM {capability} WHERE display_name ILIKE '%ring%' UNION ALL SELECT id, 1 FROM {capability} WHERE display_name ILIKE '%red%') GROUP BY id")
+def set4_union_of_terms(spark, d):
+    cap = view(spark, d, "capability")
+    hits = [cap.where(F.ilike("display_name", F.lit(f"%{t}%"))).select("id", F.lit(i).alias("pos")) for i, t in enumerate(("ring", "red"))]
+    return hits[0].unionByName(hits[1]).groupBy("id").agg(F.min("pos").alias("pos"))
+
+
+@add("fn1_names", "SELECT p_partkey, regexp_replace(lower(trim(p_name || '_.X ')), '[-_.]+', '-', 'g') AS name FROM {part}")
+def fn1_names(spark, d):
+    from vitrine.functions.text import pep503
+
+    return view(spark, d, "part").select("p_partkey", pep503(F.concat("p_name", F.lit("_.X "))).alias("name"))
+
+
+@add("fn2_tail", "SELECT id, lower(tail) AS tail FROM {capability}")
+def fn2_tail(spark, d):
+    return view(spark, d, "capability").select("id", tail_name(F.col("normalized_key")).alias("tail"))
+
+
+@add("fn3_successor_keys", "SELECT page_id, 'source:github:a' || CAST(page_id AS STRING) || '/b,' || 'source:github:c/d' AS keys FROM {pages} WHERE page_id % 2 = 0 UNION ALL SELECT page_id, 'pypi:x' || CAST(page_id AS STRING) || ',npm:x' || CAST(page_id AS STRING) FROM {pages} WHERE page_id % 2 = 1")
+def fn3_successor_keys(spark, d):
+    even = F.concat(F.lit("https://GitHub.com/A"), F.col("page_id").cast("string"), F.lit("/B.git"))
+    name = F.when(F.col("page_id") % 2 == 0, even).otherwise(F.concat(F.lit(" X"), F.col("page_id").cast("string")))
+    keys = successor_keys(name)
+    keys = F.when(F.col("page_id") % 2 == 0, F.concat(keys, successor_keys(F.lit("C/d")))).otherwise(keys)
+    return view(spark, d, "pages").select("page_id", F.array_join(keys, ",").alias("keys"))
+
+
+@add("fn5_slugs", "SELECT p_partkey, left(trim(regexp_replace(lower(p_brand || ' / ' || p_name || '!'), '[^a-z0-9]+', '-', 'g'), '-'), 12) AS slug FROM {part}")
+def fn5_slugs(spark, d):
+    from vitrine.functions.text import slug
+
+    return view(spark, d, "part").select("p_partkey", F.left(slug(F.concat("p_brand", F.lit(" / "), "p_name", F.lit("!"))), F.lit(12)).alias("slug"))
+
+
+@add("fn6_paths", "SELECT path, string_split(path, '/')[-1] AS name, len(string_split(path, '/')) - 1 AS depth FROM {file}")
+def fn6_paths(spark, d):
+    parts = F.split("path", "/")
+    return view(spark, d, "file").select("path", F.element_at(parts, -1).alias("name"), (F.size(parts) - 1).cast("long").alias("depth"))
+
+
+@add("fn7_fences", "SELECT request_id, raw_response AS body FROM {response}")
+def fn7_fences(spark, d):
+    from vitrine.functions.text import without_fence
+
+    return view(spark, d, "response").select("request_id", without_fence(F.concat(F.lit("```json\n"), "raw_response", F.lit("\n```"))).alias("body"))
+
+
+@add("fn8_redaction", "SELECT c_custkey, left(c_name, 4) || repeat('*', length(c_name) - 4) AS hidden FROM {customer}")
+def fn8_redaction(spark, d):
+    from vitrine.functions.text import redacted
+
+    return view(spark, d, "customer").select("c_custkey", redacted(F.col("c_name")).alias("hidden"))
+
+
+@add("fn10_hashes", "SELECT doc_id, sha256(text) AS full_hash, left(sha256(text), 16) AS short_hash FROM {documents}")
+def fn10_hashes(spark, d):
+    return view(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("full_hash"), F.left(F.sha2("text", 256), F.lit(16)).alias("short_hash"))
+
+
+@add("fn11_days", "SELECT o_orderkey, CAST((epoch_us(TIMESTAMP '2002-01-01 00:00:00') - epoch_us(o_orderdate)) / 86400000000 AS DOUBLE) AS days FROM {orders}")
+def fn11_days(spark, d):
+    from vitrine.functions.text import days_between
+
+    then = F.try_to_timestamp(F.concat(F.col("o_orderdate").cast("string"), F.lit("Z")))
+    return view(spark, d, "orders").select("o_orderkey", days_between(then, F.to_timestamp(F.lit("2002-01-01 00:00:00Z"))).alias("days"))
+
+
+@add("fn12_math", "SELECT id, round(CASE WHEN stars IS NULL THEN 0.5::DOUBLE WHEN stars <= 0 THEN 0 ELSE least(1, log10(stars + 1) / 4.0::DOUBLE) END, 6) AS popularity FROM {capability}")
+def fn12_math(spark, d):
+    from vitrine.operators.scoring import health_dimensions
+
+    return view(spark, d, "capability").select("id", F.round(health_dimensions()["popularity"][0], 6).alias("popularity"))
+
+
+@add("fn14_arrays", "SELECT source, array_to_string(list_sort(list_distinct(list(lang))), ',') AS langs FROM {documents} GROUP BY source")
+def fn14_arrays(spark, d):
+    return view(spark, d, "documents").groupBy("source").agg(F.array_join(F.slice(F.array_sort(F.collect_set("lang")), 1, 10), ",").alias("langs"))

@@ -1,5 +1,65 @@
-"""Queries."""
+"""Scorecards, their parts and hashes."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from vitrine.operators import scoring
 from vitrine.plans.catalogue import Catalogue
+from vitrine.plans.common import DIMENSION_SQL, cards
+from vitrine.sources.views import view
 
 CATALOGUE = Catalogue()
+add = CATALOGUE.add
+_WITH = f"WITH {DIMENSION_SQL.strip()}"
+
+
+def _long(spark, d):
+    return scoring.dimension_results(view(spark, d, "capability_version"), view(spark, d, "evidence"))
+
+
+@add("sco1_scorecard", f"{_WITH} SELECT version_id, dimension, n, raw, CAST(n > 0 AS INT) AS coverage, CAST(round(raw * weight, 3) AS DECIMAL(18,3)) AS weighted FROM dims")
+def sco1_scorecard(spark, d):
+    return _long(spark, d).select("version_id", "dimension", "n", "raw", "coverage", "weighted")
+
+
+_CONTRA = "SELECT version_id, count(*) AS n, count(DISTINCT spdx_id) AS n_distinct, count(*) >= 2 AND count(DISTINCT spdx_id) > 1 AS contradicted FROM {evidence} WHERE evidence_type = 'license' GROUP BY version_id"
+
+
+@add("sco2_contradiction", _CONTRA)
+@add("agg13_disagreement", _CONTRA)
+def sco2_contradiction(spark, d):
+    return scoring.contradictions(view(spark, d, "evidence"), "license", "spdx_id")
+
+
+@add("sco3_confidence", f"{_WITH} SELECT version_id, total_score, confidence FROM cards")
+def sco3_confidence(spark, d):
+    return cards(spark, d)
+
+
+@add("sco4_score_links", "SELECT version_id, evidence_id, CASE evidence_type WHEN 'license' THEN 'has_identified_license' WHEN 'test_indicator' THEN 'has_tests' WHEN 'interface' THEN 'interface_surface' WHEN 'secret_indicator' THEN 'no_secret_indicators' ELSE 'has_declared_dependencies' END AS dimension FROM {evidence} WHERE evidence_type <> 'setup_py_detected' AND NOT (evidence_type = 'license' AND spdx_id = 'unknown')")
+def sco4_score_links(spark, d):
+    rows = view(spark, d, "evidence")
+    names = F.array_compact(F.array(*(F.when(scoring.matches(x), F.lit(x.name)) for x in scoring.DEFAULT_PROFILE)))
+    return rows.select("version_id", "evidence_id", F.explode(names).alias("dimension"))
+
+
+_HASH = f"""{_WITH} SELECT version_id, sha256('default/1' || chr(10) || string_agg(dimension || '|' || CAST(n AS STRING) || '|' || CAST(raw AS STRING) || '|' || CAST(CAST(round(raw * weight, 3) AS DECIMAL(18,3)) AS STRING), chr(10) ORDER BY dimension)) AS computed_hash
+FROM dims GROUP BY version_id"""
+
+
+@add("sco5_hash", _HASH)
+@add("agg12_result_hash", _HASH)
+def sco5_hash(spark, d):
+    return scoring.result_hash(_long(spark, d))
+
+
+@add("src9_profile", "SELECT * FROM (VALUES ('has_identified_license', 0.20), ('has_tests', 0.20), ('interface_surface', 0.15), ('no_secret_indicators', 0.25), ('has_declared_dependencies', 0.20)) AS t(dimension, weight), (SELECT count(DISTINCT version_id) AS n_versions FROM {evidence})")
+def src9_profile(spark, d):
+    """The validated profile as a frame, beside the number of versions that it applies to."""
+    wrong = scoring.validate_profile(scoring.DEFAULT_PROFILE)
+    if wrong:
+        raise ValueError("; ".join(wrong))
+    rows = spark.createDataFrame([(x.name, x.weight) for x in scoring.DEFAULT_PROFILE], "dimension string, weight string")
+    n = view(spark, d, "evidence").agg(F.count_distinct("version_id").alias("n_versions"))
+    return rows.join(n, F.lit(True)).select("dimension", F.col("weight").cast("decimal(4,2)").alias("weight"), "n_versions")

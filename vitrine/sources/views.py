@@ -105,8 +105,10 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
             df = df.select("doc_id", "text", "lang", "source", "n_chars")
         return df
     sql = VIEWS[name].replace("sha256(text)", "sha2(text, 256)")
-    inputs = {n: view(spark, sf_dir, n) for n in set(_NAME.findall(sql))}
-    return spark.sql(sql, **inputs)
+    names = _NAME.findall(sql)
+    plain = _NAME.sub("\0", sql).replace("{", "{{").replace("}", "}}").split("\0")  # other braces stand for themselves
+    sql = plain[0] + "".join(f"{{{n}}}{rest}" for n, rest in zip(names, plain[1:]))
+    return spark.sql(sql, **{n: view(spark, sf_dir, n) for n in set(names)})
 
 
 def with_views(sql: str) -> str:
