@@ -1,5 +1,242 @@
-"""Queries."""
+"""Extraction and judgment over the texts of the documents and pages."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from vitrine.functions.text import language
+from vitrine.operators import evidence as e, judgment as j
+from vitrine.operators.query import matching
 from vitrine.plans.catalogue import Catalogue
+from vitrine.sources.views import view
 
 CATALOGUE = Catalogue()
+add = CATALOGUE.add
+#: Paths by which the documents stand for files of a source tree.
+PATHS = ("README.md", "LICENSE", "docs/LICENSE.txt", "a/b/LICENSE", "requirements-dev.txt", "src/app.py", "tests/test_app.py", "web/app.spec.ts", "setup.py", "data.bin")
+_PATH_SQL = "[" + ", ".join(f"'{p}'" for p in PATHS) + "]"
+_FILES = f"files AS (SELECT source || '/' || CAST(doc_id AS STRING) AS revision, ({_PATH_SQL})[doc_id % 10 + 1] AS path, text AS content FROM {{documents}})"
+
+
+def _files(spark, d):
+    paths = F.array(*map(F.lit, PATHS))
+    return view(spark, d, "documents").select(F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("revision"), F.get(paths, (F.col("doc_id") % 10).cast("int")).alias("path"), F.col("text").alias("content"))
+
+
+@add("ext1_language", f"WITH {_FILES} SELECT revision, path, CASE WHEN path LIKE '%.md' THEN 'markdown' WHEN path LIKE '%.py' THEN 'python' WHEN path LIKE '%.ts' THEN 'typescript' END AS language FROM files")
+def ext1_language(spark, d):
+    return _files(spark, d).select("revision", "path", language(F.col("path")).alias("language"))
+
+
+@add("ext2_index", f"WITH {_FILES} SELECT revision, path, CAST(octet_length(encode(content)) AS BIGINT) AS size_bytes, CASE WHEN path LIKE '%.md' THEN 'markdown' WHEN path LIKE '%.py' THEN 'python' WHEN path LIKE '%.ts' THEN 'typescript' END AS language, sha256(content) AS content_hash FROM files")
+def ext2_index(spark, d):
+    return e.index_files(_files(spark, d))
+
+
+_REQ = f"""WITH {_FILES},
+l AS (SELECT revision, path, unnest(string_split(content, chr(10))) AS line, unnest(range(1, len(string_split(content, chr(10))) + 1)) AS line_number FROM files WHERE path LIKE 'requirements%'),
+t AS (SELECT revision, path, line_number, trim(regexp_replace(line, '\\s+#.*$', '')) AS line FROM l)
+SELECT revision, path, CAST(line_number AS INT) AS line_number, CASE WHEN regexp_matches(line, '^[A-Za-z0-9]') THEN regexp_extract(line, '^([A-Za-z0-9][A-Za-z0-9._-]*)', 1) ELSE line END AS name,
+  trim(regexp_replace(line, '^([A-Za-z0-9][A-Za-z0-9._-]*)', '')) AS version_spec
+FROM t WHERE line <> '' AND NOT regexp_matches(line, '^[#-]')"""
+
+
+@add("ext3_requirements", _REQ)
+@add("fn4_dependency_spec", _REQ)
+def ext3_requirements(spark, d):
+    return e.requirements(_files(spark, d))
+
+
+@add("ext4_package_json", """SELECT CAST(p_partkey AS STRING) AS revision, 'package.json' AS path, k.kind, k.name, '^' || CAST(p_size AS STRING) AS version_spec
+FROM {part}, (VALUES ('runtime', 'left-pad'), ('runtime', 'react'), ('dev', 'jest')) AS k(kind, name) WHERE p_size % 3 <> 0""")
+def ext4_package_json(spark, d):
+    """package.json texts made of each part; a third of them are broken."""
+    v = F.concat(F.lit('"^'), F.col("p_size").cast("string"), F.lit('"'))
+    good = F.concat(F.lit('{"name": "x", "dependencies": {"left-pad": '), v, F.lit(', "react": '), v, F.lit('}, "devDependencies": {"jest": '), v, F.lit("}}"))
+    files = view(spark, d, "part").select(F.col("p_partkey").cast("string").alias("revision"), F.lit("package.json").alias("path"), F.when(F.col("p_size") % 3 == 0, "[broken").otherwise(good).alias("content"))
+    return e.package_json(files)
+
+
+@add("ext5_pyproject")
+def ext5_pyproject(spark, d):
+    name = F.replace("p_name", F.lit(" "), F.lit("-"))
+    text = F.concat(F.lit('[project]\nname = "x"\ndependencies = ["'), name, F.lit(">="), F.col("p_size").cast("string"), F.lit('"]\n[project.optional-dependencies]\ndev = ["pytest"]\n'))
+    files = view(spark, d, "part").select(F.col("p_partkey").cast("string").alias("revision"), F.lit("pyproject.toml").alias("path"), F.when(F.col("p_size") % 5 == 0, "broken = [").otherwise(text).alias("content"))
+    return e.pyproject(files)
+
+
+@add("ext6_setup_py", f"WITH {_FILES} SELECT revision, path, CAST(len(string_split(content, chr(10))) AS INT) AS end_line FROM files WHERE path = 'setup.py'")
+def ext6_setup_py(spark, d):
+    return e.setup_py(_files(spark, d))
+
+
+@add("ext7_interfaces")
+def ext7_interfaces(spark, d):
+    name = F.replace("p_name", F.lit(" "), F.lit("_"))
+    text = F.concat(F.lit("def "), name, F.lit("(a, b=1):\n    return a\n\nclass C_"), name, F.lit("(Base):\n    def run(self):\n        pass\n\ndef _hidden():\n    pass\n"))
+    files = view(spark, d, "part").select(F.col("p_partkey").cast("string").alias("revision"), F.lit("src/app.py").alias("path"), F.when(F.col("p_size") % 5 == 0, "def broken(").otherwise(text).alias("content"))
+    return e.interfaces(files)
+
+
+@add("ext8_tests", f"WITH {_FILES} SELECT revision, path, CASE path WHEN 'web/app.spec.ts' THEN 'js' ELSE 'python' END AS ecosystem, CASE path WHEN 'web/app.spec.ts' THEN 'jest_test_file' ELSE 'pytest_test_file' END AS indicator FROM files WHERE path IN ('web/app.spec.ts', 'tests/test_app.py')")
+def ext8_tests(spark, d):
+    return e.tests(_files(spark, d))
+
+
+_LICENSE_CASE = "CASE " + " ".join("WHEN contains(content, '{}') THEN '{}|{}'".format(p.replace("\n", "' || chr(10) || '"), s, c) for s, p, c in e.LICENSE_PHRASES + e.MORE_LICENSES) + " ELSE 'unknown|unknown' END"
+
+
+@add("ext9_license", f"WITH {_FILES}, l AS (SELECT *, {_LICENSE_CASE} AS found FROM files WHERE path IN ('LICENSE', 'docs/LICENSE.txt')) SELECT revision, path, string_split(found, '|')[1] AS spdx_id, string_split(found, '|')[2] AS confidence, CAST(octet_length(encode(content)) AS BIGINT) AS size_bytes FROM l")
+@add("fn9_patterns", f"WITH {_FILES}, l AS (SELECT *, {_LICENSE_CASE} AS found FROM files WHERE path IN ('LICENSE', 'docs/LICENSE.txt')) SELECT revision, path, string_split(found, '|')[1] AS spdx_id, string_split(found, '|')[2] AS confidence, CAST(octet_length(encode(content)) AS BIGINT) AS size_bytes FROM l")
+def ext9_license(spark, d):
+    return e.licenses(_files(spark, d))
+
+
+_SECRET_SQL = " UNION ALL ".join(f"SELECT revision, path, '{n}' AS pattern_name, unnest(regexp_extract_all(content, '{p}', 1)) AS s FROM files" for n, p in e.SECRET_PATTERNS)
+
+
+@add("ext10_secrets", f"WITH {_FILES}, f AS ({_SECRET_SQL}) SELECT revision, path, pattern_name, left(s, 4) || repeat('*', length(s) - 4) AS preview FROM f")
+def ext10_secrets(spark, d):
+    return e.secrets(_files(spark, d))
+
+
+def _found(spark, d):
+    docs = view(spark, d, "documents")
+    n_lines = F.size(F.split("text", "\n"))
+    path = F.when(F.col("doc_id") % 11 == 0, "gone.md").otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(".md")))
+    found = docs.select(F.col("source").alias("run"), F.col("lang").alias("extractor"), F.col("source").alias("revision"), path.alias("path"), F.lit(1).alias("start_line"), (F.col("doc_id") % 9 + 1).cast("int").alias("end_line"))
+    index = docs.select(F.col("source").alias("revision"), F.concat(F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), n_lines.alias("n_lines"))
+    return found, index
+
+
+_BAD = "bad AS (SELECT source AS run, lang AS extractor, doc_id, CASE WHEN doc_id % 11 = 0 THEN 'path not in snapshot' ELSE 'line past end of file' END AS violation FROM {documents} WHERE doc_id % 11 = 0 OR doc_id % 9 + 1 > len(string_split(text, chr(10))))"
+
+
+@add("ext11_locators", f"WITH {_BAD} SELECT run, extractor, CASE WHEN doc_id % 11 = 0 THEN 'gone.md' ELSE CAST(doc_id AS STRING) || '.md' END AS path, violation FROM bad")
+@add("dq2_references", f"WITH {_BAD} SELECT run, extractor, CASE WHEN doc_id % 11 = 0 THEN 'gone.md' ELSE CAST(doc_id AS STRING) || '.md' END AS path, violation FROM bad")
+def ext11_locators(spark, d):
+    return e.bad_locators(*_found(spark, d)).select("run", "extractor", "path", "violation")
+
+
+@add("ext12_outcomes", f"WITH {_BAD}, b AS (SELECT DISTINCT run, extractor FROM bad) SELECT source AS run, lang AS extractor, CASE WHEN b.run IS NULL THEN 'succeeded' ELSE 'failed' END AS status, CASE WHEN b.run IS NULL THEN count(*) ELSE 0 END AS n_items FROM {{documents}} LEFT JOIN b ON b.run = source AND b.extractor = lang GROUP BY source, lang, b.run")
+def ext12_outcomes(spark, d):
+    found, index = _found(spark, d)
+    return e.stage_outcomes(found, e.bad_locators(found, index))
+
+
+_PROMPT = "concat_ws(chr(10), 'Classify this component.', 'normalized_key: ' || normalized_key, 'description: ' || description, 'topics: ' || topics, 'stars: ' || CAST(stars AS STRING))"
+
+
+@add("jud1_prompts", f"SELECT id, {_PROMPT} AS prompt, sha256({_PROMPT}) AS prompt_hash FROM {{capability}}")
+def jud1_prompts(spark, d):
+    return j.prompts(view(spark, d, "capability"))
+
+
+@add("jud1_conversations", "SELECT conv_id, count(*) AS n_turns, sha256(string_agg(concat_ws(': ', role, text), chr(10) ORDER BY turn)) AS prompt_hash FROM {conversations} GROUP BY conv_id")
+def jud1_conversations(spark, d):
+    return j.conversation_prompts(view(spark, d, "conversations"))
+
+
+@add("jud2_work", "SELECT id FROM {capability} WHERE gemini_description IS NULL AND id NOT IN (SELECT doc_id FROM {labels}) ORDER BY days_old NULLS LAST, id LIMIT 60")
+def jud2_work(spark, d):
+    rows = view(spark, d, "capability").where("gemini_description is null")
+    rows = rows.join(view(spark, d, "labels").select(F.col("doc_id").alias("id")), "id", "left_anti")
+    return rows.orderBy(F.asc_nulls_last("days_old"), "id").limit(60).select("id")
+
+
+_CLASS = """c AS (SELECT request_id, CASE WHEN raw_response = 'no json' THEN 'not_json' WHEN request_id % 5 = 0 AND request_id % 3 = 2 THEN 'confidence_range' WHEN request_id % 5 = 1 THEN 'component_kind_domain'
+  WHEN request_id % 5 = 2 THEN 'missing_component_kind' WHEN request_id % 5 = 3 THEN 'confidence_type' END AS schema_error FROM {response}),
+v AS (SELECT request_id, schema_error IS NULL AS schema_valid, schema_error, CASE WHEN schema_error IS NULL THEN CASE WHEN request_id % 5 = 0 THEN 'repo' ELSE 'library' END END AS component_kind,
+  CASE WHEN schema_error IS NULL THEN CASE WHEN request_id % 5 = 0 THEN CAST(request_id % 3 AS DOUBLE) ELSE 0.85::DOUBLE END END AS confidence FROM c)"""
+
+
+@add("jud3_validation", f"WITH {_CLASS} SELECT * FROM v")
+@add("fn13_json_types", f"WITH {_CLASS} SELECT * FROM v")
+def jud3_validation(spark, d):
+    return j.classifications(view(spark, d, "response"))
+
+
+@add("jud4_routing", f"WITH {_CLASS} SELECT request_id, CASE WHEN schema_error = 'not_json' THEN 'transient' WHEN schema_error = 'component_kind_domain' THEN 'policy' WHEN schema_error IS NOT NULL THEN 'input' END AS error_class FROM v")
+def jud4_routing(spark, d):
+    return j.classifications(view(spark, d, "response")).select("request_id", j.error_class(F.col("schema_error")).alias("error_class"))
+
+
+@add("jud5_apply", f"WITH {_CLASS} SELECT request_id, c.component_kind AS prior_kind, v.component_kind, CASE WHEN confidence < 0.8 THEN 'recorded' WHEN v.component_kind = c.component_kind THEN 'unchanged' ELSE 'applied' END AS outcome FROM v JOIN {{capability}} AS c ON c.id = request_id WHERE schema_valid")
+def jud5_apply(spark, d):
+    return j.applied(j.classifications(view(spark, d, "response")), view(spark, d, "capability"))
+
+
+@add("jud6_links", "SELECT l_partkey AS a, l_suppkey AS b, CASE WHEN l_returnflag = 'N' THEN 'negative' WHEN l_linenumber >= 4 THEN 'linked' ELSE 'suppressed' END AS outcome, CASE WHEN l_returnflag = 'N' THEN round(1 - (l_linenumber + 1) * 0.15, 3)::DOUBLE ELSE CAST((l_linenumber + 1) * 0.15 AS DOUBLE) END AS confidence, CASE WHEN l_returnflag = 'N' THEN 'NOT_SAME: x' ELSE 'x' END AS rationale FROM {lineitem}")
+def jud6_links(spark, d):
+    score = ((F.col("l_linenumber") + 1) * F.lit("0.15").cast("decimal(3,2)")).cast("double")
+    rows = view(spark, d, "lineitem").select(F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b"), (F.col("l_returnflag") != "N").alias("same"), score.alias("confidence"), F.lit("x").alias("rationale"))
+    return j.link_rows(rows)
+
+
+@add("jud7_supersession", "WITH n AS (SELECT p_partkey AS ref, p_size % 2 = 0 AS deprecated, p_size % 4 = 0 AS sure FROM {part}), s AS (SELECT min(id) AS id, normalized_key FROM {capability} GROUP BY normalized_key) SELECT ref, deprecated AND sure AS deprecate, CASE WHEN deprecated AND sure THEN coalesce(a.id, b.id) END AS successor_id FROM n JOIN {capability} AS c ON c.id = ref LEFT JOIN s AS a ON a.normalized_key = 'pypi:' || c.tail LEFT JOIN s AS b ON b.normalized_key = 'npm:' || c.tail")
+def jud7_supersession(spark, d):
+    from vitrine.operators.registry import resolve_successors
+
+    part, cap = view(spark, d, "part"), view(spark, d, "capability")
+    told = part.select(F.col("p_partkey").alias("ref"), (F.col("p_size") % 2 == 0).alias("deprecated"), F.when(F.col("p_size") % 4 == 0, 0.9).otherwise(0.5).alias("confidence"))
+    return j.supersession_rows(told, resolve_successors(cap.select(F.col("id").alias("ref"), F.col("tail").alias("name")), cap))
+
+
+# ---- stage candidates and pipelines ----
+
+TERMS = ((0, 0, "purple"), (0, 1, "ring"), (0, 2, "red"), (1, 0, "widget"), (2, 0, "blue"))
+STAGE_KINDS = ("repo", "library", "skill")
+
+
+@add("cmp1_stage_candidates", """
+WITH t AS (SELECT * FROM (VALUES (0, 0, 'purple', 'repo'), (0, 1, 'ring', 'repo'), (0, 2, 'red', 'repo'), (1, 0, 'widget', 'library'), (2, 0, 'blue', 'skill')) AS t(stage, term, word, want)),
+h AS (SELECT stage, term, c.id, c.stars, c.component_kind = want AS preferred FROM t JOIN {capability} AS c ON display_name ILIKE '%' || word || '%'),
+f AS (SELECT stage, min(term) AS first FROM h GROUP BY stage), p AS (SELECT stage, count(*) FILTER (preferred AND term = first) AS n FROM h JOIN f USING (stage) GROUP BY stage),
+k AS (SELECT DISTINCT stage, id, stars FROM h JOIN f USING (stage) JOIN p USING (stage) WHERE preferred OR (term = first AND n = 0))
+SELECT stage, id, rank FROM (SELECT *, row_number() OVER (PARTITION BY stage ORDER BY stars DESC NULLS LAST, id) AS rank FROM k) WHERE rank <= 3""")
+def cmp1_stage_candidates(spark, d):
+    from vitrine.plans.compose import stage_candidates
+
+    terms = spark.createDataFrame([(s, t, w, STAGE_KINDS[s]) for s, t, w in TERMS], "stage int, term int, word string, want string")
+    return stage_candidates(view(spark, d, "capability"), terms, "stars").select("stage", "id", "rank")
+
+
+@add("cmp2_pipeline")
+@add("jon11_adjacent")
+def cmp2_pipeline(spark, d):
+    from vitrine.plans.compose import pipeline, stage_candidates
+
+    terms = spark.createDataFrame([(s, t, w, STAGE_KINDS[s]) for s, t, w in TERMS], "stage int, term int, word string, want string")
+    return pipeline(stage_candidates(view(spark, d, "capability"), terms, "stars"))
+
+
+@add("cmp3_env_hints", """
+WITH h AS (SELECT id, unnest(CASE runtime WHEN 'mcp_http' THEN ['MCP_SERVER_URL'] WHEN 'http_endpoint' THEN ['API_BASE_URL', 'API_KEY'] ELSE [] END) AS env FROM {capability}
+  UNION SELECT id, 'GITHUB_TOKEN' FROM {capability} WHERE contains(lower(normalized_key), 'github'))
+SELECT id, string_agg(env, ',' ORDER BY env) AS env FROM h GROUP BY id""")
+def cmp3_env_hints(spark, d):
+    from vitrine.plans.compose import env_hints
+
+    return env_hints(view(spark, d, "capability"))
+
+
+@add("udx1_extractor_plugin", "SELECT CAST(doc_id AS STRING) AS path, (length(text) - length(replace(text, 'TODO', ''))) // 4 AS n FROM {documents} WHERE contains(text, 'TODO')")
+def udx1_extractor_plugin(spark, d):
+    """An extractor of the caller's: a function of the files' frame."""
+    found = view(spark, d, "documents").where(F.contains("text", F.lit("TODO")))
+    return found.select(F.col("doc_id").cast("string").alias("path"), F.regexp_count("text", F.lit("TODO")).cast("long").alias("n"))
+
+
+@add("udx2_gate_plugin", "SELECT version_id, CASE WHEN count(*) FILTER (evidence_type = 'test_indicator') >= 2 THEN 'pass' ELSE 'warn' END AS status FROM {evidence} GROUP BY version_id")
+def udx2_gate_plugin(spark, d):
+    """A gate of the caller's: a Column over the evidence aggregate."""
+    gate = lambda n: F.when(n >= 2, "pass").otherwise("warn")
+    return view(spark, d, "evidence").groupBy("version_id").agg(gate(F.count_if(F.col("evidence_type") == "test_indicator")).alias("status"))
+
+
+@add("udx3_model_hook")
+def udx3_model_hook(spark, d):
+    """Prompts through a function of the caller's, at most four at a time."""
+    from vitrine.plans.compose import model_hook
+
+    return model_hook(j.prompts(view(spark, d, "capability")), lambda prompt: '{"component_kind": "repo", "confidence": 0.9}', 4)
