@@ -45,6 +45,7 @@ SECRET_PATTERNS = (
     ("aws_access_key", r"\b((?:AKIA|ASIA)[0-9A-Z]{16})\b"),
     ("github_pat", r"\b(gh[pousr]_[A-Za-z0-9]{36,})\b"),
     ("private_key", r"(-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----)"),
+    ("assigned_token", r"(?i)\b(?:token|secret|password|api_key)\s*[=:]\s*\"([^\"\s]{12,})\""),
     ("slack_token", r"\b(xox[abprs]-[A-Za-z0-9-]{10,})\b"),
 )
 LICENSE_FILE = r"(?i)^([^/]+/)?(LICEN[SC]E|COPYING|COPYRIGHT)([._-][^/]*)?$"
@@ -80,7 +81,11 @@ def tests(files: DataFrame) -> DataFrame:
 def secrets(files: DataFrame) -> DataFrame:
     """Named patterns with a redacted preview; files with a NUL among their first 1024 characters are binary."""
     text = files.where(F.instr(F.left("content", F.lit(1024)), "\0") == 0)
-    found = F.concat(*(F.transform(F.regexp_extract_all("content", F.lit(p), 1), lambda x, n=name: F.struct(F.lit(n).alias("pattern_name"), redacted(x).alias("preview"))) for name, p in SECRET_PATTERNS))
+
+    def of(name: str, pattern: str) -> Column:
+        return F.transform(F.regexp_extract_all("content", F.lit(pattern), 1), lambda x: F.struct(F.lit(name).alias("pattern_name"), redacted(x).alias("preview")))
+
+    found = F.concat(*(of(*p) for p in SECRET_PATTERNS))
     return text.select("revision", "path", F.explode(found).alias("s")).select("revision", "path", "s.*")
 
 

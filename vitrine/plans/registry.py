@@ -1,5 +1,167 @@
-"""Queries."""
+"""Sources, sinks, identity, versions, links and data quality over the driver's tables."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from vitrine.operators import registry as r
 from vitrine.plans.catalogue import Catalogue
+from vitrine.sources import landed
+from vitrine.sources.views import view
 
 CATALOGUE = Catalogue()
+add = CATALOGUE.add
+
+
+@add("src1_scan", "SELECT p_partkey, p_name FROM {part} WHERE p_size > 40")
+def src1_scan(spark, d):
+    return view(spark, d, "part").where("p_size > 40").select("p_partkey", "p_name")
+
+
+@add("src2_listing", """SELECT CASE WHEN p_size % 9 <> 0 THEN 'source:github:brand' || CAST(p_size AS STRING) || '/' || lower(replace(p_name, ' ', '-')) END AS normalized_key,
+  'pushed:' || CASE WHEN p_size % 3 = 0 THEN 'unknown' ELSE '2024-01-0' || CAST(p_size % 3 AS STRING) END AS revision_key, CASE WHEN p_size % 2 = 0 THEN 'MIT' END AS license_spdx, p_partkey AS stars,
+  CASE WHEN p_size % 9 = 0 THEN 'error' WHEN p_size % 7 = 0 THEN 'deprecated' ELSE 'ok' END AS outcome FROM {part}""")
+@add("reg7_deprecation", """SELECT CASE WHEN p_size % 9 <> 0 THEN 'source:github:brand' || CAST(p_size AS STRING) || '/' || lower(replace(p_name, ' ', '-')) END AS normalized_key,
+  'pushed:' || CASE WHEN p_size % 3 = 0 THEN 'unknown' ELSE '2024-01-0' || CAST(p_size % 3 AS STRING) END AS revision_key, CASE WHEN p_size % 2 = 0 THEN 'MIT' END AS license_spdx, p_partkey AS stars,
+  CASE WHEN p_size % 9 = 0 THEN 'error' WHEN p_size % 7 = 0 THEN 'deprecated' ELSE 'ok' END AS outcome FROM {part}""")
+def src2_listing(spark, d):
+    """Each part as a listing item in JSON, parsed again with the listing's schema."""
+    size = F.col("p_size")
+    pushed = F.when(size % 3 == 1, F.concat(F.lit("2024-01-0"), (size % 3).cast("string")))
+    item = F.struct(
+        F.replace("p_name", F.lit(" "), F.lit("-")).alias("name"), F.when(size % 9 != 0, F.struct(F.concat(F.lit("Brand"), size.cast("string")).alias("login"))).alias("owner"), F.col("p_partkey").alias("stargazers_count"),
+        pushed.alias("pushed_at"), F.when(size % 3 == 2, "2024-01-02").alias("updated_at"), (size % 7 == 0).alias("archived"), F.struct(F.when(size % 2 == 0, "MIT").otherwise("NOASSERTION").alias("spdx_id")).alias("license"),
+    )
+    items = view(spark, d, "part").select(F.from_json(F.to_json(item), landed.LISTING).alias("j")).select("j.*")
+    return landed.listing_rows(items).select("normalized_key", "revision_key", "license_spdx", "stars", "outcome")
+
+
+@add("src3_links", "SELECT CAST(p_partkey AS STRING) AS list_id, p.o AS owner, p.n AS name FROM {part}, (VALUES ('Own', 'repo'), ('own', 'repo'), ('b', 'x.y')) AS p(o, n)")
+def src3_links(spark, d):
+    text = F.concat(F.lit("see https://github.com/Own/repo.git and github.com/own/repo, github.com/topics/ml, github.com/Own/repo/tree, [b](https://github.com/b/x.y) "), F.col("p_name"))
+    return landed.repo_links(view(spark, d, "part").select(F.col("p_partkey").cast("string").alias("list_id"), text.alias("text"))).select("list_id", "owner", "name")
+
+
+@add("src4_servers", "SELECT n_name AS name, CASE n_nationkey % 3 WHEN 0 THEN 'stdio' WHEN 1 THEN 'sse' ELSE 'unknown' END AS transport, CASE WHEN n_nationkey % 3 = 0 THEN 'KEY' ELSE '' END AS env, CASE WHEN n_nationkey % 2 = 0 THEN '/w#config-differs,user' ELSE 'user' END AS scopes FROM {nation}")
+def src4_servers(spark, d):
+    """Each nation as a config file with one server, every second also in a project with another config."""
+    k = F.col("n_nationkey")
+    own = F.when(k % 3 == 0, '{"command": "run", "env": {"KEY": "hidden"}}').when(k % 3 == 1, '{"url": "http://x"}').otherwise("{}")
+    server = F.concat(F.lit('{"'), "n_name", F.lit('": '), own, F.lit("}"))
+    other = F.when(k % 2 == 0, F.concat(F.lit('{"/w": {"mcpServers": {"'), "n_name", F.lit('": {"command": "other"}}}}'))).otherwise("{}")
+    content = F.concat(F.lit('{"mcpServers": '), server, F.lit(', "projects": '), other, F.lit("}"))
+    rows = landed.server_configs(view(spark, d, "nation").select(F.col("n_name").alias("path"), content.alias("content")))
+    return rows.select("name", "transport", F.array_join("env_names", ",").alias("env"), F.array_join("scopes", ",").alias("scopes"))
+
+
+@add("src5_front_matter", "SELECT plugin, name, description, content_hash, body_lines FROM (SELECT 'p' || CAST(doc_id % 50 AS STRING) AS plugin, 'n' || CAST(doc_id % 300 AS STRING) AS name, 'two lines' AS description, left(sha256('---' || chr(10) || 'name: n' || CAST(doc_id % 300 AS STRING) || chr(10) || 'description: two' || chr(10) || '  lines' || chr(10) || '---' || chr(10) || text), 16) AS content_hash, CAST(len(string_split(text, chr(10))) AS INT) AS body_lines, row_number() OVER (PARTITION BY doc_id % 50, doc_id % 300 ORDER BY lpad(CAST(doc_id AS STRING), 12, '0')) AS n FROM {documents} WHERE doc_id % 4 <> 0) WHERE n = 1")
+def src5_front_matter(spark, d):
+    k = F.col("doc_id")
+    path = F.concat(F.lit("p"), (k % 50).cast("string"), F.lit("/skills/"), F.lpad(k.cast("string"), 12, "0"), F.lit(".md"))
+    name = F.when(k % 4 != 0, F.concat(F.lit("name: n"), (k % 300).cast("string"), F.lit("\n"))).otherwise("")
+    content = F.concat(F.lit("---\n"), name, F.lit("description: two\n  lines\n---\n"), "text")
+    return landed.front_matter(view(spark, d, "documents").select(path.alias("path"), content.alias("content")))
+
+
+@add("src6_archives")
+def src6_archives(spark, d):
+    """Each document packed into an archive of its own and opened again."""
+
+    def packed(batches):
+        import io
+        import tarfile
+
+        for pdf in batches:
+            out = []
+            for doc, text in zip(pdf["doc_id"], pdf["text"]):
+                data, buffer = (text or "").encode(), io.BytesIO()
+                with tarfile.open(fileobj=buffer, mode="w:gz") as tar:
+                    m = tarfile.TarInfo(f"top/docs/{doc}.md")
+                    m.size = len(data)
+                    tar.addfile(m, io.BytesIO(data))
+                out.append(buffer.getvalue())
+            yield pdf.assign(path=pdf["doc_id"].astype(str), length=[len(x) for x in out], content=out)[["path", "length", "content"]]
+
+    archives = view(spark, d, "documents").select("doc_id", "text").mapInPandas(packed, "path string, length long, content binary")
+    return landed.archive_files(archives).select("archive", "path", "size", F.sha2("content", 256).alias("content_hash"))
+
+
+@add("src7_assets", "SELECT s_name AS external_key FROM {supplier} WHERE contains(lower(s_name), 'r#00000000')")
+def src7_assets(spark, d):
+    return landed.matching_assets(view(spark, d, "supplier").select(F.col("s_name").alias("external_key")), "R#00000000")
+
+
+@add("src8_availability", "SELECT s_suppkey AS asset, CASE WHEN s_suppkey % 5 = 0 AND s_suppkey % 4 <> 3 THEN 'blocked' WHEN s_suppkey % 4 = 3 THEN 'unavailable' WHEN s_suppkey % 3 = 0 THEN 'changed' ELSE 'unchanged' END AS state FROM {supplier}")
+def src8_availability(spark, d):
+    k = F.col("asset")
+    known = view(spark, d, "revision").select(F.col("revision_id").alias("asset"), "revision_key")
+    seen = known.where(k % 4 != 3).select("asset", F.when(k % 3 == 0, "new").otherwise(F.col("revision_key")).alias("revision_key"), (k % 5 == 0).alias("blocked"))
+    return landed.availability(known, seen)
+
+
+_UPSERT = """SELECT coalesce(a.id, b.id) AS id, coalesce(b.display_name, a.display_name) AS display_name, coalesce(b.license_spdx, a.license_spdx) AS license_spdx,
+  CASE WHEN b.id IS NULL THEN 'kept' WHEN a.id IS NULL THEN 'new' WHEN b.display_name IS NOT DISTINCT FROM a.display_name THEN 'unchanged' ELSE 'updated' END AS outcome
+FROM (SELECT id, display_name, license_spdx FROM {capability} WHERE id % 4 <> 0) AS a
+FULL JOIN (SELECT id, CASE WHEN id % 5 = 0 THEN display_name || '!' ELSE display_name END AS display_name, CAST(NULL AS STRING) AS license_spdx FROM {capability} WHERE id % 3 <> 0) AS b ON a.id = b.id"""
+
+
+@add("snk1_upsert", _UPSERT)
+@add("snk2_change_class", _UPSERT)
+def snk1_upsert(spark, d):
+    cap = view(spark, d, "capability").select("id", "display_name", "license_spdx")
+    named = F.when(F.col("id") % 5 == 0, F.concat("display_name", F.lit("!"))).otherwise(F.col("display_name"))
+    batch = cap.where("id % 3 <> 0").select("id", named.alias("display_name"), F.lit(None).cast("string").alias("license_spdx"))
+    return r.upsert(cap.where("id % 4 <> 0"), batch, "id", ["display_name", "license_spdx"])
+
+
+_MANIFESTS = """SELECT 'a' || CAST(p_partkey AS STRING) AS asset, CASE WHEN p_size % 3 = 0 THEN 'pypi:' || regexp_replace(lower(p_name), '[-_.]+', '-', 'g') WHEN p_size % 3 = 1 THEN 'npm:' || lower(p_name)
+  ELSE 'source:github:a' || CAST(p_partkey AS STRING) END AS normalized_key FROM {part}"""
+
+
+@add("reg1_identity", _MANIFESTS)
+def reg1_identity(spark, d):
+    """Four manifests of each part: a nested and a root pyproject.toml, a package.json and a file that is none."""
+    part = view(spark, d, "part")
+    size, name = F.col("p_size"), F.upper("p_name")
+    none = F.lit(None).cast("string")
+    files = F.array(*(F.struct(F.lit(p).alias("path"), n.alias("name")) for p, n in (
+        ("sub/pyproject.toml", F.when(size % 3 == 0, F.lit("nested")).otherwise(none)), ("pyproject.toml", F.when(size % 3 == 0, name).otherwise(F.lit(" "))),
+        ("package.json", F.when(size % 3 != 2, name).otherwise(none)), ("README.md", none))))
+    rows = part.select(F.concat(F.lit("A"), F.col("p_partkey").cast("string")).alias("asset"), F.lit("github").alias("provider"), F.explode(files).alias("f")).select("asset", "provider", "f.*")
+    return r.identities(rows).select(F.lower("asset").alias("asset"), "normalized_key")
+
+
+@add("reg2_version_keys", "WITH h AS (SELECT revision, sha256(string_agg(path || chr(9) || content_hash || chr(10), '' ORDER BY path, content_hash)) AS h FROM {file} GROUP BY revision) SELECT revision, 'content:' || left(h, 16) AS version_key FROM h")
+def reg2_version_keys(spark, d):
+    return r.version_keys(r.content_hashes(view(spark, d, "file")))
+
+
+@add("reg3_promotable", "SELECT revision_id FROM {revision} WHERE snapshot_status = 'snapshotted' AND content_hash IS NOT NULL AND revision_id NOT IN (SELECT l_suppkey FROM {lineitem} WHERE l_suppkey % 3 = 0)")
+def reg3_promotable(spark, d):
+    bound = view(spark, d, "lineitem").where("l_suppkey % 3 = 0").select(F.col("l_suppkey").alias("revision_id"))
+    return r.promotable(view(spark, d, "revision"), bound).select("revision_id")
+
+
+@add("reg4_denormalised", "SELECT evidence_id, version_id, evidence_type, name, coalesce(signature, '') AS signature FROM {evidence} WHERE evidence_type IN ('interface', 'dependency')")
+def reg4_denormalised(spark, d):
+    rows = view(spark, d, "evidence").where("evidence_type in ('interface', 'dependency')")
+    return rows.select("evidence_id", "version_id", "evidence_type", "name", F.coalesce("signature", F.lit("")).alias("signature"))
+
+
+@add("reg6_revision_versions", "SELECT DISTINCT 'revision:' || CAST(revision_id AS STRING) AS version_key, revision_id FROM {revision} WHERE revision_id NOT IN (SELECT l_suppkey FROM {lineitem} WHERE l_suppkey % 3 = 0)")
+def reg6_revision_versions(spark, d):
+    """A version of its own for each revision that has none; nothing is superseded."""
+    have = view(spark, d, "lineitem").where("l_suppkey % 3 = 0").select(F.col("l_suppkey").alias("revision_id")).distinct()
+    rows = view(spark, d, "revision").join(have, "revision_id", "left_anti")
+    return rows.select(F.concat(F.lit("revision:"), F.col("revision_id").cast("string")).alias("version_key"), "revision_id")
+
+
+@add("dq1_rules", """SELECT id, 'cost_tier_domain' AS rule FROM {capability} WHERE coalesce(cost_tier, '?') NOT IN ('free', 'cheap_paid', 'paid') UNION ALL SELECT id, 'runtime_given' FROM {capability} WHERE runtime IS NULL""")
+def dq1_rules(spark, d):
+    rules = {"cost_tier_domain": F.col("cost_tier").isin("free", "cheap_paid", "paid"), "runtime_given": F.col("runtime").isNotNull(), "name_given": F.trim("display_name") != ""}
+    return r.violations(view(spark, d, "capability"), "id", rules)
+
+
+@add("dq1_unique", "SELECT normalized_key, count(*) AS n FROM {capability} GROUP BY normalized_key HAVING count(*) > 1")
+def dq1_unique(spark, d):
+    return r.duplicates(view(spark, d, "capability"), "normalized_key")

@@ -1,5 +1,51 @@
-"""Queries."""
+"""Workflow log queries: the batch twins of the streams."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from vitrine.operators import workflow as w
 from vitrine.plans.catalogue import Catalogue
+from vitrine.sources.views import view
 
 CATALOGUE = Catalogue()
+add = CATALOGUE.add
+
+
+@add("str1_commands", "SELECT command_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY command_id ORDER BY ts, event_id) AS n FROM {attempt}) WHERE n = 1")
+def str1_commands(spark, d):
+    return w.first_commands(view(spark, d, "attempt")).select("command_id", "event_id")
+
+
+@add("str2_transitions", "SELECT event_id, previous, coalesce(previous = step, FALSE) AS repeated, round((epoch_us(ts) - epoch_us(t)) / 1e6, 3) AS dwell_s FROM (SELECT *, lag(step) OVER p AS previous, lag(ts) OVER p AS t FROM {attempt} WINDOW p AS (PARTITION BY run ORDER BY ts, event_id))")
+def str2_transitions(spark, d):
+    return w.transitions(view(spark, d, "attempt")).select("event_id", "previous", "repeated", "dwell_s")
+
+
+@add("str3_leases", "SELECT event_id FROM (SELECT event_id, ts, lead(ts) OVER (PARTITION BY run ORDER BY ts, event_id) AS nxt, max(ts) OVER () AS last FROM {attempt}) WHERE epoch_us(coalesce(nxt, last)) - epoch_us(ts) > 3600000000")
+def str3_leases(spark, d):
+    return w.expired_leases(view(spark, d, "attempt"), 3600).select("event_id")
+
+
+@add("str4_retries", """WITH f AS (SELECT *, row_number() OVER (PARTITION BY run, step ORDER BY ts, event_id) AS attempt_no FROM {attempt} WHERE status = 'failed')
+SELECT event_id, CAST(attempt_no AS INT) AS attempt, CASE WHEN error_class = 'transient' AND attempt_no < 5 THEN 'retry' ELSE 'dead_letter' END AS next,
+  CASE WHEN error_class <> 'transient' THEN error_class WHEN attempt_no >= 5 THEN 'attempts_exhausted' END AS reason FROM f""")
+def str4_retries(spark, d):
+    return w.retries(view(spark, d, "attempt")).select("event_id", "attempt", "next", "reason")
+
+
+@add("str5_backlog", "SELECT CAST(date_trunc('hour', ts) AS STRING) AS window_start, count(*) AS n_waiting FROM {attempt} WHERE status = 'failed' GROUP BY 1")
+def str5_backlog(spark, d):
+    return w.backlog(view(spark, d, "attempt"))
+
+
+@add("str6_since_cursor", "SELECT event_id FROM {attempt} WHERE ts > (SELECT min(ts) + INTERVAL 15 DAY FROM {attempt})")
+def str6_since_cursor(spark, d):
+    log = view(spark, d, "attempt")
+    cursor = log.agg((F.min("ts") + F.expr("interval 15 days")).alias("cursor"))  # one row
+    return log.join(cursor, F.col("ts") > F.col("cursor")).select("event_id")
+
+
+@add("str7_counters", "SELECT CAST(date_trunc('day', ts) AS TIMESTAMP)::STRING AS window_start, step, count(*) AS n, count(*) FILTER (status = 'failed') AS n_failed FROM {attempt} GROUP BY 1, 2")
+def str7_counters(spark, d):
+    return w.counters(view(spark, d, "attempt"))
