@@ -9,8 +9,8 @@ number of thresholds that it passes with P >= 0.5, and it is toxic from grade 1
 The model is fitted on at most SAMPLE_DOCS labelled documents, those whose ids hash lowest, with at most VOCABULARY words;
 both are parameters, and both bound what the driver holds. Scoring reads every document whole.
 
-Defined cases: null or empty text has no features and takes the grade of the intercept; labels that are null or of
-documents that are not there are left out; without any toxic label nothing is toxic; words are the runs between ASCII
+Defined cases: null or empty text has no features and takes the grade of the thresholds alone; labels that are null or of
+documents that are not there are left out; without any toxic label, or any telling word, nothing is toxic; words are the runs between ASCII
 punctuation, digits and blanks, A-Z lower-cased.
 """
 
@@ -64,6 +64,10 @@ class Model:
         return sigmoid(np.asarray(etas, float)[:, None] - np.asarray(self.thresholds)[None, :])
 
 
+#: The model where nothing tells toxic documents from others.
+NOTHING = Model({}, [50.0, 51.0])
+
+
 def fit_rows(rows: list[tuple[list[int], list[float]]], grades, n_words: int, n_grades: int = 3):
     """Weights and rising thresholds that minimise the ordinal log loss with a ridge on the weights (Adam, full batches)."""
     y = np.asarray(grades)
@@ -154,8 +158,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, voca
     rows.sort(key=lambda r: r["doc_id"])
     x, toxic = [(r["cols"], r["vals"]) for r in rows], [r["label"] > 0 for r in rows]
     if not any(toxic):
-        return Model({}, [50.0, 51.0])
+        return NOTHING
     chosen = telling(x, toxic, len(known))
+    if not chosen:
+        return NOTHING
     place = {c: i for i, c in enumerate(chosen)}
     known = [known[c] for c in chosen]
     x = [([place[c] for c in cols if c in place], [v for c, v in zip(cols, vals) if c in place]) for cols, vals in x]
