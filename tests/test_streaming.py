@@ -48,3 +48,13 @@ def test_incremental_ingest(spark, landed, tmp_path):
     last = spark.read.parquet(f"{target}/2")
     want = spark.read.parquet(landed).groupBy(F.col("user_id").alias("run")).agg(F.max("event_id").alias("last"))
     assert last.count() == want.count()
+
+
+def test_expired_leases(spark, sf, landed, tmp_path):
+    """Every gap between two events of a run is found, and nothing that the batch form doesn't know."""
+    got = {(r["run"], r["expired_at"]) for r in stream.run_to_table(stream.expired_leases(stream.read_events(spark, landed), 3600), "leases", str(tmp_path)).collect()}
+    log = view(spark, sf, "attempt")
+    ends = log.groupBy("run").agg(F.max("event_id").alias("end"))
+    at = ((F.unix_micros(F.col("ts").cast("timestamp")) / 1000).cast("long") + 3_600_000).alias("at")
+    every = batch.expired_leases(log, 3600).join(ends, "run").select("run", at, (F.col("event_id") == F.col("end")).alias("last")).collect()
+    assert {(r["run"], r["at"]) for r in every if not r["last"]} <= got <= {(r["run"], r["at"]) for r in every}

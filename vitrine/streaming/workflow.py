@@ -38,7 +38,7 @@ def backlog(events: DataFrame, window: str = "1 hour", delay: str = "1 hour") ->
 
 
 class LeaseProcessor(StatefulProcessor):
-    """Keeps each run's last event and, when event time passes its lease, gives the run out as expired."""
+    """Keeps each run's last event; gives the run out as expired when its next event, or event time, comes after the lease."""
 
     def __init__(self, lease_ms: int):
         self.lease_ms = lease_ms
@@ -50,15 +50,16 @@ class LeaseProcessor(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator:
         import pandas as pd
 
-        for pdf in rows:
-            for at, step in zip(pdf["at"], pdf["step"]):
-                if not self.last.exists() or self.last.get()[0] < int(at):
-                    self.last.update((int(at), step))
+        seen = sorted((int(at), step) for pdf in rows for at, step in zip(pdf["at"], pdf["step"]))
+        if self.last.exists():
+            seen.insert(0, tuple(self.last.get()))
         for timer in self.handle.listTimers():
             self.handle.deleteTimer(timer)
-        if self.last.exists():
-            self.handle.registerTimer(self.last.get()[0] + self.lease_ms)
-        yield pd.DataFrame({"run": [], "step": [], "expired_at": []}).astype({"run": "int64", "expired_at": "int64"})
+        gone = [(at + self.lease_ms, step) for (at, step), (after, _) in zip(seen, seen[1:]) if after - at > self.lease_ms]
+        if seen:
+            self.last.update(max(seen))
+            self.handle.registerTimer(max(seen)[0] + self.lease_ms)
+        yield pd.DataFrame({"run": [key[0]] * len(gone), "step": [s for _, s in gone], "expired_at": [t for t, _ in gone]}).astype({"run": "int64", "step": "object", "expired_at": "int64"})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
         import pandas as pd
