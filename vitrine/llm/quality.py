@@ -65,7 +65,7 @@ def default_rules(text: str = "text") -> dict[str, Column]:
     n, t = F.col("n_words"), F.col(text)
     return {
         "many_symbols": 10 * F.col("n_symbols") > 3 * n,
-        "repeated_lines": 10 * F.col("n_dup_lines") > 3 * F.col("n_lines"),
+        "repeated_lines": (F.col("n_dup_lines") > 1) & (10 * F.col("n_dup_lines") > 3 * F.col("n_lines")),
         "odd_word_length": (F.col("word_chars") < 2 * n) | (F.col("word_chars") > 20 * n),
         "shouting": 10 * F.length(F.regexp_replace(t, r"[^\p{Lu}]+", "")) > 6 * F.length(F.regexp_replace(t, r"[^\p{L}]+", "")),
         "few_letters": 10 * F.length(F.regexp_replace(t, r"[^\p{L}]+", "")) < 4 * F.col("word_chars"),
@@ -125,7 +125,7 @@ f AS (
   FROM d LEFT JOIN c USING (doc_id)),
 b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM f)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT (base_failed OR 10 * n_symbols > 3 * n_words OR 10 * n_dup_lines > 3 * n_lines OR word_chars < 2 * n_words OR word_chars > 20 * n_words
+  NOT (base_failed OR 10 * n_symbols > 3 * n_words OR (n_dup_lines > 1 AND 10 * n_dup_lines > 3 * n_lines) OR word_chars < 2 * n_words OR word_chars > 20 * n_words
     OR 10 * upper > 6 * letters OR 10 * letters < 4 * word_chars) AS kept
 FROM b"""
 }
