@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from vitrine.llm.common import fresh, table
 
-ROW_GROUP, COLUMN_GROUP = 1 << 15, 1 << 15
+ROW_GROUP, COLUMN_GROUP = 1 << 15, 1 << 17
 QUERY_TILE, TILE = 512, 4096
 #: 127 * 127 * dim stays below 2**24.
 MAX_DIM = 1040
