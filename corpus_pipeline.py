@@ -37,8 +37,8 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each time that the mix takes a document, by shard and in the shard's own order. Where a source's target
-    ends within a document, its last draw holds the words up to there."""
+    """A row for each time that the mix takes a document, by shard, in pieces that are each in the shard's own order.
+    Where a source's target ends within a document, its last draw holds the words up to there."""
     drawn = mixing.mix(docs).select("doc_id", "size", F.explode("draws").alias("__draw")).select("doc_id", F.col("size").alias("__size"), "__draw")
     rows = docs.join(drawn, "doc_id")
     words = F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), "")
@@ -47,7 +47,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = rows.withColumn("text", text)
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.length("text").cast("long"))
-    return rows.repartition("__draw.shard").sortWithinPartitions("__draw.shard", "__draw.place").select(*docs.columns)
+    pieces = -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // mixing.SHARDS)  # tasks for each shard
+    piece = F.pmod("__draw.place", F.lit(pieces))
+    return rows.repartition("__draw.shard", piece).sortWithinPartitions("__draw.shard", "__draw.place").select(*docs.columns)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -245,3 +245,14 @@ def test_digests_of_contract(spark, sf):
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     for r in registry.queries()["op7_bpe"](spark, sf).collect():
         assert r["decoded_sha256"] == hashlib.sha256(docs[r["doc_id"]].encode()).hexdigest()
+
+
+def test_smaller_positions():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 2, 50, 300):
+        order = rng.permutation(n) if n != 50 else np.arange(50)
+        for step in (-1, 1):
+            want = [next((j for j in (range(i - 1, -1, -1) if step < 0 else range(i + 1, n)) if order[j] < order[i]), -1) for i in range(n)]
+            assert suffix_dedup.smaller(order, step).tolist() == want

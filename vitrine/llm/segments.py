@@ -163,6 +163,12 @@ def runs(keys, hot, grams, width: int, gram: int, longest: int):
     return starts, ends, keys[starts]
 
 
+def content_id(content: bytes) -> int:
+    """Signed 64-bit id of a segment's content; with the key it names the segment."""
+    h = xxhash.xxh3_64_intdigest(content)
+    return h - (1 << 64) if h >> 63 else h
+
+
 class Plan:
     """The steps above for one kind of token and window."""
 
@@ -196,18 +202,16 @@ class Plan:
     def flagged(self) -> DataFrame:
         """doc_id, keys and hot (those of the keys that are hot) of the documents with a key that matters."""
         rows = self.keys()
-        if self.between:
-            shared = rows.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("*").alias("c")).where("a < b")
-        else:
-            shared = rows.groupBy("key").agg(F.sum("n").alias("c")).where("c > 1")
+        # a document gives a key once between documents, so a count tells of two documents without their ids being shuffled
+        shared = rows.groupBy("key").agg(F.count("*").alias("c") if self.between else F.sum("n").alias("c")).where("c > 1")
         shared = shared.select("key", (F.col("c") > HOT).alias("hot"))
         kept = rows.select("doc_id", "key").join(shared, "key")
         return kept.groupBy("doc_id").agg(F.collect_list("key").alias("keys"), F.collect_list(F.when(F.col("hot"), F.col("key"))).alias("hot"))
 
     def segments(self, flagged: DataFrame, contents: bool) -> DataFrame:
-        """key, cid, doc_id, start, n (windows) and, if asked for, content of each segment under a flagged key."""
+        """key, doc_id, start, n (windows) of each segment under a flagged key, with its content, or with the id of that."""
         kind, width, gram = self.kind, self.width, self.gram
-        schema = "key long, cid long, doc_id long, start int, n int" + ", twice boolean, content binary" * contents
+        schema = "key long, doc_id long, start int, n int, " + ("twice boolean, content binary" if contents else "cid long")
         reach = width - gram
 
         def cut(batches):
@@ -226,11 +230,11 @@ class Plan:
                     on = np.isin(of_windows[starts], wanted)
                     for s, e, k in zip(starts[on].tolist(), ends[on].tolist(), names[on].view(np.int64).tolist()):
                         content = tokens.content(s, e + width - 1)
-                        cid = xxhash.xxh3_64_intdigest(content)
-                        row = (k, cid - (1 << 64) if cid >> 63 else cid, d, s, e - s)
                         if contents:  # a segment with its least gram twice may hold one window twice
-                            row += (bool(np.count_nonzero(grams[s : e + reach] == of_windows[s]) > 1), content)
-                        out.append(row)
+                            more = (bool(np.count_nonzero(grams[s : e + reach] == of_windows[s]) > 1), content)
+                        else:
+                            more = (content_id(content),)
+                        out.append((k, d, s, e - s, *more))
                         size += len(content)
                         if size > CHUNK * 8:
                             yield pd.DataFrame(out, columns=names_of)
@@ -238,18 +242,18 @@ class Plan:
                 if out:
                     yield pd.DataFrame(out, columns=names_of)
 
-        names_of = ["key", "cid", "doc_id", "start", "n"] + ["twice", "content"] * contents
+        names_of = ["key", "doc_id", "start", "n", *(["twice", "content"] if contents else ["cid"])]
         texts = self.docs.join(flagged, "doc_id").select("doc_id", "text", "keys", "hot")
         return texts.mapInPandas(cut, schema)
 
 
 def distinct_contents(segments: DataFrame, between_documents: bool) -> DataFrame:
-    """key, cid, twice, content, the first place (doc_id, start) and count of each distinct segment."""
+    """key, twice, content, the first place (doc_id, start) and count of each distinct segment."""
     first = F.min("doc_id").alias("doc_id") if between_documents else F.min(F.struct("doc_id", "start")).alias("first")
-    found = segments.groupBy("key", "cid", "twice", "content").agg(first, F.count("*").alias("count"))
+    found = segments.groupBy("key", "twice", "content").agg(first, F.count("*").alias("count"))
     if between_documents:
         return found.withColumn("start", F.lit(0))
-    return found.select("key", "cid", "twice", "content", "first.doc_id", "first.start", "count")
+    return found.select("key", "twice", "content", "first.doc_id", "first.start", "count")
 
 
 def blocks(batches, key: str, size: int):

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitrine.llm.common import checkpointed, fresh, table
-from vitrine.llm.segments import Plan, blocks, covered, distinct_contents, mask_runs
+from vitrine.llm.segments import Plan, blocks, content_id, covered, distinct_contents, mask_runs
 
 WIDTH, GRAM = 13, 5
 BLOCK_BYTES = 1 << 21
@@ -91,12 +91,12 @@ def duplicate_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Da
                         spans = reference.parse(words) if reference.texts else []
                         waiting.append(words)
                     if spans or g["count"][i] > 1:
-                        out.append((k, g["cid"][i], g["doc_id"][i], spans))
+                        out.append((k, content_id(g["content"][i]), g["doc_id"][i], spans))
             if out:
                 yield pd.DataFrame(out, columns=["key", "cid", "first_doc", "inner"])
 
     distinct = distinct_contents(plan.segments(flagged, True), True).repartition("key").sortWithinPartitions("key")
-    found = distinct.select("key", "cid", "content", "doc_id", "count").mapInPandas(parsed, "key long, cid long, first_doc long, inner array<int>")
+    found = distinct.select("key", "content", "doc_id", "count").mapInPandas(parsed, "key long, cid long, first_doc long, inner array<int>")
     places = plan.segments(flagged, False).join(found, ["key", "cid"])
     inner = F.when(F.col("doc_id") == F.col("first_doc"), F.col("inner")).otherwise(F.array(F.lit(0), F.col("n")))
     spans = places.select("doc_id", "start", inner.alias("inner")).where(F.size("inner") > 0)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitrine.llm.common import checkpointed, table
-from vitrine.llm.segments import Plan, blocks, byte_hashes, covered, distinct_contents, gram_hashes, mask_runs
+from vitrine.llm.segments import Plan, blocks, byte_hashes, content_id, covered, distinct_contents, gram_hashes, mask_runs
 
 WIDTH, GRAM = 200, 32
 BLOCK_BYTES = 1 << 21
@@ -37,14 +37,14 @@ def packed_bytes(data):
 
 def smaller(order, step: int):
     """For each place in suffix order, the nearest place before (step -1) or after (1) it with a smaller position; -1: none."""
-    n = len(order)
-    near = np.arange(n) + step
-    near[near == n] = -1
-    while True:
-        on = np.flatnonzero((near >= 0) & (order[np.maximum(near, 0)] > order))
-        if not len(on):
-            return near
+    near = np.arange(len(order)) + step
+    near[near == len(order)] = -1
+    on = np.arange(len(order))
+    while len(on):  # those that are not settled jump to where the place they look at looks
+        at = near[on]
+        on = on[(at >= 0) & (order[np.maximum(at, 0)] > order[on])]
         near[on] = near[near[on]]
+    return near
 
 
 def earlier_matches(contents: list[bytes], width: int):
@@ -95,12 +95,12 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, keep_f
         for block in blocks(batches, "key", BLOCK_BYTES):
             out, joined, owners = [], [], []
             for k, g in block:
-                if len(g["cid"]) > 1 or g["twice"][0]:
+                if len(g["count"]) > 1 or g["twice"][0]:
                     for i in np.lexsort((g["start"], g["doc_id"])):
                         joined.append(g["content"][i])
-                        owners.append((k, g["cid"][i], g["doc_id"][i], g["start"][i], g["count"][i]))
+                        owners.append((k, content_id(g["content"][i]), g["doc_id"][i], g["start"][i], g["count"][i]))
                 elif g["count"][0] > 1:
-                    out.append((k, g["cid"][0], g["doc_id"][0], g["start"][0], g["count"][0], [], []))
+                    out.append((k, content_id(g["content"][0]), g["doc_id"][0], g["start"][0], g["count"][0], [], []))
             if joined:
                 n, later, source = earlier_matches(joined, width)
                 ends = np.cumsum(n)
@@ -113,7 +113,7 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, keep_f
 
     schema = "key long, cid long, first_doc long, first_start int, count long, later array<int>, every array<int>"
     distinct = distinct_contents(plan.segments(flagged, True), False).repartition("key").sortWithinPartitions("key")
-    found = distinct.select("key", "cid", "twice", "content", "doc_id", "start", "count").mapInPandas(compared, schema)
+    found = distinct.select("key", "twice", "content", "doc_id", "start", "count").mapInPandas(compared, schema)
     places = plan.segments(flagged, False).join(found, ["key", "cid"])
     whole = F.array(F.lit(0), F.col("n"))
     if keep_first:
