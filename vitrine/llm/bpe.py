@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from vitrine.llm.common import fresh, table
 
 LONG = 128
-CACHE_PIECES = 800_000
+CACHE_PIECES = 300_000
 BATCH_PIECES = 1 << 15
 NONE = np.int64(1 << 40)
 
@@ -204,7 +204,7 @@ def tokenizer(ranks_path: str, pattern: str) -> ByteBpe:
 
 
 #: Characters that are tokenized together.
-BATCH_CHARS = 1 << 21
+BATCH_CHARS = 1 << 20
 
 
 def _parts(texts):
