@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from vitrine.llm.common import checkpointed, fresh, table
 from vitrine.llm.segments import Plan, blocks, content_id, covered, distinct_contents, mask_runs
 
-WIDTH, GRAM = 13, 5
+WIDTH, GRAM = 13, 4
 BLOCK_BYTES = 1 << 21
 #: Indexed places of one window that a factor is extended from; a window has one match or more at any of them alike.
 PLACES = 8
