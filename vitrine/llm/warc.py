@@ -234,7 +234,9 @@ def lookup(keys: DataFrame, parts: DataFrame, folder: str) -> DataFrame:
             if out:
                 yield pd.DataFrame(out, columns=["key", "page_id", "file", "offset", "length"]).astype({"page_id": "Int64"})
 
-    return sent.repartition("part").sortWithinPartitions("part", "key").select("key", "part", "at", "length").mapInPandas(searched, INDEX)
+    # by number: AQE would join partitions of small rows, behind which the real work is reads of whole ranges
+    n = max(len(table_of), spark.sparkContext.defaultParallelism)
+    return sent.repartition(n, "part").sortWithinPartitions("part", "key").select("key", "part", "at", "length").mapInPandas(searched, INDEX)
 
 
 def read_captures(found: DataFrame, folder: str) -> DataFrame:
@@ -267,7 +269,8 @@ def read_captures(found: DataFrame, folder: str) -> DataFrame:
 
         return pd.DataFrame(out, columns=["page_id", "record_type", "refers_to", "payload_digest", "payload"]).astype({"page_id": "Int64", "refers_to": "Int64"})
 
-    placed = found.repartition("file").sortWithinPartitions("file", "offset")
+    n = max(found.sparkSession.sparkContext.defaultParallelism, int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    placed = found.repartition(n, "file").sortWithinPartitions("file", "offset")
     return placed.mapInPandas(read, "page_id long, record_type string, refers_to long, payload_digest string, payload binary")
 
 
