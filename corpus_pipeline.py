@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.llm import bpe, mixing, simhash, suffix_dedup, toxicity
+from vitrine.llm import bpe, mixing, near, suffix_dedup, toxicity
 from vitrine.llm.common import new_folder, table
 
 
@@ -21,8 +21,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group, once; rows without a doc_id stay."""
-    groups = simhash.simhash_groups(docs)
+    """The document with the smallest doc_id of each group of five-word similarity 0.8, once; rows without a doc_id stay."""
+    groups = near.near_groups(docs)
     stay = groups.where("doc_id = component_id").select("doc_id").distinct()
     kept = docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
