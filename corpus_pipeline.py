@@ -38,9 +38,13 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each time that the mix takes a document, by shard, in pieces that are each in the shard's own order.
-    Where a source's target ends within a document, its last draw holds the words up to there."""
-    drawn = mixing.mix(docs).select("doc_id", "size", F.explode("draws").alias("__draw")).select("doc_id", F.col("size").alias("__size"), "__draw")
-    rows = docs.join(drawn, "doc_id")
+    Where a source's target ends within a document, its last draw holds the words up to there. Draws reach their rows by a
+    key made for each row, written down before: rows without a doc_id and rows that repeat one are documents of their own."""
+    path = new_folder(spark, "mixing-rows")
+    docs.withColumn("__row", F.monotonically_increasing_id()).write.parquet(path)
+    keyed = spark.read.parquet(path)
+    drawn = mixing.mix(keyed, carry=("__row",)).select("__row", F.col("size").alias("__size"), F.explode("draws").alias("__draw"))
+    rows = keyed.join(drawn, "__row")
     words = F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), "")
     whole = F.col("__draw.words") >= F.col("__size")
     text = F.when(whole, F.col("text")).otherwise(F.array_join(F.slice(words, F.lit(1), F.greatest(F.col("__draw.words"), F.lit(1)).cast("int")), " "))

@@ -97,11 +97,11 @@ def _before(column: str, *order) -> Column:
     return F.coalesce(F.sum(column).over(w), F.lit(0)).cast("long")
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), shards: int = SHARDS, seed: int = SEED, text: str = "text") -> DataFrame:
-    """doc_id, source, size, source_size, target and draws for each row of docs; draws is an array of structs of words,
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), shards: int = SHARDS, seed: int = SEED, text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, source, size, source_size, target, draws and the columns carry for each row of docs; draws is an array of structs of words,
     shard and place (rows of a shard are ordered by place), one for each time that the mix takes the document."""
     spark = docs.sparkSession
-    sized = fresh(docs, "doc_id", "source", text).select("doc_id", "source", sizes(text).alias("size"))
+    sized = fresh(docs, "doc_id", "source", text, *carry).select("doc_id", "source", sizes(text).alias("size"), *carry)
     h = F.xxhash64(F.lit(seed), "doc_id")
     sized = checkpointed(
         sized.select("*", h.alias("h"), F.shiftrightunsigned(h, 56).cast("int").alias("block"), F.shiftrightunsigned(h, 44).bitwiseAND(F.lit(CELLS - 1)).cast("int").alias("cell"))
@@ -138,7 +138,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), shards: int = SHA
     rows = rows.join(cells.select("src", "block", "cell", "cell_left", F.col("words").alias("cell_words")), ["src", "block", "cell"], "left")
     ends_here = F.coalesce((F.col("cell_left") > 0) & (F.col("cell_left") < F.col("cell_words")), F.lit(False))
     rows = rows.where(~ends_here).withColumn("rest", F.lit(0).cast("long")).unionByName(
-        rows.where(ends_here).withColumn("rest", F.col("cell_left") - _before("size", "h", "doc_id", "size"))
+        rows.where(ends_here).withColumn("rest", F.col("cell_left") - _before("size", "h", "doc_id", "size", *carry))
     )
     rows = rows.join(blocks.select("src", "block", "left", "words"), ["src", "block"]).join(drawn, ["src", "block"], "left")
     extra = (
@@ -152,7 +152,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), shards: int = SHA
     words = lambda u: F.when(u["copy"] < F.col("copies"), F.col("size")).otherwise(F.col("extra"))
     place = lambda u: F.xxhash64(F.lit(seed + 2), "doc_id", u["copy"])
     draws = F.transform(F.coalesce("units", F.array().cast("array<struct<copy:int,shard:int>>")), lambda u: F.struct(words(u).alias("words"), u["shard"].alias("shard"), place(u).alias("place")))
-    return rows.select("doc_id", "source", "size", "source_size", "target", F.filter(draws, lambda x: x["words"] > 0).alias("draws"))
+    return rows.select("doc_id", "source", "size", "source_size", "target", F.filter(draws, lambda x: x["words"] > 0).alias("draws"), *carry)
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
