@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitrine.functions.text import without_fence
+from vitrine.operators.digests import sha256_of_lines
 
 KINDS = ("repo", "library", "skill", "mcp_tool", "agent", "workflow_template")
 APPLY, LINK = 0.80, 0.75
@@ -20,9 +21,9 @@ def prompts(capability: DataFrame) -> DataFrame:
 
 def conversation_prompts(turns: DataFrame) -> DataFrame:
     """conv_id, n_turns and the hash of its turns, in order, as role: text lines."""
-    line = F.struct("turn", F.concat_ws(": ", "role", "text").alias("line"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"]), "\n")
-    return turns.groupBy("conv_id").agg(F.count("*").alias("n_turns"), F.sha2(joined, 256).alias("prompt_hash"))
+    line = F.encode(F.concat_ws(": ", "role", "text"), "utf-8")
+    placed = turns.select("conv_id", line.alias("line"), F.struct("turn", line.alias("line")).alias("place"))
+    return sha256_of_lines(placed, "conv_id", "n_turns", "prompt_hash", b"\n")
 
 
 def classification_error(raw: Column) -> Column:

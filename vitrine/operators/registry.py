@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitrine.functions.text import pep503, successor_keys, tail_name
+from vitrine.operators.digests import sha256_of_lines
 
 
 def latest(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
@@ -14,9 +15,12 @@ def latest(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
 
 
 def content_hashes(files: DataFrame) -> DataFrame:
-    """revision, n_files and the SHA-256 over its sorted path TAB hash lines."""
-    line = F.concat("path", F.lit("\t"), "content_hash", F.lit("\n"))
-    return files.groupBy("revision").agg(F.count("*").alias("n_files"), F.sha2(F.array_join(F.array_sort(F.collect_list(line)), ""), 256).alias("content_hash"))
+    """revision, n_files and the SHA-256 over its sorted path TAB hash lines. Lines stream in order, so that a revision's
+    size doesn't bound memory; one without any whole line has the hash of nothing."""
+    whole = F.col("path").isNotNull() & F.col("content_hash").isNotNull()
+    line = F.when(whole, F.concat(F.encode("path", "utf-8"), F.lit(b"\t"), F.encode("content_hash", "utf-8"), F.lit(b"\n")))
+    # the order of the whole lines, as of the array that was sorted before
+    return sha256_of_lines(files.select("revision", line.alias("line"), line.alias("place")), "revision", "n_files", "content_hash", b"")
 
 
 def version_keys(revisions: DataFrame) -> DataFrame:
