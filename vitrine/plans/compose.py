@@ -21,9 +21,9 @@ def stage_candidates(capability: DataFrame, terms: DataFrame, score: str, per_st
     kinds only at the first term that has any hit, and only if none of its hits is of that kind."""
     rows = capability.select("id", "display_name", "runtime", "component_kind", F.col(score).alias("score"))
     hits = rows.join(terms, F.expr("display_name ilike concat('%', word, '%')")).withColumn("preferred", F.col("component_kind") == F.col("want"))
-    by_stage = Window.partitionBy("stage")
-    hits = hits.withColumn("first", F.min("term").over(by_stage)).withColumn("n", F.count_if(F.col("preferred") & (F.col("term") == F.col("first"))).over(by_stage))
-    kept = hits.where("preferred or (term = first and n = 0)").dropDuplicates(["stage", "id"])
+    by_term = hits.groupBy("stage", "term").agg(F.count_if("preferred").alias("n"))
+    stages = by_term.groupBy("stage").agg(F.min("term").alias("first"), F.min_by("n", "term").alias("n"))  # a row for each stage
+    kept = hits.join(F.broadcast(stages), "stage").where("preferred or (term = first and n = 0)").dropDuplicates(["stage", "id"])
     order = Window.partitionBy("stage").orderBy(F.desc_nulls_last("score"), "id")
     return kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_stage).select("stage", "rank", "id", "runtime", "score")
 
