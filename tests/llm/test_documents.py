@@ -247,12 +247,74 @@ def test_digests_of_contract(spark, sf):
         assert r["decoded_sha256"] == hashlib.sha256(docs[r["doc_id"]].encode()).hexdigest()
 
 
-def test_smaller_positions():
-    import numpy as np
-
-    rng = np.random.default_rng(1)
-    for n in (0, 1, 2, 50, 300):
-        order = rng.permutation(n) if n != 50 else np.arange(50)
-        for step in (-1, 1):
-            want = [next((j for j in (range(i - 1, -1, -1) if step < 0 else range(i + 1, n)) if order[j] < order[i]), -1) for i in range(n)]
-            assert suffix_dedup.smaller(order, step).tolist() == want
+def repeated():
+    """Rows that repeat a doc_id with the same and with other texts, and rows without one."""
+    word = lambda i, n: " ".join(f"r{i}w{k}" for k in range(n))
+    shared = word("s", 60)
+    texts = [word(1, 80), word(1, 80), word(2, 50) + " " + shared, shared + " " + word(3, 40), word(4, 90), word(4, 90), shared, word(5, 3)]
+    ids = [7, 7, 7, 3, None, None, None, 9]
+    return [(d, t, "en", "a", len(t)) for d, t in zip(ids, texts)]
+
+
+@pytest.mark.parametrize("keep_first", [False, True])
+def test_repeated_and_null_ids_suffix(spark, keep_first):
+    """Every row is a document of its own; those without doc_id come last."""
+    given = repeated()
+    order = sorted(range(len(given)), key=lambda i: (given[i][0] is None, given[i][0] or 0))
+    data = [given[i][1].encode() for i in order]
+    count = Counter(b[i : i + 200] for b in data for i in range(len(b) - 199))
+    seen, want = set(), Counter()
+    for i, b in zip(order, data):
+        gone = bytearray(len(b))
+        for j in range(len(b) - 199):
+            if (b[j : j + 200] in seen) if keep_first else count[b[j : j + 200]] > 1:
+                gone[j : j + 200] = b"\1" * 200
+        seen |= {b[j : j + 200] for j in range(len(b) - 199)}
+        want[given[i][0], bytes(x for x, g in zip(b, gone) if not g)] += 1
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(given, DOC), keep_first=keep_first).collect()
+    if keep_first:  # which of rows with equal doc_ids is the first isn't told, so only what stays in all
+        assert sum(map(len, (bytes(r["kept"]) for r in got))) == sum(len(k) * n for (_, k), n in want.items())
+    else:
+        assert Counter((r["doc_id"], bytes(r["kept"])) for r in got) == want
+
+
+def test_repeated_and_null_ids_substring(spark):
+    """A window goes if a smaller doc_id holds it; rows of one doc_id are no copies of each other, rows without stay."""
+    given = repeated()
+    least: dict = {}
+    for d, t, *_ in given:
+        w = t.split()
+        for i in range(len(w) - 12 if d is not None else 0):
+            least[tuple(w[i : i + 13])] = min(d, least.get(tuple(w[i : i + 13]), d))
+    want = Counter()
+    for d, t, *_ in given:
+        w = t.split()
+        gone = slow_removed(w, 13, lambda x: d is not None and least[tuple(x)] < d)
+        want[d, " ".join(x for x, g in zip(w, gone) if not g).encode()] += 1
+    got = substring_dedup.remove_duplicates(spark.createDataFrame(given, DOC)).collect()
+    assert Counter((r["doc_id"], bytes(r["kept"])) for r in got) == want
+
+
+def test_long_text_suffix(spark):
+    """A text of two megabytes with one repeat, and a copy of its end."""
+    rng = __import__("random").Random(4)
+    long = "".join(rng.choices("abcdefgh", k=2_000_000))
+    rows_ = [(1, long + long[500:1000], None, None, 1), (2, "x" * 250 + long[-300:], None, None, 1)]
+    got = rows(suffix_dedup.remove_repeats(spark.createDataFrame(rows_, DOC)))
+    assert got[1]["removed"] == [2_000_000, 2_000_500] and got[2]["removed"] == [1, 550]  # the x, and the end of the long text
+
+
+def test_op8_counts_spans(spark, tmp_path):
+    table = [(d, t if d != 60 else (t or "")[:4000], lang, s, n) for d, t, lang, s, n in ROWS]
+    spark.createDataFrame(table, DOC).write.parquet(str(tmp_path / "documents.parquet"))
+    data = {d: (t or "").encode() for d, t, *_ in table}
+    count = Counter(b[i : i + 200] for b in data.values() for i in range(len(b) - 199))
+    for r in suffix_dedup.op8_suffix_dedup(spark, str(tmp_path)).collect():
+        b = data[r["doc_id"]]
+        gone = bytearray(len(b))
+        for i in range(len(b) - 199):
+            if count[b[i : i + 200]] > 1:
+                gone[i : i + 200] = b"\1" * 200
+        spans = len([x for x in bytes(gone).split(b"\0") if x])
+        kept = hashlib.sha256(bytes(x for x, g in zip(b, gone) if not g)).hexdigest()
+        assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == (len(b), sum(gone), spans, kept)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -17,11 +18,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Local folders of this process, which go with it.
+_LOCAL: list[tempfile.TemporaryDirectory] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """URI of the folder that all executors share: spark.checkpoint.dir, or a new local one where it is unset."""
+    """URI of the folder that all executors share: spark.checkpoint.dir, or a new local one where it is unset and the
+    executors are threads of this process. What is written there stays for the caller to clear, as results read it."""
     told = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not told:
-        told = "file://" + tempfile.mkdtemp(prefix="vitrine-checkpoint-")
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        _LOCAL.append(tempfile.TemporaryDirectory(prefix="vitrine-checkpoint-", ignore_cleanup_errors=True))
+        told = "file://" + _LOCAL[-1].name
         spark.conf.set("spark.checkpoint.dir", told)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(told)
@@ -44,6 +53,20 @@ def fresh(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*(F.col(f"`{n}`") for n in names))
 
 
+def with_rows(docs: DataFrame, doc_id: str = "doc_id") -> tuple[DataFrame, bool]:
+    """docs with a column row, a long that no two rows share and that rises with doc_id, nulls last; and whether that is
+    doc_id itself. It is where doc_id is a key; otherwise the rows are sorted and written down with their numbers."""
+    spark = docs.sparkSession
+    again = fresh(docs, doc_id).toDF("id").groupBy("id").count().where("count > 1 or id is null")
+    if not again.take(1):
+        return docs.withColumn("row", F.col(f"`{doc_id}`")), True
+    path = new_folder(spark, "rows")
+    # the second sort column lets one repeated doc_id go over many partitions
+    dealt = docs.withColumn("row", F.monotonically_increasing_id()).orderBy(F.col(f"`{doc_id}`").asc_nulls_last(), "row")
+    dealt.withColumn("row", F.monotonically_increasing_id()).write.parquet(path)
+    return spark.read.parquet(path), False
+
+
 def groups(batches, key: str):
     """Yields (value, arrays by column) for each run of equal keys in batches that Spark has sorted by key."""
     held: list[dict] = []

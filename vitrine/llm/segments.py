@@ -6,29 +6,29 @@ they stand. Consecutive windows with one key make a segment, and a segment's con
 can only be equal if their segments have equal keys, so segments are compared within a key, and a key that occurs once
 needs no comparison at all.
 
-1. keys: (doc, key) for each place of a least gram; a key stays if it occurs often enough to matter.
-2. flagged: the keys that stay, brought back to their documents; those with more than HOT documents are marked. Windows
-   under a hot key take a second key as well, from the grams that are not hot, so a line or phrase that half the corpus
-   holds doesn't make one group of all its contexts.
+1. keys: (row, key) for each place of a least gram; a key stays if it occurs often enough to matter.
+2. flagged: the keys that stay, brought back to their rows; those that occur more than HOT times are marked.
 3. contents: the distinct segments of the keys, equal ones collapsed before they are shuffled.
-4. A block of whole keys at a time is compared by the caller's method, and gives spans within distinct segments.
-5. The spans go back to the documents that hold those segments.
+4. A block of whole keys at a time is compared by the caller's method, and gives spans within distinct segments. A key in
+   more than HOT places could have as many distinct segments as there are places (the contexts of a common line), so those
+   are not gathered: each distinct segment gives a 128-bit hash for each of its windows, and the windows meet by hash.
+5. The spans go back to the rows that hold those segments.
 
-Everything is a shuffle on a key; memory in a task is a batch of texts or a block of distinct segments.
+Everything is a shuffle on a key; memory in a task is a batch of texts or a block of distinct segments, of at most HOT
+places for each key.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitrine.llm.common import groups
 
-#: Documents (occurrences, for bytes) of a key above which its windows are keyed by more orders.
+#: Documents (places, for bytes) of a key above which its windows meet by hash.
 HOT = 1000
-ORDERS = 3
 #: Windows in a segment at most; longer runs of one key are cut.
 RUN = {"bytes": 512, "words": 64}
 #: Bytes of text that are hashed together.
@@ -145,13 +145,8 @@ def key_places(keys, grams, width: int, gram: int):
     return grams[most == grams]
 
 
-def runs(keys, hot, grams, width: int, gram: int, longest: int):
-    """(start, end, key) arrays of the segments' windows; windows with a hot key are keyed by more orders."""
-    if len(hot) and (is_hot := np.isin(keys, hot)).any():
-        more = keys
-        for i in range(ORDERS):
-            more = mixed(more * MULTIPLY + sliding_min(mixed(grams + np.uint64(2 * i + 1) * MULTIPLY), width - gram + 1))
-        keys = np.where(is_hot, more, keys)
+def runs(keys, longest: int):
+    """(start, end) arrays of the segments' windows."""
     cut = np.flatnonzero(keys[1:] != keys[:-1]) + 1
     starts = np.concatenate([[0], cut])
     ends = np.concatenate([cut, [len(keys)]])
@@ -160,7 +155,7 @@ def runs(keys, hot, grams, width: int, gram: int, longest: int):
         step = np.concatenate([np.arange(p) for p in pieces]) * longest
         starts = np.repeat(starts, pieces) + step
         ends = np.minimum(np.repeat(ends, pieces), starts + longest)
-    return starts, ends, keys[starts]
+    return starts, ends
 
 
 def content_id(content: bytes) -> int:
@@ -169,11 +164,27 @@ def content_id(content: bytes) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
+def window_hashes(content: bytes, kind: str, width: int) -> list[dict]:
+    """A 128-bit hash, as two longs, of each window of a segment's content."""
+    tokens = content if kind == "bytes" else content.split(b" ")
+    n = len(tokens) - width + 1
+    h = xxhash.xxh3_128_digest
+    found = [h(tokens[i : i + width]) for i in range(n)] if kind == "bytes" else [h(b" ".join(tokens[i : i + width])) for i in range(n)]
+    return [{"h1": a, "h2": b} for a, b in np.frombuffer(b"".join(found), np.int64).reshape(-1, 2).tolist()]
+
+
+WINDOWS = "array<struct<h1:long,h2:long>>"
+
+
 class Plan:
-    """The steps above for one kind of token and window."""
+    """The steps above for one kind of token and window.
+
+    docs has a column row, a long of its own for each row, and text. Between documents, it has a column doc as well: the
+    document that a row belongs to, by whose order copies are earlier or later; row itself where that is the same."""
 
     def __init__(self, docs: DataFrame, kind: str, width: int, gram: int, between_documents: bool):
         self.docs, self.kind, self.width, self.gram, self.between = docs, kind, width, gram, between_documents
+        self.doc = "doc" if "doc" in docs.columns else "row"
 
     def keys(self) -> DataFrame:
         kind, width, gram, between = self.kind, self.width, self.gram, self.between
@@ -183,7 +194,7 @@ class Plan:
 
             for pdf in batches:
                 ids, keys, counts, size = [], [], [], 0
-                for d, t in zip(pdf["doc_id"].to_numpy(), pdf["text"]):
+                for d, t in zip(pdf["row"].to_numpy(), pdf["text"]):
                     places = key_places(*window_keys(Tokens(t, kind).hashes, width, gram), width, gram)
                     k, n = np.unique(places, return_counts=True)
                     ids.append(np.full(len(k), d))
@@ -191,50 +202,56 @@ class Plan:
                     counts.append(n)
                     size += len(k)
                     if size > CHUNK // 4:
-                        yield pd.DataFrame({"doc_id": np.concatenate(ids), "key": np.concatenate(keys), "n": np.concatenate(counts)})
+                        yield pd.DataFrame({"row": np.concatenate(ids), "key": np.concatenate(keys), "n": np.concatenate(counts)})
                         ids, keys, counts, size = [], [], [], 0
                 if size:
-                    yield pd.DataFrame({"doc_id": np.concatenate(ids), "key": np.concatenate(keys), "n": np.concatenate(counts)})
+                    yield pd.DataFrame({"row": np.concatenate(ids), "key": np.concatenate(keys), "n": np.concatenate(counts)})
 
-        rows = self.docs.mapInPandas(found, "doc_id long, key long, n int")
-        return rows.select("doc_id", "key") if between else rows
+        rows = self.docs.select("row", "text").mapInPandas(found, "row long, key long, n int")
+        return rows.select("row", "key") if between else rows
 
     def flagged(self) -> DataFrame:
-        """doc_id, keys and hot (those of the keys that are hot) of the documents with a key that matters."""
+        """row, keys and hot (those of the keys that are hot) of the rows with a key that matters."""
         rows = self.keys()
-        # a document gives a key once between documents, so a count tells of two documents without their ids being shuffled
+        # a row gives a key once between documents, so a count tells of two rows without their ids being shuffled
         shared = rows.groupBy("key").agg(F.count("*").alias("c") if self.between else F.sum("n").alias("c")).where("c > 1")
         shared = shared.select("key", (F.col("c") > HOT).alias("hot"))
-        kept = rows.select("doc_id", "key").join(shared, "key")
-        return kept.groupBy("doc_id").agg(F.collect_list("key").alias("keys"), F.collect_list(F.when(F.col("hot"), F.col("key"))).alias("hot"))
+        kept = rows.select("row", "key").join(shared, "key")
+        return kept.groupBy("row").agg(F.collect_list("key").alias("keys"), F.collect_list(F.when(F.col("hot"), F.col("key"))).alias("hot"))
 
     def segments(self, flagged: DataFrame, contents: bool) -> DataFrame:
-        """key, doc_id, start, n (windows) of each segment under a flagged key, with its content, or with the id of that."""
-        kind, width, gram = self.kind, self.width, self.gram
-        schema = "key long, doc_id long, start int, n int, " + ("twice boolean, content binary" if contents else "cid long")
+        """key, row (and doc), start, n (windows) of each segment under a flagged key, with its content and whether the key
+        is hot, or with the content's id."""
+        kind, width, gram, doc = self.kind, self.width, self.gram, self.doc
+        more_ids = ["doc"] if doc == "doc" else []
         reach = width - gram
+        names_of = ["key", "row", *more_ids, "start", "n", *(["hot", "twice", "content"] if contents else ["cid"])]
+        types = {"hot": "boolean", "twice": "boolean", "content": "binary", "start": "int", "n": "int"}
+        schema = ", ".join(f"{n} {types.get(n, 'long')}" for n in names_of)
 
         def cut(batches):
             import pandas as pd
 
             for pdf in batches:
                 out, size = [], 0
-                for d, t, keys, hot in zip(pdf["doc_id"].tolist(), pdf["text"], pdf["keys"], pdf["hot"]):
+                for r, d, t, keys, hot in zip(pdf["row"].tolist(), pdf[doc].tolist(), pdf["text"], pdf["keys"], pdf["hot"]):
                     tokens = Tokens(t, kind)
                     of_windows, grams = window_keys(tokens.hashes, width, gram)
                     if not len(of_windows):
                         continue
                     wanted = np.asarray(keys, np.int64).view(np.uint64)
-                    hot = np.asarray(hot, np.int64).view(np.uint64)
-                    starts, ends, names = runs(of_windows, hot, grams, width, gram, RUN[kind])
-                    on = np.isin(of_windows[starts], wanted)
-                    for s, e, k in zip(starts[on].tolist(), ends[on].tolist(), names[on].view(np.int64).tolist()):
+                    starts, ends = runs(of_windows, RUN[kind])
+                    names = of_windows[starts]
+                    on = np.isin(names, wanted)
+                    is_hot = np.isin(names[on], np.asarray(hot, np.int64).view(np.uint64)).tolist()
+                    ids = (r, d) if more_ids else (r,)
+                    for s, e, k, h in zip(starts[on].tolist(), ends[on].tolist(), names[on].view(np.int64).tolist(), is_hot):
                         content = tokens.content(s, e + width - 1)
                         if contents:  # a segment with its least gram twice may hold one window twice
-                            more = (bool(np.count_nonzero(grams[s : e + reach] == of_windows[s]) > 1), content)
+                            more = (h, bool(np.count_nonzero(grams[s : e + reach] == of_windows[s]) > 1), content)
                         else:
                             more = (content_id(content),)
-                        out.append((k, d, s, e - s, *more))
+                        out.append((k, *ids, s, e - s, *more))
                         size += len(content)
                         if size > CHUNK * 8:
                             yield pd.DataFrame(out, columns=names_of)
@@ -242,18 +259,29 @@ class Plan:
                 if out:
                     yield pd.DataFrame(out, columns=names_of)
 
-        names_of = ["key", "doc_id", "start", "n", *(["twice", "content"] if contents else ["cid"])]
-        texts = self.docs.join(flagged, "doc_id").select("doc_id", "text", "keys", "hot")
-        return texts.mapInPandas(cut, schema)
-
-
-def distinct_contents(segments: DataFrame, between_documents: bool) -> DataFrame:
-    """key, twice, content, the first place (doc_id, start) and count of each distinct segment."""
-    first = F.min("doc_id").alias("doc_id") if between_documents else F.min(F.struct("doc_id", "start")).alias("first")
-    found = segments.groupBy("key", "twice", "content").agg(first, F.count("*").alias("count"))
-    if between_documents:
-        return found.withColumn("start", F.lit(0))
-    return found.select("key", "twice", "content", "first.doc_id", "first.start", "count")
+        names = ["row", *more_ids, "text", "keys", "hot"]
+        return self.docs.join(flagged, "row").select(*names).mapInPandas(cut, schema)
+
+    def distinct(self, flagged: DataFrame) -> DataFrame:
+        """key, hot, twice, content, the first place (doc, start) and count of each distinct segment, whole keys together and
+        in order; hot segments are dealt one by one."""
+        first = F.min(self.doc).alias("doc") if self.between else F.min(F.struct("row", "start")).alias("first")
+        found = self.segments(flagged, True).groupBy("key", "hot", "twice", "content").agg(first, F.count("*").alias("count"))
+        place = [F.col("doc"), F.lit(0).alias("start")] if self.between else [F.col("first.row").alias("doc"), F.col("first.start").alias("start")]
+        deal = F.when(F.col("hot"), F.xxhash64("content")).otherwise(F.col("key")).alias("deal")
+        found = found.select(deal, "key", "hot", "twice", "content", *place, "count")
+        return found.repartition("deal").sortWithinPartitions("deal")
+
+
+def met_windows(pieces: DataFrame, place: Column) -> DataFrame:
+    """key, cid, later (the windows that occur at an earlier place) and every (those that occur twice or more) of the hot
+    pieces (key, cid, first_doc, first_start, windows) with such windows; place is made of these and at, the window's number."""
+    rows = pieces.select("key", "cid", "first_doc", "first_start", F.posexplode("windows").alias("at", "w"))
+    rows = rows.select("key", "cid", "at", place.alias("place"), "w.h1", "w.h2")
+    least = rows.groupBy("h1", "h2").agg(F.min("place").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
+    met = rows.join(least, ["h1", "h2"]).select("key", "cid", "at", F.when(F.col("place") > F.col("least"), F.col("at")).alias("later"))
+    runs_of = lambda c: F.flatten(F.transform(F.collect_list(c), lambda x: F.array(x, x + 1)))
+    return met.groupBy("key", "cid").agg(runs_of("later").alias("later"), runs_of("at").alias("every"))
 
 
 def blocks(batches, key: str, size: int):

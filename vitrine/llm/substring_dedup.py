@@ -1,15 +1,17 @@
 """Removal of word windows that a document with a smaller id holds, by Relative Lempel-Ziv parsing.
 
-Segments (see segments.py) route every document to all reference blocks that can hold a window of it: a block has the
-distinct segments of whole keys. In a block, the segments are taken by the id of their first document, and each is parsed
-greedily against the reference of those before it: at a position whose window is indexed, the factor is the longest match
-over the indexed places, and a factor of `width` words or more is a duplicate span. Parsing then goes on at the factor's
-boundary, where windows that reach over it are looked up as well, so that no window is missed; elsewhere it goes on by a
-word. A segment's other occurrences, in documents after its first, are duplicates as a whole.
-
-Defined cases: null text has no words; texts shorter than width lose nothing; doc_id is the key of a document, and windows
-repeated within one document stay; rows without a doc_id take no part and are kept whole; windows are judged on the input,
-not on what is left; other columns are not looked at.
+Segments (see segments.py) route every document to all reference blocks that can hold a window of it: a block is the
+distinct segments of many whole keys, indexed by the suffix order of their words (see suffixes.py). Each segment is parsed
+greedily against its block's index, restricted to the segments of documents before it: a factor is the longest match there,
+and a factor of `width` words or more is a duplicate span. The next factor starts at the first window that reaches over
+the boundary of the last, so windows over boundaries are checked as well and none is missed; where no match is long
+enough, parsing goes on by a word. A segment is shuffled once however many documents hold it; for those after the first,
+the block holds the segment itself, so their parse is one factor, the whole of it. Windows under a key that is too
+frequent for a block meet by a 128-bit hash of the whole window.
+
+Defined cases: null text has no words; texts shorter than width lose nothing; windows repeated within one document stay;
+rows that repeat a doc_id are parts of one document, which no window crosses; rows without a doc_id take no part and are
+kept whole; windows are judged on the input, not on what is left; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -18,96 +20,97 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.llm.common import checkpointed, fresh, table
-from vitrine.llm.segments import Plan, blocks, content_id, covered, distinct_contents, mask_runs
+from vitrine.llm.common import checkpointed, table, with_rows
+from vitrine.llm.segments import WINDOWS, Plan, blocks, content_id, covered, mask_runs, met_windows, window_hashes
+from vitrine.llm.suffixes import Suffixes
 
 WIDTH, GRAM = 13, 4
 BLOCK_BYTES = 1 << 21
-#: Indexed places of one window that a factor is extended from; a window has one match or more at any of them alike.
-PLACES = 8
 
 
 class Reference:
-    """Indexed word sequences to parse against."""
-
-    def __init__(self, width: int):
-        self.width, self.texts, self.index = width, [], {}
-
-    def add(self, words: list[bytes]) -> None:
-        at = len(self.texts)
-        self.texts.append(words)
-        for i in range(len(words) - self.width + 1):
-            held = self.index.setdefault(tuple(words[i : i + self.width]), [])
-            if len(held) < PLACES:
-                held.append((at, i))
-
-    def factor(self, words: list[bytes], start: int) -> int:
-        """Length of the longest match at start, 0 where it is under width words."""
-        longest = 0
-        for at, i in self.index.get(tuple(words[start : start + self.width]), ()):
-            text, n = self.texts[at], self.width
-            most = min(len(words) - start, len(text) - i)
-            while n < most and words[start + n] == text[i + n]:
-                n += 1
-            longest = max(longest, n)
-        return longest
-
-    def parse(self, words: list[bytes]) -> list[int]:
-        """[start, end, ...]: runs of windows (their first words) that the reference holds."""
-        windows = len(words) - self.width + 1
-        seen = np.zeros(max(windows, 0), bool)
-        at = 0
-        while at < windows:
-            n = self.factor(words, at)
-            if not n:
-                at += 1
-                continue
-            seen[at : at + n - self.width + 1] = True
-            at += n - self.width + 1  # the first window that reaches over the factor's boundary
+    """An indexed block: segments, as lists of words, each with the id of its first document.
+
+    longest[i] is the longest match of the suffix at i with a segment of a smaller id."""
+
+    def __init__(self, segments: list[list[bytes]], docs, width: int):
+        self.width = width
+        lengths = np.fromiter(map(len, segments), np.int64, len(segments))
+        self.starts = np.cumsum(lengths) - lengths
+        ends = np.cumsum(lengths)
+        names: dict[bytes, int] = {}
+        tokens = np.fromiter((names.setdefault(w, len(names)) for s in segments for w in s), np.int64, int(lengths.sum()))
+        value = np.repeat(np.unique(docs, return_inverse=True)[1], lengths)
+        self.longest, _ = Suffixes(tokens, lengths).previous_factors(value, width)
+        self.ends = ends
+
+    def factors(self, i: int) -> list[tuple[int, int]]:
+        """(start, length) of the factors of segment i that are long enough, by greedy parsing."""
+        longest, at, out = self.longest[self.starts[i] : self.ends[i]], 0, []
+        enough = np.flatnonzero(longest >= self.width)
+        while len(enough := enough[np.searchsorted(enough, at) :]):
+            start = int(enough[0])
+            out.append((start, int(longest[start])))
+            at = start + out[-1][1] - self.width + 1  # the first window that reaches over the factor's boundary
+        return out
+
+    def parse(self, i: int) -> list[int]:
+        """[start, end, ...]: runs of segment i's windows (their first words) that the reference holds."""
+        seen = np.zeros(max(int(self.ends[i] - self.starts[i]) - self.width + 1, 0), bool)
+        for start, n in self.factors(i):
+            seen[start : start + n - self.width + 1] = True
         return mask_runs(seen)
 
 
-def duplicate_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
-    """doc_id and spans (start, inner: runs of windows from start on) of documents with windows of smaller ids."""
-    plan = Plan(docs, "words", width, gram, True)
+def duplicate_spans(rows: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
+    """row and spans (start, inner: runs of windows from start on) of rows with windows of smaller documents."""
+    plan = Plan(rows, "words", width, gram, True)
     flagged = checkpointed(plan.flagged())
 
     def parsed(batches):
         import pandas as pd
 
-        for block in blocks(batches, "key", BLOCK_BYTES):
-            out = []
-            for k, g in block:
-                order = np.argsort(g["doc_id"], kind="stable")
-                reference, waiting, before = Reference(width), [], None
-                for i in order:
-                    spans: list[int] = []
-                    if len(order) > 1:
-                        if g["doc_id"][i] != before:  # segments of one document are no reference for each other
-                            for w in waiting:
-                                reference.add(w)
-                            waiting, before = [], g["doc_id"][i]
-                        words = g["content"][i].split(b" ")
-                        spans = reference.parse(words) if reference.texts else []
-                        waiting.append(words)
-                    if spans or g["count"][i] > 1:
-                        out.append((k, content_id(g["content"][i]), g["doc_id"][i], spans))
+        for block in blocks(batches, "deal", BLOCK_BYTES):
+            out, held, owners = [], [], []
+            for _, g in block:
+                several = np.count_nonzero(~g["hot"]) > 1
+                for i in range(len(g["key"])):
+                    content = g["content"][i]
+                    owner = (g["key"][i], content_id(content), g["doc"][i], g["count"][i])
+                    if g["hot"][i]:
+                        out.append((*owner[:3], 0, [], window_hashes(content, "words", width)))
+                    elif several:
+                        held.append(content.split(b" "))
+                        owners.append(owner)
+                    elif owner[3] > 1:  # the block holds nothing else that it could match
+                        out.append((*owner[:3], 0, [], None))
+            if held:
+                reference = Reference(held, [o[2] for o in owners], width)
+                for i, owner in enumerate(owners):
+                    spans = reference.parse(i)
+                    if spans or owner[3] > 1:
+                        out.append((*owner[:3], 0, spans, None))
             if out:
-                yield pd.DataFrame(out, columns=["key", "cid", "first_doc", "inner"])
-
-    distinct = distinct_contents(plan.segments(flagged, True), True).repartition("key").sortWithinPartitions("key")
-    found = distinct.select("key", "content", "doc_id", "count").mapInPandas(parsed, "key long, cid long, first_doc long, inner array<int>")
+                yield pd.DataFrame(out, columns=["key", "cid", "first_doc", "first_start", "inner", "windows"])
+
+    schema = f"key long, cid long, first_doc long, first_start int, inner array<int>, windows {WINDOWS}"
+    distinct = plan.distinct(flagged).select("deal", "key", "hot", "content", "doc", "count")
+    found = checkpointed(distinct.mapInPandas(parsed, schema))
+    hot = found.where("windows is not null")
+    met = met_windows(hot, F.col("first_doc")).select("key", "cid", "later")
+    hot = hot.select("key", "cid", "first_doc").join(met, ["key", "cid"], "left").withColumn("inner", F.coalesce("later", F.array().cast("array<int>"))).drop("later")
+    found = found.where("windows is null").select("key", "cid", "first_doc", "inner").unionByName(hot)
     places = plan.segments(flagged, False).join(found, ["key", "cid"])
-    inner = F.when(F.col("doc_id") == F.col("first_doc"), F.col("inner")).otherwise(F.array(F.lit(0), F.col("n")))
-    spans = places.select("doc_id", "start", inner.alias("inner")).where(F.size("inner") > 0)
-    return spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "inner")).alias("spans"))
+    inner = F.when(F.col(plan.doc) == F.col("first_doc"), F.col("inner")).otherwise(F.array(F.lit(0), F.col("n")))
+    spans = places.select("row", "start", inner.alias("inner")).where(F.size("inner") > 0)
+    return spans.groupBy("row").agg(F.collect_list(F.struct("start", "inner")).alias("spans"))
 
 
 def remove_duplicates(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, text: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed and kept (binary: the words that stay, joined by a space) of each row."""
-    rows = fresh(docs, "doc_id", text).toDF("doc_id", "text")
-    keyed = rows.where("doc_id is not null")
-    spans = duplicate_spans(keyed, width, gram)
+    rows, is_key = with_rows(docs.select(F.col("doc_id"), F.col(f"`{text}`").alias("text")))
+    taking = rows if is_key else rows.where("doc_id is not null").withColumnRenamed("doc_id", "doc")
+    spans = duplicate_spans(taking.select("row", *([] if is_key else ["doc"]), "text"), width, gram)
 
     def cut(batches):
         import pandas as pd
@@ -129,9 +132,7 @@ def remove_duplicates(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, tex
             yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "n_words": sizes, "n_removed": removed, "kept": kept})
 
     schema = "doc_id long, n_words long, n_removed long, kept binary"
-    joined = keyed.join(spans, "doc_id", "left").select("doc_id", "text", "spans")
-    unkeyed = rows.where("doc_id is null").withColumn("spans", F.lit(None).cast("array<struct<start:int,inner:array<int>>>"))
-    return joined.mapInPandas(cut, schema).unionByName(unkeyed.mapInPandas(cut, schema))
+    return rows.join(spans, "row", "left").select("doc_id", "text", "spans").mapInPandas(cut, schema)
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

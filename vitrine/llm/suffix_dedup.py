@@ -1,15 +1,19 @@
 """Removal of repeated byte strings by longest-previous-factor arrays.
 
 Texts are cut into segments (see segments.py) so that equal windows of `width` bytes meet in one block. A block's distinct
-segments are joined in the order of their first places, the suffixes that can match are sorted, and the previous and next smaller positions in suffix order give each position its earlier match. Where that match has
-width bytes or more, the position starts a later copy and its match is a source. `keep_first` removes later copies only;
-without it, every copy goes, the first as well.
-
-A segment that occurs more than once is a copy as a whole, so only one of its kind is sorted.
-
-Defined cases: null text is empty; matches never cross documents; texts shorter than width lose nothing; doc_id is the
-key of a document (rows that repeat it hold one text); rows without a doc_id take no part and are kept whole; the text
-form of the result leaves out bytes of characters that were cut in two; other columns are not looked at.
+segments are laid end to end in the order of their first places, and their suffixes are sorted (see suffixes.py). The
+previous and next smaller positions in suffix order give each position its longest previous factor, the longest match
+that starts at an earlier position: where it has width bytes or more, a later copy starts. `keep_first` removes later
+copies only; without it every copy goes, so the longest next factors, the same with positions reversed, count as well.
+Only the bytes of windows that share a hash with another are sorted: matches of width bytes or more lie in them whole.
+
+A segment that occurs more than once is a copy as a whole, so only one of its kind is sorted. Windows under a key that
+is too frequent for a block meet by a 128-bit hash of the whole window (see segments.py).
+
+Defined cases: null text is empty; matches never cross rows; texts shorter than width lose nothing; each row is a document
+of its own, also where doc_ids repeat or are null, so of equal rows all go, and with keep_first one stays; rows are
+earlier by doc_id, nulls last; the text form of the result leaves out bytes of characters that were cut in two; other
+columns are not looked at.
 """
 
 from __future__ import annotations
@@ -18,111 +22,108 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.llm.common import checkpointed, table
-from vitrine.llm.segments import Plan, blocks, byte_hashes, content_id, covered, distinct_contents, gram_hashes, mask_runs
+from vitrine.llm.common import checkpointed, table, with_rows
+from vitrine.llm.segments import WINDOWS, Plan, blocks, byte_hashes, content_id, covered, gram_hashes, mask_runs, met_windows, window_hashes
+from vitrine.llm.suffixes import Suffixes
 
 WIDTH, GRAM = 200, 32
 BLOCK_BYTES = 1 << 21
 
 
-def packed_bytes(data):
-    """The eight bytes from each position on as one big-endian number, zeros past the end."""
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    out = np.zeros(len(data), np.uint64)
-    for j in range(8):
-        out <<= np.uint64(8)
-        out |= padded[j : len(data) + j]
-    return out
-
-
-def smaller(order, step: int):
-    """For each place in suffix order, the nearest place before (step -1) or after (1) it with a smaller position; -1: none."""
-    near = np.arange(len(order)) + step
-    near[near == len(order)] = -1
-    on = np.arange(len(order))
-    while len(on):  # those that are not settled jump to where the place they look at looks
-        at = near[on]
-        on = on[(at >= 0) & (order[np.maximum(at, 0)] > order[on])]
-        near[on] = near[near[on]]
-    return near
-
-
-def earlier_matches(contents: list[bytes], width: int):
-    """(n, later, source): windows of each content; which windows, in the order of the contents, have an earlier match of
-    width bytes or more, and which are such a match.
-
-    Only windows that share a hash with another can have one, so only their suffixes are sorted: by their first eight
-    bytes, then by the hash of the window, then by place. That keeps equal windows together, as the full suffix order
-    does, which is all that matches of width bytes or more depend on; each match is then compared byte by byte."""
+def longest_factors(contents: list[bytes], width: int, both: bool = True):
+    """(n, previous, next): windows of each content; for each window, in the order of the contents, the longest match with
+    an earlier and with a later position, 0 where it is under width (next is None unless both)."""
     lengths = np.fromiter(map(len, contents), np.int64, len(contents))
     offsets = np.concatenate([[0], np.cumsum(lengths)[:-1]])
     n = np.maximum(lengths - width + 1, 0)
     starts = np.repeat(offsets - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    later, source = np.zeros(len(starts), bool), np.zeros(len(starts), bool)
+    found = [np.zeros(len(starts), np.int64) for _ in range(1 + both)]
     data = np.frombuffer(b"".join(contents), np.uint8)
     hashes = gram_hashes(byte_hashes(data), width)[starts] if len(starts) else np.zeros(0, np.uint64)
     by_hash = np.argsort(hashes)
     equal = hashes[by_hash[1:]] == hashes[by_hash[:-1]]
-    if not equal.any():
-        return n, later, source
-    met = np.sort(by_hash[np.concatenate([[False], equal]) | np.concatenate([equal, [False]])])
-    packed = packed_bytes(data)
-    order = np.lexsort((hashes[met], packed[starts[met]]))  # places in met, in suffix order; ties stay by position
-    for step in (-1, 1):
-        near = smaller(order, step)
-        here = np.flatnonzero(near >= 0)
-        a, b = met[order[here]], met[order[near[here]]]
-        same = hashes[a] == hashes[b]
-        a, b = a[same], b[same]
-        for j in range(0, width, 8):
-            at = min(j, width - 8) if width >= 8 else 0
-            same = packed[starts[a] + at] == packed[starts[b] + at]
-            if not same.all():
-                a, b = a[same], b[same]
-        later[a] = True
-        source[b] = True
-    return n, later, source
-
-
-def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, keep_first: bool = True) -> DataFrame:
-    """doc_id and spans (array of structs start, end: offsets of windows to remove) of the documents that lose bytes."""
-    plan = Plan(docs, "bytes", width, gram, False)
+    if equal.any():
+        met = by_hash[np.concatenate([[False], equal]) | np.concatenate([equal, [False]])]
+        change = np.zeros(len(data) + 1, np.int32)
+        np.add.at(change, starts[met], 1)
+        np.add.at(change, starts[met] + width, -1)
+        inside = np.cumsum(change[:-1]) > 0
+        cut = np.zeros(len(data), bool)  # a piece ends where a content does
+        cut[offsets[lengths > 0]] = True
+        at = np.flatnonzero(inside)
+        first = np.ones(len(at), bool)
+        first[1:] = (np.diff(at) > 1) | cut[at[1:]]
+        heads = np.flatnonzero(first)
+        order = Suffixes(data[at], np.diff(np.append(heads, len(at))))
+        where = np.full(len(data), -1, np.int64)
+        where[at] = np.arange(len(at))
+        of_window = where[starts]
+        held = of_window >= 0
+        place = np.arange(len(at))
+        for out, value in zip(found, (place, -place)):
+            length, _ = order.previous_factors(value, width)
+            length[length < width] = 0
+            out[held] = length[of_window[held]]
+    return n, found[0], found[1] if both else None
+
+
+def repeated_spans(rows: DataFrame, width: int = WIDTH, gram: int = GRAM, keep_first: bool = True) -> DataFrame:
+    """row and spans (array of structs start, inner: runs of windows to remove, from start on) of the rows that lose bytes."""
+    plan = Plan(rows, "bytes", width, gram, False)
     flagged = checkpointed(plan.flagged())
 
     def compared(batches):
         import pandas as pd
 
-        for block in blocks(batches, "key", BLOCK_BYTES):
+        for block in blocks(batches, "deal", BLOCK_BYTES):
             out, joined, owners = [], [], []
-            for k, g in block:
-                if len(g["count"]) > 1 or g["twice"][0]:
-                    for i in np.lexsort((g["start"], g["doc_id"])):
-                        joined.append(g["content"][i])
-                        owners.append((k, content_id(g["content"][i]), g["doc_id"][i], g["start"][i], g["count"][i]))
-                elif g["count"][0] > 1:
-                    out.append((k, content_id(g["content"][0]), g["doc_id"][0], g["start"][0], g["count"][0], [], []))
+            for _, g in block:
+                cold = 0
+                for i in np.lexsort((g["start"], g["doc"])):
+                    content = g["content"][i]
+                    owner = (g["key"][i], content_id(content), g["doc"][i], g["start"][i], g["count"][i])
+                    if g["hot"][i]:
+                        out.append((*owner, [], [], window_hashes(content, "bytes", width)))
+                    else:
+                        joined.append(content)
+                        owners.append(owner)
+                        cold += 1
+                if cold == 1 and not g["twice"][~g["hot"]][0]:  # nothing to compare it with
+                    joined.pop()
+                    owner = owners.pop()
+                    if owner[4] > 1:
+                        out.append((*owner, [], [], None))
             if joined:
-                n, later, source = earlier_matches(joined, width)
+                n, previous, following = longest_factors(joined, width, not keep_first)
+                later = previous > 0
+                every = later if keep_first else later | (following > 0)
                 ends = np.cumsum(n)
                 for owner, s, e in zip(owners, ends - n, ends):
-                    a, b = mask_runs(later[s:e]), mask_runs(later[s:e] | source[s:e])
+                    a, b = mask_runs(later[s:e]), mask_runs(every[s:e])
                     if b or owner[4] > 1:
-                        out.append((*owner, a, b))
+                        out.append((*owner, a, b, None))
             if out:
-                yield pd.DataFrame(out, columns=["key", "cid", "first_doc", "first_start", "count", "later", "every"])
-
-    schema = "key long, cid long, first_doc long, first_start int, count long, later array<int>, every array<int>"
-    distinct = distinct_contents(plan.segments(flagged, True), False).repartition("key").sortWithinPartitions("key")
-    found = distinct.select("key", "twice", "content", "doc_id", "start", "count").mapInPandas(compared, schema)
+                yield pd.DataFrame(out, columns=["key", "cid", "first_doc", "first_start", "count", "later", "every", "windows"])
+
+    schema = f"key long, cid long, first_doc long, first_start int, count long, later array<int>, every array<int>, windows {WINDOWS}"
+    distinct = plan.distinct(flagged).select("deal", "key", "hot", "twice", "content", "doc", "start", "count")
+    found = checkpointed(distinct.mapInPandas(compared, schema))
+    hot = found.where("windows is not null")
+    met = met_windows(hot, F.struct("first_doc", F.col("first_start") + F.col("at")))
+    none = F.array().cast("array<int>")
+    names = ["key", "cid", "first_doc", "first_start", "count"]
+    hot = hot.select(*names).join(met, ["key", "cid"], "left").where("count > 1 or every is not null")
+    hot = hot.withColumns({c: F.coalesce(c, none) for c in ("later", "every")})
+    found = found.where("windows is null").drop("windows").unionByName(hot)
     places = plan.segments(flagged, False).join(found, ["key", "cid"])
     whole = F.array(F.lit(0), F.col("n"))
     if keep_first:
-        first = (F.col("doc_id") == F.col("first_doc")) & (F.col("start") == F.col("first_start"))
+        first = (F.col("row") == F.col("first_doc")) & (F.col("start") == F.col("first_start"))
         inner = F.when(first, F.col("later")).otherwise(whole)
     else:
         inner = F.when(F.col("count") > 1, whole).otherwise(F.col("every"))
-    spans = places.select("doc_id", "start", inner.alias("inner")).where(F.size("inner") > 0)
-    return spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "inner")).alias("spans"))
+    spans = places.select("row", "start", inner.alias("inner")).where(F.size("inner") > 0)
+    return spans.groupBy("row").agg(F.collect_list(F.struct("start", "inner")).alias("spans"))
 
 
 def remove_repeats(
@@ -131,9 +132,8 @@ def remove_repeats(
     """doc_id, kept (binary: the bytes that stay, joined; a string with as_text), removed (array of start, end, start, end,
     ... in bytes), n_bytes, and a struct `carried` of the columns in carry, for each row."""
     others = F.struct(*(F.col(f"`{c}`") for c in carry)) if carry else F.lit(0)
-    rows = docs.select(F.col("doc_id"), F.col(f"`{text}`").alias("text"), others.alias("carried"))
-    keyed = rows.where("doc_id is not null")
-    spans = repeated_spans(keyed.select("doc_id", "text"), width, gram, keep_first)
+    rows, _ = with_rows(docs.select(F.col("doc_id"), F.col(f"`{text}`").alias("text"), others.alias("carried")))
+    spans = repeated_spans(rows.select("row", "text"), width, gram, keep_first)
 
     def cut(batches):
         import pandas as pd
@@ -157,9 +157,7 @@ def remove_repeats(
 
     carried = rows.schema["carried"].dataType.simpleString()
     schema = f"doc_id long, carried {carried}, kept {'string' if as_text else 'binary'}, removed array<int>, n_bytes long"
-    names = ["doc_id", "text", "carried", "spans"]
-    unkeyed = rows.where("doc_id is null").withColumn("spans", F.lit(None).cast("array<struct<start:int,inner:array<int>>>"))
-    return keyed.join(spans, "doc_id", "left").select(*names).mapInPandas(cut, schema).unionByName(unkeyed.select(*names).mapInPandas(cut, schema))
+    return rows.join(spans, "row", "left").select("doc_id", "text", "carried", "spans").mapInPandas(cut, schema)
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
