@@ -58,13 +58,12 @@ def test_longest_factors_of_windows():
     for _ in range(60):
         base = bytes(rng.choice(b"ab\0") for _ in range(80))
         contents = [base[rng.randint(0, 40) : rng.randint(30, 80)] + bytes(rng.choice(b"abc") for _ in range(rng.randint(0, 9))) for _ in range(rng.randint(1, 6))]
-        n, previous, following = suffix_dedup.longest_factors(contents, 8)
-        tails = [(k, c[i:]) for k, c in enumerate(contents) for i in range(len(c))]
-        windows = [i for i, (_, t) in enumerate(tails) if len(t) >= 8]
-        assert n.tolist() == [max(len(c) - 7, 0) for c in contents]
-        for at, i in enumerate(windows):
-            for got, others in ((previous[at], range(i)), (following[at], range(i + 1, len(tails)))):
-                want = max((common(tails[i][1], tails[j][1]) for j in others), default=0)
+        starts, previous, following = suffix_dedup.longest_factors(contents, 8)
+        tails = [c[i:] for c in contents for i in range(len(c))]
+        assert starts.tolist() == [sum(map(len, contents[:k])) for k in range(len(contents))]
+        for i, tail in enumerate(tails):
+            for got, others in ((previous[i], range(i)), (following[i], range(i + 1, len(tails)))):
+                want = max((common(tail, tails[j]) for j in others), default=0)
                 assert got == (want if want >= 8 else 0)
 
 
@@ -74,20 +73,36 @@ def test_greedy_factors():
         texts = [[b"w%d" % rng.randrange(3) for _ in range(rng.randint(1, 40))] for _ in range(rng.randint(1, 7))]
         texts += texts[:1]
         docs = [rng.randrange(4) for _ in texts]
-        reference = substring_dedup.Reference(texts, docs, 5)
+        reference = substring_dedup.Reference([b" ".join(t) for t in texts], docs, 5)
+        want, runs, begin = [], reference.parse(), 0
         for i, words in enumerate(texts):
             longest = [max((common(words[at:], t[j:]) for t, d in zip(texts, docs) if d < docs[i] for j in range(len(t))), default=0) for at in range(len(words))]
-            want, at = [], 0
+            at = 0
             while at < len(words):
                 if longest[at] >= 5:
-                    want.append((at, longest[at]))
+                    want.append((begin + at, longest[at]))
                     at += longest[at] - 4
                 else:
                     at += 1
-            assert reference.factors(i) == want
-            runs = reference.parse(i)
+            own = runs.get(i, [])
             held = {tuple(t[j : j + 5]) for t, d in zip(texts, docs) if d < docs[i] for j in range(len(t) - 4)}
-            assert {x for s, e in zip(runs[::2], runs[1::2]) for x in range(s, e)} == {j for j in range(len(words) - 4) if tuple(words[j : j + 5]) in held}
+            assert {x for s, e in zip(own[::2], own[1::2]) for x in range(s, e)} == {j for j in range(len(words) - 4) if tuple(words[j : j + 5]) in held}
+            begin += len(words)
+        assert reference.factors() == want
+
+
+def test_blocks_keep_keys_whole():
+    import pandas as pd
+
+    rng = random.Random(4)
+    keys = sorted(rng.randrange(40) for _ in range(300))
+    content = [b"x" * rng.randint(1, 30) for _ in keys]
+    batches = [pd.DataFrame({"deal": keys[i : i + 37], "content": content[i : i + 37]}) for i in range(0, 300, 37)]
+    for size in (1, 100, 10_000):
+        got = list(segments.blocks(iter(batches), "deal", size))
+        assert [k for b in got for k in b["deal"].tolist()] == keys and [c for b in got for c in b["content"]] == content
+        assert len({k for b in got for k in set(b["deal"].tolist())}) == sum(len(set(b["deal"].tolist())) for b in got)
+    assert list(segments.blocks(iter([]), "deal", 5)) == []
 
 
 def test_window_hashes_meet_with_equal_windows():

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.llm.common import groups
+from vitrine.llm.common import written
 
 #: Documents (places, for bytes) of a key above which its windows meet by hash.
 HOT = 1000
@@ -187,90 +187,114 @@ class Plan:
         self.doc = "doc" if "doc" in docs.columns else "row"
 
     def keys(self) -> DataFrame:
+        """row and key for each key of a row; within documents, twice for a key that a row has more than once."""
         kind, width, gram, between = self.kind, self.width, self.gram, self.between
 
         def found(batches):
             import pandas as pd
 
             for pdf in batches:
-                ids, keys, counts, size = [], [], [], 0
+                ids, keys, size = [], [], 0
                 for d, t in zip(pdf["row"].to_numpy(), pdf["text"]):
                     places = key_places(*window_keys(Tokens(t, kind).hashes, width, gram), width, gram)
                     k, n = np.unique(places, return_counts=True)
+                    if not between:
+                        k = np.concatenate([k, k[n > 1]])
                     ids.append(np.full(len(k), d))
                     keys.append(k.view(np.int64))
-                    counts.append(n)
                     size += len(k)
                     if size > CHUNK // 4:
-                        yield pd.DataFrame({"row": np.concatenate(ids), "key": np.concatenate(keys), "n": np.concatenate(counts)})
-                        ids, keys, counts, size = [], [], [], 0
+                        yield pd.DataFrame({"row": np.concatenate(ids), "key": np.concatenate(keys)})
+                        ids, keys, size = [], [], 0
                 if size:
-                    yield pd.DataFrame({"row": np.concatenate(ids), "key": np.concatenate(keys), "n": np.concatenate(counts)})
+                    yield pd.DataFrame({"row": np.concatenate(ids), "key": np.concatenate(keys)})
 
-        rows = self.docs.select("row", "text").mapInPandas(found, "row long, key long, n int")
-        return rows.select("row", "key") if between else rows
+        return self.docs.select("row", "text").mapInPandas(found, "row long, key long")
 
     def flagged(self) -> DataFrame:
         """row, keys and hot (those of the keys that are hot) of the rows with a key that matters."""
-        rows = self.keys()
-        # a row gives a key once between documents, so a count tells of two rows without their ids being shuffled
-        shared = rows.groupBy("key").agg(F.count("*").alias("c") if self.between else F.sum("n").alias("c")).where("c > 1")
-        shared = shared.select("key", (F.col("c") > HOT).alias("hot"))
-        kept = rows.select("row", "key").join(shared, "key")
-        return kept.groupBy("row").agg(F.collect_list("key").alias("keys"), F.collect_list(F.when(F.col("hot"), F.col("key"))).alias("hot"))
-
-    def segments(self, flagged: DataFrame, contents: bool) -> DataFrame:
-        """key, row (and doc), start, n (windows) of each segment under a flagged key, with its content and whether the key
-        is hot, or with the content's id."""
+        rows = self.keys().repartition("key")  # one exchange for both uses
+        shared = rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key", (F.col("c") > HOT).alias("hot"))
+        kept = rows.join(shared, "key")
+        return written(kept.groupBy("row").agg(F.collect_list("key").alias("keys"), F.collect_list(F.when(F.col("hot"), F.col("key"))).alias("hot")), "flagged")
+
+    def _cut(self, flagged: DataFrame, collected, schema: str) -> DataFrame:
+        """collected's rows of the segments under flagged keys: it takes (key, row, doc, start, n, hot, twice, content) tuples
+        and gives frames."""
         kind, width, gram, doc = self.kind, self.width, self.gram, self.doc
-        more_ids = ["doc"] if doc == "doc" else []
         reach = width - gram
-        names_of = ["key", "row", *more_ids, "start", "n", *(["hot", "twice", "content"] if contents else ["cid"])]
-        types = {"hot": "boolean", "twice": "boolean", "content": "binary", "start": "int", "n": "int"}
-        schema = ", ".join(f"{n} {types.get(n, 'long')}" for n in names_of)
-
-        def cut(batches):
-            import pandas as pd
 
+        def pieces(batches):
             for pdf in batches:
-                out, size = [], 0
                 for r, d, t, keys, hot in zip(pdf["row"].tolist(), pdf[doc].tolist(), pdf["text"], pdf["keys"], pdf["hot"]):
                     tokens = Tokens(t, kind)
                     of_windows, grams = window_keys(tokens.hashes, width, gram)
                     if not len(of_windows):
                         continue
-                    wanted = np.asarray(keys, np.int64).view(np.uint64)
                     starts, ends = runs(of_windows, RUN[kind])
                     names = of_windows[starts]
-                    on = np.isin(names, wanted)
+                    on = np.isin(names, np.asarray(keys, np.int64).view(np.uint64))
                     is_hot = np.isin(names[on], np.asarray(hot, np.int64).view(np.uint64)).tolist()
-                    ids = (r, d) if more_ids else (r,)
                     for s, e, k, h in zip(starts[on].tolist(), ends[on].tolist(), names[on].view(np.int64).tolist(), is_hot):
-                        content = tokens.content(s, e + width - 1)
-                        if contents:  # a segment with its least gram twice may hold one window twice
-                            more = (h, bool(np.count_nonzero(grams[s : e + reach] == of_windows[s]) > 1), content)
-                        else:
-                            more = (content_id(content),)
-                        out.append((k, *ids, s, e - s, *more))
-                        size += len(content)
-                        if size > CHUNK * 8:
-                            yield pd.DataFrame(out, columns=names_of)
-                            out, size = [], 0
-                if out:
-                    yield pd.DataFrame(out, columns=names_of)
-
-        names = ["row", *more_ids, "text", "keys", "hot"]
-        return self.docs.join(flagged, "row").select(*names).mapInPandas(cut, schema)
+                        # a segment with its least gram twice may hold one window twice
+                        yield k, r, d, s, e - s, h, lambda: bool(np.count_nonzero(grams[s : e + reach] == of_windows[s]) > 1), tokens.content(s, e + width - 1)
+
+        names = ["row", *(["doc"] if doc == "doc" else []), "text", "keys", "hot"]
+        return self.docs.join(flagged, "row").select(*names).mapInPandas(lambda batches: collected(pieces(batches)), schema)
+
+    def places(self, flagged: DataFrame) -> DataFrame:
+        """key, row (and doc), start, n (windows) and the content's id of each segment."""
+        own = self.doc == "doc"
+        names = ["key", "row", *(["doc"] if own else []), "start", "n", "cid"]
+
+        def collected(pieces):
+            import pandas as pd
+
+            out = []
+            for k, r, d, s, n, _, _, content in pieces:
+                out.append((k, r, d, s, n, content_id(content)) if own else (k, r, s, n, content_id(content)))
+                if len(out) > CHUNK // 16:
+                    yield pd.DataFrame(out, columns=names)
+                    out = []
+            if out:
+                yield pd.DataFrame(out, columns=names)
+
+        return self._cut(flagged, collected, ", ".join(f"{n} {'int' if n in ('start', 'n') else 'long'}" for n in names))
 
     def distinct(self, flagged: DataFrame) -> DataFrame:
-        """key, hot, twice, content, the first place (doc, start) and count of each distinct segment, whole keys together and
-        in order; hot segments are dealt one by one."""
-        first = F.min(self.doc).alias("doc") if self.between else F.min(F.struct("row", "start")).alias("first")
-        found = self.segments(flagged, True).groupBy("key", "hot", "twice", "content").agg(first, F.count("*").alias("count"))
-        place = [F.col("doc"), F.lit(0).alias("start")] if self.between else [F.col("first.row").alias("doc"), F.col("first.start").alias("start")]
-        deal = F.when(F.col("hot"), F.xxhash64("content")).otherwise(F.col("key")).alias("deal")
-        found = found.select(deal, "key", "hot", "twice", "content", *place, "count")
-        return found.repartition("deal").sortWithinPartitions("deal")
+        """deal, key, hot, twice, content, the first place (doc, start) and count of each distinct segment, whole keys together
+        and in order; hot segments are dealt one by one. Equal segments are combined before they are shuffled, once."""
+        between = self.between
+
+        def collected(pieces):
+            import pandas as pd
+
+            held, size = {}, 0
+            names = ["deal", "key", "hot", "twice", "content", "doc", "start", "count"]
+
+            def frame():
+                return pd.DataFrame([(content_id(c) if h[0] else k, k, h[0], h[1], c, *h[2], h[3]) for (k, c), h in held.items()], columns=names)
+
+            for k, _, d, s, _, hot, twice, content in pieces:
+                place, known = (d, 0 if between else s), held.get((k, content))
+                if known:
+                    known[2], known[3] = min(known[2], place), known[3] + 1
+                    continue
+                held[k, content] = [hot, twice(), place, 1]
+                size += len(content)
+                if size > CHUNK * 8:
+                    yield frame()
+                    held, size = {}, 0
+            if held:
+                yield frame()
+
+        schema = "deal long, key long, hot boolean, twice boolean, content binary, doc long, start int, count long"
+        dealt = self._cut(flagged, collected, schema).repartition("deal").groupBy("deal", "key", "hot", "twice", "content")
+        if between:
+            found = dealt.agg(F.min("doc").alias("doc"), F.lit(0).alias("start"), F.sum("count").alias("count"))
+        else:
+            found = dealt.agg(F.min(F.struct("doc", "start")).alias("first"), F.sum("count").alias("count")).select("deal", "key", "hot", "twice", "content", "first.doc", "first.start", "count")
+        return found.sortWithinPartitions("deal")
 
 
 def met_windows(pieces: DataFrame, place: Column) -> DataFrame:
@@ -285,18 +309,42 @@ def met_windows(pieces: DataFrame, place: Column) -> DataFrame:
 
 
 def blocks(batches, key: str, size: int):
-    """Lists of (key, arrays) groups with about size bytes of content together; a key's group is never split."""
-    held, total = [], 0
-    for k, g in groups(batches, key):
-        held.append((k, g))
-        total += sum(map(len, g["content"]))
-        if total >= size:
-            yield held
-            held, total = [], 0
-    if held:
+    """Arrays by column of about size bytes of content together, from batches sorted by key; a key is never split."""
+    held: dict = {}
+    for pdf in batches:
+        cols = {c: pdf[c].to_numpy() for c in pdf.columns}
+        held = {c: np.concatenate([held[c], v]) for c, v in cols.items()} if held else cols
+        keys = held[key]
+        total = np.cumsum(np.fromiter(map(len, held["content"]), np.int64, len(keys)))
+        cuts, done = np.flatnonzero(keys[1:] != keys[:-1]) + 1, 0
+        while len(cuts):
+            at = np.searchsorted(total[cuts - 1], (total[done - 1] if done else 0) + size)
+            if at == len(cuts):
+                break
+            yield {c: v[done : cuts[at]] for c, v in held.items()}
+            done, cuts = cuts[at], cuts[at + 1 :]
+        held = {c: v[done:] for c, v in held.items()}
+    if held and len(held[key]):
         yield held
 
 
+def met_more(block) -> np.ndarray:
+    """Which cold segments of a block have to be compared: those that share their key with others, or may hold a window twice."""
+    _, inverse, n = np.unique(block["key"], return_inverse=True, return_counts=True)
+    return ~block["hot"].astype(bool) & ((n[inverse] > 1) | block["twice"].astype(bool))
+
+
+def piece_runs(mask, starts) -> dict[int, list[int]]:
+    """[start, end, ...] within its piece of the true runs of mask, by the number of the piece; runs don't cross pieces."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], mask.astype(np.int8), [0]])))
+    begins, ends = edges[::2], edges[1::2]
+    piece = np.searchsorted(starts, begins, "right") - 1
+    found: dict[int, list[int]] = {}
+    for p, s, e in zip(piece.tolist(), (begins - starts[piece]).tolist(), (ends - starts[piece]).tolist()):
+        found.setdefault(p, []).extend((s, e))
+    return found
+
+
 def mask_runs(mask) -> list[int]:
     """[start, end, start, end, ...] of the true runs."""
     edges = np.flatnonzero(np.diff(np.concatenate([[0], mask.astype(np.int8), [0]])))

@@ -20,87 +20,75 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.llm.common import checkpointed, table, with_rows
-from vitrine.llm.segments import WINDOWS, Plan, blocks, content_id, covered, mask_runs, met_windows, window_hashes
+from vitrine.llm.common import table, with_rows, written
+from vitrine.llm.segments import WINDOWS, Plan, blocks, content_id, covered, met_more, met_windows, piece_runs, window_hashes
 from vitrine.llm.suffixes import Suffixes
 
 WIDTH, GRAM = 13, 4
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 17
 
 
 class Reference:
-    """An indexed block: segments, as lists of words, each with the id of its first document.
+    """An indexed block: segments (words joined by spaces), each with the id of its first document.
 
-    longest[i] is the longest match of the suffix at i with a segment of a smaller id."""
+    longest[i] is the longest match of the words from i on with a segment of a smaller id."""
 
-    def __init__(self, segments: list[list[bytes]], docs, width: int):
+    def __init__(self, segments: list[bytes], docs, width: int):
         self.width = width
-        lengths = np.fromiter(map(len, segments), np.int64, len(segments))
+        lengths = np.fromiter((s.count(b" ") + 1 for s in segments), np.int64, len(segments))
         self.starts = np.cumsum(lengths) - lengths
-        ends = np.cumsum(lengths)
-        names: dict[bytes, int] = {}
-        tokens = np.fromiter((names.setdefault(w, len(names)) for s in segments for w in s), np.int64, int(lengths.sum()))
+        words = b" ".join(segments).split(b" ")
+        names = {w: i for i, w in enumerate(dict.fromkeys(words))}
+        tokens = np.fromiter(map(names.__getitem__, words), np.int64, len(words))
         value = np.repeat(np.unique(docs, return_inverse=True)[1], lengths)
         self.longest, _ = Suffixes(tokens, lengths).previous_factors(value, width)
-        self.ends = ends
-
-    def factors(self, i: int) -> list[tuple[int, int]]:
-        """(start, length) of the factors of segment i that are long enough, by greedy parsing."""
-        longest, at, out = self.longest[self.starts[i] : self.ends[i]], 0, []
-        enough = np.flatnonzero(longest >= self.width)
-        while len(enough := enough[np.searchsorted(enough, at) :]):
-            start = int(enough[0])
-            out.append((start, int(longest[start])))
-            at = start + out[-1][1] - self.width + 1  # the first window that reaches over the factor's boundary
+
+    def factors(self) -> list[tuple[int, int]]:
+        """(start, length), counted over all segments, of the factors that are long enough, by greedy parsing."""
+        at = np.flatnonzero(self.longest >= self.width)
+        starts, lengths, i, out = at.tolist(), self.longest[at].tolist(), 0, []
+        while i < len(starts):
+            out.append((starts[i], lengths[i]))
+            # a window within a factor matches as well, so this is the first that reaches over the factor's boundary
+            i += lengths[i] - self.width + 1
         return out
 
-    def parse(self, i: int) -> list[int]:
-        """[start, end, ...]: runs of segment i's windows (their first words) that the reference holds."""
-        seen = np.zeros(max(int(self.ends[i] - self.starts[i]) - self.width + 1, 0), bool)
-        for start, n in self.factors(i):
+    def parse(self) -> dict[int, list[int]]:
+        """[start, end, ...] by segment: runs of windows (their first words) that the reference holds."""
+        seen = np.zeros(len(self.longest), bool)
+        for start, n in self.factors():
             seen[start : start + n - self.width + 1] = True
-        return mask_runs(seen)
+        return piece_runs(seen, self.starts)
 
 
 def duplicate_spans(rows: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     """row and spans (start, inner: runs of windows from start on) of rows with windows of smaller documents."""
     plan = Plan(rows, "words", width, gram, True)
-    flagged = checkpointed(plan.flagged())
+    flagged = plan.flagged()
 
     def parsed(batches):
         import pandas as pd
 
         for block in blocks(batches, "deal", BLOCK_BYTES):
-            out, held, owners = [], [], []
-            for _, g in block:
-                several = np.count_nonzero(~g["hot"]) > 1
-                for i in range(len(g["key"])):
-                    content = g["content"][i]
-                    owner = (g["key"][i], content_id(content), g["doc"][i], g["count"][i])
-                    if g["hot"][i]:
-                        out.append((*owner[:3], 0, [], window_hashes(content, "words", width)))
-                    elif several:
-                        held.append(content.split(b" "))
-                        owners.append(owner)
-                    elif owner[3] > 1:  # the block holds nothing else that it could match
-                        out.append((*owner[:3], 0, [], None))
-            if held:
-                reference = Reference(held, [o[2] for o in owners], width)
-                for i, owner in enumerate(owners):
-                    spans = reference.parse(i)
-                    if spans or owner[3] > 1:
-                        out.append((*owner[:3], 0, spans, None))
+            content, hot, count = block["content"], block["hot"].astype(bool), block["count"]
+            met = met_more(block)
+            spans = Reference(list(content[met]), block["doc"][met], width).parse() if met.any() else {}
+            number, out = np.cumsum(met) - 1, []
+            for i in np.flatnonzero(hot | met | (count > 1)).tolist():
+                j = number[i] if met[i] else -1
+                if hot[i] or count[i] > 1 or j in spans:
+                    windows = window_hashes(content[i], "words", width) if hot[i] else None
+                    out.append((block["key"][i], content_id(content[i]), block["doc"][i], 0, spans.get(j, []), windows))
             if out:
                 yield pd.DataFrame(out, columns=["key", "cid", "first_doc", "first_start", "inner", "windows"])
 
     schema = f"key long, cid long, first_doc long, first_start int, inner array<int>, windows {WINDOWS}"
-    distinct = plan.distinct(flagged).select("deal", "key", "hot", "content", "doc", "count")
-    found = checkpointed(distinct.mapInPandas(parsed, schema))
+    found = written(plan.distinct(flagged).mapInPandas(parsed, schema), "found")
     hot = found.where("windows is not null")
     met = met_windows(hot, F.col("first_doc")).select("key", "cid", "later")
     hot = hot.select("key", "cid", "first_doc").join(met, ["key", "cid"], "left").withColumn("inner", F.coalesce("later", F.array().cast("array<int>"))).drop("later")
     found = found.where("windows is null").select("key", "cid", "first_doc", "inner").unionByName(hot)
-    places = plan.segments(flagged, False).join(found, ["key", "cid"])
+    places = plan.places(flagged).join(found, ["key", "cid"])
     inner = F.when(F.col(plan.doc) == F.col("first_doc"), F.col("inner")).otherwise(F.array(F.lit(0), F.col("n")))
     spans = places.select("row", "start", inner.alias("inner")).where(F.size("inner") > 0)
     return spans.groupBy("row").agg(F.collect_list(F.struct("start", "inner")).alias("spans"))

@@ -22,23 +22,23 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.llm.common import checkpointed, table, with_rows
-from vitrine.llm.segments import WINDOWS, Plan, blocks, byte_hashes, content_id, covered, gram_hashes, mask_runs, met_windows, window_hashes
+from vitrine.llm.common import table, with_rows, written
+from vitrine.llm.segments import WINDOWS, Plan, blocks, byte_hashes, content_id, covered, gram_hashes, mask_runs, met_more, met_windows, piece_runs, window_hashes
 from vitrine.llm.suffixes import Suffixes
 
 WIDTH, GRAM = 200, 32
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 17
 
 
 def longest_factors(contents: list[bytes], width: int, both: bool = True):
-    """(n, previous, next): windows of each content; for each window, in the order of the contents, the longest match with
-    an earlier and with a later position, 0 where it is under width (next is None unless both)."""
+    """(starts, previous, next): where each content starts among all bytes; for each byte, the longest match of what begins
+    there with an earlier and with a later position, 0 where it is under width (next is None unless both)."""
     lengths = np.fromiter(map(len, contents), np.int64, len(contents))
-    offsets = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+    offsets = np.cumsum(lengths) - lengths
     n = np.maximum(lengths - width + 1, 0)
     starts = np.repeat(offsets - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    found = [np.zeros(len(starts), np.int64) for _ in range(1 + both)]
     data = np.frombuffer(b"".join(contents), np.uint8)
+    found = [np.zeros(len(data), np.int32) for _ in range(1 + both)]
     hashes = gram_hashes(byte_hashes(data), width)[starts] if len(starts) else np.zeros(0, np.uint64)
     by_hash = np.argsort(hashes)
     equal = hashes[by_hash[1:]] == hashes[by_hash[:-1]]
@@ -47,67 +47,45 @@ def longest_factors(contents: list[bytes], width: int, both: bool = True):
         change = np.zeros(len(data) + 1, np.int32)
         np.add.at(change, starts[met], 1)
         np.add.at(change, starts[met] + width, -1)
-        inside = np.cumsum(change[:-1]) > 0
+        at = np.flatnonzero(np.cumsum(change[:-1]) > 0)
         cut = np.zeros(len(data), bool)  # a piece ends where a content does
         cut[offsets[lengths > 0]] = True
-        at = np.flatnonzero(inside)
         first = np.ones(len(at), bool)
         first[1:] = (np.diff(at) > 1) | cut[at[1:]]
-        heads = np.flatnonzero(first)
-        order = Suffixes(data[at], np.diff(np.append(heads, len(at))))
-        where = np.full(len(data), -1, np.int64)
-        where[at] = np.arange(len(at))
-        of_window = where[starts]
-        held = of_window >= 0
-        place = np.arange(len(at))
+        order = Suffixes(data[at], np.diff(np.append(np.flatnonzero(first), len(at))))
+        place = np.arange(len(at), dtype=np.int32)
         for out, value in zip(found, (place, -place)):
             length, _ = order.previous_factors(value, width)
-            length[length < width] = 0
-            out[held] = length[of_window[held]]
-    return n, found[0], found[1] if both else None
+            out[at] = np.where(length >= width, length, 0)
+    return offsets, found[0], found[1] if both else None
 
 
 def repeated_spans(rows: DataFrame, width: int = WIDTH, gram: int = GRAM, keep_first: bool = True) -> DataFrame:
     """row and spans (array of structs start, inner: runs of windows to remove, from start on) of the rows that lose bytes."""
     plan = Plan(rows, "bytes", width, gram, False)
-    flagged = checkpointed(plan.flagged())
+    flagged = plan.flagged()
 
     def compared(batches):
         import pandas as pd
 
         for block in blocks(batches, "deal", BLOCK_BYTES):
-            out, joined, owners = [], [], []
-            for _, g in block:
-                cold = 0
-                for i in np.lexsort((g["start"], g["doc"])):
-                    content = g["content"][i]
-                    owner = (g["key"][i], content_id(content), g["doc"][i], g["start"][i], g["count"][i])
-                    if g["hot"][i]:
-                        out.append((*owner, [], [], window_hashes(content, "bytes", width)))
-                    else:
-                        joined.append(content)
-                        owners.append(owner)
-                        cold += 1
-                if cold == 1 and not g["twice"][~g["hot"]][0]:  # nothing to compare it with
-                    joined.pop()
-                    owner = owners.pop()
-                    if owner[4] > 1:
-                        out.append((*owner, [], [], None))
-            if joined:
-                n, previous, following = longest_factors(joined, width, not keep_first)
-                later = previous > 0
-                every = later if keep_first else later | (following > 0)
-                ends = np.cumsum(n)
-                for owner, s, e in zip(owners, ends - n, ends):
-                    a, b = mask_runs(later[s:e]), mask_runs(every[s:e])
-                    if b or owner[4] > 1:
-                        out.append((*owner, a, b, None))
+            block = {c: v[np.lexsort((block["start"], block["doc"]))] for c, v in block.items()}
+            content, hot, count = block["content"], block["hot"].astype(bool), block["count"]
+            met = met_more(block)
+            starts, previous, following = longest_factors(list(content[met]), width, not keep_first)
+            later = piece_runs(previous > 0, starts)
+            every = later if keep_first else piece_runs((previous > 0) | (following > 0), starts)
+            number, out = np.cumsum(met) - 1, []
+            for i in np.flatnonzero(hot | met | (count > 1)).tolist():
+                j = number[i] if met[i] else -1
+                if hot[i] or count[i] > 1 or j in every:
+                    windows = window_hashes(content[i], "bytes", width) if hot[i] else None
+                    out.append((block["key"][i], content_id(content[i]), block["doc"][i], block["start"][i], count[i], later.get(j, []), every.get(j, []), windows))
             if out:
                 yield pd.DataFrame(out, columns=["key", "cid", "first_doc", "first_start", "count", "later", "every", "windows"])
 
     schema = f"key long, cid long, first_doc long, first_start int, count long, later array<int>, every array<int>, windows {WINDOWS}"
-    distinct = plan.distinct(flagged).select("deal", "key", "hot", "twice", "content", "doc", "start", "count")
-    found = checkpointed(distinct.mapInPandas(compared, schema))
+    found = written(plan.distinct(flagged).mapInPandas(compared, schema), "found")
     hot = found.where("windows is not null")
     met = met_windows(hot, F.struct("first_doc", F.col("first_start") + F.col("at")))
     none = F.array().cast("array<int>")
@@ -115,7 +93,7 @@ def repeated_spans(rows: DataFrame, width: int = WIDTH, gram: int = GRAM, keep_f
     hot = hot.select(*names).join(met, ["key", "cid"], "left").where("count > 1 or every is not null")
     hot = hot.withColumns({c: F.coalesce(c, none) for c in ("later", "every")})
     found = found.where("windows is null").drop("windows").unionByName(hot)
-    places = plan.segments(flagged, False).join(found, ["key", "cid"])
+    places = plan.places(flagged).join(found, ["key", "cid"])
     whole = F.array(F.lit(0), F.col("n"))
     if keep_first:
         first = (F.col("row") == F.col("first_doc")) & (F.col("start") == F.col("first_start"))
