@@ -53,6 +53,21 @@ def test_simhash_divides_large_shards(spark, monkeypatch):
     assert {i: got.get(i, i) for i in range(len(fps))} == dict(enumerate(least))
 
 
+def test_simhash_repeated_and_null_ids(spark):
+    """Rows without a doc_id are linked by their fingerprints like all others."""
+    texts = ["one two three four five six", "one two three four five six", "something else", "something else", "alone without id", ""]
+    ids = [None, 5, 3, 3, None, None]
+    got = simhash.simhash_groups(spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")).collect()
+    fps = [slow_fingerprint(t) for t in texts]
+    assert sorted((str(r["doc_id"]), r["fp"] % (1 << 64), str(r["component_id"])) for r in got) == sorted(zip(map(str, ids), fps, ["5", "5", "3", "3", "None", "None"]))
+
+
+def test_op1_query(spark, tmp_path):
+    spark.createDataFrame(ROWS, DOC).write.parquet(str(tmp_path / "documents.parquet"))
+    got = rows(simhash.op1_simhash(spark, str(tmp_path)))
+    assert {d: r["fingerprint"] for d, r in got.items()} == {d: f"{slow_fingerprint(t):016x}" for d, t, *_ in ROWS}
+
+
 def test_bk_tree_finds_what_a_scan_finds():
     import random
 
@@ -144,6 +159,17 @@ def test_cascade_order_changes_nothing(spark):
     assert sorted(quality.cascade_order(base, rules, 50)) == sorted(rules)
 
 
+def test_cascade_orders_by_rejection_per_cost(spark):
+    """A rule that rejects much goes before one that rejects little; a null rule rejects nothing; repeated rows are alike."""
+    from pyspark.sql import functions as F
+
+    base = quality.base_features(spark.createDataFrame(ROWS + ROWS[:5] + [(None, "x " * 30, None, None, 1)], DOC).select("doc_id", "text"))
+    rules = {"never": F.lit(None).cast("boolean"), "often": F.col("n_words") >= 0, "seldom": F.col("n_words") == 17}
+    assert quality.cascade_order(base, rules)[0] == "often"
+    judged = quality.quality_verdicts(base.select("doc_id", "text"), {"never": rules["never"]}).collect()
+    assert len(judged) == len(ROWS) + 6 and all(r["kept"] == (not r["base_failed"]) for r in judged)
+
+
 def test_bpe_is_tiktoken(spark):
     import tiktoken
 
@@ -221,6 +247,105 @@ def test_toxicity_on_held_out_labels(spark):
     assert all(abs(r["s"]["severity"]) <= 2 and 0 <= r["s"]["p_toxic"] <= 1 for r in held)
 
 
+def small_problem(rng):
+    rows = [(sorted(rng.sample(range(5), rng.randint(0, 3))), None) for _ in range(30)]
+    rows = [(c, [rng.uniform(0.5, 2) for _ in c]) for c, _ in rows]
+    grades = [min(2, sum(1 for x in c if x < 2) + (rng.random() < 0.2)) for c, _ in rows]
+    at = [i for i, (c, _) in enumerate(rows) for _ in c]
+    return rows, grades, at, [x for c, _ in rows for x in c], [x for _, v in rows for x in v]
+
+
+def slow_loss(p, rows, grades, ridge):
+    """The ordinal log loss, document by document, from its definition."""
+    from math import exp, log
+
+    w, theta = p[:5], [p[5], p[5] + exp(p[6])]
+    above = lambda eta, k: 1.0 if k < 0 else 0.0 if k > 1 else 1 / (1 + exp(theta[k] - eta))
+    total = 0.0
+    for (cols, vals), y in zip(rows, grades):
+        eta = sum(w[c] * v for c, v in zip(cols, vals))
+        total -= log(max(above(eta, y - 1) - above(eta, y), 1e-9))
+    return total / len(rows) + ridge / 2 * sum(x * x for x in w)
+
+
+def test_ordinal_loss_gradient_and_fit():
+    import random
+
+    import numpy as np
+
+    rng = random.Random(6)
+    for _ in range(5):
+        rows, grades, at, col, val = small_problem(rng)
+        args = (np.array(grades), np.array(at), np.array(col), np.array(val), 5)
+        p = np.array([rng.uniform(-1, 1) for _ in range(7)])
+        value, gradient = toxicity.loss(p, *args)
+        assert abs(value - slow_loss(p, rows, grades, toxicity.RIDGE)) < 1e-9
+        for i in range(7):
+            step = np.eye(7)[i] * 1e-5
+            slope = (slow_loss(p + step, rows, grades, toxicity.RIDGE) - slow_loss(p - step, rows, grades, toxicity.RIDGE)) / 2e-5
+            assert abs(slope - gradient[i]) < 1e-5
+        weights, theta = toxicity.fit_rows(rows, grades, 5, steps=3000)
+        found = np.array([*weights, theta[0], np.log(theta[1] - theta[0])])
+        q = p.copy()  # a plain descent with halved steps, as slow as it takes
+        rate = 1.0
+        for _ in range(20000):
+            v, g = toxicity.loss(q, *args)
+            while toxicity.loss(q - rate * g, *args)[0] > v - rate / 2 * (g @ g) and rate > 1e-12:
+                rate /= 2
+            q, rate = q - rate * g, min(rate * 2, 50.0)
+            if np.abs(g).max() < 1e-6:
+                break
+        assert toxicity.loss(found, *args)[0] < toxicity.loss(q, *args)[0] + 1e-3
+
+
+def test_op3_scores_are_the_formula(spark, sf):
+    """The registered query against its model's formula, text by text."""
+    from math import exp, log1p
+
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, labels)
+    got = rows(toxicity.op3_toxicity(spark, sf))
+    assert len(got) == docs.count()
+    for r in docs.collect():
+        words = [w for w in re.split(rb"[\x00-\x40\x5b-\x60\x7b-\x7f]+", r["text"].encode().lower()) if w]
+        eta = sum(v * log1p((words + [w[:6] + b"*" for w in words if len(w) > 6]).count(k)) for k, v in model.weights.items())
+        above = [1 / (1 + exp(t - eta)) for t in model.thresholds]
+        s = got[r["doc_id"]]
+        assert abs(s["severity"] - sum(above)) < 1e-9 and abs(s["p_toxic"] - above[0]) < 1e-9
+        assert s["grade"] == sum(x >= 0.5 for x in above) and s["toxic"] == (s["grade"] > 0)
+
+
+def test_telling_words(spark):
+    import random
+    from math import sqrt
+
+    rng = random.Random(8)
+    held = [(1, {w for w in range(30) if rng.random() < (0.5 if w < 3 else 0.1)}) for _ in range(60)] + [(0, {w for w in range(30) if rng.random() < 0.1}) for _ in range(200)]
+    df = spark.createDataFrame([(b"%d" % w, t) for t, ws in held for w in ws], "word binary, label int")
+    got = {bytes(r["word"]) for r in toxicity.telling(df, 60, 200).collect()}
+    want = set()
+    for w in range(30):
+        d1, d0 = (sum(w in ws for t, ws in held if t == x) for x in (1, 0))
+        share = (d1 + d0) / 260
+        if d1 + d0 >= toxicity.MIN_DOCS and abs(d1 / 60 - d0 / 200) >= toxicity.MIN_Z * sqrt(max(share * (1 - share), 1e-9) * (1 / 60 + 1 / 200)):
+            want.add(b"%d" % w)
+    assert got == want and want
+
+
+def test_toxicity_empty_and_repeated(spark):
+    from pyspark.sql import functions as F
+
+    empty = spark.createDataFrame([], DOC)
+    labels = spark.createDataFrame([(i, int(i % 4 == 1)) for i in range(40)], "doc_id long, toxic int")
+    assert toxicity.fit(empty, labels) == toxicity.NOTHING
+    assert empty.select(toxicity.scores(spark, toxicity.NOTHING, F.col("text")).alias("s")).count() == 0
+    given = [(i, "vile words here" if i % 4 == 1 else "kind words there", None, None, 1) for i in range(40)]
+    once, twice = (toxicity.fit(spark.createDataFrame(g, DOC), labels) for g in (given, given + given + [(None, "vile", None, None, 1)] * 3))
+    assert once == twice and once.weights
+    found = spark.createDataFrame([(None, "vile vile"), (1, None), (1, "kind")], "doc_id long, text string").select("text", toxicity.scores(spark, once, F.col("text")).alias("s"))
+    assert {r["text"]: r["s"]["toxic"] for r in found.collect()} == {"vile vile": True, None: False, "kind": False}
+
+
 def test_toxicity_without_labels_or_texts(spark):
     from pyspark.sql import functions as F
 
@@ -240,13 +365,37 @@ def test_empty_tables(spark):
 
 
 def test_digests_of_contract(spark, sf):
+    import tiktoken
+
     from vitrine.llm import registry
 
+    path, pattern = bpe.default_ranks()
+    want = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=bpe.tokenizer(path, pattern).ranks, special_tokens={})
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     for r in registry.queries()["op7_bpe"](spark, sf).collect():
+        ids = want.encode_ordinary(docs[r["doc_id"]])
+        assert r["n_tokens"] == len(ids) and r["ids_sha256"] == hashlib.sha256(b"".join(i.to_bytes(4, "little") for i in ids)).hexdigest()
         assert r["decoded_sha256"] == hashlib.sha256(docs[r["doc_id"]].encode()).hexdigest()
 
 
+def test_op9_query(spark, sf):
+    from vitrine.llm import registry
+
+    docs = {r["doc_id"]: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    sizes = defaultdict(int)
+    for r in docs.values():
+        sizes[r["source"]] += len(WORDS.findall(r["text"] or ""))
+    want, taken = slow_targets(sizes), Counter()
+    got = registry.queries()["op9_mixing"](spark, sf).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(docs)
+    for r in got:
+        source = docs[r["doc_id"]]["source"]
+        assert (r["size"], r["source_size"]) == (len(WORDS.findall(docs[r["doc_id"]]["text"] or "")), sizes[source])
+        assert abs(r["target"] - want[source]) < 1e-6 * max(1, r["target"]) and 0 <= r["taken"] <= 3 * r["size"]
+        taken[source] += r["taken"]
+    assert all(abs(taken[s] - want[s]) <= 1 for s in sizes)
+
+
 def repeated():
     """Rows that repeat a doc_id with the same and with other texts, and rows without one."""
     word = lambda i, n: " ".join(f"r{i}w{k}" for k in range(n))

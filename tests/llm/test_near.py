@@ -46,16 +46,41 @@ def near_copies():
     return rows
 
 
+def drawn(spark, rows):
+    return {r["doc_id"]: r["component_id"] for r in near_groups(spark.createDataFrame(rows, DOC)).collect()}
+
+
 def test_stage_finds_all_near_copies(spark, sf):
     rows = near_copies()
-    links, docs = pairs(rows), spark.createDataFrame(rows + [(None, rows[0][1], None, "a", 1)] * 2, DOC)
+    links = pairs(rows)
     want = heads(rows, links)
-    got = {r["doc_id"]: r["component_id"] for r in near_groups(docs).collect()}
+    got = drawn(spark, rows)
     found = sum(got[a] == got[b] for a, b in links)
     assert len(links) > 150 and found == len(links)  # recall 1
     assert got == want
-    kept = [r["doc_id"] for r in p.drop_near_duplicates(spark, docs, sf).collect()]
-    assert sorted(kept, key=str) == sorted([*{*want.values()}, None, None], key=str)
+    kept = [r["doc_id"] for r in p.drop_near_duplicates(spark, spark.createDataFrame(rows, DOC), sf).collect()]
+    assert sorted(kept) == sorted({*want.values()})
+
+
+def test_trees_and_groups_of_many_parts(spark, monkeypatch):
+    """Trees of a few nodes, sent to many groups of a few, find what one search finds."""
+    from vitrine.llm import near
+
+    monkeypatch.setattr(near, "TREE", 2)
+    monkeypatch.setattr(near, "PROBES", 3)
+    monkeypatch.setattr(near, "ROWS", 1)  # wide buckets that hold several groups
+    rows = near_copies()[45:]
+    assert drawn(spark, rows) == heads(rows, pairs(rows))
+
+
+def test_rows_that_repeat_or_lack_an_id(spark, sf):
+    """Each row is a document: of equal texts the row with the least doc_id stays, those without one come last."""
+    words = [" ".join(f"r{i}w{k}" for k in range(30)) for i in range(4)]
+    rows = [(5, words[0]), (5, words[0]), (5, words[1]), (2, words[1]), (None, words[1]), (None, words[2]), (None, words[2]), (9, words[3])]
+    docs = spark.createDataFrame([(d, t, "en", "a", 1) for d, t in rows], DOC)
+    kept = sorted((str(r["doc_id"]), r["text"]) for r in p.drop_near_duplicates(spark, docs, sf).collect())
+    assert kept == sorted([("5", words[0]), ("2", words[1]), ("None", words[2]), ("9", words[3])])
+    assert p.drop_near_duplicates(spark, docs.limit(0), sf).count() == 0
 
 
 def test_given_documents(spark, sf):

@@ -56,6 +56,60 @@ def test_nearest_is_exact(spark):
     assert ann.nearest(df.limit(0), df).count() == 0 and ann.nearest(df, df.limit(0)).count() == 0
 
 
+def test_nearest_beyond_squares(spark):
+    """Components whose squares leave the range of doubles, next to ordinary ones; repeated ids and candidates."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    vectors = [*(rng.normal(size=(15, 8)) * 1e200), *rng.normal(size=(9, 8)), *(rng.normal(size=(9, 8)) * 1e-200), *(rng.normal(size=(6, 8)) * 1e-160)]
+    given = [(i, v.tolist()) for i, v in enumerate(vectors)] + [(3, vectors[3].tolist()), (16, vectors[17].tolist())]
+    df = spark.createDataFrame(given, "vec_id long, embedding array<double>")
+    got: dict = {}
+    for r in ann.nearest(df.where("vec_id % 2 = 0"), df, 10).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    for q in range(0, len(vectors), 2):
+        own = min(v for i, v in given if i == q)
+        want = sorted((float(ann.distance(np.array([own]), np.array([v]))[0]), i) for i, v in given if i != q)[:10]
+        assert sorted(got[q]) == [(n + 1, i, s) for n, (s, i) in enumerate(want)]
+
+
+def test_nearest_over_many_cells(spark, monkeypatch):
+    monkeypatch.setattr(ann, "ROW_BYTES", 8 * 4 * 7)
+    monkeypatch.setattr(ann, "COLUMN_BYTES", 8 * 4 * 50)
+    rng = random.Random(9)
+    rows = [(i, [rng.randint(-3, 3) + 0.5 for _ in range(4)]) for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got: dict = {}
+    for r in ann.nearest(df.where("vec_id % 20 = 0"), df, 5).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+    for q in range(0, 400, 20):
+        near = sorted((sum((x - y) ** 2 for x, y in zip(rows[q][1], v)), i) for i, v in rows if i != q)[:5]
+        assert sorted(got[q]) == [(n + 1, i) for n, (_, i) in enumerate(near)]
+
+
+def test_chat_repeated_turns_and_long_conversation(spark):
+    """Rows of one turn stay side by side, in the order of role and text; a conversation is longer than an Arrow batch."""
+    rows = [(1, 0, "user", "a"), (1, 0, "user", "a"), (1, 1, "assistant", "<|im_end|>"), (1, 1, "assistant", "b")] + [(2, t, "user" if t % 2 == 0 else "assistant", f"t{t}") for t in range(12_000)]
+    got = {r["conv_id"]: r for r in chat.read_back(chat.format_chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()}
+    assert got[1]["n_turns"] == 4 and got[1]["loss_chars"] == len("<|im_end|>b")
+    whole = "".join(f"{r}\n{t}\n" for _, _, r, t in rows[4:])
+    assert got[2]["turns_sha256"] == hashlib.sha256(whole.encode()).hexdigest() and got[2]["n_turns"] == 12_000
+
+
+def test_warc_null_and_repeated_pages(spark, tmp_path):
+    rows = [(None, "http://a/", "same"), (None, "http://b/", "only null"), (4, "http://a/", "same"), (4, "http://a/", "same"), (4, "http://c/", "other"), (2, None, "same")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = sorted((str(r["page_id"]), r["payload_bytes"], r["record_type"], str(r["refers_to"])) for r in warc.op10_warc(spark, str(tmp_path)).collect())
+    want = [("None", 4, "revisit", "4"), ("None", 9, "response", "None"), ("4", 4, "response", "None"), ("4", 4, "response", "None"), ("4", 5, "response", "None"), ("2", 4, "revisit", "4")]
+    assert got == sorted(want)
+
+
+def test_attempts_write_files_of_their_own(spark, tmp_path):
+    pages = warc.with_revisits(spark.createDataFrame([(i, f"http://h{i % 3}/", f"p{i}") for i in range(20)], "page_id long, url string, html string"))
+    first, second = (warc.write_archives(pages, f"file://{tmp_path}").select("file").distinct().collect() for _ in range(2))
+    assert not {r["file"] for r in first} & {r["file"] for r in second}
+
+
 @pytest.mark.parametrize("block_lines", [1024, 3])
 def test_warc_round_trip(spark, tmp_path, monkeypatch, block_lines):
     monkeypatch.setattr(warc, "BLOCK_LINES", block_lines)

@@ -4,12 +4,15 @@ Queries and candidates are dealt into row and column groups of bounded size; eac
 cogroup. In a cell, tiles of int8 codes are multiplied (in float32, which is exact for codes up to MAX_DIM components),
 which gives distances between the decoded vectors; a vector's own quantisation error bounds each true distance from both
 sides. Only pairs whose lower bound is within the k-th least upper bound of their query are computed again, in double
-precision, and kept in a heap of k per query. The cells' heaps are merged per query. Nothing is lost: the bounds are
-strict, so the result is that of a full search.
+precision, and kept in a heap of k per query. The cells' heaps are merged per query by a heap as well. Nothing is lost:
+the bounds are strict, and pairs of vectors so large or small that their squares leave the range of doubles have no
+bounds and are all computed again, so the result is that of a full search. A cell's sizes follow from the bytes of its
+vectors.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components take no part, neither do rows
 without an id; vectors of another length than the query's are not near it; a query id that repeats is searched by its
-least vector; candidates that repeat are separate candidates; ties go to the smaller id.
+least vector; candidates that repeat are separate candidates; ties go to the smaller id; a distance over the range of
+doubles is infinite.
 """
 
 from __future__ import annotations
@@ -17,31 +20,39 @@ from __future__ import annotations
 import heapq
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.llm.common import fresh, table
+from vitrine.llm.common import fresh, groups, table
 
-ROW_GROUP, COLUMN_GROUP = 1 << 15, 1 << 17
+#: Bytes of a cell's queries and of its candidates, as doubles.
+ROW_BYTES, COLUMN_BYTES = 1 << 24, 1 << 26
+#: Largest component of vectors whose squares and products of squares are ordinary doubles.
+TAME = (1e-140, 1e140)
 QUERY_TILE, TILE = 512, 4096
 #: 127 * 127 * dim stays below 2**24.
 MAX_DIM = 1040
 
 
 def quantise(vectors):
-    """codes (float32 integers), scale and error for each row of a float64 matrix: |row - scale * codes| is error."""
-    scale = np.abs(vectors).max(axis=1) / 127
+    """codes (int8), scale and error for each row of a float64 matrix: |row - scale * codes| is error, infinite for vectors
+    that are not TAME, which are not coded."""
+    most = np.abs(vectors).max(axis=1)
+    tame = (most > TAME[0]) & (most < TAME[1])
+    vectors = np.where(tame[:, None], vectors, 1.0)
+    scale = np.where(tame, most, 1.0) / 127
     codes = np.rint(vectors / scale[:, None])
     error = np.sqrt(((vectors - codes * scale[:, None]) ** 2).sum(axis=1))
-    return codes.astype(np.int8), scale, error
+    return codes.astype(np.int8), scale, np.where(tame, error, np.inf)
 
 
 def distance(a, b):
     """Euclidean distance of rows, in double precision, the squares added in the order of the components."""
     total = np.zeros(len(a))
-    for j in range(a.shape[1]):
-        d = a[:, j] - b[:, j]
-        total += d * d
+    with np.errstate(over="ignore", under="ignore"):
+        for j in range(a.shape[1]):
+            d = a[:, j] - b[:, j]
+            total += d * d
     return np.sqrt(total)
 
 
@@ -71,7 +82,7 @@ def cell(queries, query_ids, rows, row_ids, k: int):
             if best.shape[1] > k:
                 best = np.partition(best, k - 1, axis=1)[:, :k]
             bound = best.max(axis=1) if best.shape[1] == k else np.full(len(q), np.inf)
-            qi, ci = np.nonzero(other & (near - slack <= bound[:, None]))
+            qi, ci = np.nonzero(other & (near - slack <= bound[:, None]))  # infinite slack: always
             for at in range(0, len(qi), 1 << 16):
                 a, b = qi[at : at + (1 << 16)], ci[at : at + (1 << 16)] + cs
                 for i, s, name in zip((a + qs).tolist(), distance(q[a], rows[b]).tolist(), row_ids[b].tolist()):
@@ -94,8 +105,10 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int = 10, vec_id: str = "vec
     cols = [F.col(f"`{vec_id}`").cast("long").alias("vec_id"), F.col(f"`{vector}`").cast("array<double>").alias("vector")]
     rows = rows.select(*cols).where(F.col("vec_id").isNotNull() & usable("vector"))
     queries = queries.select(*cols).where(F.col("vec_id").isNotNull() & usable("vector")).groupBy("vec_id").agg(F.min("vector").alias("vector"))
-    n_rows, n_queries = rows.count(), queries.count()
-    r, c = max(1, -(-n_queries // ROW_GROUP)), max(2 if n_rows > 2000 else 1, -(-n_rows // COLUMN_GROUP))
+    one = F.max(8 * F.size("vector"))
+    (n_rows, wide), (n_queries, long) = rows.agg(F.count("*"), one).first(), queries.agg(F.count("*"), one).first()
+    per_row, per_query = max(1, COLUMN_BYTES // (wide or 8)), max(1, ROW_BYTES // (long or 8))
+    r, c = max(1, -(-n_queries // per_query)), max(2 if n_rows > 2000 else 1, -(-n_rows // per_row))
     c = max(c, min(rows.sparkSession.sparkContext.defaultParallelism, n_rows // 2000))  # no fewer cells than there are cores
     dealt = lambda n: F.pmod(F.monotonically_increasing_id(), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
@@ -116,9 +129,16 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int = 10, vec_id: str = "vec
                     out += [(ids[i], name, s) for i, s, name in found]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
+    def merged(batches):
+        import pandas as pd
+
+        for query, g in groups(batches, "query_id"):
+            best = heapq.nsmallest(k, zip(g["score"].tolist(), g["vec_id"].tolist()))
+            yield pd.DataFrame([(query, i + 1, name, s) for i, (s, name) in enumerate(best)], columns=["query_id", "rank", "vec_id", "score"])
+
     found = left.groupBy("r", "c").cogroup(right.groupBy("r", "c")).applyInPandas(searched, "query_id long, vec_id long, score double")
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
+    # at most k rows of each query from each cell
+    return found.repartition("query_id").sortWithinPartitions("query_id").mapInPandas(merged, "query_id long, rank int, vec_id long, score double")
 
 
 def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

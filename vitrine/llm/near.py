@@ -1,13 +1,19 @@
-"""Near-duplicate groups: documents whose sets of five-word shingles have a Jaccard similarity of at least 0.8.
+"""SimHash near-duplicates at a similarity: sets of five-word shingles with a Jaccard similarity of at least 0.8.
 
-Documents with the same set are one class. BANDS fingerprints of ROWS permuted minima each give the candidates: two
-classes at similarity s agree in a band with probability s ** ROWS, so a pair at 0.8 is missed by all with 3e-6. Every
-candidate is confirmed on the texts themselves. In each band's bucket the least name is compared with all others; what
-this leaves in different components is then compared pair by pair, so no candidate is dropped and a large group of near
-copies costs no square of its size. Components come from star contraction.
+Two texts at 0.8 differ in a SimHash bit with probability 0.15 to 0.19, so a search needs a radius of RADIUS = 28 of 64
+bits to lose fewer than one pair in a million; blocks of the bits can't shard such a search, as they do for two bits. Shards
+are the buckets of BANDS fingerprints of ROWS permuted minima each: texts at similarity s share a bucket of a band with
+probability s ** ROWS, so a pair at 0.8 shares none with 3e-6. Within a bucket BK-trees over the SimHash fingerprints
+give the candidates, and every candidate is confirmed on the texts themselves.
+
+Texts with the same set are one node. First each bucket's tree is its least node alone, which connects a large group
+of copies at a cost in proportion to its size. What that leaves apart is then searched in full: the nodes outside the
+least one's component make trees of about TREE nodes each, and every tree is sent to all groups of about PROBES nodes of
+the bucket (a bounded broadcast), so no pair of different components is skipped. Components come from star contraction.
 
 Defined cases: words are split and lower-cased (A-Z) as in simhash; a text under five words is one shingle, a null or
-empty one the empty shingle; rows that repeat a doc_id are the same document; rows without a doc_id give no row.
+empty one the empty shingle; each row is a document of its own, also where doc_ids repeat or are null; the first of a
+group is the row with the least doc_id, nulls last; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -17,13 +23,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.llm.common import checkpointed, fresh
-from vitrine.llm.simhash import components
+from vitrine.llm.common import checkpointed, with_rows
+from vitrine.llm.simhash import BKTree, components, majority
 
 WORDS = 5
 #: Similarity 4 / 5, compared in integers.
 SHARE = (4, 5)
+RADIUS = 28
 BANDS, ROWS = 32, 5
+TREE, PROBES = 256, 4096
 CHUNK = 512
 #: The permutations are h -> odd * h + shift over 64 bits.
 _ODD, _SHIFT = (np.random.Generator(np.random.PCG64(s)).integers(0, 1 << 64, (BANDS * ROWS, 1), np.uint64, False) for s in (11, 12))
@@ -37,8 +45,8 @@ def shingles(text: str | None) -> set[bytes]:
     return set(map(b" ".join, zip(*(words[i:] for i in range(WORDS)))))
 
 
-def sketch(text: str | None) -> tuple[bytes, int, np.ndarray]:
-    """Digest of the set of shingles, their number, and the bands' fingerprints."""
+def sketch(text: str | None) -> tuple[bytes, int, int, np.ndarray]:
+    """Digest of the set of shingles, their number, their SimHash (signed) and the bands' fingerprints."""
     found = shingles(text)
     h = np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, len(found))
     h.sort()
@@ -47,7 +55,7 @@ def sketch(text: str | None) -> tuple[bytes, int, np.ndarray]:
         np.minimum(least, (h[at : at + CHUNK] * _ODD + _SHIFT).min(axis=1), out=least)
     rows = least.reshape(BANDS, ROWS)
     bands = np.fromiter((xxhash.xxh64_intdigest(r.tobytes(), i) for i, r in enumerate(rows)), np.uint64, BANDS)
-    return xxhash.xxh3_128_digest(h.tobytes()), len(found), bands.view(np.int64)
+    return xxhash.xxh3_128_digest(h.tobytes()), len(found), int(np.uint64(majority(h)).view(np.int64)), bands.view(np.int64)
 
 
 def near(a: set[bytes], b: set[bytes]) -> bool:
@@ -61,8 +69,8 @@ def _sketches(batches):
     for pdf in batches:
         for at in range(0, len(pdf), 1000):
             part = pdf.iloc[at : at + 1000]
-            rows = [(d, *sketch(t)) for d, t in zip(part["doc_id"], part["t"])]
-            yield pd.DataFrame(rows, columns=["doc_id", "digest", "n", "bands"])
+            rows = [(d, *sketch(t)) for d, t in zip(part["row"], part["t"])]
+            yield pd.DataFrame(rows, columns=["row", "digest", "n", "fp", "bands"])
 
 
 def _confirmed(batches):
@@ -80,38 +88,86 @@ def _confirmed(batches):
             yield pd.DataFrame(out, columns=["a", "b"])
 
 
-def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id and component_id, the least doc_id of its group, for each row of docs with a doc_id."""
-    read = fresh(docs, doc_id, text).toDF("doc_id", "t").where("doc_id is not null")
-    marked = checkpointed(read.mapInPandas(_sketches, "doc_id long, digest binary, n long, bands array<long>"))
-    classes = marked.groupBy("digest").agg(F.min("doc_id").alias("name"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+def _searched(batches):
+    """Candidates (a, b) of groups that begin with the nodes of a tree (probe false), followed by the nodes to look up."""
+    import pandas as pd
+
+    group, tree, held = None, BKTree(), []
+    for pdf in batches:
+        out = []
+        names = ["group", "probe", "name", "n", "fp", "component", "main"]
+        for g, probe, name, n, fp, component, main in zip(*(pdf[c].tolist() for c in names)):
+            if g != group:
+                group, tree, held = g, BKTree(), []
+            fp %= 1 << 64
+            if not probe:
+                at = tree.add(fp)
+                if at == len(held):
+                    held.append([])
+                held[at].append((name, n, component))
+                continue
+            for at in tree.near(fp, RADIUS):
+                for other, m, theirs in held[at]:
+                    # two nodes outside the least one's component meet in both directions
+                    if theirs != component and (main or name < other) and SHARE[1] * min(n, m) >= SHARE[0] * max(n, m):
+                        out.append((name, other))
+        if out:
+            yield pd.DataFrame(out, columns=["a", "b"])
+
+
+def candidates(placed: DataFrame) -> DataFrame:
+    """Pairs (a, b) within RADIUS and of different components, of nodes (key, name, n, fp, component) with a common key."""
+    least = F.min_by("component", "name")
+    apart = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), least.alias("home"), F.count("*").alias("size")).where("lo < hi")
+    nodes = placed.join(apart.select("key", "home", "size"), "key").withColumn("main", F.col("component") == F.col("home"))
+    outside = nodes.where("not main").groupBy("key").agg(F.count("*").alias("outside"))
+    nodes = checkpointed(nodes.join(outside, "key"))
+    trees, groups = F.ceil(F.col("outside") / TREE).cast("int"), F.ceil(F.col("size") / PROBES).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    own = lambda n, seed: F.pmod(F.xxhash64("name", F.lit(seed)), n).cast("int")
+    in_tree = nodes.where("not main").select("*", own(trees, 1).alias("tree"), every(groups).alias("part"), F.lit(False).alias("probe"))
+    probes = nodes.select("*", every(trees).alias("tree"), own(groups, 2).alias("part"), F.lit(True).alias("probe"))
+    sent = in_tree.unionByName(probes).select(F.xxhash64("key", "tree", "part").alias("group"), "probe", "name", "n", "fp", "component", "main")
+    return sent.repartition("group").sortWithinPartitions("group", "probe").mapInPandas(_searched, "a long, b long")
+
+
+def near_rows(rows: DataFrame) -> DataFrame:
+    """row and component, the least row of its group, for each of rows (row, t)."""
+    marked = checkpointed(rows.select("row", "t").mapInPandas(_sketches, "row long, digest binary, n long, fp long, bands array<long>"))
+    classes = marked.groupBy("digest").agg(F.min("row").alias("name"), *(F.first(c).alias(c) for c in ("n", "fp", "bands")))
 
     # the buckets of each band that hold more than one class
-    hits = checkpointed(classes.select("name", "n", F.explode("bands").alias("key")))
-    full = hits.groupBy("key").agg(F.min(F.struct("name", "n")).alias("least"), F.count("*").alias("size")).where("size > 1").drop("size")
+    hits = checkpointed(classes.select("name", "n", "fp", F.explode("bands").alias("key")))
+    full = hits.groupBy("key").agg(F.min(F.struct("name", "n", "fp")).alias("least"), F.count("*").alias("size")).where("size > 1").drop("size")
     members = checkpointed(hits.join(full, "key"))
-    texts = read.join(members.select(F.col("name").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    texts = checkpointed(texts.dropDuplicates(["doc_id", "t"]))
+    texts = checkpointed(rows.select("row", "t").join(members.select(F.col("name").alias("row")).distinct(), "row", "left_semi"))
 
     def confirmed(pairs):
-        """The pairs (a, b) that are near; sizes too far apart never are."""
-        small, large = F.least("n", "m"), F.greatest("n", "m")
-        pairs = pairs.where((F.col("a") != F.col("b")) & (SHARE[1] * small >= SHARE[0] * large)).select("a", "b").distinct()
-        pairs = pairs.join(texts.toDF("b", "tb"), "b").join(texts.toDF("a", "ta"), "a")
+        """The pairs (a, b) whose texts are near."""
+        pairs = pairs.select("a", "b").distinct().join(texts.toDF("b", "tb"), "b").join(texts.toDF("a", "ta"), "a")
         return checkpointed(pairs.select("a", "b", "ta", "tb").mapInPandas(_confirmed, "a long, b long"))
 
-    links = confirmed(members.select(F.col("least.name").alias("a"), F.col("name").alias("b"), F.col("least.n").alias("n"), F.col("n").alias("m")))
-    joined = components(links)
-
-    # what the least of a bucket didn't connect
-    placed = members.select("key", "name", "n").join(joined, "name", "left").withColumn("component", F.coalesce("component", "name"))
-    apart = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(F.struct("name", "n")).alias("least")).where("lo < hi")
-    rest = checkpointed(placed.join(apart.select("key", "least"), "key"))
-    rest = rest.where(F.struct("name", "n") > F.col("least"))
-    one = rest.select("key", F.col("name").alias("a"), "n", F.col("component").alias("ca"))
-    two = rest.select("key", F.col("name").alias("b"), F.col("n").alias("m"), F.col("component").alias("cb"))
-    more = confirmed(one.join(two, "key").where(f"a < b and ca <> cb and {SHARE[1]} * least(n, m) >= {SHARE[0]} * greatest(n, m)"))
-    joined = components(links.unionByName(more))
-
-    names = classes.select("digest", "name").join(joined, "name", "left").select("digest", F.coalesce("component", "name").alias("component_id"))
-    return marked.select("doc_id", "digest").join(names, "digest").select("doc_id", "component_id")
+    small, large = F.least("n", "least.n"), F.greatest("n", "least.n")
+    to_least = (F.col("name") != F.col("least.name")) & (SHARE[1] * small >= SHARE[0] * large) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("least.fp"))) <= RADIUS)
+    links = confirmed(members.where(to_least).select(F.col("least.name").alias("a"), F.col("name").alias("b")))
+    placed = members.select("key", "name", "n", "fp").join(components(links), "name", "left").withColumn("component", F.coalesce("component", "name"))
+    joined = components(links.unionByName(confirmed(candidates(placed))))
+
+    names = classes.select("digest", "name").join(joined, "name", "left").select("digest", F.coalesce("component", "name").alias("component"))
+    return marked.select("row", "digest").join(names, "digest").select("row", "component")
+
+
+def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """doc_id, component_id (the doc_id of its group's first row) and first (whether it is that row) for each row of docs."""
+    rows, _ = with_rows(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("t")))
+    found = near_rows(rows).join(rows.select("row", "doc_id"), "row")
+    firsts = found.where("row = component").select("component", F.col("doc_id").alias("component_id"))
+    return found.join(firsts, "component").select("doc_id", "component_id", (F.col("row") == F.col("component")).alias("first"))
+
+
+def drop_near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """The first row of each group, with the columns of docs."""
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole")
+    rows, _ = with_rows(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("t"), whole))
+    stay = near_rows(rows).where("row = component").select("row")
+    return rows.join(stay, "row", "left_semi").select("whole.*")

@@ -8,8 +8,8 @@ radius only. Trees reach their queries by the shuffle on the shard, since all tr
 shard gives a spanning forest of its links, never all pairs; components then come from star contraction.
 
 Defined cases: a null or empty text, or one without words, has fingerprint zero; equal fingerprints are one node; rows
-that repeat a doc_id are the same document; a null doc_id takes part in no link and has a null component unless others
-share its fingerprint. Other columns of the input are not looked at.
+that repeat a doc_id give a row each, linked by their own fingerprints; rows without a doc_id are linked like any other and
+have a null component only if no document of their component has a doc_id. Other columns of the input are not looked at.
 """
 
 from __future__ import annotations
@@ -37,6 +37,11 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     else:
         n = len(words) - shingle + 1
         hashes = np.fromiter((h(join(w), 42) for w in zip(*(words[i:] for i in range(shingle)))), np.uint64, n)
+    return majority(hashes)
+
+
+def majority(hashes) -> int:
+    """Unsigned 64-bit number whose bits are set in over half of the hashes."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), CHUNK):
         part = hashes[at : at + CHUNK].view(np.uint8).reshape(-1, 8)
@@ -173,10 +178,11 @@ def simhash_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
     read = fresh(docs, doc_id, text).toDF("doc_id", "t")
     fp = checkpointed(read.mapInPandas(prints, "doc_id long, fp long"))
-    classes = fp.groupBy("fp").agg(F.min("doc_id").alias("name"))
-    found = components(links(classes.where("name is not null"), radius))
-    classes = classes.join(found, "name", "left").select("fp", F.coalesce("component", "name").alias("component_id"))
-    return fp.join(classes, "fp").select("doc_id", "fp", "component_id")
+    classes = fp.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    found = components(links(classes.select("fp", F.col("fp").alias("name")), radius)).withColumnRenamed("name", "fp")
+    classes = classes.join(found, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    ids = classes.groupBy("component").agg(F.min("least").alias("component_id"))
+    return fp.join(classes.join(ids, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

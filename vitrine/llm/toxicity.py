@@ -6,12 +6,14 @@ word, shared by all thresholds: P(grade > k) = sigmoid(x w - threshold_k) with r
 log(1 + count) of the vocabulary's words and stems. A document's expected severity is the sum of P(grade > k); its grade is the
 number of thresholds that it passes with P >= 0.5, and it is toxic from grade 1 on.
 
-The model is fitted on at most SAMPLE_DOCS labelled documents, those whose ids hash lowest, with at most VOCABULARY words;
-both are parameters, and both bound what the driver holds. Scoring reads every document whole.
+The model is fitted on at most SAMPLE_DOCS labelled documents (a parameter), those whose ids hash lowest. Spark counts their
+words and picks the telling ones; only these, and their counts in the sample, come to the driver. Scoring reads every
+document whole.
 
 Defined cases: null or empty text has no features and takes the grade of the thresholds alone; labels that are null or of
-documents that are not there are left out; without any toxic label, or any telling word, nothing is toxic; words are the runs between ASCII
-punctuation, digits and blanks, A-Z lower-cased.
+documents that are not there are left out, and of a doc_id's labels the largest counts; without any toxic label, or any
+telling word, nothing is toxic; rows that repeat a doc_id, or have none, are scored by their own texts, and in the sample
+the least text of a doc_id stands for it; words are the runs between ASCII punctuation, digits and blanks, A-Z lower-cased.
 """
 
 from __future__ import annotations
@@ -27,8 +29,7 @@ from pyspark.sql import functions as F
 from vitrine.llm.common import checkpointed, table
 
 SAMPLE_DOCS = 6000
-VOCABULARY = 1 << 15
-#: A word of the vocabulary is in at least MIN_DOCS documents of the sample, and its share of toxic documents differs from
+#: A telling word is in at least MIN_DOCS documents of the sample, and its share of toxic documents differs from
 #: its share of the others by MIN_Z standard errors at least: labels hold noise, which rare words would learn by heart.
 MIN_DOCS, MIN_Z = 4, 4.0
 PREFIX = 6
@@ -68,35 +69,46 @@ class Model:
 NOTHING = Model({}, [50.0, 51.0])
 
 
-def fit_rows(rows: list[tuple[list[int], list[float]]], grades, n_words: int, n_grades: int = 3):
-    """Weights and rising thresholds that minimise the ordinal log loss with a ridge on the weights (Adam, full batches)."""
+def unpacked(p, n_words: int):
+    """Weights, rising thresholds and their gaps, of parameters: weights, first threshold, logarithms of the gaps."""
+    gaps = np.exp(p[n_words + 1 :])
+    return p[:n_words], np.concatenate([p[n_words : n_words + 1], p[n_words] + np.cumsum(gaps)]), gaps
+
+
+def loss(p, y, at, col, val, n_words: int):
+    """Mean ordinal log loss with a ridge on the weights, and its gradient by the parameters.
+
+    Document i has the grade y[i]; its features are those entries of (col, val) whose at is i."""
+    w, theta, gaps = unpacked(p, n_words)
+    n, k = len(y), len(theta)
+    eta = np.bincount(at, w[col] * val, n)
+    upper = np.concatenate([np.ones((n, 1)), sigmoid(eta[:, None] - theta[None, :]), np.zeros((n, 1))], axis=1)
+    a, b = upper[np.arange(n), y], upper[np.arange(n), y + 1]
+    like = np.maximum(a - b, 1e-9)
+    da, db = a * (1 - a) / like, b * (1 - b) / like  # of log likelihood by eta, through either bound
+    g_eta = -(da - db) / max(n, 1)
+    g_theta = np.array([(da[y == j + 1].sum() - db[y == j].sum()) / max(n, 1) for j in range(k)])
+    by_gap = [g_theta[j + 1 :].sum() * gaps[j] for j in range(k - 1)]
+    gradient = np.concatenate([np.bincount(col, g_eta[at] * val, n_words) + RIDGE * w, [g_theta.sum()], by_gap])
+    return -np.log(like).sum() / max(n, 1) + RIDGE / 2 * (w @ w), gradient
+
+
+def fit_rows(rows: list[tuple[list[int], list[float]]], grades, n_words: int, n_grades: int = 3, steps: int = STEPS):
+    """Weights and rising thresholds that minimise the loss (Adam, full batches)."""
     y = np.asarray(grades)
     at = np.repeat(np.arange(len(rows)), [len(i) for i, _ in rows])
     col = np.concatenate([np.asarray(i, np.int64) for i, _ in rows] or [np.zeros(0, np.int64)])
     val = np.concatenate([np.asarray(v, float) for _, v in rows] or [np.zeros(0)])
-    k = n_grades - 1
-    share = np.clip([(y > j).mean() if len(y) else 0 for j in range(k)], 1e-4, 1 - 1e-4)
+    share = np.clip([(y > j).mean() if len(y) else 0 for j in range(n_grades - 1)], 1e-4, 1 - 1e-4)
     start = np.log((1 - share) / share)
-    # a rising sequence: the first threshold, then logarithms of the gaps
     p = np.concatenate([np.zeros(n_words), start[:1], np.log(np.maximum(np.diff(start), 0.1))])
     m, v = np.zeros_like(p), np.zeros_like(p)
-    for step in range(1, STEPS + 1):
-        w, gaps = p[:n_words], np.exp(p[n_words + 1 :])
-        theta = np.concatenate([p[n_words : n_words + 1], p[n_words] + np.cumsum(gaps)])
-        eta = np.bincount(at, w[col] * val, len(rows))
-        upper = np.concatenate([np.ones((len(rows), 1)), sigmoid(eta[:, None] - theta[None, :]), np.zeros((len(rows), 1))], axis=1)
-        a, b = upper[np.arange(len(rows)), y], upper[np.arange(len(rows)), y + 1]
-        like = np.maximum(a - b, 1e-9)
-        da, db = a * (1 - a) / like, b * (1 - b) / like  # of log likelihood by eta, through either bound
-        g_eta = -(da - db) / max(len(rows), 1)
-        g_theta = np.zeros(k)
-        for j in range(k):
-            g_theta[j] = (da[y == j + 1].sum() - db[y == j].sum()) / max(len(rows), 1)
-        g = np.concatenate([np.bincount(col, g_eta[at] * val, n_words) + RIDGE * w, [g_theta.sum()], [g_theta[j + 1 :].sum() * gaps[j] for j in range(k - 1)]])
+    for step in range(1, steps + 1):
+        _, g = loss(p, y, at, col, val, n_words)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         p = p - RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    gaps = np.exp(p[n_words + 1 :])
-    return p[:n_words], [float(p[n_words]), *(p[n_words] + np.cumsum(gaps)).tolist()]
+    weights, theta, _ = unpacked(p, n_words)
+    return weights, theta.tolist()
 
 
 def _document_counts(rows, toxic, n_words: int):
@@ -107,13 +119,14 @@ def _document_counts(rows, toxic, n_words: int):
     return df
 
 
-def telling(rows, toxic, n_words: int) -> list[int]:
-    """Words whose share of toxic documents differs from their share of others by MIN_Z standard errors."""
-    toxic = np.asarray(toxic, bool)
-    df, n1, n0 = _document_counts(rows, toxic, n_words), toxic.sum(), (~toxic).sum()
-    share = df.sum(axis=0) / max(len(rows), 1)
-    error = np.sqrt(np.maximum(share * (1 - share), 1e-9) * (1 / max(n1, 1) + 1 / max(n0, 1)))
-    return np.flatnonzero(np.abs(df[1] / max(n1, 1) - df[0] / max(n0, 1)) >= MIN_Z * error).tolist()
+def telling(words: DataFrame, n_toxic: int, n_clean: int) -> DataFrame:
+    """Of words (word, label: a row for each document that holds it), those in MIN_DOCS documents at least whose share of
+    toxic documents differs from their share of others by MIN_Z standard errors."""
+    counts = words.groupBy("word").agg(F.count_if(F.col("label") > 0).alias("d1"), F.count_if(F.col("label") <= 0).alias("d0")).where(f"d1 + d0 >= {MIN_DOCS}")
+    n1, n0 = max(n_toxic, 1), max(n_clean, 1)
+    share = (F.col("d1") + F.col("d0")) / max(n_toxic + n_clean, 1)
+    error = F.sqrt(F.greatest(share * (1 - share), F.lit(1e-9)) * (1 / n1 + 1 / n0))
+    return counts.where(F.abs(F.col("d1") / n1 - F.col("d0") / n0) >= MIN_Z * error).select("word")
 
 
 def grade_of(rows, toxic, n_words: int) -> list[int]:
@@ -127,8 +140,8 @@ def grade_of(rows, toxic, n_words: int) -> list[int]:
     return [0 if not t else 2 if h > middle else 1 for t, h in zip(toxic, hits)]
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, vocabulary: int = VOCABULARY) -> Model:
-    """The model of at most sample_docs labelled documents and vocabulary words."""
+def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
+    """The model of at most sample_docs labelled documents."""
     picked = labels.select("doc_id", F.col("toxic").cast("int").alias("label")).dropna().groupBy("doc_id").agg(F.max("label").alias("label"))
     picked = picked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
 
@@ -139,11 +152,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, voca
             found = [Counter(features(t)) for t in pdf["text"]]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "label": pdf["label"], "words": [list(c) for c in found], "n": [list(c.values()) for c in found]})
 
-    sample = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    sample = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
     sample = checkpointed(sample.mapInPandas(counted, "doc_id long, label int, words array<binary>, n array<int>"))
-    by_word = sample.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("docs")).where(F.col("docs") >= MIN_DOCS)
-    by_word = by_word.orderBy(F.desc("docs"), "word").limit(vocabulary)
-    known = [bytes(r["word"]) for r in by_word.collect()]
+    n_toxic, n_clean = sample.agg(F.count_if(F.col("label") > 0), F.count_if(F.col("label") <= 0)).first()
+    if not n_toxic:
+        return NOTHING
+    known = sorted(bytes(r["word"]) for r in telling(sample.select("label", F.explode("words").alias("word")), n_toxic, n_clean).collect())
+    if not known:
+        return NOTHING
     place = {w: i for i, w in enumerate(known)}
     at = docs.sparkSession.sparkContext.broadcast(place)
 
@@ -155,16 +171,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, voca
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "label": pdf["label"], "cols": [[c for c, _ in f] for f in found], "vals": [[v for _, v in f] for f in found]})
 
     rows = sample.mapInPandas(kept, "doc_id long, label int, cols array<int>, vals array<double>").collect()
-    rows.sort(key=lambda r: r["doc_id"])
+    rows.sort(key=lambda r: (r["doc_id"], r["cols"], r["vals"]))
     x, toxic = [(r["cols"], r["vals"]) for r in rows], [r["label"] > 0 for r in rows]
-    if not any(toxic):
-        return NOTHING
-    chosen = telling(x, toxic, len(known))
-    if not chosen:
-        return NOTHING
-    place = {c: i for i, c in enumerate(chosen)}
-    known = [known[c] for c in chosen]
-    x = [([place[c] for c in cols if c in place], [v for c, v in zip(cols, vals) if c in place]) for cols, vals in x]
     weights, thresholds = fit_rows(x, grade_of(x, toxic, len(known)), len(known))
     return Model({w: float(v) for w, v in zip(known, weights) if abs(v) > 1e-6}, thresholds)
 

@@ -7,8 +7,9 @@ block), so no directory of all blocks is ever in one place. Reading: a query fin
 (one for each partition), its block by binary search in that part's directory, reads that block's range only, finds its
 lines by binary search again, and the archives are then read by ranges, in the order of their offsets.
 
-Files are opened through pyarrow's file systems under the folder in spark.checkpoint.dir; a task writes under a name of
-its own and renames it when done, so a task that is tried again replaces whole files by equal ones.
+Files are opened through pyarrow's file systems under the folder in spark.checkpoint.dir. Every attempt of a task writes
+files of its own names, and the rows that it gives name them; so a task that is tried again, or twice at once, never
+changes a file that other rows point to, and files of lost attempts are never read.
 
 Defined cases: null html is an empty payload; a null URL has the key of an empty one; pages that repeat a page_id are
 captures of their own, and the response among equal payloads is the largest page_id; a null page_id is a capture but
@@ -87,14 +88,16 @@ def _open(folder: str):
     return fs.FileSystem.from_uri(folder)
 
 
-def _publish(folder: str, name: str, write) -> None:
-    """Writes a file under a name of this attempt's own and then gives it its name."""
+def _write(folder: str, name: str, write) -> None:
     store, path = _open(folder)
     store.create_dir(path, recursive=True)
-    own = f"{path}/.{name}.{uuid.uuid4().hex}"
-    with store.open_output_stream(own) as out:
+    with store.open_output_stream(f"{path}/{name}") as out:
         write(out)
-    store.move(own, f"{path}/{name}")
+
+
+def _own_name(kind: str, ending: str) -> str:
+    """A file name that no other attempt of this or of another task has."""
+    return f"{kind}-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}{ending}"
 
 
 INDEX = "key string, page_id long, file string, offset long, length long"
@@ -106,7 +109,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     def written(batches):
         import pandas as pd
 
-        name, rows = f"pages-{TaskContext.get().partitionId():06d}.warc.gz", []
+        name, rows = _own_name("pages", ".warc.gz"), []
 
         def write(out):
             at = 0
@@ -119,7 +122,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
                     rows.append((url_key(url), page, name, at, len(member)))
                     at += len(member)
 
-        _publish(folder, name, write)
+        _write(folder, name, write)
         if rows:
             yield pd.DataFrame(rows, columns=["key", "page_id", "file", "offset", "length"]).astype({"page_id": "Int64"})
 
@@ -132,7 +135,7 @@ def write_index(captures: DataFrame, folder: str) -> DataFrame:
     def written(batches):
         import pandas as pd
 
-        name = f"index-{TaskContext.get().partitionId():06d}.cdxj.z"
+        name = _own_name("index", ".cdxj.z")
         found: dict = {}
 
         def write(out):
@@ -158,7 +161,7 @@ def write_index(captures: DataFrame, folder: str) -> DataFrame:
             out.write(z)
             found.update(first=bounds[0], last=bounds[1], at=at, length=len(z))
 
-        _publish(folder, name, write)
+        _write(folder, name, write)
         if found["first"] is not None:
             yield pd.DataFrame([{"part": name, **found}])
 
@@ -312,10 +315,11 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = "page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string"
     rows = spark.read.parquet(_kept(seen.mapInPandas(digested, schema), f"{folder}/seen"))
     responses = rows.where("record_type = 'response' and page_id is not null").select(F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("full"), F.col("payload_digest").alias("sum"))
-    responses = responses.dropDuplicates(["refers_to", "sum"])
-    revisits = rows.where("record_type = 'revisit'").join(responses, "refers_to").where(F.col("sum") == F.col("payload_digest"))
+    responses = responses.dropDuplicates(["refers_to", "sum"]).withColumnRenamed("sum", "payload_digest")
+    revisits = rows.where("record_type = 'revisit'").join(responses, ["refers_to", "payload_digest"], "left")
+    missing = F.raise_error(F.concat(F.lit("no response for the revisit of page "), F.coalesce(F.col("refers_to").cast("string"), F.lit("?")))).cast("long")
     names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
-    return rows.where("record_type = 'response'").select(*names).unionByName(revisits.withColumn("payload_bytes", F.col("full")).select(*names))
+    return rows.where("record_type = 'response'").select(*names).unionByName(revisits.withColumn("payload_bytes", F.coalesce("full", missing)).select(*names))
 
 
 def _kept(df: DataFrame, path: str) -> str:
