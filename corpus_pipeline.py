@@ -14,22 +14,21 @@ from vitrine.llm.common import new_folder, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents whose severity grade is over 0."""
+    """Without the rows whose severity grade is over 0; null text is empty, and each row is graded by its own text."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     scored = docs.withColumn("__toxicity", toxicity.scores(spark, model, F.col("text")))
     return scored.where(~F.col("__toxicity.toxic")).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of five-word similarity 0.8, once; rows without a doc_id stay."""
-    groups = near.near_groups(docs)
-    stay = groups.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    """The first row, by doc_id, of each group of five-word similarity 0.8; rows without a doc_id come last, and rows that
+    repeat one are documents of their own."""
+    return near.drop_near_copies(docs)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of repeated byte strings go, the first stays; n_chars follows the text."""
+    """Later copies of repeated byte strings go, the first stays; n_chars follows the text. Null text becomes empty, each row
+    is a document of its own."""
     others = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
     found = suffix_dedup.remove_repeats(docs, keep_first=True, as_text=True, carry=others)
     new = {"doc_id": F.col("doc_id"), "text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
@@ -57,7 +56,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of ids and of the decoded bytes, a row for each row of docs."""
+    """Token counts and digests of ids and of the decoded bytes, a row for each row of docs; null text is empty."""
     return bpe.encode_digests(docs, *bpe.default_ranks())
 
 
