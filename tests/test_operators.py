@@ -85,6 +85,15 @@ def test_sinks(spark, tmp_path):
     sinks.replace_partitions(spark.createDataFrame([(3, "b")], "v int, k string"), path, "k")
     assert values(spark.read.parquet(path), "v") == [(1,), (3,)]
     log = str(tmp_path / "log")
+    children, table = (lambda rows: spark.createDataFrame(rows, "parent int, child string")), str(tmp_path / "children")
+    sinks.replace_children(children([(1, "a"), (1, "b"), (2, "c"), (3, "d")]), children([(1, ""), (2, ""), (3, "")]), table, "parent", str(tmp_path / "s1"))
+    sinks.replace_children(children([(1, "e"), (9, "not asked for")]), children([(1, ""), (2, "")]), table, "parent", str(tmp_path / "s2"))
+    assert values(spark.read.parquet(table), "parent", "child") == [(1, "e"), (3, "d")]  # 2 has lost its child
+    items = lambda rows: spark.createDataFrame(rows, "id int, name string")
+    sinks.upsert_table(items([(i, f"n{i}") for i in range(200)]), str(tmp_path / "items"), "id", ["name"], str(tmp_path / "s3"))
+    sinks.upsert_table(items([(5, "new"), (300, "more"), (7, None)]), str(tmp_path / "items"), "id", ["name"], str(tmp_path / "s4"))
+    want = {i: f"n{i}" for i in range(200)} | {5: "new", 300: "more"}
+    assert dict(values(spark.read.parquet(str(tmp_path / "items")), "id", "name")) == want
     with sinks.run_log(spark, log, "s") as told:
         told["counts"]["new"] = 2
     try:
@@ -93,3 +102,85 @@ def test_sinks(spark, tmp_path):
     except ValueError:
         pass
     assert values(spark.read.parquet(log), "status", "counts", "error") == sorted([("completed", '{"new": 2}', None), ("failed", "{}", "no")])
+
+
+def test_profile_versions_are_immutable(spark):
+    import pytest
+
+    none = spark.createDataFrame([], "name string, version int, profile_hash string")
+    first = scoring.register_profile(none, "default", 1)
+    assert values(scoring.register_profile(first, "default", 1), "name", "version") == [("default", 1)]
+    other = scoring.DEFAULT_PROFILE[:-1] + (scoring.Dimension("has_declared_dependencies", "0.20", "count", "dependency", 2),)
+    with pytest.raises(ValueError):
+        scoring.register_profile(first, "default", 1, other)
+    assert values(scoring.register_profile(first, "default", 2, other), "version") == [(1,), (2,)]
+
+
+def test_confidence_falls_with_contradiction(spark):
+    rows = [(1, "license", "MIT", None), (1, "license", "ISC", None), (1, "test_indicator", None, None), (2, "license", "MIT", None), (2, "license", "unknown", None), (3, "license", None, None), (3, "license", "MIT", None)]
+    ev = spark.createDataFrame([(*r, f"e{i}") for i, r in enumerate(rows)], "version_id int, evidence_type string, spdx_id string, name string, evidence_id string")
+    facts = ev.groupBy("version_id").agg(*scoring.dimension_aggregates())
+    got = {r["version_id"]: float(r["confidence"]) for r in scoring.scorecards(facts).collect()}
+    assert got == {1: 0.2, 2: 0.2, 3: 0.0}  # 0.4 * (1 - 1 / 2); one known licence; null is a value of its own
+    versions = spark.createDataFrame([(1,), (2,), (3,), (4,)], "version_id int")
+    hashes = {r["version_id"]: r["computed_hash"] for r in scoring.result_hashes(versions, ev).collect()}
+    swapped = ev.withColumn("evidence_id", F.when(F.col("evidence_id") == "e2", "other").otherwise(F.col("evidence_id")))
+    again = {r["version_id"]: r["computed_hash"] for r in scoring.result_hashes(versions, swapped.repartition(5)).collect()}
+    assert [v for v in hashes if hashes[v] != again[v]] == [1] and len(hashes) == 4  # other evidence in equal number
+
+
+def test_fit_without_constraints_and_links(spark):
+    cons = spark.createDataFrame([(1, "required_interface", "Run", "x", None, None), (1, "license_allowlist", None, None, None, "mit"), (2, "license_allowlist", None, None, None, "isc,mit"), (2, "forbidden_dependency", "Foo", None, "PyPI", None),
+                                  (3, "colour", None, None, None, None), (3, "required_interface", " ", None, None, None)], "req_id int, kind string, name string, fragment string, ecosystem string, spdx_ids string")
+    ev = spark.createDataFrame([("e1", 10, "interface", None, "run", None, "run(x)"), ("e2", 10, "license", "MIT", None, None, None), ("e3", 20, "license", "GPL-3.0", None, None, None), ("e4", 20, "dependency", None, "foo", "pypi", None), ("e5", 20, "interface", None, "run", None, None)],
+                               "evidence_id string, version_id long, evidence_type string, spdx_id string, name string, ecosystem string, signature string")
+    reqs = spark.createDataFrame([(1,), (2,), (3,), (4,)], "req_id int")
+    cand = spark.createDataFrame([(10, "0.9"), (20, "0.8"), (30, "0.7")], "version_id long, s string").select("version_id", F.col("s").cast("decimal(18,3)").alias("intrinsic_score"))
+    pairs = fit.pairs(reqs, cons, fit.candidate_facts(cons, cand, ev))
+    scores = fit.fit_scores(pairs)
+    got = {(r["req_id"], r["version_id"]): (float(r["fit_score"]), r["blocking_gap_count"]) for r in scores.collect()}
+    assert got[1, 10] == (1, 0) and got[1, 20] == (0, 1) and got[2, 20] == (0, 2) and got[2, 10] == (1, 0) and got[2, 30] == (0.5, 1)
+    assert got[3, 10] == (0, 0) and all(got[4, v] == (1, 0) for v in (10, 20, 30))  # advisory gaps only; nothing asked for
+    assert values(fit.fit_links(cons, ev), "req_id", "version_id", "evidence_id", "role") == [
+        (1, 10, "e1", "supports_match"), (1, 10, "e2", "supports_match"), (1, 20, "e3", "documents_gap"), (2, 10, "e2", "supports_match"), (2, 20, "e3", "documents_gap"), (2, 20, "e4", "documents_gap")]
+    firsts = fit.best(scores)
+    assert values(firsts, "req_id", "version_id", "blocking_gap_count") == [(1, 10, 0), (2, 10, 0), (3, 10, 0), (4, 10, 0)]
+    assert {(r["req_id"], r["version_id"]) for r in fit.ranked(scores).where("rank = 1").collect()} == {(r, 10) for r in (1, 2, 3, 4)}
+    none = fit.recommend(reqs, firsts.limit(0), spark.createDataFrame([], "version_id long, pinned_revision long"))
+    assert {r["rule_name"] for r in none.collect()} == {"__no_candidates__"}
+
+
+def test_ranks_over_id_ranges(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(fit, "_ID_BUCKET", 7)
+    rng = random.Random(2)
+    rows = [(q, v, str(rng.choice(["0.5", "1.000"])), str(rng.choice(["0.25", "0.750"])), rng.randint(0, 1)) for q in (1, 2) for v in range(100)]
+    df = spark.createDataFrame(rows, "req_id int, version_id long, f string, i string, blocking_gap_count long")
+    df = df.select("req_id", "version_id", F.col("f").cast("decimal(6,3)").alias("fit_score"), F.col("i").cast("decimal(18,3)").alias("intrinsic_score"), "blocking_gap_count")
+    for q in (1, 2):
+        want = [v for _, v, *_ in sorted((r for r in rows if r[0] == q), key=lambda r: (r[4], -float(r[2]), -float(r[3]), r[1]))]
+        assert [r["version_id"] for r in fit.ranked(df).where(F.col("req_id") == q).orderBy("rank").collect()] == want
+        first = fit.best(df).where(F.col("req_id") == q).first()
+        r = next(x for x in rows if x[:2] == (q, want[0]))
+        assert (first["version_id"], float(first["fit_score"]), float(first["intrinsic_score"]), first["blocking_gap_count"]) == (want[0], float(r[2]), float(r[3]), r[4])
+
+
+def test_archives_give_a_row_for_what_they_refuse(spark):
+    import io
+    import tarfile
+
+    def packed(files):
+        buffer = io.BytesIO()
+        with tarfile.open(fileobj=buffer, mode="w:gz") as tar:
+            for name, data in files:
+                m = tarfile.TarInfo(name)
+                m.size = len(data)
+                tar.addfile(m, io.BytesIO(data))
+        return buffer.getvalue()
+
+    good = packed([("top/a.md", b"small"), ("top/b.bin", b"x" * 50)])
+    given = [("good", len(good), good), ("cut", 40, good[:40]), ("text", 4, b"text"), ("huge", 10_000, b"")]
+    rows = landed.archive_files(spark.createDataFrame(given, "path string, length long, content binary"), 20, 5000).collect()
+    got = sorted((r["archive"], str(r["path"]), r["outcome"]) for r in rows)
+    assert got == [("cut", "None", "broken"), ("good", "a.md", "ok"), ("good", "b.bin", "too_large"), ("huge", "None", "refused"), ("text", "None", "broken")]

@@ -44,17 +44,55 @@ def test_incremental_ingest(spark, landed, tmp_path):
         return new if old is None else registry.upsert(old, new, "run", ["last"]).drop("outcome")
 
     target = str(tmp_path / "table")
-    stream.ingest(stream.read_events(spark, landed), target, merge, str(tmp_path / "c"))
-    last = spark.read.parquet(f"{target}/2")
-    want = spark.read.parquet(landed).groupBy(F.col("user_id").alias("run")).agg(F.max("event_id").alias("last"))
-    assert last.count() == want.count()
-
-
-def test_expired_leases(spark, sf, landed, tmp_path):
-    """Every gap between two events of a run is found, and nothing that the batch form doesn't know."""
-    got = {(r["run"], r["expired_at"]) for r in stream.run_to_table(stream.expired_leases(stream.read_events(spark, landed), 3600), "leases", str(tmp_path)).collect()}
+    last = stream.ingest(stream.read_events(spark, landed), target, merge, str(tmp_path / "c"))
+    want = rows(spark.read.parquet(landed).groupBy(F.col("user_id").alias("run")).agg(F.max("event_id").alias("last")))
+    assert rows(spark.read.parquet(last)) == want
+    assert sorted(x.name for x in (tmp_path / "table").iterdir() if x.is_dir()) == ["0", "1"]
+
+
+def landing(spark, sf, path, order, n):
+    """The events in n files by time, written one after the other in the given order."""
+    import os
+
+    parts = spark.read.parquet(f"{sf}/events.parquet").toPandas().sort_values("ts").reset_index(drop=True)
+    os.makedirs(path)
+    for k, i in enumerate(order):
+        part = parts.iloc[len(parts) * i // n : len(parts) * (i + 1) // n]
+        file = f"{path}/part-{k:03d}.parquet"
+        part.to_parquet(file, index=False, coerce_timestamps="us")
+        os.utime(file, (1_700_000_000 + k, 1_700_000_000 + k))  # files are taken by their times
+
+
+def expected_leases(spark, sf, lease_ms, delay_ms):
+    """The leases whose end event time has passed, from the batch form's definition."""
+    log = view(spark, sf, "attempt").select("run", "step", (F.unix_micros(F.col("ts").cast("timestamp")) / 1000).cast("long").alias("at")).collect()
+    now, runs = max(r["at"] for r in log) - delay_ms, {}
+    for r in log:
+        runs.setdefault(r["run"], []).append((r["at"], r["step"]))
+    return sorted((run, step, at + lease_ms) for run, x in runs.items() for (at, step), after in zip(sorted(x), [*sorted(x)[1:], None]) if at + lease_ms < now and (after is None or after[0] - at > lease_ms))
+
+
+@pytest.mark.parametrize("order", ["in order", "neighbours swapped", "shuffled"])
+def test_expired_leases(spark, sf, tmp_path, order):
+    """Exactly the gaps of the log, whatever the order in which its files land within the watermark's delay."""
+    import random
+
+    n = 12
+    files = {"in order": list(range(n)), "neighbours swapped": [i ^ 1 for i in range(n)], "shuffled": random.Random(3).sample(range(n), n)}[order]
+    landing(spark, sf, str(tmp_path / "events"), files, n)
+    span = spark.read.parquet(f"{sf}/events.parquet").agg((F.unix_micros(F.max("ts").cast("timestamp")) - F.unix_micros(F.min("ts").cast("timestamp"))) / 1000).first()[0]
+    delay = {"in order": 60_000, "neighbours swapped": int(span / n * 2.5), "shuffled": int(span * 0.95)}[order]
+    leases = stream.expired_leases(stream.read_events(spark, str(tmp_path / "events")), 3600, f"{delay} milliseconds")
+    got = stream.run_to_table(leases, f"leases_{len(order)}", str(tmp_path / "c"))
+    want = expected_leases(spark, sf, 3_600_000, delay)
+    assert sorted(map(tuple, got.collect())) == want and want
+
+
+def test_leases_agree_with_the_batch_form(spark, sf):
+    """Gaps between events are the same in both forms."""
     log = view(spark, sf, "attempt")
-    ends = log.groupBy("run").agg(F.max("event_id").alias("end"))
     at = ((F.unix_micros(F.col("ts").cast("timestamp")) / 1000).cast("long") + 3_600_000).alias("at")
-    every = batch.expired_leases(log, 3600).join(ends, "run").select("run", at, (F.col("event_id") == F.col("end")).alias("last")).collect()
-    assert {(r["run"], r["at"]) for r in every if not r["last"]} <= got <= {(r["run"], r["at"]) for r in every}
+    every = {(r["run"], r["at"]) for r in batch.expired_leases(log, 3600).select("run", at).collect()}
+    ends = {(r["run"], r["at"]) for r in log.groupBy("run").agg(F.max("ts").alias("ts")).select("run", at).collect()}
+    want = {(run, x) for run, _, x in expected_leases(spark, sf, 3_600_000, 0)}
+    assert want <= every and every - ends <= want

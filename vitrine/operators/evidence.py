@@ -41,6 +41,7 @@ TEST_PATTERNS = (
     ("go", "go_test_file", r"_test\.go$"),
     ("rust", "rust_test_module", r"(^|/)tests/[^/]+\.rs$"),
 )
+#: Pattern name and pattern of a secret.
 SECRET_PATTERNS = (
     ("aws_access_key", r"\b((?:AKIA|ASIA)[0-9A-Z]{16})\b"),
     ("github_pat", r"\b(gh[pousr]_[A-Za-z0-9]{36,})\b"),
@@ -48,6 +49,7 @@ SECRET_PATTERNS = (
     ("assigned_token", r"(?i)\b(?:token|secret|password|api_key)\s*[=:]\s*\"([^\"\s]{12,})\""),
     ("slack_token", r"\b(xox[abprs]-[A-Za-z0-9-]{10,})\b"),
 )
+#: Names of licence and requirements files.
 LICENSE_FILE = r"(?i)^([^/]+/)?(LICEN[SC]E|COPYING|COPYRIGHT)([._-][^/]*)?$"
 REQUIREMENTS_FILE = r"(?i)(^|/)requirements([-_].+)?\.txt$"
 
@@ -162,15 +164,27 @@ def interfaces(files: DataFrame) -> DataFrame:
     return files.where(F.col("path").rlike(r"\.py$")).select("revision", "path", "content").mapInPandas(parsed, schema)
 
 
+#: Kinds of locators, and the languages whose lines are counted.
+LOCATOR_KINDS = ("file_range", "manifest_key", "whole_file")
+COUNTED_LANGUAGES = ("python", "javascript", "typescript", "go", "rust", "ruby", "java", "shell", "markdown", "yaml", "toml", "json", "sql", "html", "css")
+
+
 def bad_locators(found: DataFrame, index: DataFrame) -> DataFrame:
-    """found (run, extractor, revision, path, start_line, end_line) rows whose locator doesn't hold in index (revision, path, n_lines)."""
-    rows = found.join(index.select("revision", "path", "n_lines"), ["revision", "path"], "left")
+    """found (run, extractor, revision, path, locator_kind, start_line, end_line, key_path) rows whose locator has a wrong kind
+    or shape, or doesn't hold in index (revision, path, language, n_lines): the path must be there, and a line range must end
+    within the file where the lines of its language are counted."""
+    rows = found.join(index.select("revision", "path", F.lit(True).alias("_there"), F.when(F.col("language").isin(*COUNTED_LANGUAGES), F.col("n_lines")).alias("_lines")), ["revision", "path"], "left")
+    lines = F.col("locator_kind") == "file_range"
     reason = (
-        F.when(F.col("n_lines").isNull(), "path not in snapshot")
-        .when((F.col("start_line") < 1) | (F.col("end_line") < F.col("start_line")), "bad line range")
-        .when(F.col("end_line") > F.col("n_lines"), "line past end of file")
+        F.when(~F.coalesce(F.col("locator_kind").isin(*LOCATOR_KINDS), F.lit(False)), "invalid locator kind")
+        .when(F.col("path").isNull(), "locator without a path")
+        .when(lines & (F.col("start_line").isNull() | F.col("end_line").isNull()), "line range without its ends")
+        .when(lines & ((F.col("start_line") < 1) | (F.col("end_line") < F.col("start_line"))), "bad line range")
+        .when((F.col("locator_kind") == "manifest_key") & F.col("key_path").isNull(), "manifest key without its path")
+        .when(F.col("_there").isNull(), "path not in snapshot")
+        .when(lines & (F.col("end_line") > F.col("_lines")), "line past end of file")
     )
-    return rows.withColumn("violation", reason).where("violation is not null").drop("n_lines")
+    return rows.withColumn("violation", reason).where("violation is not null").drop("_there", "_lines")
 
 
 def stage_outcomes(found: DataFrame, bad: DataFrame) -> DataFrame:
@@ -180,6 +194,6 @@ def stage_outcomes(found: DataFrame, bad: DataFrame) -> DataFrame:
     return rows.select("run", "extractor", F.when(F.col("failed"), "failed").otherwise("succeeded").alias("status"), F.when(F.col("failed"), 0).otherwise(F.col("n")).cast("long").alias("n_items"))
 
 
-def not_done(revisions: DataFrame, completed: DataFrame, config: str) -> DataFrame:
-    """Revisions without a completed run under the configuration: the skip comes before any extraction."""
-    return revisions.join(completed.where(F.col("config") == config).select("revision").distinct(), "revision", "left_anti")
+def to_analyse(revisions: DataFrame, completed: DataFrame, config: str) -> DataFrame:
+    """Snapshotted revisions without a completed run under the configuration: the skip comes before any extraction."""
+    return revisions.where("snapshot_status = 'snapshotted'").join(completed.where((F.col("config") == config) & (F.col("status") == "succeeded")).select("revision_id").distinct(), "revision_id", "left_anti")

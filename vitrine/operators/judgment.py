@@ -19,6 +19,49 @@ def prompts(capability: DataFrame) -> DataFrame:
     return capability.select("id", text.alias("prompt"), F.sha2(text, 256).alias("prompt_hash"))
 
 
+LINK_TASK = "Do these two entries stand for the same component? Answer with same, confidence and rationale."
+SUPERSESSION_TASK = "Is this component retired, and what follows it? Answer with deprecated, confidence, successor and rationale."
+_NULLS = {"ignoreNullFields": "false"}
+
+
+def _summary(length: int) -> list[Column]:
+    described = F.left(F.coalesce("gemini_description", "description"), F.lit(length))
+    return [F.col("normalized_key").alias("key"), F.col("display_name"), described.alias("description")]
+
+
+def enrichment_prompts(capability: DataFrame) -> DataFrame:
+    """id, prompt and its hash: what is known of a component, a line for each field that isn't null."""
+    fields = {"normalized_key": F.col("normalized_key"), "display_name": F.col("display_name"), "component_kind": F.col("component_kind"), "existing_description": F.left("description", F.lit(400)), "topics": F.col("topics")}
+    text = F.concat_ws("\n", *(F.when(c.isNotNull(), F.concat(F.lit(f"{k}: "), c)) for k, c in fields.items()))
+    return capability.select("id", text.alias("prompt"), F.sha2(text, 256).alias("prompt_hash"))
+
+
+def supersession_prompts(capability: DataFrame) -> DataFrame:
+    """id, prompt (JSON) and its hash."""
+    text = F.to_json(F.struct(F.lit(SUPERSESSION_TASK).alias("task"), *_summary(800), F.col("topics")), _NULLS)
+    return capability.select("id", text.alias("prompt"), F.sha2(text, 256).alias("prompt_hash"))
+
+
+def link_prompts(pairs: DataFrame, capability: DataFrame) -> DataFrame:
+    """pairs (library_id, repo_id) with prompt (JSON) and its hash."""
+    key, name, described = _summary(400)
+    side = capability.select("id", F.struct(key, name, F.col("component_kind"), described).alias("c"))
+    rows = pairs.join(side.toDF("library_id", "a"), "library_id").join(side.toDF("repo_id", "b"), "repo_id")
+    text = F.to_json(F.struct(F.lit(LINK_TASK).alias("task"), "a", "b"), _NULLS)
+    return rows.select("library_id", "repo_id", text.alias("prompt"), F.sha2(text, 256).alias("prompt_hash"))
+
+
+def evidence_prompts(evidence: DataFrame) -> DataFrame:
+    """version_id, the number of lines and the hash of a version's prompt: a heading, then a line for each piece of evidence
+    by its id. Lines stream in order, so a version's evidence isn't gathered."""
+    head = F.concat(F.lit("Summarise version "), F.col("version_id").cast("string"), F.lit(" from this evidence:"))
+    heads = evidence.select("version_id").distinct().select("version_id", F.struct(F.lit(0).alias("part"), F.lit("").alias("id")).alias("place"), head.alias("line"))
+    line = F.concat(F.lit("- ["), "evidence_id", F.lit("] "), "evidence_type", F.lit(": "), "name")
+    rows = evidence.select("version_id", F.struct(F.lit(1).alias("part"), F.col("evidence_id").alias("id")).alias("place"), line.alias("line"))
+    lines = heads.unionByName(rows).withColumn("line", F.encode("line", "utf-8"))
+    return sha256_of_lines(lines, "version_id", "n_lines", "prompt_hash", b"\n")
+
+
 def conversation_prompts(turns: DataFrame) -> DataFrame:
     """conv_id, n_turns and the hash of its turns, in order, as role: text lines."""
     line = F.encode(F.concat_ws(": ", "role", "text"), "utf-8")

@@ -16,51 +16,45 @@ BROKER_TOPICS = ("celery", "airflow", "kafka", "rabbitmq", "cron", "scheduler")
 REMOTE_RUNTIMES = ("http_endpoint", "mcp_http", "mcp_sse")
 
 
-def gate_inputs(versions: DataFrame, evidence: DataFrame, binding: DataFrame, revision: DataFrame) -> DataFrame:
-    """One row for each version with what the four gates look at."""
-    of_type = lambda t: F.col("evidence_type") == t
-    facts = evidence.groupBy("version_id").agg(
-        F.array_sort(F.collect_set(F.when(of_type("license"), F.col("spdx_id")))).alias("spdx_ids"),
-        F.count_if(of_type("secret_indicator")).alias("n_secrets"),
-        F.count_if(of_type("setup_py_detected")).alias("n_setup_py"),
-    )
-    bound = binding.join(revision.select("revision_id", "content_hash"), "revision_id", "left")
-    bound = bound.groupBy("version_id").agg(F.count("*").alias("n_bindings"), F.count("content_hash").alias("n_hashed"))
-    out = versions.select("version_id").join(facts, "version_id", "left").join(bound, "version_id", "left")
-    return out.withColumn("spdx_ids", F.coalesce("spdx_ids", F.array().cast("array<string>"))).na.fill(0, ["n_secrets", "n_setup_py", "n_bindings", "n_hashed"])
-
-
-def license_gate() -> tuple[Column, Column]:
-    ids = F.col("spdx_ids")
-    ok = F.arrays_overlap(ids, F.array(*map(F.lit, ACCEPTABLE_LICENSES)))
-    status = F.when(ok, "pass").otherwise("fail")
-    reason = (
-        F.when(F.size(ids) == 0, "no license evidence found")
-        .when((F.size(ids) == 1) & F.array_contains(ids, "unknown"), "license file present but SPDX id unknown")
-        .when(ok, "acceptable license")
-        .otherwise("no acceptable license detected")
-    )
-    return status, reason
-
-
-def gate_results(inputs: DataFrame) -> DataFrame:
-    """version_id, gate_name, status, is_blocking, reason in long form."""
-    status, reason = license_gate()
+def gate_columns() -> list[Column]:
+    """A struct gate_name, status, is_blocking, reason, detail (JSON) for each gate, over scoring.version_facts."""
+    ids, allowed = F.col("spdx_ids"), F.array(*map(F.lit, ACCEPTABLE_LICENSES))
+    ok, none = F.arrays_overlap(ids, allowed), F.col("n_licenses") == 0
+    unknown = (F.size(ids) == 1) & F.array_contains(ids, "unknown")
     secrets, setup = F.col("n_secrets") > 0, F.col("n_setup_py") > 0
+    bare, count = F.lit("{}"), lambda c: F.struct(F.col(c).alias("count"))
+    told = F.struct(ids.alias("spdx_ids"))
+    refused = F.struct(ids.alias("spdx_ids"), F.array_sort(allowed).alias("allowlist"))
+    found = F.struct(F.col("n_secrets").alias("count"), F.col("secret_names").alias("patterns"))
     gates = {
-        "license_compatibility": (status, reason),
+        "license_compatibility": (
+            F.when(ok, "pass").otherwise("fail"),
+            F.when(none, "no license evidence found").when(unknown, "license file present but SPDX id unknown").when(ok, "acceptable license").otherwise("no acceptable license detected"),
+            F.when(none, bare).when(unknown | ok, F.to_json(told)).otherwise(F.to_json(refused)),
+        ),
         "critical_vulnerability": (
             F.when(secrets, "fail").otherwise("pass"),
             F.when(secrets, F.concat(F.col("n_secrets").cast("string"), F.lit(" secret indicator(s) in source"))).otherwise("no secret indicators found"),
+            F.when(secrets, F.to_json(found)).otherwise(bare),
         ),
         "missing_provenance": (
-            F.when((F.col("n_bindings") > 0) & (F.col("n_hashed") > 0), "pass").otherwise("fail"),
-            F.when(F.col("n_bindings") == 0, "no source binding").when(F.col("n_hashed") == 0, "no content hash").otherwise("binding and content hash present"),
+            F.when(F.col("has_binding") & F.col("has_hash"), "pass").otherwise("fail"),
+            F.when(~F.col("has_binding"), "no source binding").when(~F.col("has_hash"), "no content hash").otherwise("binding and content hash present"),
+            bare,
+        ),
+        "unsafe_declared_permissions": (
+            F.when(setup, "warn").otherwise("pass"),
+            F.when(setup, "setup.py present").otherwise("no opaque install-time code declared"),
+            F.when(setup, F.to_json(count("n_setup_py"))).otherwise(bare),
         ),
-        "unsafe_declared_permissions": (F.when(setup, "warn").otherwise("pass"), F.when(setup, "setup.py present").otherwise("no opaque install-time code declared")),
     }
-    rows = [F.struct(F.lit(g).alias("gate_name"), gates[g][0].alias("status"), F.lit(b).alias("is_blocking"), gates[g][1].alias("reason")) for g, b in GATES]
-    return inputs.select("version_id", F.explode(F.array(*rows)).alias("g")).select("version_id", "g.*")
+    names = ("status", "reason", "detail")
+    return [F.struct(F.lit(g).alias("gate_name"), F.lit(b).alias("is_blocking"), *(c.alias(n) for n, c in zip(names, gates[g]))) for g, b in GATES]
+
+
+def gate_results(facts: DataFrame) -> DataFrame:
+    """version_id, gate_name, is_blocking, status, reason, detail in long form."""
+    return facts.select("version_id", F.explode(F.array(*gate_columns())).alias("g")).select("version_id", "g.*")
 
 
 def valid_acceptances(acceptance: DataFrame) -> DataFrame:
@@ -68,42 +62,48 @@ def valid_acceptances(acceptance: DataFrame) -> DataFrame:
     return acceptance.where((F.trim("accepted_by") != "") & (F.trim("reason") != ""))
 
 
-def publication(versions: DataFrame, results: DataFrame, acceptance: DataFrame) -> DataFrame:
-    """version_id, allowed, blocking (sorted gate names) and warnings: unaccepted blocking failures, gates not evaluated and
-    registered gates without a row block; a version without any row is refused with nothing listed."""
-    accepted = valid_acceptances(acceptance).select("version_id", "gate_name").distinct().withColumn("accepted", F.lit(True))
-    rows = results.join(accepted, ["version_id", "gate_name"], "left")
-    blocks = ((F.col("status") == "fail") & F.col("is_blocking") & F.col("accepted").isNull()) | (F.col("status") == "not_evaluated")
-    per = rows.groupBy("version_id").agg(
-        F.collect_set(F.when(blocks, F.col("gate_name"))).alias("failed"),
-        F.collect_set("gate_name").alias("seen"),
-        F.array_sort(F.collect_set(F.when(F.col("status") == "warn", F.col("gate_name")))).alias("warnings"),
-    )
-    missing = F.array_except(F.array(*(F.lit(g) for g, _ in GATES)), "seen")
-    per = per.withColumn("blocking", F.array_sort(F.array_union("failed", missing)))
+def accepted_gates(acceptance: DataFrame) -> DataFrame:
+    """version_id and the set of its validly accepted gates."""
+    return valid_acceptances(acceptance).groupBy("version_id").agg(F.collect_set("gate_name").alias("accepted"))
+
+
+def verdict(gates: Column, accepted: Column) -> dict[str, Column]:
+    """allowed, blocking and warnings (sorted names) of an array of gate structs (null: no row): unaccepted blocking failures,
+    gates that weren't evaluated and registered gates without a row block; without any row nothing is listed."""
     empty = F.array().cast("array<string>")
-    out = versions.select("version_id").join(per, "version_id", "left")
-    allowed = F.col("seen").isNotNull() & (F.size("blocking") == 0)
-    return out.select("version_id", allowed.alias("allowed"), F.coalesce("blocking", empty).alias("blocking"), F.coalesce("warnings", empty).alias("warnings"))
+    gates_, accepted = F.coalesce(gates, F.array()), F.coalesce(accepted, empty)
+    named = lambda on: F.transform(F.filter(gates_, on), lambda g: g["gate_name"])
+    failed = named(lambda g: ((g["status"] == "fail") & g["is_blocking"] & ~F.array_contains(accepted, g["gate_name"])) | (g["status"] == "not_evaluated"))
+    missing = F.array_except(F.array(*(F.lit(g) for g, _ in GATES)), F.transform(gates_, lambda g: g["gate_name"]))
+    blocking = F.when(F.size(gates_) == 0, empty).otherwise(F.array_sort(F.array_union(failed, missing)))
+    return {"allowed": (F.size(gates_) > 0) & (F.size(blocking) == 0), "blocking": blocking, "warnings": F.array_sort(F.array_distinct(named(lambda g: g["status"] == "warn")))}
+
+
+def publication(versions: DataFrame, results: DataFrame, acceptance: DataFrame) -> DataFrame:
+    """version_id, allowed, blocking and warnings from stored gate rows, a few for each version."""
+    rows = results.groupBy("version_id").agg(F.collect_list(F.struct("gate_name", "status", "is_blocking")).alias("gates"))
+    out = versions.select("version_id").join(rows, "version_id", "left").join(accepted_gates(acceptance), "version_id", "left")
+    return out.select("version_id", *(c.alias(n) for n, c in verdict(F.col("gates"), F.col("accepted")).items()))
+
+
+def decided(facts: DataFrame, acceptance: DataFrame) -> DataFrame:
+    """facts with allowed, blocking and warnings, the gates folded within the row."""
+    rows = facts.join(accepted_gates(acceptance), "version_id", "left")
+    return rows.withColumns(verdict(F.array(*gate_columns()), F.col("accepted"))).drop("accepted")
 
 
-def guard_row(versions: DataFrame, cards: DataFrame, decisions: DataFrame, binding: DataFrame, revision: DataFrame, evidence: DataFrame) -> DataFrame:
-    """One row for each version with a boolean for each of the seven guards (true: passed)."""
-    card = cards.groupBy("version_id").agg(F.max("confidence").alias("confidence"))
+def guard_row(decided: DataFrame, revision: DataFrame, confidence: Column) -> DataFrame:
+    """version_id and a boolean for each of the seven guards (true: passed), from decided facts with a summary."""
     newest = revision.where("snapshot_status = 'snapshotted'").groupBy("asset_id").agg(F.max("identified_at").alias("newest"))
-    bound = binding.join(revision.select("revision_id", "asset_id", "identified_at"), "revision_id")
-    latest = bound.groupBy("version_id").agg(F.max_by("asset_id", "identified_at").alias("asset_id"), F.max("identified_at").alias("bound_at"))
-    latest = latest.join(newest, "asset_id", "left")
-    faces = evidence.where("evidence_type = 'interface'").select("version_id").distinct().withColumn("has_interface", F.lit(True))
-    out = versions.join(card, "version_id", "left").join(latest, "version_id", "left").join(decisions.select("version_id", "allowed"), "version_id", "left").join(faces, "version_id", "left")
+    out = decided.join(newest, "asset_id", "left")
     passed = {
         "current_revision": ~F.coalesce(F.col("newest") > F.col("bound_at"), F.lit(False)),
-        "required_scorecard": F.col("confidence").isNotNull(),
-        "confidence_threshold": F.coalesce(F.col("confidence"), F.lit(0)) >= CONFIDENCE_THRESHOLD,
+        "required_scorecard": confidence.isNotNull(),
+        "confidence_threshold": F.coalesce(confidence, F.lit(0)) >= CONFIDENCE_THRESHOLD,
         "no_blocking_gate": F.coalesce("allowed", F.lit(False)),
         "source_binding": F.col("bound_at").isNotNull(),
         "summary": F.coalesce(F.trim("summary") != "", F.lit(False)),
-        "interfaces": F.coalesce("has_interface", F.lit(False)),
+        "interfaces": F.coalesce(F.col("n_interfaces") > 0, F.lit(False)),
     }
     return out.select("version_id", *(passed[g].alias(g) for g in GUARDS))
 
@@ -162,16 +162,39 @@ def constraint_checks() -> dict[str, Column]:
 PASSING = ("ok", "unknown_cost", "no_ceiling", "unknown_license", "unknown_runtime", "unknown_constraint_kind")
 
 
+def constraint_details() -> dict[str, Column]:
+    """What a reason rests on, by reason; a reason that isn't listed has an empty detail."""
+    topics = F.split(F.coalesce(F.lower("topics"), F.lit("")), ",")
+    hits = lambda names: F.array_join(F.array_sort(F.array_distinct(F.array_intersect(topics, F.array(*map(F.lit, names))))), ",")
+    said = lambda *parts: F.concat(*(F.lit(x[1:]) if x[0] == "'" else F.coalesce(F.col(x).cast("string"), F.lit("")) for x in parts))
+    return {
+        "gpu_required": F.lit("requires_gpu is set"), "gpu_topic": F.concat(F.lit("topics "), hits(GPU_HINTS)), "requires_broker": F.concat(F.lit("topics "), hits(BROKER_TOPICS)),
+        "paid": said("'cost_tier=", "cost_tier"), "remote_runtime": said("'runtime=", "runtime"), "over_budget": said("'$", "monthly_cost_usd", "' > $", "amount_usd"),
+        "license_not_allowed": said("license_spdx", "' not in allowlist"), "license_denied": said("license_spdx", "' on denylist"), "unknown_license": F.lit("license_spdx missing"),
+        "runtime_not_allowed": said("runtime", "' not in allowlist"), "unknown_runtime": F.lit("runtime missing"), "kind_not_allowed": said("component_kind", "' not in allowlist"),
+        "unknown_cost": F.when(F.col("kind") == "must_be_free_tier", "cost_tier missing").otherwise("monthly_cost_usd missing"),
+    }
+
+
+#: Rows of configuration up to which project constraints are broadcast.
+BROADCAST_ROWS = 100_000
+
+
 def constraint_verdicts(capability: DataFrame, constraints: DataFrame) -> DataFrame:
-    """capability_id, project_id, kind, passed, reason of every component against every constraint of each project.
+    """capability_id, project_id, kind, passed, reason, detail of every component against every constraint of each project.
 
-    Constraints are small configuration and are joined by the planner's choice of a broadcast nested loop."""
+    Constraints are configuration; they are broadcast as far as their number is below a bound, beyond which the planner
+    takes a cartesian product."""
     reason = F.lit("unknown_constraint_kind")
     for kind, check in constraint_checks().items():
         reason = F.when(F.col("kind") == kind, check).otherwise(reason)
-    rows = capability.drop("kind").withColumnRenamed("id", "capability_id").join(constraints, F.lit(True))
+    small = constraints.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    rows = capability.drop("kind").withColumnRenamed("id", "capability_id").join(F.broadcast(constraints) if small else constraints, F.lit(True))
     kind = F.when(F.col("kind") == "cpu_only", "no_gpu").otherwise(F.col("kind"))
-    return rows.withColumn("reason", reason).select("capability_id", "project_id", kind.alias("kind"), F.col("reason").isin(*PASSING).alias("passed"), "reason")
+    rows, detail = rows.withColumn("reason", reason), F.lit("")
+    for name, text in constraint_details().items():
+        detail = F.when(F.col("reason") == name, text).otherwise(detail)
+    return rows.select("capability_id", "project_id", kind.alias("kind"), F.col("reason").isin(*PASSING).alias("passed"), "reason", detail.alias("detail"))
 
 
 def constraint_fit(verdicts: DataFrame) -> DataFrame:
@@ -183,12 +206,19 @@ def constraint_fit(verdicts: DataFrame) -> DataFrame:
 
 # ---- compatibility ----
 
-_MCP = ("mcp_stdio", "mcp_sse", "mcp_http")
 #: Runtimes that call each other directly; the relation is directed.
 NATIVE = {
-    **{r: (r,) for r in ("python_import", "npm_import", "cargo_import", "go_import", "cli_subprocess", "git_clone")},
-    **{r: _MCP for r in _MCP},
-    **{r: ("claude_skill", "claude_agent") for r in ("claude_skill", "claude_agent")},
+    "python_import": ("python_import",),
+    "npm_import": ("npm_import",),
+    "cargo_import": ("cargo_import",),
+    "go_import": ("go_import",),
+    "cli_subprocess": ("cli_subprocess",),
+    "git_clone": ("git_clone",),
+    "mcp_stdio": ("mcp_stdio", "mcp_sse", "mcp_http"),
+    "mcp_sse": ("mcp_stdio", "mcp_sse", "mcp_http"),
+    "mcp_http": ("mcp_stdio", "mcp_sse", "mcp_http"),
+    "claude_skill": ("claude_skill", "claude_agent"),
+    "claude_agent": ("claude_skill", "claude_agent"),
     "http_endpoint": ("http_endpoint", "mcp_http", "mcp_sse"),
 }
 #: Pairs that an adapter bridges.

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vitrine.operators import scoring
+from vitrine.operators.policy import constraint_verdicts
+
 FILTERS = ("ecosystem", "kind", "component_kind", "runtime", "cost_tier")
 
 
@@ -28,49 +31,63 @@ def clamp(limit: int, most: int) -> int:
 
 
 def heads(versions: DataFrame) -> DataFrame:
-    """The newest version of each capability that no other supersedes."""
-    newest = Window.partitionBy("capability_id").orderBy(F.desc("year"), F.desc("version_id"))
-    return versions.withColumn("_n", F.row_number().over(newest)).where("_n = 1").drop("_n")
+    """capability_id, year and version_id of the newest version of each capability, combined before the shuffle."""
+    newest = versions.groupBy("capability_id").agg(F.max(F.struct("year", "version_id")).alias("v"))
+    return newest.select("capability_id", "v.year", "v.version_id")
 
 
-def with_head(capability: DataFrame, versions: DataFrame, cards: DataFrame) -> DataFrame:
-    """Each capability with its head version and that version's score; without one both are null."""
-    head = heads(versions).select(F.col("capability_id").alias("id"), "version_id")
-    scored = head.join(cards.select("version_id", "total_score", "confidence"), "version_id", "left")
-    return capability.join(scored, "id", "left")
+def with_head(capability: DataFrame, versions: DataFrame, evidence: DataFrame, *more: Column) -> DataFrame:
+    """Each capability with its head version and that version's score, and further aggregates of its evidence; without one
+    they are null. Only the heads of the given capabilities are looked up, and only their evidence is scored."""
+    ids = capability.select(F.col("id").alias("capability_id"))
+    head = heads(versions.join(ids, "capability_id", "left_semi")).select(F.col("capability_id").alias("id"), "version_id")
+    own = evidence.join(head.select("version_id"), "version_id", "left_semi")
+    facts = own.groupBy("version_id").agg(*scoring.dimension_aggregates(), *more)
+    scored = facts.withColumns(scoring.card_columns())
+    return capability.join(head.join(scored, "version_id", "left"), "id", "left")
 
 
 def best_first(df: DataFrame, limit: int) -> DataFrame:
     return df.orderBy(F.coalesce(F.col("total_score"), F.lit(0)).desc(), F.asc("display_name"), F.asc("id")).limit(limit)
 
 
-def search(capability: DataFrame, versions: DataFrame, cards: DataFrame, query: str, limit: int = 20, **filters) -> DataFrame:
-    """The best matches of a query; a blank query has none."""
+def search(capability, versions, evidence, query: str, limit: int = 20, constraints: DataFrame | None = None, project_id: int | None = None, **filters) -> DataFrame:
+    """The best matches of a query; a blank query has none. With a project, those of them that its constraints let pass: as
+    the limit comes first, there may be fewer."""
     query = query.strip()
     rows = where_given(capability, **filters).where(matching(query) if query else F.lit(False))
-    return best_first(with_head(rows, versions, cards), clamp(limit, 100))
+    return fitting(best_first(with_head(rows, versions, evidence), clamp(limit, 100)), constraints, project_id)
 
 
-def browse(capability: DataFrame, versions: DataFrame, cards: DataFrame, limit: int = 50, **filters) -> DataFrame:
-    return best_first(with_head(where_given(capability, **filters), versions, cards), clamp(limit, 500))
+def browse(capability, versions, evidence, limit: int = 50, constraints: DataFrame | None = None, project_id: int | None = None, **filters) -> DataFrame:
+    """The best components under the filters, then the project's constraints as in search."""
+    rows = with_head(where_given(capability, **filters), versions, evidence)
+    return fitting(best_first(rows, clamp(limit, 500)), constraints, project_id)
 
 
-def fitting(rows: DataFrame, verdicts: DataFrame, project_id: int) -> DataFrame:
-    """rows that no constraint of the project rejects; apply it to a limited result, as the limit comes first."""
-    failed = verdicts.where((F.col("project_id") == project_id) & ~F.col("passed")).select(F.col("capability_id").alias("id")).distinct()
+def fitting(rows: DataFrame, constraints: DataFrame | None, project_id: int | None) -> DataFrame:
+    """rows that no constraint of the project rejects, each row checked against the project's few constraints."""
+    if project_id is None or constraints is None:
+        return rows
+    own = constraints.where(F.col("project_id") == project_id)
+    failed = constraint_verdicts(rows, own).where(~F.col("passed")).select(F.col("capability_id").alias("id")).distinct()
     return rows.join(failed, "id", "left_anti")
 
 
-def detail(capability: DataFrame, versions: DataFrame, cards: DataFrame, evidence: DataFrame) -> DataFrame:
-    """One row for each capability: head, scores, sorted interface and dependency names of the head."""
-    def names(kind):
-        rows = evidence.where(F.col("evidence_type") == kind).groupBy("version_id")
-        return rows.agg(F.array_join(F.array_sort(F.collect_set("name")), ",").alias(f"{kind}_names"), F.count("*").alias(f"n_{kind}"))
-
-    rows = with_head(capability, versions, cards)
-    for kind in ("interface", "dependency"):
-        rows = rows.join(names(kind), "version_id", "left").na.fill(0, [f"n_{kind}"])
-    return rows
+def detail(capability: DataFrame, versions: DataFrame, evidence: DataFrame) -> DataFrame:
+    """One document for each capability: id, head (version_id and year left out where there is none), interfaces and
+    dependencies of the head as arrays of structs sorted by name, and its scorecard with the array of its dimensions.
+
+    The arrays hold one version's items, which is what a reader of the document asks for."""
+    of = lambda t, *cols: F.array_sort(F.collect_list(F.when(F.col("evidence_type") == t, F.struct(*cols))))
+    more = [of("interface", "name", "evidence_id", "signature").alias("interfaces"), of("dependency", "ecosystem", "name", "evidence_id").alias("dependencies")]
+    rows = with_head(capability, versions, evidence, *more)
+    text = lambda x, *names: [x[n].cast("string").alias(n) for n in names]
+    dimensions = [F.struct(x["dimension"].alias("name"), x["n"].alias("evidence_count"), *text(x, "raw", "weight", "weighted"), x["coverage"].alias("coverage"), x["contradiction"].alias("contradiction")) for x in scoring.dimension_rows()]
+    by_name = F.array_sort(F.array(*dimensions))
+    card = F.when(F.col("total_score").isNotNull(), F.struct(F.col("total_score").cast("string").alias("total_score"), F.col("confidence").cast("string").alias("confidence"), by_name.alias("dimensions")))
+    listed = [F.coalesce(c, F.array().cast(rows.schema[c].dataType)).alias(c) for c in ("interfaces", "dependencies")]
+    return rows.select("id", "normalized_key", "display_name", "version_id", *listed, card.alias("scorecard"))
 
 
 def representative_interface(evidence: DataFrame, versions: DataFrame) -> DataFrame:

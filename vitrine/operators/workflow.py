@@ -53,3 +53,8 @@ def counters(log: DataFrame, window: str = "1 day") -> DataFrame:
     """Steps and failures by tumbling window and step."""
     df = log.groupBy(F.window(F.col("ts").cast("timestamp"), window).alias("w"), "step").agg(F.count("*").alias("n"), F.count_if(F.col("status") == "failed").alias("n_failed"))
     return df.select(F.col("w.start").cast("string").alias("window_start"), "step", "n", "n_failed")
+
+
+def since_cursor(log: DataFrame, cursors: DataFrame, source: str) -> DataFrame:
+    """Rows after their source's cursor (source, cursor; a row for each source); all rows of a source without one."""
+    return log.join(cursors.select(source, "cursor"), source, "left").where("cursor is null or ts > cursor").drop("cursor")

@@ -28,13 +28,26 @@ def stage_candidates(capability: DataFrame, terms: DataFrame, score: str, per_st
     return kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_stage).select("stage", "rank", "id", "runtime", "score")
 
 
-def pipeline(candidates: DataFrame) -> DataFrame:
-    """Each stage's first pick with the verdict on the step to the next stage's."""
-    picks = candidates.where("rank = 1").select("stage", "id", "runtime")
-    after = Window.orderBy("stage")  # one row for each stage of one proposal
-    io = F.lit(None).cast("struct<kind:string,type:string,of:string>")
-    edges = picks.select("stage", "id", F.col("runtime").alias("src_runtime"), F.lead("id").over(after).alias("next_id"), F.lead("runtime").over(after).alias("tgt_runtime"), io.alias("src_output"), io.alias("tgt_input"))
-    return compatibility(edges).select("stage", "id", "next_id", F.when(F.col("next_id").isNotNull(), F.col("verdict")).alias("verdict"), F.when(F.col("next_id").isNotNull(), F.col("reason")).otherwise("last_stage").alias("reason"))
+def adjacent(stages: DataFrame, candidates: DataFrame) -> DataFrame:
+    """stages (stage; a row for each stage of one proposal) with pick and runtime of the first candidate, null where there is
+    none, and those of the next stage; the last stage has no next one."""
+    picks = candidates.where("rank = 1").select("stage", F.col("id").alias("pick"), "runtime")
+    after = Window.orderBy("stage")  # one row for each stage
+    lead = lambda c: F.lead(c).over(after)
+    rows = stages.select("stage").distinct().join(picks, "stage", "left")
+    return rows.select("stage", "pick", "runtime", lead("stage").alias("next_stage"), lead("pick").alias("next_pick"), lead("runtime").alias("next_runtime"))
+
+
+def pipeline(stages: DataFrame, candidates: DataFrame) -> DataFrame:
+    """A row for each stage: its pick, the verdict and reason on the step to the next stage's (unresolved, missing_pick where
+    either has none; null after the last) and a note where the registry has no candidate."""
+    rows, io = adjacent(stages, candidates), F.lit(None).cast("struct<kind:string,type:string,of:string>")
+    edges = compatibility(rows.select("*", F.col("runtime").alias("src_runtime"), F.col("next_runtime").alias("tgt_runtime"), io.alias("src_output"), io.alias("tgt_input")))
+    last, missing = F.col("next_stage").isNull(), F.col("pick").isNull() | F.col("next_pick").isNull()
+    verdict = F.when(last, F.lit(None)).when(missing, "unresolved").otherwise(F.col("verdict"))
+    reason = F.when(last, F.lit(None)).when(missing, "missing_pick").otherwise(F.col("reason"))
+    note = F.when(F.col("pick").isNull(), F.concat(F.lit("stage "), F.col("stage").cast("string"), F.lit(": no candidates in the registry")))
+    return edges.select("stage", "pick", "next_stage", "next_pick", verdict.alias("verdict"), reason.alias("reason"), note.alias("note"))
 
 
 def env_hints(capability: DataFrame) -> DataFrame:

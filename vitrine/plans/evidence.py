@@ -8,19 +8,20 @@ from vitrine.functions.text import language
 from vitrine.operators import evidence as e, judgment as j
 from vitrine.operators.query import matching
 from vitrine.plans.catalogue import Catalogue
+from vitrine.plans.query import BRIDGE_SQL, NATIVE_SQL
 from vitrine.sources.views import view
 
 CATALOGUE = Catalogue()
 add = CATALOGUE.add
-#: Paths by which the documents stand for files of a source tree.
+#: Paths at which each document stands as a file of a source tree, so that every extractor meets every text.
 PATHS = ("README.md", "LICENSE", "docs/LICENSE.txt", "a/b/LICENSE", "requirements-dev.txt", "src/app.py", "tests/test_app.py", "web/app.spec.ts", "setup.py", "data.bin")
 _PATH_SQL = "[" + ", ".join(f"'{p}'" for p in PATHS) + "]"
-_FILES = f"files AS (SELECT source || '/' || CAST(doc_id AS STRING) AS revision, ({_PATH_SQL})[doc_id % 10 + 1] AS path, text AS content FROM {{documents}})"
+_FILES = f"files AS (SELECT source || '/' || CAST(doc_id AS STRING) AS revision, unnest({_PATH_SQL}) AS path, text AS content FROM {{documents}})"
 
 
 def _files(spark, d):
-    paths = F.array(*map(F.lit, PATHS))
-    return view(spark, d, "documents").select(F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("revision"), F.get(paths, (F.col("doc_id") % 10).cast("int")).alias("path"), F.col("text").alias("content"))
+    paths = F.explode(F.array(*map(F.lit, PATHS)))
+    return view(spark, d, "documents").select(F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("revision"), paths.alias("path"), F.col("text").alias("content"))
 
 
 @add("ext1_language", f"WITH {_FILES} SELECT revision, path, CASE WHEN path LIKE '%.md' THEN 'markdown' WHEN path LIKE '%.py' THEN 'python' WHEN path LIKE '%.ts' THEN 'typescript' END AS language FROM files")
@@ -57,11 +58,16 @@ def ext4_package_json(spark, d):
     return e.package_json(files)
 
 
-@add("ext5_pyproject")
+@add("ext5_pyproject", """SELECT CAST(p_partkey AS STRING) AS revision, 'pyproject.toml' AS path, k.kind, CASE WHEN k.n = 0 THEN replace(p_name, ' ', '-') ELSE k.name END AS name,
+  CASE k.n WHEN 0 THEN '>=' || CAST(p_size AS STRING) WHEN 1 THEN '[extra]<' || CAST(p_partkey AS STRING) ELSE '' END AS version_spec
+FROM {part}, (VALUES (0, 'runtime', ''), (1, 'runtime', 'other'), (2, 'optional:dev', 'pytest')) AS k(n, kind, name) WHERE p_size % 5 <> 0 AND (k.n <> 1 OR p_size % 2 = 0) AND (k.n <> 2 OR p_size % 3 = 0)""")
 def ext5_pyproject(spark, d):
-    name = F.replace("p_name", F.lit(" "), F.lit("-"))
-    text = F.concat(F.lit('[project]\nname = "x"\ndependencies = ["'), name, F.lit(">="), F.col("p_size").cast("string"), F.lit('"]\n[project.optional-dependencies]\ndev = ["pytest"]\n'))
-    files = view(spark, d, "part").select(F.col("p_partkey").cast("string").alias("revision"), F.lit("pyproject.toml").alias("path"), F.when(F.col("p_size") % 5 == 0, "broken = [").otherwise(text).alias("content"))
+    """pyproject.toml texts made of each part, with and without a second dependency and a group; a fifth of them are broken."""
+    size, name = F.col("p_size"), F.replace("p_name", F.lit(" "), F.lit("-"))
+    more = F.when(size % 2 == 0, F.concat(F.lit(', "other[extra]<'), F.col("p_partkey").cast("string"), F.lit('"'))).otherwise("")
+    group = F.when(size % 3 == 0, '[project.optional-dependencies]\ndev = ["pytest"]\n').otherwise("")
+    text = F.concat(F.lit('[project]\nname = "x"\ndependencies = ["'), name, F.lit(">="), size.cast("string"), F.lit('"'), more, F.lit("]\n"), group)
+    files = view(spark, d, "part").select(F.col("p_partkey").cast("string").alias("revision"), F.lit("pyproject.toml").alias("path"), F.when(size % 5 == 0, "broken = [").otherwise(text).alias("content"))
     return e.pyproject(files)
 
 
@@ -70,11 +76,15 @@ def ext6_setup_py(spark, d):
     return e.setup_py(_files(spark, d))
 
 
-@add("ext7_interfaces")
+@add("ext7_interfaces", """WITH p AS (SELECT CAST(p_partkey AS STRING) AS revision, replace(p_name, ' ', '_') AS n, p_size FROM {part} WHERE p_size % 5 <> 0)
+SELECT revision, 'src/app.py' AS path, 'function' AS kind, n AS name, n || '(a, b=' || CAST(p_size AS STRING) || ')' AS signature, '' AS methods, 1 AS start_line, 2 AS end_line FROM p
+UNION ALL SELECT revision, 'src/app.py', 'class', 'C_' || n, 'C_' || n || '(Base)', CASE WHEN p_size % 2 = 0 THEN 'run,go' ELSE 'run' END, 4, CASE WHEN p_size % 2 = 0 THEN 8 ELSE 6 END FROM p""")
 def ext7_interfaces(spark, d):
-    name = F.replace("p_name", F.lit(" "), F.lit("_"))
-    text = F.concat(F.lit("def "), name, F.lit("(a, b=1):\n    return a\n\nclass C_"), name, F.lit("(Base):\n    def run(self):\n        pass\n\ndef _hidden():\n    pass\n"))
-    files = view(spark, d, "part").select(F.col("p_partkey").cast("string").alias("revision"), F.lit("src/app.py").alias("path"), F.when(F.col("p_size") % 5 == 0, "def broken(").otherwise(text).alias("content"))
+    """Python texts made of each part, with one or two methods; a fifth of them don't parse."""
+    size, name = F.col("p_size"), F.replace("p_name", F.lit(" "), F.lit("_"))
+    more = F.when(size % 2 == 0, "    def go(self):\n        pass\n").otherwise("")
+    text = F.concat(F.lit("def "), name, F.lit("(a, b="), size.cast("string"), F.lit("):\n    return a\n\nclass C_"), name, F.lit("(Base):\n    def run(self):\n        pass\n"), more, F.lit("\ndef _hidden():\n    pass\n"))
+    files = view(spark, d, "part").select(F.col("p_partkey").cast("string").alias("revision"), F.lit("src/app.py").alias("path"), F.when(size % 5 == 0, "def broken(").otherwise(text).alias("content"))
     return e.interfaces(files)
 
 
@@ -95,35 +105,75 @@ def ext9_license(spark, d):
 _SECRET_SQL = " UNION ALL ".join(f"SELECT revision, path, '{n}' AS pattern_name, unnest(regexp_extract_all(content, '{p}', 1)) AS s FROM files" for n, p in e.SECRET_PATTERNS)
 
 
-@add("ext10_secrets", f"WITH {_FILES}, f AS ({_SECRET_SQL}) SELECT revision, path, pattern_name, left(s, 4) || repeat('*', length(s) - 4) AS preview FROM f")
+@add("ext10_secrets", f"WITH {_FILES.replace('files AS', 'every AS')}, files AS (SELECT * FROM every WHERE path = 'README.md'), f AS ({_SECRET_SQL}) SELECT revision, path, pattern_name, left(s, 4) || repeat('*', length(s) - 4) AS preview FROM f")
 def ext10_secrets(spark, d):
-    return e.secrets(_files(spark, d))
+    return e.secrets(_files(spark, d).where("path = 'README.md'"))
+
+
+#: What an item of each document claims: five shapes that are wrong in themselves, and paths and line ranges that may not hold.
+_KIND_SQL = "CASE WHEN doc_id % 13 = 1 THEN 'page' WHEN doc_id % 13 = 2 THEN 'manifest_key' WHEN doc_id % 13 = 3 THEN 'whole_file' ELSE 'file_range' END"
+_CLAIMS = f"""claims AS (
+  SELECT doc_id, source AS run, lang AS extractor, source AS revision, {_KIND_SQL} AS locator_kind,
+    CASE WHEN doc_id % 17 = 5 THEN NULL WHEN doc_id % 11 = 0 THEN 'gone.md' WHEN doc_id % 4 = 0 THEN CAST(doc_id AS STRING) || '.bin' ELSE CAST(doc_id AS STRING) || '.md' END AS path,
+    CASE WHEN doc_id % 13 = 4 THEN NULL WHEN doc_id % 13 = 5 THEN 0 ELSE 1 END AS start_line, CASE WHEN doc_id % 13 = 6 THEN 0 ELSE doc_id % 9 + 1 END AS end_line,
+    CASE WHEN doc_id % 26 = 2 THEN 'project.name' END AS key_path
+  FROM {{documents}})"""
 
 
 def _found(spark, d):
     docs = view(spark, d, "documents")
-    n_lines = F.size(F.split("text", "\n"))
-    path = F.when(F.col("doc_id") % 11 == 0, "gone.md").otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(".md")))
-    found = docs.select(F.col("source").alias("run"), F.col("lang").alias("extractor"), F.col("source").alias("revision"), path.alias("path"), F.lit(1).alias("start_line"), (F.col("doc_id") % 9 + 1).cast("int").alias("end_line"))
-    index = docs.select(F.col("source").alias("revision"), F.concat(F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), n_lines.alias("n_lines"))
+    k = F.col("doc_id")
+    path = F.when(k % 17 == 5, F.lit(None)).when(k % 11 == 0, "gone.md").otherwise(F.concat(k.cast("string"), F.when(k % 4 == 0, ".bin").otherwise(".md")))
+    kind = F.when(k % 13 == 1, "page").when(k % 13 == 2, "manifest_key").when(k % 13 == 3, "whole_file").otherwise("file_range")
+    found = docs.select(
+        F.col("source").alias("run"), F.col("lang").alias("extractor"), F.col("source").alias("revision"), path.alias("path"), kind.alias("locator_kind"),
+        F.when(k % 13 == 4, F.lit(None)).when(k % 13 == 5, 0).otherwise(1).cast("int").alias("start_line"), F.when(k % 13 == 6, 0).otherwise(k % 9 + 1).cast("int").alias("end_line"),
+        F.when(k % 26 == 2, "project.name").alias("key_path"),
+    )
+    own = F.concat(k.cast("string"), F.when(k % 4 == 0, ".bin").otherwise(".md"))
+    index = docs.select(F.col("source").alias("revision"), own.alias("path"), language(own).alias("language"), F.size(F.split("text", "\n")).alias("n_lines"))
     return found, index
 
 
-_BAD = "bad AS (SELECT source AS run, lang AS extractor, doc_id, CASE WHEN doc_id % 11 = 0 THEN 'path not in snapshot' ELSE 'line past end of file' END AS violation FROM {documents} WHERE doc_id % 11 = 0 OR doc_id % 9 + 1 > len(string_split(text, chr(10))))"
+_BAD = f"""{_CLAIMS},
+judged AS (
+  SELECT run, extractor, path, CASE WHEN locator_kind = 'page' THEN 'invalid locator kind' WHEN path IS NULL THEN 'locator without a path'
+    WHEN locator_kind = 'file_range' AND start_line IS NULL THEN 'line range without its ends' WHEN locator_kind = 'file_range' AND (start_line < 1 OR end_line < start_line) THEN 'bad line range'
+    WHEN locator_kind = 'manifest_key' AND key_path IS NULL THEN 'manifest key without its path' WHEN path = 'gone.md' THEN 'path not in snapshot'
+    WHEN locator_kind = 'file_range' AND path LIKE '%.md' AND end_line > len(string_split(text, chr(10))) THEN 'line past end of file' END AS violation
+  FROM claims JOIN {{documents}} USING (doc_id)),
+bad AS (SELECT * FROM judged WHERE violation IS NOT NULL)"""
 
 
-@add("ext11_locators", f"WITH {_BAD} SELECT run, extractor, CASE WHEN doc_id % 11 = 0 THEN 'gone.md' ELSE CAST(doc_id AS STRING) || '.md' END AS path, violation FROM bad")
-@add("dq2_references", f"WITH {_BAD} SELECT run, extractor, CASE WHEN doc_id % 11 = 0 THEN 'gone.md' ELSE CAST(doc_id AS STRING) || '.md' END AS path, violation FROM bad")
+@add("ext11_locators", f"WITH {_BAD} SELECT run, extractor, path, violation FROM bad")
 def ext11_locators(spark, d):
     return e.bad_locators(*_found(spark, d)).select("run", "extractor", "path", "violation")
 
 
+@add("dq2_references", "WITH n AS (SELECT l_partkey AS child, l_suppkey AS ref FROM {lineitem} WHERE l_suppkey % 7 = 0) SELECT child, ref FROM n WHERE ref NOT IN (SELECT s_suppkey FROM {supplier} WHERE s_suppkey % 3 <> 0)")
+def dq2_references(spark, d):
+    """Rows whose reference doesn't resolve."""
+    from vitrine.operators.registry import orphans
+
+    child = view(spark, d, "lineitem").where("l_suppkey % 7 = 0").select(F.col("l_partkey").alias("child"), F.col("l_suppkey").alias("ref"))
+    return orphans(child, view(spark, d, "supplier").where("s_suppkey % 3 <> 0").select(F.col("s_suppkey").alias("ref")), "ref")
+
+
 @add("ext12_outcomes", f"WITH {_BAD}, b AS (SELECT DISTINCT run, extractor FROM bad) SELECT source AS run, lang AS extractor, CASE WHEN b.run IS NULL THEN 'succeeded' ELSE 'failed' END AS status, CASE WHEN b.run IS NULL THEN count(*) ELSE 0 END AS n_items FROM {{documents}} LEFT JOIN b ON b.run = source AND b.extractor = lang GROUP BY source, lang, b.run")
 def ext12_outcomes(spark, d):
     found, index = _found(spark, d)
     return e.stage_outcomes(found, e.bad_locators(found, index))
 
 
+@add("ext12_skip", "SELECT revision_id FROM {revision} WHERE snapshot_status = 'snapshotted' AND revision_id NOT IN (SELECT l_suppkey FROM {lineitem} WHERE l_suppkey % 4 = 0 AND l_returnflag <> 'N')")
+def ext12_skip(spark, d):
+    """Revisions that still have to be analysed under a configuration: runs that failed or had another one don't count."""
+    k = F.col("l_suppkey")
+    config, status = F.when(k % 4 == 0, "v2").otherwise("v1"), F.when(F.col("l_returnflag") == "N", "failed").otherwise("succeeded")
+    runs = view(spark, d, "lineitem").select(k.alias("revision_id"), config.alias("config"), status.alias("status"))
+    return e.to_analyse(view(spark, d, "revision"), runs, "v2").select("revision_id")
+
+
 _PROMPT = "concat_ws(chr(10), 'Classify this component.', 'normalized_key: ' || normalized_key, 'description: ' || description, 'topics: ' || topics, 'stars: ' || CAST(stars AS STRING))"
 
 
@@ -132,6 +182,34 @@ def jud1_prompts(spark, d):
     return j.prompts(view(spark, d, "capability"))
 
 
+_DESC = "coalesce(gemini_description, description)"
+
+
+@add("jud1_enrich", "SELECT id, concat_ws(chr(10), 'normalized_key: ' || normalized_key, 'display_name: ' || display_name, 'component_kind: ' || component_kind, 'existing_description: ' || left(description, 400), 'topics: ' || topics) AS prompt FROM {capability}")
+def jud1_enrich(spark, d):
+    return j.enrichment_prompts(view(spark, d, "capability")).select("id", "prompt")
+
+
+@add("jud1_supersession", f"""SELECT id, CAST(to_json({{'task': '{j.SUPERSESSION_TASK}', 'key': normalized_key, 'display_name': display_name, 'description': left({_DESC}, 800), 'topics': topics}}) AS VARCHAR) AS prompt FROM {{capability}}""")
+def jud1_supersession(spark, d):
+    return j.supersession_prompts(view(spark, d, "capability")).select("id", "prompt")
+
+
+@add("jud1_links", f"""WITH s AS (SELECT id, component_kind, tail, {{'key': normalized_key, 'display_name': display_name, 'component_kind': component_kind, 'description': left({_DESC}, 400)}} AS c FROM {{capability}})
+SELECT a.id AS library_id, b.id AS repo_id, sha256(CAST(to_json({{'task': '{j.LINK_TASK}', 'a': a.c, 'b': b.c}}) AS VARCHAR)) AS prompt_hash FROM s AS a JOIN s AS b USING (tail) WHERE a.component_kind = 'library' AND b.component_kind = 'repo'""")
+def jud1_links(spark, d):
+    from vitrine.operators.registry import link_candidates
+
+    cap = view(spark, d, "capability")
+    return j.link_prompts(link_candidates(cap), cap).select("library_id", "repo_id", "prompt_hash")
+
+
+@add("jud1_evidence", """WITH l AS (SELECT version_id, evidence_id, '- [' || evidence_id || '] ' || evidence_type || ': ' || name AS line FROM {evidence})
+SELECT version_id, count(*) + 1 AS n_lines, sha256('Summarise version ' || CAST(version_id AS STRING) || ' from this evidence:' || chr(10) || string_agg(line, chr(10) ORDER BY evidence_id)) AS prompt_hash FROM l GROUP BY version_id""")
+def jud1_evidence(spark, d):
+    return j.evidence_prompts(view(spark, d, "evidence"))
+
+
 @add("jud1_conversations", "SELECT conv_id, count(*) AS n_turns, sha256(string_agg(concat_ws(': ', role, text), chr(10) ORDER BY turn)) AS prompt_hash FROM {conversations} GROUP BY conv_id")
 def jud1_conversations(spark, d):
     return j.conversation_prompts(view(spark, d, "conversations"))
@@ -184,30 +262,48 @@ def jud7_supersession(spark, d):
 
 # ---- stage candidates and pipelines ----
 
-TERMS = ((0, 0, "purple"), (0, 1, "ring"), (0, 2, "red"), (1, 0, "widget"), (2, 0, "blue"))
-STAGE_KINDS = ("repo", "library", "skill")
+TERMS = ((0, 0, "purple"), (0, 1, "ring"), (0, 2, "red"), (1, 0, "widget"), (2, 0, "blue"), (3, 0, "no such component"), (4, 0, "red"), (5, 0, "gear"))
+STAGE_KINDS = ("repo", "library", "skill", "agent", "mcp_tool", "library")
+_TERM_SQL = ", ".join(f"({s}, {t}, '{w}', '{STAGE_KINDS[s]}')" for s, t, w in TERMS)
 
 
-@add("cmp1_stage_candidates", """
-WITH t AS (SELECT * FROM (VALUES (0, 0, 'purple', 'repo'), (0, 1, 'ring', 'repo'), (0, 2, 'red', 'repo'), (1, 0, 'widget', 'library'), (2, 0, 'blue', 'skill')) AS t(stage, term, word, want)),
-h AS (SELECT stage, term, c.id, c.stars, c.component_kind = want AS preferred FROM t JOIN {capability} AS c ON display_name ILIKE '%' || word || '%'),
-f AS (SELECT stage, min(term) AS first FROM h GROUP BY stage), p AS (SELECT stage, count(*) FILTER (preferred AND term = first) AS n FROM h JOIN f USING (stage) GROUP BY stage),
-k AS (SELECT DISTINCT stage, id, stars FROM h JOIN f USING (stage) JOIN p USING (stage) WHERE preferred OR (term = first AND n = 0))
-SELECT stage, id, rank FROM (SELECT *, row_number() OVER (PARTITION BY stage ORDER BY stars DESC NULLS LAST, id) AS rank FROM k) WHERE rank <= 3""")
-def cmp1_stage_candidates(spark, d):
+def _candidates(spark, d):
     from vitrine.plans.compose import stage_candidates
 
     terms = spark.createDataFrame([(s, t, w, STAGE_KINDS[s]) for s, t, w in TERMS], "stage int, term int, word string, want string")
-    return stage_candidates(view(spark, d, "capability"), terms, "stars").select("stage", "id", "rank")
+    return terms, stage_candidates(view(spark, d, "capability"), terms, "stars")
+
+
+_STAGE_SQL = f"""
+WITH t AS (SELECT * FROM (VALUES {_TERM_SQL}) AS t(stage, term, word, want)),
+h AS (SELECT stage, term, c.id, c.stars, c.runtime, c.component_kind = want AS preferred FROM t JOIN {{capability}} AS c ON display_name ILIKE '%' || word || '%'),
+f AS (SELECT stage, min(term) AS first FROM h GROUP BY stage), p AS (SELECT stage, count(*) FILTER (preferred AND term = first) AS n FROM h JOIN f USING (stage) GROUP BY stage),
+k AS (SELECT DISTINCT stage, id, stars, runtime FROM h JOIN f USING (stage) JOIN p USING (stage) WHERE preferred OR (term = first AND n = 0)),
+ranks AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY stage ORDER BY stars DESC NULLS LAST, id) AS rank FROM k) WHERE rank <= 3),
+steps AS (SELECT stage, pick, s, lead(stage) OVER w AS next_stage, lead(pick) OVER w AS next_pick, lead(s) OVER w AS t
+  FROM (SELECT DISTINCT stage FROM t) LEFT JOIN (SELECT stage, id AS pick, runtime AS s FROM ranks WHERE rank = 1) USING (stage) WINDOW w AS (ORDER BY stage))"""
 
 
-@add("cmp2_pipeline")
-@add("jon11_adjacent")
+@add("cmp1_stage_candidates", f"{_STAGE_SQL} SELECT stage, id, rank FROM ranks")
+def cmp1_stage_candidates(spark, d):
+    return _candidates(spark, d)[1].select("stage", "id", "rank")
+
+
+@add("cmp2_pipeline", f"""{_STAGE_SQL} SELECT stage, pick, next_stage, next_pick,
+  CASE WHEN next_stage IS NULL THEN NULL WHEN pick IS NULL OR next_pick IS NULL THEN 'unresolved' WHEN s IS NULL OR t IS NULL THEN 'adapter_needed' WHEN {NATIVE_SQL} THEN 'compatible' WHEN {BRIDGE_SQL} THEN 'adapter_needed' ELSE 'incompatible' END AS verdict,
+  CASE WHEN next_stage IS NULL THEN NULL WHEN pick IS NULL OR next_pick IS NULL THEN 'missing_pick' WHEN s IS NULL OR t IS NULL THEN 'unknown_runtime' WHEN {NATIVE_SQL} THEN 'same_family' WHEN {BRIDGE_SQL} THEN 'bridge_available' ELSE 'no_known_bridge' END AS reason,
+  CASE WHEN pick IS NULL THEN 'stage ' || CAST(stage AS STRING) || ': no candidates in the registry' END AS note FROM steps""")
 def cmp2_pipeline(spark, d):
-    from vitrine.plans.compose import pipeline, stage_candidates
+    from vitrine.plans.compose import pipeline
 
-    terms = spark.createDataFrame([(s, t, w, STAGE_KINDS[s]) for s, t, w in TERMS], "stage int, term int, word string, want string")
-    return pipeline(stage_candidates(view(spark, d, "capability"), terms, "stars"))
+    return pipeline(*_candidates(spark, d))
+
+
+@add("jon11_adjacent", f"{_STAGE_SQL} SELECT stage, pick, next_stage, next_pick FROM steps")
+def jon11_adjacent(spark, d):
+    from vitrine.plans.compose import adjacent
+
+    return adjacent(*_candidates(spark, d)).select("stage", "pick", "next_stage", "next_pick")
 
 
 @add("cmp3_env_hints", """
@@ -234,9 +330,9 @@ def udx2_gate_plugin(spark, d):
     return view(spark, d, "evidence").groupBy("version_id").agg(gate(F.count_if(F.col("evidence_type") == "test_indicator")).alias("status"))
 
 
-@add("udx3_model_hook")
+@add("udx3_model_hook", f"SELECT id, '{{{{\"component_kind\": \"repo\", \"confidence\": 0.' || CAST(length({_PROMPT}) % 10 AS STRING) || '}}}}' AS raw_response FROM {{capability}}".replace("{{", "{").replace("}}", "}"))
 def udx3_model_hook(spark, d):
     """Prompts through a function of the caller's, at most four at a time."""
     from vitrine.plans.compose import model_hook
 
-    return model_hook(j.prompts(view(spark, d, "capability")), lambda prompt: '{"component_kind": "repo", "confidence": 0.9}', 4)
+    return model_hook(j.prompts(view(spark, d, "capability")), lambda prompt: f'{{"component_kind": "repo", "confidence": 0.{len(prompt) % 10}}}', 4)

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vitrine.operators import fit, policy
+from vitrine.operators import fit, policy, scoring
 from vitrine.plans.catalogue import Catalogue
-from vitrine.plans.common import DIMENSION_SQL, GATE_SQL, acceptances, cards, decisions, gates
+from vitrine.plans.common import DIMENSION_SQL, GATE_SQL, acceptances, cards, decided, facts, gates
 from vitrine.sources.views import view
 
 CATALOGUE = Catalogue()
@@ -15,21 +15,21 @@ _GATES = f"WITH {GATE_SQL.strip()}"
 
 
 def _gate(name):
-    return lambda spark, d: gates(spark, d).where(F.col("gate_name") == name).select("version_id", "status", "reason")
+    return lambda spark, d: gates(spark, d).where(F.col("gate_name") == name).select("version_id", "status", "reason", "detail")
 
 
 for _id, _name in (("pol1_license", "license_compatibility"), ("pol2_vulnerability", "critical_vulnerability"), ("pol3_provenance", "missing_provenance"), ("pol4_permissions", "unsafe_declared_permissions")):
-    add(_id, f"{_GATES} SELECT version_id, status, reason FROM gates WHERE gate_name = '{_name}'")(_gate(_name))
+    add(_id, f"{_GATES} SELECT version_id, status, reason, detail FROM gates WHERE gate_name = '{_name}'")(_gate(_name))
 
 
-@add("pol5_gates", f"{_GATES} SELECT version_id, gate_name, status, is_blocking, reason FROM gates")
+@add("pol5_gates", f"{_GATES} SELECT version_id, gate_name, status, is_blocking, reason, detail FROM gates")
 def pol5_gates(spark, d):
     return gates(spark, d)
 
 
 @add("pol6_publication", f"{_GATES} SELECT version_id, n_blocking = 0 AS allowed, blocking, warnings FROM decisions")
 def pol6_publication(spark, d):
-    rows = decisions(spark, d)
+    rows = decided(spark, d)
     return rows.select("version_id", "allowed", F.array_join("blocking", ",").alias("blocking"), F.array_join("warnings", ",").alias("warnings"))
 
 
@@ -50,8 +50,8 @@ failed AS (SELECT version_id, concat_ws(',', CASE WHEN NOT g1 THEN 'current_revi
 
 
 def _guards(spark, d):
-    versions = view(spark, d, "capability_version").select("version_id", F.when(F.col("version_id") % 10 != 0, "a summary").otherwise(" ").alias("summary"))
-    return policy.guard_row(versions, cards(spark, d), decisions(spark, d), view(spark, d, "binding"), view(spark, d, "revision"), view(spark, d, "evidence"))
+    rows = decided(spark, d).withColumn("summary", F.when(F.col("version_id") % 10 != 0, "a summary").otherwise(" "))
+    return policy.guard_row(rows, view(spark, d, "revision"), scoring.card_columns()["confidence"])
 
 
 @add("lif1_guards", f"{_GUARD_SQL} SELECT version_id, failed FROM failed")
@@ -73,7 +73,7 @@ def lif3_threshold(spark, d):
 
 
 _FIT_SQL = """
-WITH cand AS (SELECT version_id FROM {capability_version}),
+WITH cand AS (SELECT DISTINCT version_id FROM {scorecard}),
 i AS (SELECT DISTINCT req_id, version_id FROM {requirement_constraint} AS c JOIN {evidence} AS e ON c.kind = 'required_interface' AND e.evidence_type = 'interface' AND lower(e.name) = lower(trim(c.name))
   AND (coalesce(fragment, '') = '' OR contains(coalesce(signature, ''), fragment))),
 f AS (SELECT DISTINCT req_id, version_id FROM {requirement_constraint} AS c JOIN {evidence} AS e ON c.kind = 'forbidden_dependency' AND e.evidence_type = 'dependency' AND lower(e.name) = lower(c.name)
@@ -87,16 +87,26 @@ rows AS (
       ELSE 'unknown_constraint_kind' END AS gap
   FROM cand CROSS JOIN {requirement_constraint} AS c LEFT JOIN l ON l.version_id = cand.version_id
   LEFT JOIN i ON i.req_id = c.req_id AND i.version_id = cand.version_id LEFT JOIN f ON f.req_id = c.req_id AND f.version_id = cand.version_id),
-fits AS (SELECT req_id, version_id, CAST(round(CAST(count(*) FILTER (gap IS NULL) AS DECIMAL(10,0)) / count(*), 3) AS DECIMAL(6,3)) AS fit_score,
-  count(*) FILTER (gap IN ('license_mismatch', 'forbidden_dependency_present')) AS blocking_gap_count FROM rows GROUP BY req_id, version_id)"""
+summed AS (SELECT req_id, version_id, CAST(round(CAST(count(*) FILTER (gap IS NULL) AS DECIMAL(10,0)) / count(*), 3) AS DECIMAL(6,3)) AS fit_score,
+  count(*) FILTER (gap IN ('license_mismatch', 'forbidden_dependency_present')) AS blocking_gap_count, count(*) AS n FROM rows GROUP BY req_id, version_id),
+fits AS (SELECT r.req_id, cand.version_id, CAST(coalesce(fit_score, 1) AS DECIMAL(6,3)) AS fit_score, coalesce(blocking_gap_count, 0) AS blocking_gap_count, CAST(coalesce(n, 0) AS INT) AS n_constraints
+  FROM {requirement} AS r CROSS JOIN cand LEFT JOIN summed ON summed.req_id = r.req_id AND summed.version_id = cand.version_id)"""
 
 
-def _rows(spark, d):
-    return fit.fit_rows(view(spark, d, "requirement_constraint"), view(spark, d, "capability_version"), view(spark, d, "evidence"))
+def _candidates(spark, d):
+    """Versions with a scorecard, with its score and the revision to pin, from the one aggregate."""
+    told = " + ".join(("n_licenses", "n_interfaces", "n_secrets", "has_tests", "has_declared_dependencies"))
+    rows = facts(spark, d).where(f"{told} > 0")
+    return rows.select("version_id", scoring.card_columns()["total_score"].alias("intrinsic_score"))
+
+
+def _pairs(spark, d):
+    constraints = view(spark, d, "requirement_constraint")
+    return fit.pairs(view(spark, d, "requirement"), constraints, fit.candidate_facts(constraints, _candidates(spark, d), view(spark, d, "evidence")))
 
 
 def _kind(kind):
-    return lambda spark, d: _rows(spark, d).where(F.col("kind") == kind).select("req_id", "version_id", "contribution", "gap", "is_blocking")
+    return lambda spark, d: fit.fit_rows(_pairs(spark, d)).where(F.col("kind") == kind).select("req_id", "version_id", "contribution", "gap", "is_blocking")
 
 
 for _id, _name in (("fit1_interface", "required_interface"), ("fit2_license", "license_allowlist"), ("fit3_dependency", "forbidden_dependency")):
@@ -106,54 +116,73 @@ _SCORES = f"{_FIT_SQL.strip()} SELECT req_id, version_id, fit_score, blocking_ga
 
 
 @add("fit4_fit", _SCORES)
-@add("jon9_requirements", _SCORES)
 @add("agg11_contributions", _SCORES)
 def fit4_fit(spark, d):
-    return fit.fit_scores(_rows(spark, d))
+    return fit.fit_scores(_pairs(spark, d)).select("req_id", "version_id", "fit_score", "blocking_gap_count")
+
+
+@add("jon9_requirements", f"{_FIT_SQL.strip()} SELECT req_id, version_id, n_constraints FROM fits")
+def jon9_requirements(spark, d):
+    return _pairs(spark, d).select("req_id", "version_id", F.size("results").alias("n_constraints"))
+
+
+_LINK_SQL = """links AS (
+  SELECT DISTINCT c.req_id, e.version_id, e.evidence_id, CASE c.kind WHEN 'forbidden_dependency' THEN 'documents_gap' ELSE 'supports_match' END AS role
+  FROM {requirement_constraint} AS c JOIN {evidence} AS e ON (c.kind = 'required_interface' AND e.evidence_type = 'interface' AND lower(e.name) = lower(trim(c.name)) AND (coalesce(fragment, '') = '' OR contains(coalesce(signature, ''), fragment)))
+    OR (c.kind = 'license_allowlist' AND e.evidence_type = 'license' AND list_contains(string_split(upper(c.spdx_ids), ','), upper(e.spdx_id)))
+    OR (c.kind = 'forbidden_dependency' AND e.evidence_type = 'dependency' AND c.ecosystem <> '' AND lower(e.name) = lower(c.name) AND lower(e.ecosystem) = lower(c.ecosystem))
+  UNION SELECT c.req_id, e.version_id, e.evidence_id, 'documents_gap' FROM {requirement_constraint} AS c JOIN {evidence} AS e ON c.kind = 'license_allowlist' AND c.spdx_ids <> '' AND e.evidence_type = 'license'
+    JOIN l ON l.version_id = e.version_id AND NOT list_has_any(l.spdx, string_split(upper(c.spdx_ids), ',')))"""
+
+
+@add("fit4_links", f"{_FIT_SQL.strip()}, {_LINK_SQL} SELECT req_id, version_id, evidence_id, role FROM links")
+def fit4_links(spark, d):
+    return fit.fit_links(view(spark, d, "requirement_constraint"), view(spark, d, "evidence"))
 
 
 _RANK_SQL = f"""{_FIT_SQL.strip()}, {DIMENSION_SQL.strip()},
 ranks AS (SELECT fits.*, coalesce(total_score, 0) AS intrinsic_score, row_number() OVER (PARTITION BY req_id ORDER BY blocking_gap_count, fit_score DESC, coalesce(total_score, 0) DESC, fits.version_id) AS rank
-  FROM fits LEFT JOIN cards USING (version_id))"""
+  FROM fits LEFT JOIN cards USING (version_id)),
+ruled AS (SELECT *, CASE WHEN fit_score >= 0.9 AND intrinsic_score >= 0.7 AND blocking_gap_count = 0 THEN 'strong_adopt' WHEN fit_score >= 0.6 AND intrinsic_score >= 0.6 AND blocking_gap_count = 0 THEN 'adapt_close_match'
+  WHEN fit_score >= 0.3 AND intrinsic_score >= 0.5 THEN 'reference_partial' WHEN fit_score < 0.3 THEN 'reject_low_fit' ELSE '__default__' END AS rule_name FROM ranks)"""
+_VERDICT_SQL = "CASE rule_name WHEN 'strong_adopt' THEN 'ADOPT' WHEN 'adapt_close_match' THEN 'ADAPT' WHEN 'reference_partial' THEN 'REFERENCE' WHEN 'reject_low_fit' THEN 'REJECT' ELSE 'BUILD' END AS verdict"
 
 
-def _ranked(spark, d):
-    return fit.ranked(fit.fit_scores(_rows(spark, d)), cards(spark, d))
+@add("win5_ranks", f"{_RANK_SQL} SELECT req_id, version_id, rank FROM ranks")
+def win5_ranks(spark, d):
+    return fit.ranked(fit.fit_scores(_pairs(spark, d))).select("req_id", "version_id", "rank")
 
 
-@add("win5_ranks", f"{_RANK_SQL} SELECT req_id, version_id, rank FROM ranks WHERE rank <= 50")
-def win5_ranks(spark, d):
-    return _ranked(spark, d).where("rank <= 50").select("req_id", "version_id", "rank")
+@add("rec1_rules", f"{_RANK_SQL} SELECT req_id, version_id, rule_name, {_VERDICT_SQL} FROM ruled")
+def rec1_rules(spark, d):
+    """The rules on every pair, so that each rule and the default are met."""
+    verdict, name = fit.decide()
+    return fit.fit_scores(_pairs(spark, d)).select("req_id", "version_id", verdict.alias("verdict"), name.alias("rule_name"))
 
 
 _REC_SQL = f"""{_RANK_SQL},
-best AS (SELECT *, CASE WHEN fit_score >= 0.9 AND intrinsic_score >= 0.7 AND blocking_gap_count = 0 THEN 'strong_adopt' WHEN fit_score >= 0.6 AND intrinsic_score >= 0.6 AND blocking_gap_count = 0 THEN 'adapt_close_match'
-  WHEN fit_score >= 0.3 AND intrinsic_score >= 0.5 THEN 'reference_partial' WHEN fit_score < 0.3 THEN 'reject_low_fit' ELSE '__default__' END AS rule_name FROM ranks WHERE rank = 1),
 pins AS (SELECT version_id, max(revision_id) AS revision_id FROM {{binding}} GROUP BY version_id),
-recs AS (SELECT r.req_id, CASE rule_name WHEN 'strong_adopt' THEN 'ADOPT' WHEN 'adapt_close_match' THEN 'ADAPT' WHEN 'reference_partial' THEN 'REFERENCE' WHEN 'reject_low_fit' THEN 'REJECT' ELSE 'BUILD' END AS verdict,
-  coalesce(rule_name, '__no_candidates__') AS rule_name, best.version_id,
+recs AS (SELECT r.req_id, {_VERDICT_SQL}, coalesce(rule_name, '__no_candidates__') AS rule_name, best.version_id,
   CASE WHEN rule_name IN ('strong_adopt', 'adapt_close_match', 'reference_partial') THEN revision_id END AS pinned_revision
-  FROM {{requirement}} AS r LEFT JOIN best USING (req_id) LEFT JOIN pins ON pins.version_id = best.version_id)"""
+  FROM {{requirement}} AS r LEFT JOIN (SELECT * FROM ruled WHERE rank = 1) AS best USING (req_id) LEFT JOIN pins ON pins.version_id = best.version_id)"""
 
 
 def _recommended(spark, d):
-    pins = fit.pins(view(spark, d, "binding"), view(spark, d, "revision"))
-    return fit.recommend(view(spark, d, "requirement"), _ranked(spark, d), pins)
-
-
-_REC = f"{_REC_SQL} SELECT req_id, verdict, rule_name, version_id, pinned_revision FROM recs"
+    firsts = fit.best(fit.fit_scores(_pairs(spark, d)))
+    bound = view(spark, d, "binding").join(firsts.select("version_id").distinct(), "version_id", "left_semi")
+    return fit.recommend(view(spark, d, "requirement"), firsts, fit.pins(bound, view(spark, d, "revision")))
 
 
-@add("rec1_rules", _REC)
-@add("rec2_recommend", _REC)
+@add("rec2_recommend", f"{_REC_SQL} SELECT req_id, verdict, rule_name, version_id, pinned_revision FROM recs")
 def rec2_recommend(spark, d):
     return _recommended(spark, d)
 
 
-@add("rec3_trace", f"{_REC_SQL} SELECT req_id, version_id, evidence_id FROM recs JOIN {{evidence}} AS e USING (version_id) WHERE e.evidence_type IN ('interface', 'license')")
+@add("rec3_trace", f"{_REC_SQL}, {_LINK_SQL} SELECT req_id, version_id, evidence_id, role FROM recs JOIN links USING (req_id, version_id)")
 def rec3_trace(spark, d):
-    support = view(spark, d, "evidence").where("evidence_type in ('interface', 'license')").select("version_id", "evidence_id")
-    return _recommended(spark, d).join(support, "version_id").select("req_id", "version_id", "evidence_id")
+    """The evidence behind each recommendation, through the links of its fit."""
+    firsts = fit.best(fit.fit_scores(_pairs(spark, d)))
+    return fit.fit_links(view(spark, d, "requirement_constraint"), view(spark, d, "evidence"), firsts)
 
 
 _BUILD = f"{_REC_SQL} SELECT req_id, verdict = 'BUILD' AND req_id % 2 = 0 AS allowed, CASE WHEN verdict <> 'BUILD' THEN 'not_build' WHEN req_id % 2 = 1 THEN 'not_authorized' ELSE 'authorized' END AS reason FROM recs"
@@ -167,4 +196,4 @@ def pol12_build_gate(spark, d):
 
 @add("pol13_authorizable", f"{_REC_SQL} SELECT req_id FROM recs WHERE verdict = 'BUILD'")
 def pol13_authorizable(spark, d):
-    return fit.authorizable(_recommended(spark, d), _ranked(spark, d))
+    return fit.authorizable(_recommended(spark, d))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from vitrine.operators import policy, query as q, scoring
 from vitrine.plans.catalogue import Catalogue
-from vitrine.plans.common import DIMENSION_SQL, HEAD_SQL, cards
+from vitrine.plans.common import DIMENSION_SQL, HEAD_SQL
 from vitrine.sources.views import view
 
 CATALOGUE = Catalogue()
@@ -16,7 +16,7 @@ _ORDER = "ORDER BY coalesce(total_score, 0) DESC, display_name, id"
 
 
 def _tables(spark, d):
-    return view(spark, d, "capability"), view(spark, d, "capability_version"), cards(spark, d)
+    return view(spark, d, "capability"), view(spark, d, "capability_version"), view(spark, d, "evidence")
 
 
 def _shown(df):
@@ -66,9 +66,10 @@ def fil6_membership(spark, d):
     return view(spark, d, "capability").join(keys, "id", "left_semi").select("id")
 
 
-@CATALOGUE.add("fil7_json_safe", """SELECT n_nationkey, '{"n":"' || n_name || '","r":' || CAST(n_regionkey AS STRING) || '}' AS doc FROM {nation}""")
+@CATALOGUE.add("fil7_json_safe", """SELECT o_orderkey, '{"n":"' || o_orderpriority || '","s":"' || o_orderstatus || '","c":' || CAST(o_custkey AS STRING) || ',"d":"' || strftime(o_orderdate, '%Y-%m-%d') || '"}' AS doc FROM {orders}""")
 def fil7_json_safe(spark, d):
-    return view(spark, d, "nation").select("n_nationkey", F.to_json(F.struct(F.col("n_name").alias("n"), F.col("n_regionkey").alias("r"))).alias("doc"))
+    safe = F.struct(F.col("o_orderpriority").alias("n"), F.col("o_orderstatus").alias("s"), F.col("o_custkey").alias("c"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("d"))
+    return view(spark, d, "orders").select("o_orderkey", F.to_json(safe).alias("doc"))
 
 
 @CATALOGUE.add(
@@ -102,17 +103,24 @@ def ord1_top(spark, d):
 
 
 _DETAIL_SQL = f"""{_SCORED},
-f AS (SELECT version_id, string_agg(DISTINCT name, ',' ORDER BY name) AS interface_names, count(*) AS n_interface FROM {{evidence}} WHERE evidence_type = 'interface' GROUP BY version_id),
-p AS (SELECT version_id, string_agg(DISTINCT name, ',' ORDER BY name) AS dependency_names, count(*) AS n_dependency FROM {{evidence}} WHERE evidence_type = 'dependency' GROUP BY version_id)
-SELECT id, s.version_id, total_score, interface_names, coalesce(n_interface, 0) AS n_interface, dependency_names, coalesce(n_dependency, 0) AS n_dependency
-FROM scored AS s LEFT JOIN f ON f.version_id = s.version_id LEFT JOIN p ON p.version_id = s.version_id"""
+f AS (SELECT version_id, CAST(to_json(list({{{{'name': name, 'evidence_id': evidence_id, 'signature': signature}}}} ORDER BY name, evidence_id)) AS VARCHAR) AS interfaces FROM {{evidence}} WHERE evidence_type = 'interface' GROUP BY version_id),
+p AS (SELECT version_id, CAST(to_json(list({{{{'ecosystem': ecosystem, 'name': name, 'evidence_id': evidence_id}}}} ORDER BY ecosystem, name, evidence_id)) AS VARCHAR) AS dependencies FROM {{evidence}} WHERE evidence_type = 'dependency' GROUP BY version_id),
+k AS (SELECT version_id, to_json(list({{{{'name': dimension, 'evidence_count': n, 'raw': CAST(raw AS VARCHAR), 'weight': CAST(CAST(weight AS DECIMAL(4,3)) AS VARCHAR), 'weighted': CAST(CAST(round(raw * weight, 3) AS DECIMAL(18,3)) AS VARCHAR),
+    'coverage': CAST(n > 0 AS INT), 'contradiction': contradiction}}}} ORDER BY dimension)) AS dimensions FROM dims GROUP BY version_id)
+SELECT id, s.version_id, coalesce(interfaces, '[]') AS interfaces, coalesce(dependencies, '[]') AS dependencies,
+  CASE WHEN s.version_id IS NOT NULL THEN '{{{{"total_score":"' || CAST(total_score AS VARCHAR) || '","confidence":"' || CAST(confidence AS VARCHAR) || '","dimensions":' || CAST(dimensions AS VARCHAR) || '}}}}' END AS scorecard
+FROM scored AS s LEFT JOIN f ON f.version_id = s.version_id LEFT JOIN p ON p.version_id = s.version_id LEFT JOIN k ON k.version_id = s.version_id"""
+# braces that stand for themselves, not for a view
+_DETAIL_SQL = _DETAIL_SQL.replace("{{", "{").replace("}}", "}")
 
 
 @CATALOGUE.add("qry3_detail", _DETAIL_SQL)
 @CATALOGUE.add("agg10_nested_detail", _DETAIL_SQL)
 def qry3_detail(spark, d):
-    rows = q.detail(*_tables(spark, d), view(spark, d, "evidence"))
-    return rows.select("id", "version_id", "total_score", "interface_names", "n_interface", "dependency_names", "n_dependency")
+    """The documents, their nested parts as JSON."""
+    rows = q.detail(*_tables(spark, d))
+    shown = lambda c: F.to_json(c, {"ignoreNullFields": "false"}).alias(c)
+    return rows.select("id", "version_id", *map(shown, ("interfaces", "dependencies", "scorecard")))
 
 
 CHECK_SQL = """
@@ -120,7 +128,7 @@ c AS (SELECT c.id AS capability_id, c.*, p.project_id, p.kind AS ckind, p.amount
     string_split(lower(coalesce(c.topics, '')), ',') AS tags, string_split(coalesce(p.listed, ''), ',') AS names
   FROM {capability} AS c CROSS JOIN {project_constraint} AS p),
 verdicts AS (
-  SELECT capability_id, project_id, CASE ckind WHEN 'cpu_only' THEN 'no_gpu' ELSE ckind END AS kind,
+  SELECT capability_id, project_id, CASE ckind WHEN 'cpu_only' THEN 'no_gpu' ELSE ckind END AS kind, c.* EXCLUDE (capability_id, project_id, kind),
     CASE ckind
       WHEN 'must_be_free_tier' THEN CASE WHEN tier IN ('paid', 'cheap_paid') THEN 'paid' WHEN tier IN ('', 'unknown') THEN 'unknown_cost' ELSE 'ok' END
       WHEN 'must_be_local' THEN CASE WHEN rt IN ('http_endpoint', 'mcp_http', 'mcp_sse') THEN 'remote_runtime' ELSE 'ok' END
@@ -136,13 +144,19 @@ verdicts AS (
       ELSE 'unknown_constraint_kind' END AS reason
   FROM c),
 judged AS (SELECT *, reason IN ('ok', 'unknown_cost', 'no_ceiling', 'unknown_license', 'unknown_runtime', 'unknown_constraint_kind') AS passed FROM verdicts)"""
+_DETAILS = """CASE reason WHEN 'gpu_required' THEN 'requires_gpu is set' WHEN 'gpu_topic' THEN 'topics ' || array_to_string(list_sort(list_distinct(list_intersect(tags, ['gpu', 'cuda', 'nvidia', 'rocm', 'tensorrt']))), ',')
+    WHEN 'requires_broker' THEN 'topics ' || array_to_string(list_sort(list_distinct(list_intersect(tags, ['celery', 'airflow', 'kafka', 'rabbitmq', 'cron', 'scheduler']))), ',')
+    WHEN 'paid' THEN 'cost_tier=' || cost_tier WHEN 'remote_runtime' THEN 'runtime=' || runtime WHEN 'over_budget' THEN '$' || CAST(monthly_cost_usd AS STRING) || ' > $' || CAST(amount_usd AS STRING)
+    WHEN 'license_not_allowed' THEN license_spdx || ' not in allowlist' WHEN 'license_denied' THEN license_spdx || ' on denylist' WHEN 'unknown_license' THEN 'license_spdx missing'
+    WHEN 'runtime_not_allowed' THEN runtime || ' not in allowlist' WHEN 'unknown_runtime' THEN 'runtime missing' WHEN 'kind_not_allowed' THEN component_kind || ' not in allowlist'
+    WHEN 'unknown_cost' THEN CASE ckind WHEN 'must_be_free_tier' THEN 'cost_tier missing' ELSE 'monthly_cost_usd missing' END ELSE '' END AS detail"""
 
 
 def _verdicts(spark, d):
     return policy.constraint_verdicts(view(spark, d, "capability"), view(spark, d, "project_constraint"))
 
 
-_VERDICT_SQL = f"WITH {CHECK_SQL.strip()} SELECT capability_id, project_id, kind, passed, reason FROM judged"
+_VERDICT_SQL = f"WITH {CHECK_SQL.strip()} SELECT capability_id, project_id, kind, passed, reason, {_DETAILS} FROM judged"
 
 
 @CATALOGUE.add("pol8_constraints", _VERDICT_SQL)
@@ -151,10 +165,18 @@ def pol8_constraints(spark, d):
     return _verdicts(spark, d)
 
 
-@CATALOGUE.add("pol9_filtered_browse", f"{_SCORED}, {CHECK_SQL.strip()}, b AS (SELECT {SHOWN} FROM scored WHERE component_kind = 'repo' {_ORDER} LIMIT 200) SELECT * FROM b WHERE id NOT IN (SELECT capability_id FROM judged WHERE project_id = 4 AND NOT passed)")
+_OF_PROJECT = "id NOT IN (SELECT capability_id FROM judged WHERE project_id = {} AND NOT passed)"
+
+
+@CATALOGUE.add("pol9_filtered_browse", f"{_SCORED}, {CHECK_SQL.strip()}, b AS (SELECT {SHOWN} FROM scored WHERE component_kind = 'repo' {_ORDER} LIMIT 200) SELECT * FROM b WHERE {_OF_PROJECT.format(4)}")
+@CATALOGUE.add("qry2_browse_project", f"{_SCORED}, {CHECK_SQL.strip()}, b AS (SELECT {SHOWN} FROM scored WHERE component_kind = 'repo' {_ORDER} LIMIT 200) SELECT * FROM b WHERE {_OF_PROJECT.format(4)}")
 def pol9_filtered_browse(spark, d):
-    rows = q.browse(*_tables(spark, d), limit=200, component_kind="repo")
-    return _shown(q.fitting(rows, _verdicts(spark, d), 4))
+    return _shown(q.browse(*_tables(spark, d), limit=200, constraints=view(spark, d, "project_constraint"), project_id=4, component_kind="repo"))
+
+
+@CATALOGUE.add("qry1_search_project", f"{_SCORED}, {CHECK_SQL.strip()}, b AS (SELECT {SHOWN} FROM scored WHERE display_name ILIKE '%red%' OR normalized_key ILIKE '%red%' {_ORDER} LIMIT 100) SELECT * FROM b WHERE {_OF_PROJECT.format(8)}")
+def qry1_search_project(spark, d):
+    return _shown(q.search(*_tables(spark, d), "red", limit=100, constraints=view(spark, d, "project_constraint"), project_id=8))
 
 
 _FIT_SQL = f"WITH {CHECK_SQL.strip()} SELECT capability_id, project_id, NOT bool_and(passed) AS hard_fail, coalesce(string_agg(CASE WHEN NOT passed THEN reason END, ',' ORDER BY reason), '') AS failed FROM judged GROUP BY capability_id, project_id"
@@ -218,16 +240,19 @@ def qry6_info(spark, d):
     return q.info(cap, scoring.health_scores(cap))
 
 
-_PAIR_SQL = """
+#: Whether runtimes s and t call each other directly, or an adapter bridges them.
+NATIVE_SQL = "CASE WHEN s = t THEN TRUE WHEN s LIKE 'mcp%' AND t LIKE 'mcp%' THEN TRUE WHEN s LIKE 'claude%' AND t LIKE 'claude%' THEN TRUE WHEN s = 'http_endpoint' AND t IN ('mcp_http', 'mcp_sse') THEN TRUE ELSE FALSE END"
+BRIDGE_SQL = """s || '>' || t IN ('python_import>cli_subprocess', 'cli_subprocess>python_import', 'python_import>http_endpoint', 'http_endpoint>python_import', 'npm_import>http_endpoint', 'http_endpoint>npm_import',
+    'python_import>mcp_stdio', 'mcp_stdio>python_import', 'cli_subprocess>http_endpoint', 'http_endpoint>cli_subprocess', 'git_clone>python_import', 'git_clone>cli_subprocess', 'claude_skill>mcp_stdio',
+    'claude_agent>mcp_stdio', 'claude_skill>python_import', 'claude_agent>python_import')"""
+_PAIR_SQL = f"""
 WITH f AS (SELECT capability_id, name, signature FROM (SELECT capability_id, name, signature, row_number() OVER (PARTITION BY capability_id ORDER BY name, signature NULLS FIRST) AS n
-    FROM {evidence} JOIN (SELECT capability_id, max(version_id) AS version_id FROM {capability_version} GROUP BY capability_id) USING (version_id) WHERE evidence_type = 'interface') WHERE n = 1),
+    FROM {{evidence}} JOIN (SELECT capability_id, max(version_id) AS version_id FROM {{capability_version}} GROUP BY capability_id) USING (version_id) WHERE evidence_type = 'interface') WHERE n = 1),
 p AS (SELECT a.id AS src, b.id AS tgt, a.runtime AS s, b.runtime AS t, fa.name AS sk, fb.name AS tk
-  FROM {capability} AS a JOIN {capability} AS b ON b.id = a.id + 1 LEFT JOIN f AS fa ON fa.capability_id = a.id LEFT JOIN f AS fb ON fb.capability_id = b.id),
+  FROM {{capability}} AS a JOIN {{capability}} AS b ON b.id = a.id + 1 LEFT JOIN f AS fa ON fa.capability_id = a.id LEFT JOIN f AS fb ON fb.capability_id = b.id),
 x AS (SELECT *, CASE WHEN sk IS NULL OR tk IS NULL THEN 'unknown_io' WHEN sk <> tk THEN 'mismatch' ELSE 'match' END AS io_type_check,
-  CASE WHEN s = t THEN TRUE WHEN s LIKE 'mcp%' AND t LIKE 'mcp%' THEN TRUE WHEN s LIKE 'claude%' AND t LIKE 'claude%' THEN TRUE WHEN s = 'http_endpoint' AND t IN ('mcp_http', 'mcp_sse') THEN TRUE ELSE FALSE END AS native,
-  s || '>' || t IN ('python_import>cli_subprocess', 'cli_subprocess>python_import', 'python_import>http_endpoint', 'http_endpoint>python_import', 'npm_import>http_endpoint', 'http_endpoint>npm_import',
-    'python_import>mcp_stdio', 'mcp_stdio>python_import', 'cli_subprocess>http_endpoint', 'http_endpoint>cli_subprocess', 'git_clone>python_import', 'git_clone>cli_subprocess', 'claude_skill>mcp_stdio',
-    'claude_agent>mcp_stdio', 'claude_skill>python_import', 'claude_agent>python_import') AS bridge FROM p)
+  {NATIVE_SQL} AS native,
+  {BRIDGE_SQL} AS bridge FROM p)
 SELECT src, tgt, io_type_check, CASE WHEN s IS NULL OR t IS NULL OR bridge OR (native AND io_type_check = 'mismatch') THEN 'adapter_needed' WHEN native THEN 'compatible' ELSE 'incompatible' END AS verdict,
   CASE WHEN s IS NULL OR t IS NULL THEN 'unknown_runtime' WHEN native AND io_type_check = 'mismatch' THEN 'io_mismatch_within_family' WHEN native THEN 'same_family' WHEN bridge THEN 'bridge_available' ELSE 'no_known_bridge' END AS reason
 FROM x"""

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from vitrine.operators import registry as r
 from vitrine.plans.catalogue import Catalogue
-from vitrine.sources import landed
+from vitrine.sources import landed, sinks
+from vitrine.sources.folders import new_folder
 from vitrine.sources.views import view
 
 CATALOGUE = Catalogue()
@@ -42,15 +43,26 @@ def src3_links(spark, d):
     return landed.repo_links(view(spark, d, "part").select(F.col("p_partkey").cast("string").alias("list_id"), text.alias("text"))).select("list_id", "owner", "name")
 
 
-@add("src4_servers", "SELECT n_name AS name, CASE n_nationkey % 3 WHEN 0 THEN 'stdio' WHEN 1 THEN 'sse' ELSE 'unknown' END AS transport, CASE WHEN n_nationkey % 3 = 0 THEN 'KEY' ELSE '' END AS env, CASE WHEN n_nationkey % 2 = 0 THEN '/w#config-differs,user' ELSE 'user' END AS scopes FROM {nation}")
+_SERVER_SQL = """
+WITH f AS (SELECT 'f' || lpad(CAST(c_custkey AS STRING), 10, '0') AS path, 's' || CAST(c_custkey % 97 AS STRING) AS name, c_nationkey % 3 AS k, c_custkey % 4 AS own FROM {customer}),
+c AS (SELECT path, name, 'user' AS scope, 0 AS o, CASE k WHEN 0 THEN 'stdio' WHEN 1 THEN 'sse' ELSE 'unknown' END AS transport, CASE k WHEN 0 THEN 'KEY' ELSE '' END AS env, k FROM f
+  UNION ALL SELECT path, name, '/w', 1, 'stdio', '', 9 FROM f WHERE own = 0),
+first AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY o, scope, path) AS n FROM c) WHERE n = 1),
+scopes AS (SELECT name, string_agg(DISTINCT shown, ',' ORDER BY shown) AS scopes FROM (SELECT c.name, CASE WHEN c.k = first.k THEN c.scope ELSE c.scope || '#config-differs' END AS shown FROM c JOIN first USING (name)) GROUP BY name)
+SELECT name, transport, env, scopes FROM first JOIN scopes USING (name)"""
+
+
+@add("src4_servers", _SERVER_SQL)
 def src4_servers(spark, d):
-    """Each nation as a config file with one server, every second also in a project with another config."""
-    k = F.col("n_nationkey")
+    """Each customer as a config file with one server, of a name that many files have, every fourth also in a project with
+    another config."""
+    k, name = F.col("c_nationkey"), F.concat(F.lit("s"), (F.col("c_custkey") % 97).cast("string"))
     own = F.when(k % 3 == 0, '{"command": "run", "env": {"KEY": "hidden"}}').when(k % 3 == 1, '{"url": "http://x"}').otherwise("{}")
-    server = F.concat(F.lit('{"'), "n_name", F.lit('": '), own, F.lit("}"))
-    other = F.when(k % 2 == 0, F.concat(F.lit('{"/w": {"mcpServers": {"'), "n_name", F.lit('": {"command": "other"}}}}'))).otherwise("{}")
+    server = F.concat(F.lit('{"'), name, F.lit('": '), own, F.lit("}"))
+    other = F.when(F.col("c_custkey") % 4 == 0, F.concat(F.lit('{"/w": {"mcpServers": {"'), name, F.lit('": {"command": "other"}}}}'))).otherwise("{}")
     content = F.concat(F.lit('{"mcpServers": '), server, F.lit(', "projects": '), other, F.lit("}"))
-    rows = landed.server_configs(view(spark, d, "nation").select(F.col("n_name").alias("path"), content.alias("content")))
+    path = F.concat(F.lit("f"), F.lpad(F.col("c_custkey").cast("string"), 10, "0"))
+    rows = landed.server_configs(view(spark, d, "customer").select(path.alias("path"), content.alias("content")))
     return rows.select("name", "transport", F.array_join("env_names", ",").alias("env"), F.array_join("scopes", ",").alias("scopes"))
 
 
@@ -63,9 +75,9 @@ def src5_front_matter(spark, d):
     return landed.front_matter(view(spark, d, "documents").select(path.alias("path"), content.alias("content")))
 
 
-@add("src6_archives")
+@add("src6_archives", "SELECT CAST(doc_id AS STRING) AS archive, CASE WHEN doc_id % 7 <> 3 THEN 'docs/' || CAST(doc_id AS STRING) || '.md' END AS path, CASE WHEN doc_id % 7 <> 3 THEN CAST(octet_length(encode(text)) AS BIGINT) END AS size, CASE WHEN doc_id % 7 <> 3 AND octet_length(encode(text)) <= 20000 THEN sha256(text) END AS content_hash, CASE WHEN doc_id % 7 = 3 THEN 'broken' WHEN octet_length(encode(text)) > 20000 THEN 'too_large' ELSE 'ok' END AS outcome FROM {documents}")
 def src6_archives(spark, d):
-    """Each document packed into an archive of its own and opened again."""
+    """Each document packed into an archive of its own and opened again; every seventh archive is cut short."""
 
     def packed(batches):
         import io
@@ -79,11 +91,11 @@ def src6_archives(spark, d):
                     m = tarfile.TarInfo(f"top/docs/{doc}.md")
                     m.size = len(data)
                     tar.addfile(m, io.BytesIO(data))
-                out.append(buffer.getvalue())
+                out.append(buffer.getvalue()[: 15 if doc % 7 == 3 else None])
             yield pdf.assign(path=pdf["doc_id"].astype(str), length=[len(x) for x in out], content=out)[["path", "length", "content"]]
 
     archives = view(spark, d, "documents").select("doc_id", "text").mapInPandas(packed, "path string, length long, content binary")
-    return landed.archive_files(archives).select("archive", "path", "size", F.sha2("content", 256).alias("content_hash"))
+    return landed.archive_files(archives, 20_000).select("archive", "path", "size", F.sha2("content", 256).alias("content_hash"), "outcome")
 
 
 @add("src7_assets", "SELECT s_name AS external_key FROM {supplier} WHERE contains(lower(s_name), 'r#00000000')")
@@ -114,6 +126,37 @@ def snk1_upsert(spark, d):
     return r.upsert(cap.where("id % 4 <> 0"), batch, "id", ["display_name", "license_spdx"])
 
 
+@add("snk3_children", """WITH f AS (SELECT DISTINCT version_id, name FROM {evidence} WHERE evidence_type = 'interface'), n AS (SELECT DISTINCT version_id, name FROM {evidence} WHERE evidence_type = 'dependency')
+SELECT version_id, name FROM f WHERE version_id % 3 <> 0 UNION ALL SELECT version_id, name FROM n WHERE version_id % 6 = 0""")
+def snk3_children(spark, d):
+    """The interfaces of all versions as their children; then a third of the versions is derived again, half of it to nothing."""
+    rows = view(spark, d, "evidence")
+    of = lambda t: rows.where(F.col("evidence_type") == t).select("version_id", "name").distinct()
+    path, versions = new_folder(spark, "children"), rows.select("version_id").distinct()
+    sinks.replace_children(of("interface"), versions, path, "version_id", new_folder(spark, "staging"))
+    sinks.replace_children(of("dependency").where("version_id % 2 = 0"), versions.where("version_id % 3 = 0"), path, "version_id", new_folder(spark, "staging"))
+    return spark.read.parquet(path).select("version_id", "name")
+
+
+@add("snk4_ledger", "SELECT event_id, step FROM {attempt} WHERE status = 'failed' UNION ALL SELECT event_id, step FROM {attempt} WHERE k % 2 = 0")
+def snk4_ledger(spark, d):
+    """Two batches appended to one ledger."""
+    log, path = view(spark, d, "attempt"), new_folder(spark, "ledger")
+    for on in ("status = 'failed'", "k % 2 = 0"):
+        sinks.append(log.where(on).select("event_id", "step"), path)
+    return spark.read.parquet(path)
+
+
+@add("snk5_run_log", "SELECT 'events' AS source, 'completed' AS status, '{\"rows\": ' || CAST(count(*) AS STRING) || '}' AS counts, CAST(max(event_id) AS STRING) AS cursor FROM {attempt}")
+def snk5_run_log(spark, d):
+    """A run that counts its rows and tells its cursor."""
+    path = new_folder(spark, "runs")
+    with sinks.run_log(spark, path, "events") as told:
+        n, last = view(spark, d, "attempt").agg(F.count("*"), F.max("event_id")).first()
+        told["counts"]["rows"], told["cursor"] = n, str(last)
+    return spark.read.parquet(path).select("source", "status", "counts", "cursor")
+
+
 _MANIFESTS = """SELECT 'a' || CAST(p_partkey AS STRING) AS asset, CASE WHEN p_size % 3 = 0 THEN 'pypi:' || regexp_replace(lower(p_name), '[-_.]+', '-', 'g') WHEN p_size % 3 = 1 THEN 'npm:' || lower(p_name)
   ELSE 'source:github:a' || CAST(p_partkey AS STRING) END AS normalized_key FROM {part}"""
 

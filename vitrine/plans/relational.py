@@ -60,12 +60,12 @@ def jon7_link_candidates(spark, d):
 
 
 @add("jon8_successors", """
-WITH n AS (SELECT o_orderkey AS ref, p_name FROM {orders} JOIN {part} ON p_partkey = o_custkey % 200),
+WITH n AS (SELECT o_orderkey AS ref, p_name FROM {orders} JOIN {part} ON p_partkey = o_custkey),
 k AS (SELECT ref, 1 AS pos, 'pypi:' || replace(p_name, ' ', '-') AS normalized_key FROM n UNION ALL SELECT ref, 2, 'npm:' || replace(p_name, ' ', '-') FROM n)
 SELECT ref, id AS successor_id FROM (SELECT ref, c.id, row_number() OVER (PARTITION BY ref ORDER BY pos, c.id) AS n FROM k JOIN {capability} AS c USING (normalized_key)) WHERE n = 1""")
 def jon8_successors(spark, d):
     part = view(spark, d, "part").select("p_partkey", F.replace("p_name", F.lit(" "), F.lit("-")).alias("name"))
-    names = view(spark, d, "orders").select(F.col("o_orderkey").alias("ref"), (F.col("o_custkey") % 200).alias("p_partkey")).join(part, "p_partkey")
+    names = view(spark, d, "orders").select(F.col("o_orderkey").alias("ref"), F.col("o_custkey").alias("p_partkey")).join(part, "p_partkey")
     return r.resolve_successors(names, view(spark, d, "capability"))
 
 
@@ -87,9 +87,9 @@ def agg3_best_card(spark, d):
     return rows.groupBy("capability_id").agg(F.max("total_score").alias("total_score"), F.max("confidence").alias("confidence"))
 
 
-@add("agg4_candidates", "SELECT DISTINCT version_id FROM {evidence}")
+@add("agg4_candidates", "SELECT DISTINCT version_id FROM {evidence} WHERE evidence_type <> 'setup_py_detected'")
 def agg4_candidates(spark, d):
-    return view(spark, d, "evidence").select("version_id").distinct()
+    return view(spark, d, "scorecard").select("version_id").distinct()
 
 
 _RELIABLE = "SELECT provider, count(*) AS total, count(*) FILTER (raw_response LIKE '{%') AS valid, round(avg(latency_ms), 4) AS latency FROM {response} GROUP BY provider"

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from vitrine.operators import scoring
 from vitrine.plans.catalogue import Catalogue
-from vitrine.plans.common import DIMENSION_SQL, cards
+from vitrine.plans.common import DIMENSION_SQL, cards, facts
 from vitrine.sources.views import view
 
 CATALOGUE = Catalogue()
@@ -14,13 +14,9 @@ add = CATALOGUE.add
 _WITH = f"WITH {DIMENSION_SQL.strip()}"
 
 
-def _long(spark, d):
-    return scoring.dimension_results(view(spark, d, "capability_version"), view(spark, d, "evidence"))
-
-
-@add("sco1_scorecard", f"{_WITH} SELECT version_id, dimension, n, raw, CAST(n > 0 AS INT) AS coverage, CAST(round(raw * weight, 3) AS DECIMAL(18,3)) AS weighted FROM dims")
+@add("sco1_scorecard", f"{_WITH} SELECT version_id, dimension, n, raw, CAST(n > 0 AS INT) AS coverage, contradiction, CAST(round(raw * weight, 3) AS DECIMAL(18,3)) AS weighted FROM dims")
 def sco1_scorecard(spark, d):
-    return _long(spark, d).select("version_id", "dimension", "n", "raw", "coverage", "weighted")
+    return scoring.long_form(facts(spark, d)).select("version_id", "dimension", "n", "raw", "coverage", "contradiction", "weighted")
 
 
 _CONTRA = "SELECT version_id, count(*) AS n, count(DISTINCT spdx_id) AS n_distinct, count(*) >= 2 AND count(DISTINCT spdx_id) > 1 AS contradicted FROM {evidence} WHERE evidence_type = 'license' GROUP BY version_id"
@@ -44,14 +40,32 @@ def sco4_score_links(spark, d):
     return rows.select("version_id", "evidence_id", F.explode(names).alias("dimension"))
 
 
-_HASH = f"""{_WITH} SELECT version_id, sha256('default/1' || chr(10) || string_agg(dimension || '|' || CAST(n AS STRING) || '|' || CAST(raw AS STRING) || '|' || CAST(CAST(round(raw * weight, 3) AS DECIMAL(18,3)) AS STRING), chr(10) ORDER BY dimension)) AS computed_hash
-FROM dims GROUP BY version_id"""
+_NUMBERS = "CASE dimension WHEN 'has_identified_license' THEN 1 WHEN 'has_tests' THEN 2 WHEN 'interface_surface' THEN 3 WHEN 'no_secret_indicators' THEN 4 ELSE 5 END"
+_OF_TYPE = "CASE evidence_type WHEN 'license' THEN 1 WHEN 'test_indicator' THEN 2 WHEN 'interface' THEN 3 WHEN 'secret_indicator' THEN 4 ELSE 5 END"
+_HASH = f"""{_WITH},
+lines AS (
+  SELECT version_id, -1 AS dim, '' AS id, '{scoring.profile_hash()}' AS line FROM {{capability_version}}
+  UNION ALL SELECT version_id, {_NUMBERS}, '', concat_ws('|', dimension, CAST(n AS STRING), CAST(raw AS STRING), CAST(CAST(weight AS DECIMAL(4,3)) AS STRING), CAST(CAST(round(raw * weight, 3) AS DECIMAL(18,3)) AS STRING),
+    CAST(CAST(n > 0 AS INT) AS STRING), CAST(contradiction AS STRING)) FROM dims
+  UNION ALL SELECT version_id, {_OF_TYPE}, evidence_id, evidence_id FROM {{evidence}} WHERE evidence_type <> 'setup_py_detected' AND NOT (evidence_type = 'license' AND spdx_id = 'unknown')),
+hashes AS (SELECT version_id, sha256(string_agg(line, chr(10) ORDER BY dim, id)) AS computed_hash FROM lines GROUP BY version_id)"""
+
+
+def _hashes(spark, d):
+    return scoring.result_hashes(view(spark, d, "capability_version"), view(spark, d, "evidence"))
+
+
+@add("agg12_result_hash", f"{_HASH} SELECT version_id, computed_hash FROM hashes")
+def agg12_result_hash(spark, d):
+    return _hashes(spark, d)
 
 
-@add("sco5_hash", _HASH)
-@add("agg12_result_hash", _HASH)
+@add("sco5_hash", f"{_HASH} SELECT version_id, computed_hash, version_id % 3 = 0 AS was_noop FROM hashes")
 def sco5_hash(spark, d):
-    return scoring.result_hash(_long(spark, d))
+    """Scoring again: a third of the versions has a scorecard of the same evidence, a third one of other evidence, a third none."""
+    hashes = _hashes(spark, d)
+    prior = hashes.where("version_id % 3 <> 2").select("version_id", F.when(F.col("version_id") % 3 == 0, F.col("computed_hash")).otherwise(F.reverse("computed_hash")).alias("computed_hash"))
+    return scoring.rescored(hashes, prior)
 
 
 @add("src9_profile", "SELECT * FROM (VALUES ('has_identified_license', 0.20), ('has_tests', 0.20), ('interface_surface', 0.15), ('no_secret_indicators', 0.25), ('has_declared_dependencies', 0.20)) AS t(dimension, weight), (SELECT count(DISTINCT version_id) AS n_versions FROM {evidence})")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vitrine.operators import workflow as w
+from vitrine.operators.registry import upsert
 from vitrine.plans.catalogue import Catalogue
 from vitrine.sources.views import view
 
@@ -39,11 +40,19 @@ def str5_backlog(spark, d):
     return w.backlog(view(spark, d, "attempt"))
 
 
-@add("str6_since_cursor", "SELECT event_id FROM {attempt} WHERE ts > (SELECT min(ts) + INTERVAL 15 DAY FROM {attempt})")
+@add("str6_since_cursor", """
+WITH c AS (SELECT step, max(ts) - INTERVAL 10 DAY AS cursor FROM {attempt} GROUP BY step),
+old AS (SELECT run, max(event_id) AS last_event FROM {attempt} JOIN c USING (step) WHERE ts <= cursor GROUP BY run),
+batch AS (SELECT run, max(event_id) AS last_event FROM {attempt} JOIN c USING (step) WHERE ts > cursor GROUP BY run)
+SELECT run, coalesce(b.last_event, a.last_event) AS last_event, CASE WHEN b.run IS NULL THEN 'kept' WHEN a.run IS NULL THEN 'new' WHEN a.last_event = b.last_event THEN 'unchanged' ELSE 'updated' END AS outcome
+FROM old AS a FULL JOIN batch AS b USING (run)""")
 def str6_since_cursor(spark, d):
+    """What came after each source's cursor, merged into the table of what was known before."""
     log = view(spark, d, "attempt")
-    cursor = log.agg((F.min("ts") + F.expr("interval 15 days")).alias("cursor"))  # one row
-    return log.join(cursor, F.col("ts") > F.col("cursor")).select("event_id")
+    cursors = log.groupBy("step").agg((F.max("ts") - F.expr("interval 10 days")).alias("cursor"))
+    told = w.since_cursor(log, cursors, "step")
+    last = lambda rows: rows.groupBy("run").agg(F.max("event_id").alias("last_event"))
+    return upsert(last(log.join(cursors, "step").where("ts <= cursor")), last(told), "run", ["last_event"])
 
 
 @add("str7_counters", "SELECT CAST(date_trunc('day', ts) AS TIMESTAMP)::STRING AS window_start, step, count(*) AS n, count(*) FILTER (status = 'failed') AS n_failed FROM {attempt} GROUP BY 1, 2")

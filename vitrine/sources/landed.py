@@ -17,7 +17,11 @@ NON_REPO_OWNERS = (
     "search", "login", "join", "pulls", "issues", "stars", "codespaces", "new", "organizations", "site", "assets", "blog", "actions",
 )
 
+#: Largest file of an archive and largest archive, in bytes.
 MAX_FILE, MAX_ARCHIVE = 5 << 20, 200 << 20
+#: A link to a repository (owner, name), and file endings that are no part of the name.
+REPOSITORY_LINK = r"github\.com/([A-Za-z0-9](?:[A-Za-z0-9-]{0,38})?)/([A-Za-z0-9._-]{1,100})"
+NO_NAME_ENDING = r"\.(git|md|png|jpg|jpeg|svg|gif)$"
 
 
 def read_listing(spark: SparkSession, path: str) -> DataFrame:
@@ -39,9 +43,9 @@ def listing_rows(items: DataFrame) -> DataFrame:
 
 def repo_links(lists: DataFrame) -> DataFrame:
     """lists (list_id, text) to (list_id, pos, owner, name), first mention of each, with owners' case kept."""
-    pattern = r"github\.com/([A-Za-z0-9](?:[A-Za-z0-9-]{0,38})?)/([A-Za-z0-9._-]{1,100})"
+    pattern = REPOSITORY_LINK
     pairs = F.arrays_zip(F.regexp_extract_all("text", F.lit(pattern), 1).alias("owner"), F.regexp_extract_all("text", F.lit(pattern), 2).alias("name"))
-    rows = lists.select("list_id", F.posexplode(pairs).alias("pos", "p")).select("list_id", "pos", F.col("p.owner").alias("owner"), F.regexp_replace("p.name", r"\.(git|md|png|jpg|jpeg|svg|gif)$", "").alias("name"))
+    rows = lists.select("list_id", F.posexplode(pairs).alias("pos", "p")).select("list_id", "pos", F.col("p.owner").alias("owner"), F.regexp_replace("p.name", NO_NAME_ENDING, "").alias("name"))
     rows = rows.where(~F.lower("owner").isin(*NON_REPO_OWNERS) & (F.lower(F.concat("owner", F.lit("/"), "name")) != F.lower("list_id")))
     first = Window.partitionBy("list_id", "owner", "name").orderBy("pos")
     return rows.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
@@ -82,26 +86,38 @@ def front_matter(files: DataFrame) -> DataFrame:
     return rows.where("name <> ''").withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n", "path")
 
 
-def archive_files(archives: DataFrame, max_file: int = MAX_FILE) -> DataFrame:
-    """archives (path, length, content) of tar.gz files to (archive, path, size, content) of their regular files, without
-    the leading folder; archives over MAX_ARCHIVE bytes and files over max_file are left out."""
+def archive_files(archives: DataFrame, max_file: int = MAX_FILE, max_archive: int = MAX_ARCHIVE) -> DataFrame:
+    """archives (path, length, content) of tar files to (archive, path, size, content, outcome): a row for each regular file,
+    without the leading folder. Files over max_file have their row without content, outcome too_large; an archive over
+    max_archive is refused, and one that can't be read is broken, each with one row; what was read before the break stands."""
 
     def opened(batches):
         import io
         import tarfile
+        import zlib
 
         import pandas as pd
 
-        for pdf in batches:
-            for name, content in zip(pdf["path"], pdf["content"]):
-                rows = []
+        def files(name, content):
+            try:
                 with tarfile.open(fileobj=io.BytesIO(content), mode="r:*") as tar:
                     for m in tar:
-                        if m.isfile() and m.size <= max_file:
-                            rows.append((name, m.name.split("/", 1)[-1], m.size, tar.extractfile(m).read()))
-                yield pd.DataFrame(rows, columns=["archive", "path", "size", "content"])
+                        if m.isfile():
+                            fits = m.size <= max_file
+                            yield name, m.name.split("/", 1)[-1], m.size, tar.extractfile(m).read() if fits else None, "ok" if fits else "too_large"
+            except (tarfile.TarError, EOFError, OSError, zlib.error):
+                yield name, None, None, None, "broken"
 
-    return archives.where(F.col("length") <= MAX_ARCHIVE).select("path", "content").mapInPandas(opened, "archive string, path string, size long, content binary")
+        for pdf in batches:
+            for name, content in zip(pdf["path"], pdf["content"]):  # a frame for each archive bounds memory
+                rows = pd.DataFrame(files(name, content), columns=["archive", "path", "size", "content", "outcome"])
+                yield rows.astype({"size": "Int64"})
+
+    schema = "archive string, path string, size long, content binary, outcome string"
+    read = archives.where(F.col("length") <= max_archive).select("path", "content").mapInPandas(opened, schema)
+    none = lambda t: F.lit(None).cast(t)
+    refused = archives.where(F.col("length") > max_archive).select(F.col("path").alias("archive"), none("string").alias("path"), F.col("length").alias("size"), none("binary").alias("content"), F.lit("refused").alias("outcome"))
+    return read.unionByName(refused)
 
 
 def matching_assets(assets: DataFrame, query: str) -> DataFrame:

@@ -78,11 +78,14 @@ SELECT doc_id AS request_id, source AS provider,
 FROM {labels} JOIN {documents} USING (doc_id)""",
     "requirement": """
 SELECT n_nationkey AS req_id, n_name AS slug FROM {nation}""",
+    "scorecard": """
+SELECT DISTINCT version_id FROM {evidence} WHERE evidence_type <> 'setup_py_detected'""",
     "requirement_constraint": """
 SELECT n_nationkey AS req_id, 'required_interface' AS kind, 'NAME' || CAST(n_nationkey % 11 AS STRING) AS name,
-  CASE WHEN n_nationkey % 2 = 0 THEN 'f1' ELSE NULL END AS fragment, CAST(NULL AS STRING) AS ecosystem, CAST(NULL AS STRING) AS spdx_ids FROM {nation}
-UNION ALL SELECT n_nationkey, 'license_allowlist', NULL, NULL, NULL, CASE WHEN n_nationkey % 6 = 5 THEN '' ELSE 'mit,apache-2.0' END FROM {nation} WHERE n_nationkey % 3 <> 0
-UNION ALL SELECT n_nationkey, 'forbidden_dependency', 'name' || CAST(n_nationkey % 7 AS STRING), NULL, CASE WHEN n_nationkey % 5 = 4 THEN '' ELSE 'PyPI' END, NULL FROM {nation} WHERE n_nationkey % 4 <> 1
+  CASE WHEN n_nationkey % 2 = 0 THEN 'f1' ELSE NULL END AS fragment, CAST(NULL AS STRING) AS ecosystem, CAST(NULL AS STRING) AS spdx_ids FROM {nation} WHERE n_nationkey % 7 <> 3
+UNION ALL SELECT n_nationkey, 'license_allowlist', NULL, NULL, NULL, CASE WHEN n_nationkey % 6 = 5 THEN '' ELSE 'mit,apache-2.0' END FROM {nation} WHERE n_nationkey % 3 <> 0 AND n_nationkey % 7 <> 3
+UNION ALL SELECT n_nationkey, 'forbidden_dependency', 'name' || CAST(n_nationkey % 7 AS STRING), NULL, CASE WHEN n_nationkey % 5 = 4 THEN '' ELSE 'PyPI' END, NULL FROM {nation}
+  WHERE n_nationkey % 4 <> 1 AND n_nationkey % 7 <> 3
 UNION ALL SELECT n_nationkey, 'colour', NULL, NULL, NULL, NULL FROM {nation} WHERE n_nationkey % 9 = 0""",
     "project_constraint": """
 SELECT n_nationkey AS project_id,

@@ -38,42 +38,61 @@ def backlog(events: DataFrame, window: str = "1 hour", delay: str = "1 hour") ->
 
 
 class LeaseProcessor(StatefulProcessor):
-    """Keeps each run's last event; gives the run out as expired when its next event, or event time, comes after the lease."""
+    """Holds each run's events until event time has passed them and then takes them in the order of time: a lease expires
+    where the next event comes after its end, or where event time passes its end without one. The order in which
+    events arrive within the watermark's delay doesn't matter."""
 
     def __init__(self, lease_ms: int):
         self.lease_ms = lease_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
+        self.waiting = handle.getListState("waiting", "at long, step string")
         self.last = handle.getValueState("last", "at long, step string")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator:
+    def _passed(self, run, now: int):
+        """Takes what event time has passed, registers the next time to look, and gives the expired leases."""
         import pandas as pd
 
-        seen = sorted((int(at), step) for pdf in rows for at, step in zip(pdf["at"], pdf["step"]))
-        if self.last.exists():
-            seen.insert(0, tuple(self.last.get()))
-        for timer in self.handle.listTimers():
+        gone, last = [], tuple(self.last.get()) if self.last.exists() else None
+        events = sorted(tuple(x) for x in self.waiting.get()) if self.waiting.exists() else []
+        ready = [e for e in events if e[0] <= now]
+        for event in ready:
+            if last and event[0] - last[0] > self.lease_ms:
+                gone.append((last[0] + self.lease_ms, last[1]))
+            last = event
+        if ready:
+            if len(ready) == len(events):
+                self.waiting.clear()
+            else:
+                self.waiting.put(events[len(ready) :])
+        if last and last[0] + self.lease_ms < now:  # every event up to now is known, so the next one comes too late
+            gone.append((last[0] + self.lease_ms, last[1]))
+            last = None
+        self.last.update(last) if last else self.last.clear()
+        times = [e[0] for e in events[len(ready) : len(ready) + 1]] + ([last[0] + self.lease_ms + 1] if last else [])
+        if times:
+            self.handle.registerTimer(min(times))
+        columns = {"run": [run] * len(gone), "step": [s for _, s in gone], "expired_at": [t for t, _ in gone]}
+        return pd.DataFrame(columns).astype({"run": "int64", "step": "object", "expired_at": "int64"})
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator:
+        for pdf in rows:
+            self.waiting.appendList([(int(at), step) for at, step in zip(pdf["at"], pdf["step"])])
+        for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        gone = [(at + self.lease_ms, step) for (at, step), (after, _) in zip(seen, seen[1:]) if after - at > self.lease_ms]
-        if seen:
-            self.last.update(max(seen))
-            self.handle.registerTimer(max(seen)[0] + self.lease_ms)
-        yield pd.DataFrame({"run": [key[0]] * len(gone), "step": [s for _, s in gone], "expired_at": [t for t, _ in gone]}).astype({"run": "int64", "step": "object", "expired_at": "int64"})
+        yield self._passed(key[0], timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
-        import pandas as pd
-
-        _, step = self.last.get()
-        self.last.clear()
-        yield pd.DataFrame({"run": [key[0]], "step": [step], "expired_at": [expiredTimerInfo.getExpiryTimeInMs()]})
+        yield self._passed(key[0], timerValues.getCurrentWatermarkInMs())
 
     def close(self) -> None:
         pass
 
 
 def expired_leases(events: DataFrame, lease_seconds: int = 60, delay: str = "1 minute") -> DataFrame:
-    """Runs that show nothing for longer than the lease, by event-time timers (needs the RocksDB state store)."""
+    """Steps after which a run shows nothing for longer than the lease, with the lease's end, as far as event time has passed
+    it (needs the RocksDB state store). Events may come out of order by the delay; Spark drops those that are later."""
     rows = events.withWatermark("ts", delay).withColumn("at", (F.unix_micros("ts") / 1000).cast("long"))
     return rows.groupBy("run").transformWithStateInPandas(LeaseProcessor(lease_seconds * 1000), "run long, step string, expired_at long", "append", "eventTime")
 
@@ -88,14 +107,23 @@ def run_to_table(df: DataFrame, name: str, checkpoint: str, mode: str = "append"
     return df.sparkSession.table(name)
 
 
-def ingest(events: DataFrame, target: str, merge, checkpoint: str) -> None:
-    """Incremental upsert: each micro-batch is merged into the table at target by merge(table or None, batch) and replaces it.
-    Versions alternate between two folders, so a batch that is run again reads the table as it was before."""
+def ingest(events: DataFrame, target: str, merge, checkpoint: str) -> str | None:
+    """Incremental upsert: each micro-batch is merged into the table under target by merge(table or None, batch).
+
+    Versions alternate between two folders, so there are two copies at most, and a batch that is run again reads the table
+    as it was before it. Returns the folder of the newest version, None before the first batch; a stream that is resumed
+    from its checkpoint goes on from there."""
     spark = events.sparkSession
+    folder = lambda number: f"{target}/{number % 2}"
 
     def each(batch: DataFrame, number: int) -> None:
-        old = spark.read.parquet(f"{target}/{number - 1}") if number else None
-        merge(old, batch).write.mode("overwrite").parquet(f"{target}/{number}")
+        old = spark.read.parquet(folder(number - 1)) if number else None
+        merge(old, batch).write.mode("overwrite").parquet(folder(number))
 
     query = events.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
+    done = [p["batchId"] for p in query.recentProgress if p["numInputRows"] or p["batchId"] == 0]
+    if done:
+        return folder(max(done))
+    last = query.lastProgress  # nothing new: the batch that would come next
+    return folder(last["batchId"] - 1) if last and last["batchId"] else None
