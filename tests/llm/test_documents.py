@@ -88,11 +88,12 @@ def slow_removed(tokens, width, bad):
     return gone
 
 
-@pytest.mark.parametrize("hot", [1000, 2])
+@pytest.mark.parametrize("hot", [(1000, 1 << 17), (2, 1 << 17), (2, 2)])
 def test_substring_dedup(spark, monkeypatch, hot):
     from vitrine.llm import segments
 
-    monkeypatch.setattr(segments, "HOT", hot)
+    monkeypatch.setattr(segments, "HOT", hot[0])
+    monkeypatch.setattr(segments, "FULL", hot[1])
     data = {d: WORDS.findall(t or "") for d, t, *_ in ROWS}
     first = {}
     for d in sorted(data):
@@ -105,12 +106,13 @@ def test_substring_dedup(spark, monkeypatch, hot):
         assert (got[d]["n_words"], got[d]["n_removed"], bytes(got[d]["kept"])) == (len(w), sum(gone), kept)
 
 
-@pytest.mark.parametrize("hot", [1000, 2])
+@pytest.mark.parametrize("hot", [(1000, 1 << 17), (2, 1 << 17), (2, 2)])
 @pytest.mark.parametrize("keep_first", [False, True])
 def test_suffix_dedup(spark, monkeypatch, hot, keep_first):
     from vitrine.llm import segments
 
-    monkeypatch.setattr(segments, "HOT", hot)
+    monkeypatch.setattr(segments, "HOT", hot[0])
+    monkeypatch.setattr(segments, "FULL", hot[1])
     data = {d: (t or "").encode() for d, t, *_ in ROWS}
     data[60] = data[60][:5000]
     count = Counter(b[i : i + 200] for b in data.values() for i in range(len(b) - 199))

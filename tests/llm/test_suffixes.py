@@ -58,13 +58,14 @@ def test_longest_factors_of_windows():
     for _ in range(60):
         base = bytes(rng.choice(b"ab\0") for _ in range(80))
         contents = [base[rng.randint(0, 40) : rng.randint(30, 80)] + bytes(rng.choice(b"abc") for _ in range(rng.randint(0, 9))) for _ in range(rng.randint(1, 6))]
-        starts, previous, following = suffix_dedup.longest_factors(contents, 8)
+        starts, previous, source = suffix_dedup.longest_factors(contents, 8)
         tails = [c[i:] for c in contents for i in range(len(c))]
         assert starts.tolist() == [sum(map(len, contents[:k])) for k in range(len(contents))]
         for i, tail in enumerate(tails):
-            for got, others in ((previous[i], range(i)), (following[i], range(i + 1, len(tails)))):
-                want = max((common(tail, tails[j]) for j in others), default=0)
-                assert got == (want if want >= 8 else 0)
+            want = max((common(tail, tails[j]) for j in range(i)), default=0)
+            assert previous[i] == (want if want >= 8 else 0)
+            elsewhere = len(tail) >= 8 and any(t[:8] == tail[:8] for j, t in enumerate(tails) if j != i)
+            assert (previous[i] > 0 or source[i]) == elsewhere
 
 
 def test_greedy_factors():

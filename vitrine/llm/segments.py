@@ -7,14 +7,17 @@ can only be equal if their segments have equal keys, so segments are compared wi
 needs no comparison at all.
 
 1. keys: (row, key) for each place of a least gram; a key stays if it occurs often enough to matter.
-2. flagged: the keys that stay, brought back to their rows; those that occur more than HOT times are marked.
+2. flagged: the keys that stay, brought back to their rows; those that occur more than HOT times are marked. Windows under a
+   hot key are keyed by the least hashes in three further orders as well, so a line or phrase that half the corpus holds
+   doesn't make one group of all its contexts.
 3. contents: the distinct segments of the keys, equal ones collapsed before they are shuffled.
-4. A block of whole keys at a time is compared by the caller's method, and gives spans within distinct segments. A key in
-   more than HOT places could have as many distinct segments as there are places (the contexts of a common line), so those
-   are not gathered: each distinct segment gives a 128-bit hash for each of its windows, and the windows meet by hash.
+4. A block of whole keys at a time is compared by the caller's method, and gives spans within distinct segments. How many
+   contexts share all four least hashes isn't bounded by anything but the key's own count, so the segments of a key that
+   occurs more than FULL times are not gathered: each distinct one gives a 128-bit hash for each of its windows, and the
+   windows meet by hash.
 5. The spans go back to the rows that hold those segments.
 
-Everything is a shuffle on a key; memory in a task is a batch of texts or a block of distinct segments, of at most HOT
+Everything is a shuffle on a key; memory in a task is a batch of texts or a block of distinct segments, of at most FULL
 places for each key.
 """
 
@@ -27,8 +30,9 @@ from pyspark.sql import functions as F
 
 from vitrine.llm.common import written
 
-#: Documents (places, for bytes) of a key above which its windows meet by hash.
-HOT = 1000
+#: Rows of a key above which its windows are keyed by more orders, and above which they meet by hash.
+HOT, FULL = 1000, 1 << 17
+ORDERS = 3
 #: Windows in a segment at most; longer runs of one key are cut.
 RUN = {"bytes": 512, "words": 64}
 #: Bytes of text that are hashed together.
@@ -145,6 +149,17 @@ def key_places(keys, grams, width: int, gram: int):
     return grams[most == grams]
 
 
+def with_orders(keys, hot, grams, width: int, gram: int):
+    """keys, those of windows under a hot key mixed with the least hashes in more orders."""
+    if not len(hot) or not (is_hot := np.isin(keys, hot)).any():
+        return keys
+    more = keys
+    for i in range(ORDERS):
+        shift = np.uint64(2 * i + 1) * np.array([MULTIPLY])
+        more = mixed(more * MULTIPLY + sliding_min(mixed(grams + shift), width - gram + 1))
+    return np.where(is_hot, more, keys)
+
+
 def runs(keys, longest: int):
     """(start, end) arrays of the segments' windows."""
     cut = np.flatnonzero(keys[1:] != keys[:-1]) + 1
@@ -212,34 +227,37 @@ class Plan:
         return self.docs.select("row", "text").mapInPandas(found, "row long, key long")
 
     def flagged(self) -> DataFrame:
-        """row, keys and hot (those of the keys that are hot) of the rows with a key that matters."""
+        """row, keys, and those of the keys that are hot and full, of the rows with a key that matters."""
         rows = self.keys().repartition("key")  # one exchange for both uses
-        shared = rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key", (F.col("c") > HOT).alias("hot"))
-        kept = rows.join(shared, "key")
-        return written(kept.groupBy("row").agg(F.collect_list("key").alias("keys"), F.collect_list(F.when(F.col("hot"), F.col("key"))).alias("hot")), "flagged")
+        shared = rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
+        kept = rows.join(shared, "key").groupBy("row")
+        over = lambda n: F.collect_list(F.when(F.col("c") > n, F.col("key")))
+        return written(kept.agg(F.collect_list("key").alias("keys"), over(HOT).alias("hot"), over(FULL).alias("full")), "flagged")
 
     def _cut(self, flagged: DataFrame, collected, schema: str) -> DataFrame:
-        """collected's rows of the segments under flagged keys: it takes (key, row, doc, start, n, hot, twice, content) tuples
+        """collected's rows of the segments under flagged keys: it takes (key, row, doc, start, n, full, twice, content) tuples
         and gives frames."""
         kind, width, gram, doc = self.kind, self.width, self.gram, self.doc
         reach = width - gram
 
         def pieces(batches):
             for pdf in batches:
-                for r, d, t, keys, hot in zip(pdf["row"].tolist(), pdf[doc].tolist(), pdf["text"], pdf["keys"], pdf["hot"]):
+                for r, d, t, keys, hot, full in zip(pdf["row"].tolist(), pdf[doc].tolist(), pdf["text"], pdf["keys"], pdf["hot"], pdf["full"]):
                     tokens = Tokens(t, kind)
                     of_windows, grams = window_keys(tokens.hashes, width, gram)
                     if not len(of_windows):
                         continue
-                    starts, ends = runs(of_windows, RUN[kind])
-                    names = of_windows[starts]
-                    on = np.isin(names, np.asarray(keys, np.int64).view(np.uint64))
-                    is_hot = np.isin(names[on], np.asarray(hot, np.int64).view(np.uint64)).tolist()
-                    for s, e, k, h in zip(starts[on].tolist(), ends[on].tolist(), names[on].view(np.int64).tolist(), is_hot):
+                    keys, hot, full = (np.asarray(k, np.int64).view(np.uint64) for k in (keys, hot, full))
+                    named = with_orders(of_windows, hot, grams, width, gram)
+                    starts, ends = runs(named, RUN[kind])
+                    on = np.isin(of_windows[starts], keys)
+                    starts, ends = starts[on], ends[on]
+                    is_full = np.isin(of_windows[starts], full).tolist() if len(full) else [False] * len(starts)
+                    for s, e, k, h in zip(starts.tolist(), ends.tolist(), named[starts].view(np.int64).tolist(), is_full):
                         # a segment with its least gram twice may hold one window twice
                         yield k, r, d, s, e - s, h, lambda: bool(np.count_nonzero(grams[s : e + reach] == of_windows[s]) > 1), tokens.content(s, e + width - 1)
 
-        names = ["row", *(["doc"] if doc == "doc" else []), "text", "keys", "hot"]
+        names = ["row", *(["doc"] if doc == "doc" else []), "text", "keys", "hot", "full"]
         return self.docs.join(flagged, "row").select(*names).mapInPandas(lambda batches: collected(pieces(batches)), schema)
 
     def places(self, flagged: DataFrame) -> DataFrame:
@@ -262,25 +280,25 @@ class Plan:
         return self._cut(flagged, collected, ", ".join(f"{n} {'int' if n in ('start', 'n') else 'long'}" for n in names))
 
     def distinct(self, flagged: DataFrame) -> DataFrame:
-        """deal, key, hot, twice, content, the first place (doc, start) and count of each distinct segment, whole keys together
-        and in order; hot segments are dealt one by one. Equal segments are combined before they are shuffled, once."""
+        """deal, key, full, twice, content, the first place (doc, start) and count of each distinct segment, whole keys together
+        and in order; segments of full keys are dealt one by one. Equal segments are combined before they are shuffled, once."""
         between = self.between
 
         def collected(pieces):
             import pandas as pd
 
             held, size = {}, 0
-            names = ["deal", "key", "hot", "twice", "content", "doc", "start", "count"]
+            names = ["deal", "key", "full", "twice", "content", "doc", "start", "count"]
 
             def frame():
                 return pd.DataFrame([(content_id(c) if h[0] else k, k, h[0], h[1], c, *h[2], h[3]) for (k, c), h in held.items()], columns=names)
 
-            for k, _, d, s, _, hot, twice, content in pieces:
+            for k, _, d, s, _, full, twice, content in pieces:
                 place, known = (d, 0 if between else s), held.get((k, content))
                 if known:
                     known[2], known[3] = min(known[2], place), known[3] + 1
                     continue
-                held[k, content] = [hot, twice(), place, 1]
+                held[k, content] = [full, twice(), place, 1]
                 size += len(content)
                 if size > CHUNK * 8:
                     yield frame()
@@ -288,18 +306,18 @@ class Plan:
             if held:
                 yield frame()
 
-        schema = "deal long, key long, hot boolean, twice boolean, content binary, doc long, start int, count long"
-        dealt = self._cut(flagged, collected, schema).repartition("deal").groupBy("deal", "key", "hot", "twice", "content")
+        schema = "deal long, key long, full boolean, twice boolean, content binary, doc long, start int, count long"
+        dealt = self._cut(flagged, collected, schema).repartition("deal").groupBy("deal", "key", "full", "twice", "content")
         if between:
             found = dealt.agg(F.min("doc").alias("doc"), F.lit(0).alias("start"), F.sum("count").alias("count"))
         else:
-            found = dealt.agg(F.min(F.struct("doc", "start")).alias("first"), F.sum("count").alias("count")).select("deal", "key", "hot", "twice", "content", "first.doc", "first.start", "count")
+            found = dealt.agg(F.min(F.struct("doc", "start")).alias("first"), F.sum("count").alias("count")).select("deal", "key", "full", "twice", "content", "first.doc", "first.start", "count")
         return found.sortWithinPartitions("deal")
 
 
 def met_windows(pieces: DataFrame, place: Column) -> DataFrame:
-    """key, cid, later (the windows that occur at an earlier place) and every (those that occur twice or more) of the hot
-    pieces (key, cid, first_doc, first_start, windows) with such windows; place is made of these and at, the window's number."""
+    """key, cid, later (the windows that occur at an earlier place) and every (those that occur twice or more) of the
+    pieces of full keys (key, cid, first_doc, first_start, windows) with such windows; place is made of these and at, the window's number."""
     rows = pieces.select("key", "cid", "first_doc", "first_start", F.posexplode("windows").alias("at", "w"))
     rows = rows.select("key", "cid", "at", place.alias("place"), "w.h1", "w.h2")
     least = rows.groupBy("h1", "h2").agg(F.min("place").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
@@ -329,9 +347,9 @@ def blocks(batches, key: str, size: int):
 
 
 def met_more(block) -> np.ndarray:
-    """Which cold segments of a block have to be compared: those that share their key with others, or may hold a window twice."""
+    """Which segments of a block have to be compared: those that share a key that isn't full, or may hold a window twice."""
     _, inverse, n = np.unique(block["key"], return_inverse=True, return_counts=True)
-    return ~block["hot"].astype(bool) & ((n[inverse] > 1) | block["twice"].astype(bool))
+    return ~block["full"].astype(bool) & ((n[inverse] > 1) | block["twice"].astype(bool))
 
 
 def piece_runs(mask, starts) -> dict[int, list[int]]:

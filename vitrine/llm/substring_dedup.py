@@ -70,24 +70,24 @@ def duplicate_spans(rows: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Da
         import pandas as pd
 
         for block in blocks(batches, "deal", BLOCK_BYTES):
-            content, hot, count = block["content"], block["hot"].astype(bool), block["count"]
+            content, full, count = block["content"], block["full"].astype(bool), block["count"]
             met = met_more(block)
             spans = Reference(list(content[met]), block["doc"][met], width).parse() if met.any() else {}
             number, out = np.cumsum(met) - 1, []
-            for i in np.flatnonzero(hot | met | (count > 1)).tolist():
+            for i in np.flatnonzero(full | met | (count > 1)).tolist():
                 j = number[i] if met[i] else -1
-                if hot[i] or count[i] > 1 or j in spans:
-                    windows = window_hashes(content[i], "words", width) if hot[i] else None
+                if full[i] or count[i] > 1 or j in spans:
+                    windows = window_hashes(content[i], "words", width) if full[i] else None
                     out.append((block["key"][i], content_id(content[i]), block["doc"][i], 0, spans.get(j, []), windows))
             if out:
                 yield pd.DataFrame(out, columns=["key", "cid", "first_doc", "first_start", "inner", "windows"])
 
     schema = f"key long, cid long, first_doc long, first_start int, inner array<int>, windows {WINDOWS}"
     found = written(plan.distinct(flagged).mapInPandas(parsed, schema), "found")
-    hot = found.where("windows is not null")
-    met = met_windows(hot, F.col("first_doc")).select("key", "cid", "later")
-    hot = hot.select("key", "cid", "first_doc").join(met, ["key", "cid"], "left").withColumn("inner", F.coalesce("later", F.array().cast("array<int>"))).drop("later")
-    found = found.where("windows is null").select("key", "cid", "first_doc", "inner").unionByName(hot)
+    full = found.where("windows is not null")
+    met = met_windows(full, F.col("first_doc")).select("key", "cid", "later")
+    full = full.select("key", "cid", "first_doc").join(met, ["key", "cid"], "left").withColumn("inner", F.coalesce("later", F.array().cast("array<int>"))).drop("later")
+    found = found.where("windows is null").select("key", "cid", "first_doc", "inner").unionByName(full)
     places = plan.places(flagged).join(found, ["key", "cid"])
     inner = F.when(F.col(plan.doc) == F.col("first_doc"), F.col("inner")).otherwise(F.array(F.lit(0), F.col("n")))
     spans = places.select("row", "start", inner.alias("inner")).where(F.size("inner") > 0)

@@ -4,7 +4,8 @@ Texts are cut into segments (see segments.py) so that equal windows of `width` b
 segments are laid end to end in the order of their first places, and their suffixes are sorted (see suffixes.py). The
 previous and next smaller positions in suffix order give each position its longest previous factor, the longest match
 that starts at an earlier position: where it has width bytes or more, a later copy starts. `keep_first` removes later
-copies only; without it every copy goes, so the longest next factors, the same with positions reversed, count as well.
+copies only; without it every copy goes, so the sources of such factors go as well: the second place of a string can only
+have its first as its source, so no first copy is left out.
 Only the bytes of windows that share a hash with another are sorted: matches of width bytes or more lie in them whole.
 
 A segment that occurs more than once is a copy as a whole, so only one of its kind is sorted. Windows under a key that
@@ -30,15 +31,15 @@ WIDTH, GRAM = 200, 32
 BLOCK_BYTES = 1 << 17
 
 
-def longest_factors(contents: list[bytes], width: int, both: bool = True):
-    """(starts, previous, next): where each content starts among all bytes; for each byte, the longest match of what begins
-    there with an earlier and with a later position, 0 where it is under width (next is None unless both)."""
+def longest_factors(contents: list[bytes], width: int):
+    """(starts, previous, source): where each content starts among all bytes; for each byte, the longest match of what begins
+    there with an earlier position, 0 where it is under width; and whether it is where such a match was found."""
     lengths = np.fromiter(map(len, contents), np.int64, len(contents))
     offsets = np.cumsum(lengths) - lengths
     n = np.maximum(lengths - width + 1, 0)
     starts = np.repeat(offsets - (np.cumsum(n) - n), n) + np.arange(n.sum())
     data = np.frombuffer(b"".join(contents), np.uint8)
-    found = [np.zeros(len(data), np.int32) for _ in range(1 + both)]
+    previous, source = np.zeros(len(data), np.int32), np.zeros(len(data), bool)
     hashes = gram_hashes(byte_hashes(data), width)[starts] if len(starts) else np.zeros(0, np.uint64)
     by_hash = np.argsort(hashes)
     equal = hashes[by_hash[1:]] == hashes[by_hash[:-1]]
@@ -53,11 +54,11 @@ def longest_factors(contents: list[bytes], width: int, both: bool = True):
         first = np.ones(len(at), bool)
         first[1:] = (np.diff(at) > 1) | cut[at[1:]]
         order = Suffixes(data[at], np.diff(np.append(np.flatnonzero(first), len(at))))
-        place = np.arange(len(at), dtype=np.int32)
-        for out, value in zip(found, (place, -place)):
-            length, _ = order.previous_factors(value, width)
-            out[at] = np.where(length >= width, length, 0)
-    return offsets, found[0], found[1] if both else None
+        length, where = order.previous_factors(np.arange(len(at), dtype=np.int32), width)
+        enough = length >= width
+        previous[at[enough]] = length[enough]
+        source[at[where[enough]]] = True
+    return offsets, previous, source
 
 
 def repeated_spans(rows: DataFrame, width: int = WIDTH, gram: int = GRAM, keep_first: bool = True) -> DataFrame:
@@ -70,29 +71,29 @@ def repeated_spans(rows: DataFrame, width: int = WIDTH, gram: int = GRAM, keep_f
 
         for block in blocks(batches, "deal", BLOCK_BYTES):
             block = {c: v[np.lexsort((block["start"], block["doc"]))] for c, v in block.items()}
-            content, hot, count = block["content"], block["hot"].astype(bool), block["count"]
+            content, full, count = block["content"], block["full"].astype(bool), block["count"]
             met = met_more(block)
-            starts, previous, following = longest_factors(list(content[met]), width, not keep_first)
+            starts, previous, source = longest_factors(list(content[met]), width)
             later = piece_runs(previous > 0, starts)
-            every = later if keep_first else piece_runs((previous > 0) | (following > 0), starts)
+            every = later if keep_first else piece_runs((previous > 0) | source, starts)
             number, out = np.cumsum(met) - 1, []
-            for i in np.flatnonzero(hot | met | (count > 1)).tolist():
+            for i in np.flatnonzero(full | met | (count > 1)).tolist():
                 j = number[i] if met[i] else -1
-                if hot[i] or count[i] > 1 or j in every:
-                    windows = window_hashes(content[i], "bytes", width) if hot[i] else None
+                if full[i] or count[i] > 1 or j in every:
+                    windows = window_hashes(content[i], "bytes", width) if full[i] else None
                     out.append((block["key"][i], content_id(content[i]), block["doc"][i], block["start"][i], count[i], later.get(j, []), every.get(j, []), windows))
             if out:
                 yield pd.DataFrame(out, columns=["key", "cid", "first_doc", "first_start", "count", "later", "every", "windows"])
 
     schema = f"key long, cid long, first_doc long, first_start int, count long, later array<int>, every array<int>, windows {WINDOWS}"
     found = written(plan.distinct(flagged).mapInPandas(compared, schema), "found")
-    hot = found.where("windows is not null")
-    met = met_windows(hot, F.struct("first_doc", F.col("first_start") + F.col("at")))
+    full = found.where("windows is not null")
+    met = met_windows(full, F.struct("first_doc", F.col("first_start") + F.col("at")))
     none = F.array().cast("array<int>")
     names = ["key", "cid", "first_doc", "first_start", "count"]
-    hot = hot.select(*names).join(met, ["key", "cid"], "left").where("count > 1 or every is not null")
-    hot = hot.withColumns({c: F.coalesce(c, none) for c in ("later", "every")})
-    found = found.where("windows is null").drop("windows").unionByName(hot)
+    full = full.select(*names).join(met, ["key", "cid"], "left").where("count > 1 or every is not null")
+    full = full.withColumns({c: F.coalesce(c, none) for c in ("later", "every")})
+    found = found.where("windows is null").drop("windows").unionByName(full)
     places = plan.places(flagged).join(found, ["key", "cid"])
     whole = F.array(F.lit(0), F.col("n"))
     if keep_first:
