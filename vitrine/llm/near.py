@@ -4,12 +4,16 @@ Two texts at 0.8 differ in a SimHash bit with probability 0.15 to 0.19, so a sea
 bits to lose fewer than one pair in a million; blocks of the bits can't shard such a search, as they do for two bits. Shards
 are the buckets of BANDS fingerprints of ROWS permuted minima each: texts at similarity s share a bucket of a band with
 probability s ** ROWS, so a pair at 0.8 shares none with 3e-6. Within a bucket BK-trees over the SimHash fingerprints
-give the candidates, and every candidate is confirmed on the texts themselves.
+give the candidates; those that agree in fewer than LEAST of the minima are dropped (a pair at 0.8 with 5e-6), and all
+others are confirmed on the texts themselves.
 
-Texts with the same set are one node. First each bucket's tree is its least node alone, which connects a large group
-of copies at a cost in proportion to its size. What that leaves apart is then searched in full: the nodes outside the
-least one's component make trees of about TREE nodes each, and every tree is sent to all groups of about PROBES nodes of
-the bucket (a bounded broadcast), so no pair of different components is skipped. Components come from star contraction.
+Texts with the same set are one node. Most nodes join a group by one comparison: with the node of their buckets that
+shares its own buckets with the most others, such as the original of many copies. What that leaves apart is searched in
+full: the nodes outside the component of a bucket's best known node make trees of about TREE nodes each, and every tree
+is sent to all groups of about PROBES nodes of the bucket (a bounded broadcast), so no pair of different components is
+skipped. Each node's likeliest partner is confirmed first, and then all candidates between components that are still
+apart. So a group of near copies costs comparisons in proportion to its size, but for its members that resemble many
+others and are near none. Components come from star contraction.
 
 Defined cases: words are split and lower-cased (A-Z) as in simhash; a text under five words is one shingle, a null or
 empty one the empty shingle; each row is a document of its own, also where doc_ids repeat or are null; the first of a
@@ -23,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.llm.common import checkpointed, with_rows
+from vitrine.llm.common import with_rows, written
 from vitrine.llm.simhash import BKTree, components, majority
 
 WORDS = 5
@@ -31,6 +35,8 @@ WORDS = 5
 SHARE = (4, 5)
 RADIUS = 28
 BANDS, ROWS = 32, 5
+#: Of the BANDS * ROWS minima.
+LEAST = 105
 TREE, PROBES = 256, 4096
 CHUNK = 512
 #: The permutations are h -> odd * h + shift over 64 bits.
@@ -45,8 +51,8 @@ def shingles(text: str | None) -> set[bytes]:
     return set(map(b" ".join, zip(*(words[i:] for i in range(WORDS)))))
 
 
-def sketch(text: str | None) -> tuple[bytes, int, int, np.ndarray]:
-    """Digest of the set of shingles, their number, their SimHash (signed) and the bands' fingerprints."""
+def sketch(text: str | None) -> tuple[bytes, int, int, np.ndarray, bytes]:
+    """Digest of the set of shingles, their number, their SimHash (signed), the bands' fingerprints, and 16 bits of each minimum."""
     found = shingles(text)
     h = np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, len(found))
     h.sort()
@@ -55,7 +61,7 @@ def sketch(text: str | None) -> tuple[bytes, int, int, np.ndarray]:
         np.minimum(least, (h[at : at + CHUNK] * _ODD + _SHIFT).min(axis=1), out=least)
     rows = least.reshape(BANDS, ROWS)
     bands = np.fromiter((xxhash.xxh64_intdigest(r.tobytes(), i) for i, r in enumerate(rows)), np.uint64, BANDS)
-    return xxhash.xxh3_128_digest(h.tobytes()), len(found), int(np.uint64(majority(h)).view(np.int64)), bands.view(np.int64)
+    return xxhash.xxh3_128_digest(h.tobytes()), len(found), int(np.uint64(majority(h)).view(np.int64)), bands.view(np.int64), least.astype(np.uint16).tobytes()
 
 
 def near(a: set[bytes], b: set[bytes]) -> bool:
@@ -70,7 +76,7 @@ def _sketches(batches):
         for at in range(0, len(pdf), 1000):
             part = pdf.iloc[at : at + 1000]
             rows = [(d, *sketch(t)) for d, t in zip(part["row"], part["t"])]
-            yield pd.DataFrame(rows, columns=["row", "digest", "n", "fp", "bands"])
+            yield pd.DataFrame(rows, columns=["row", "digest", "n", "fp", "bands", "minima"])
 
 
 def _confirmed(batches):
@@ -88,72 +94,110 @@ def _confirmed(batches):
             yield pd.DataFrame(out, columns=["a", "b"])
 
 
+def agreeing(a: bytes, b: bytes) -> int:
+    return int(np.count_nonzero(np.frombuffer(a, np.uint16) == np.frombuffer(b, np.uint16)))
+
+
+def _compared(batches):
+    """a, b and agree of pairs that agree in LEAST minima at least."""
+    for pdf in batches:
+        agree = [agreeing(x, y) for x, y in zip(pdf["ma"], pdf["mb"])]
+        pdf = pdf[["a", "b"]].assign(agree=agree)
+        yield pdf[pdf["agree"] >= LEAST]
+
+
 def _searched(batches):
-    """Candidates (a, b) of groups that begin with the nodes of a tree (probe false), followed by the nodes to look up."""
+    """Candidates (a, b, agree) of groups that begin with the nodes of a tree (probe false), followed by the nodes to look up."""
     import pandas as pd
 
     group, tree, held = None, BKTree(), []
+    names = ["group", "probe", "name", "n", "fp", "component", "main", "minima"]
     for pdf in batches:
         out = []
-        names = ["group", "probe", "name", "n", "fp", "component", "main"]
-        for g, probe, name, n, fp, component, main in zip(*(pdf[c].tolist() for c in names)):
+        for g, probe, name, n, fp, component, main, minima in zip(*(pdf[c].tolist() for c in names)):
             if g != group:
                 group, tree, held = g, BKTree(), []
-            fp %= 1 << 64
+            fp, minima = fp % (1 << 64), np.frombuffer(minima, np.uint16)
             if not probe:
                 at = tree.add(fp)
                 if at == len(held):
                     held.append([])
-                held[at].append((name, n, component))
+                held[at].append((name, n, component, minima))
                 continue
             for at in tree.near(fp, RADIUS):
-                for other, m, theirs in held[at]:
-                    # two nodes outside the least one's component meet in both directions
+                for other, m, theirs, others in held[at]:
+                    # two nodes outside the main component meet in both directions
                     if theirs != component and (main or name < other) and SHARE[1] * min(n, m) >= SHARE[0] * max(n, m):
-                        out.append((name, other))
+                        agree = int(np.count_nonzero(minima == others))
+                        if agree >= LEAST:
+                            out.append((other, name, agree))
         if out:
-            yield pd.DataFrame(out, columns=["a", "b"])
+            yield pd.DataFrame(out, columns=["a", "b", "agree"]).drop_duplicates()
 
 
-def candidates(placed: DataFrame) -> DataFrame:
-    """Pairs (a, b) within RADIUS and of different components, of nodes (key, name, n, fp, component) with a common key."""
-    least = F.min_by("component", "name")
-    apart = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), least.alias("home"), F.count("*").alias("size")).where("lo < hi")
+def candidates(placed: DataFrame, minima: DataFrame) -> DataFrame:
+    """Candidates (a, b, agree) of different components, of nodes (key, name, n, fp, fame, component) with a common key; a is
+    outside its bucket's main component. minima has a row (name, minima) for each node."""
+    home = F.max_by("component", F.struct("fame", -F.col("name")))
+    apart = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), home.alias("home"), F.count("*").alias("size")).where("lo < hi")
     nodes = placed.join(apart.select("key", "home", "size"), "key").withColumn("main", F.col("component") == F.col("home"))
     outside = nodes.where("not main").groupBy("key").agg(F.count("*").alias("outside"))
-    nodes = checkpointed(nodes.join(outside, "key"))
+    nodes = written(nodes.join(outside, "key").join(minima, "name"), "apart")
     trees, groups = F.ceil(F.col("outside") / TREE).cast("int"), F.ceil(F.col("size") / PROBES).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     own = lambda n, seed: F.pmod(F.xxhash64("name", F.lit(seed)), n).cast("int")
     in_tree = nodes.where("not main").select("*", own(trees, 1).alias("tree"), every(groups).alias("part"), F.lit(False).alias("probe"))
     probes = nodes.select("*", every(trees).alias("tree"), own(groups, 2).alias("part"), F.lit(True).alias("probe"))
-    sent = in_tree.unionByName(probes).select(F.xxhash64("key", "tree", "part").alias("group"), "probe", "name", "n", "fp", "component", "main")
-    return sent.repartition("group").sortWithinPartitions("group", "probe").mapInPandas(_searched, "a long, b long")
+    sent = in_tree.unionByName(probes).select(F.xxhash64("key", "tree", "part").alias("group"), "probe", "name", "n", "fp", "component", "main", "minima")
+    return sent.repartition("group").sortWithinPartitions("group", "probe").mapInPandas(_searched, "a long, b long, agree int")
 
 
 def near_rows(rows: DataFrame) -> DataFrame:
     """row and component, the least row of its group, for each of rows (row, t)."""
-    marked = checkpointed(rows.select("row", "t").mapInPandas(_sketches, "row long, digest binary, n long, fp long, bands array<long>"))
-    classes = marked.groupBy("digest").agg(F.min("row").alias("name"), *(F.first(c).alias(c) for c in ("n", "fp", "bands")))
-
-    # the buckets of each band that hold more than one class
-    hits = checkpointed(classes.select("name", "n", "fp", F.explode("bands").alias("key")))
-    full = hits.groupBy("key").agg(F.min(F.struct("name", "n", "fp")).alias("least"), F.count("*").alias("size")).where("size > 1").drop("size")
-    members = checkpointed(hits.join(full, "key"))
-    texts = checkpointed(rows.select("row", "t").join(members.select(F.col("name").alias("row")).distinct(), "row", "left_semi"))
+    schema = "row long, digest binary, n long, fp long, bands array<long>, minima binary"
+    marked = written(rows.select("row", "t").mapInPandas(_sketches, schema), "sketches")
+    classes = marked.groupBy("digest").agg(F.min("row").alias("name"))
+
+    # the buckets of each band that hold more than one node
+    nodes = marked.join(classes.select(F.col("name").alias("row")), "row", "left_semi").withColumnRenamed("row", "name")
+    hits = nodes.select("name", "n", "fp", F.explode("bands").alias("key"))
+    sizes = hits.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    members = written(hits.join(sizes, "key"), "buckets")
+    fame = members.groupBy("name").agg(F.sum("size").alias("fame"))
+    members = members.drop("size").join(fame, "name")
+    minima = marked.select(F.col("row").alias("name"), "minima")
 
     def confirmed(pairs):
         """The pairs (a, b) whose texts are near."""
-        pairs = pairs.select("a", "b").distinct().join(texts.toDF("b", "tb"), "b").join(texts.toDF("a", "ta"), "a")
-        return checkpointed(pairs.select("a", "b", "ta", "tb").mapInPandas(_confirmed, "a long, b long"))
-
-    small, large = F.least("n", "least.n"), F.greatest("n", "least.n")
-    to_least = (F.col("name") != F.col("least.name")) & (SHARE[1] * small >= SHARE[0] * large) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("least.fp"))) <= RADIUS)
-    links = confirmed(members.where(to_least).select(F.col("least.name").alias("a"), F.col("name").alias("b")))
-    placed = members.select("key", "name", "n", "fp").join(components(links), "name", "left").withColumn("component", F.coalesce("component", "name"))
-    joined = components(links.unionByName(confirmed(candidates(placed))))
-
-    names = classes.select("digest", "name").join(joined, "name", "left").select("digest", F.coalesce("component", "name").alias("component"))
+        names = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct()
+        texts = rows.select("row", "t").join(names, "row", "left_semi")
+        pairs = pairs.select("a", "b").join(texts.toDF("b", "tb"), "b").join(texts.toDF("a", "ta"), "a")
+        return written(pairs.select("a", "b", "ta", "tb").mapInPandas(_confirmed, "a long, b long"), "links")
+
+    def placed(links):
+        return members.join(components(links), "name", "left").withColumn("component", F.coalesce("component", "name"))
+
+    def likeliest(pairs, of):
+        """One pair for each name in column of: that which agrees most."""
+        return pairs.groupBy(of).agg(F.max_by(F.struct("a", "b"), F.struct("agree", -F.col("a"), -F.col("b"))).alias("p")).select("p.a", "p.b").distinct()
+
+    # with the node of each bucket that shares its buckets with the most others
+    pivots = members.groupBy("key").agg(F.max_by(F.struct("name", "n", "fp"), F.struct("fame", -F.col("name"))).alias("pivot"))
+    small, large = F.least("n", "pivot.n"), F.greatest("n", "pivot.n")
+    near_pivot = (F.col("name") != F.col("pivot.name")) & (SHARE[1] * small >= SHARE[0] * large) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("pivot.fp"))) <= RADIUS)
+    pairs = members.join(pivots, "key").where(near_pivot).select(F.col("pivot.name").alias("a"), F.col("name").alias("b")).distinct()
+    pairs = pairs.join(minima.toDF("b", "mb"), "b").join(minima.toDF("a", "ma"), "a").select("a", "b", "ma", "mb")
+    links = confirmed(written(likeliest(pairs.mapInPandas(_compared, "a long, b long, agree int"), "b"), "first"))
+
+    # what that left apart: the likeliest partner of each node first, then all between components that are still apart
+    rest = written(candidates(placed(links), minima).distinct(), "rest")
+    links = links.unionByName(confirmed(likeliest(rest, "a")))
+    joined = components(links)
+    at = lambda c: joined.toDF(c, f"c{c}")
+    open_ = rest.join(at("a"), "a", "left").join(at("b"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
+    joined = components(links.unionByName(confirmed(written(open_.select("a", "b"), "open"))))
+
+    names = classes.join(joined, "name", "left").select("digest", F.coalesce("component", "name").alias("component"))
     return marked.select("row", "digest").join(names, "digest").select("row", "component")
 
 
