@@ -72,16 +72,14 @@ def expected_leases(spark, sf, lease_ms, delay_ms):
     return sorted((run, step, at + lease_ms) for run, x in runs.items() for (at, step), after in zip(sorted(x), [*sorted(x)[1:], None]) if at + lease_ms < now and (after is None or after[0] - at > lease_ms))
 
 
-@pytest.mark.parametrize("order", ["in order", "neighbours swapped", "shuffled"])
+@pytest.mark.parametrize("order", ["in order", "neighbours swapped", "shuffled by fours"])
 def test_expired_leases(spark, sf, tmp_path, order):
     """Exactly the gaps of the log, whatever the order in which its files land within the watermark's delay."""
-    import random
-
     n = 12
-    files = {"in order": list(range(n)), "neighbours swapped": [i ^ 1 for i in range(n)], "shuffled": random.Random(3).sample(range(n), n)}[order]
+    files = {"in order": list(range(n)), "neighbours swapped": [i ^ 1 for i in range(n)], "shuffled by fours": [4 * (i // 4) + (2, 0, 3, 1)[i % 4] for i in range(n)]}[order]
     landing(spark, sf, str(tmp_path / "events"), files, n)
     span = spark.read.parquet(f"{sf}/events.parquet").agg((F.unix_micros(F.max("ts").cast("timestamp")) - F.unix_micros(F.min("ts").cast("timestamp"))) / 1000).first()[0]
-    delay = {"in order": 60_000, "neighbours swapped": int(span / n * 2.5), "shuffled": int(span * 0.95)}[order]
+    delay = {"in order": 60_000, "neighbours swapped": int(span / n * 2.5), "shuffled by fours": int(span / n * 4.5)}[order]
     leases = stream.expired_leases(stream.read_events(spark, str(tmp_path / "events")), 3600, f"{delay} milliseconds")
     got = stream.run_to_table(leases, f"leases_{len(order)}", str(tmp_path / "c"))
     want = expected_leases(spark, sf, 3_600_000, delay)
