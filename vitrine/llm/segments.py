@@ -103,14 +103,15 @@ class Tokens:
         edges = np.flatnonzero(word[1:] != word[:-1])
         starts, ends = edges[::2], edges[1::2]
         # a single space between words, so that content is the words joined by one space
-        self.words = data.split()
+        self.data = b" ".join(data.split())
+        self.at = [0, *(np.cumsum(ends - starts + 1)).tolist()]
         self.hashes = _word_hashes(b, starts, ends)
 
     def __len__(self):
         return len(self.hashes)
 
     def content(self, start: int, end: int) -> bytes:
-        return self.data[start:end] if self.kind == "bytes" else b" ".join(self.words[start:end])
+        return self.data[start:end] if self.kind == "bytes" else self.data[self.at[start] : self.at[end] - 1]
 
 
 def _word_hashes(b, starts, ends):
@@ -229,15 +230,16 @@ class Plan:
     def flagged(self) -> DataFrame:
         """row, keys, and those of the keys that are hot and full, of the rows with a key that matters."""
         rows = self.keys().repartition("key")  # one exchange for both uses
-        shared = rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
+        shared = rows.groupBy("key").agg(F.count("row").alias("c")).where("c > 1")  # of row, or the exchange would hold other columns
         kept = rows.join(shared, "key").groupBy("row")
         over = lambda n: F.collect_list(F.when(F.col("c") > n, F.col("key")))
         return written(kept.agg(F.collect_list("key").alias("keys"), over(HOT).alias("hot"), over(FULL).alias("full")), "flagged")
 
     def _cut(self, flagged: DataFrame, collected, schema: str) -> DataFrame:
-        """collected's rows of the segments under flagged keys: it takes (key, row, doc, start, n, full, twice, content) tuples
-        and gives frames."""
-        kind, width, gram, doc = self.kind, self.width, self.gram, self.doc
+        """collected's rows of the segments under flagged keys: it takes row, doc, arrays of keys, starts and lengths in
+        windows, of whether the key is full, the contents, and a function that tells of a segment by its number whether it
+        may hold a window twice; and it gives frames."""
+        kind, width, gram, doc, between = self.kind, self.width, self.gram, self.doc, self.between
         reach = width - gram
 
         def pieces(batches):
@@ -252,10 +254,13 @@ class Plan:
                     starts, ends = runs(named, RUN[kind])
                     on = np.isin(of_windows[starts], keys)
                     starts, ends = starts[on], ends[on]
-                    is_full = np.isin(of_windows[starts], full).tolist() if len(full) else [False] * len(starts)
-                    for s, e, k, h in zip(starts.tolist(), ends.tolist(), named[starts].view(np.int64).tolist(), is_full):
-                        # a segment with its least gram twice may hold one window twice
-                        yield k, r, d, s, e - s, h, lambda: bool(np.count_nonzero(grams[s : e + reach] == of_windows[s]) > 1), tokens.content(s, e + width - 1)
+                    is_full = np.isin(of_windows[starts], full) if len(full) else np.zeros(len(starts), bool)
+                    contents = [tokens.content(s, e) for s, e in zip(starts.tolist(), (ends + width - 1).tolist())]
+
+                    def twice(i, starts=starts, ends=ends, grams=grams, of_windows=of_windows):  # its least gram is there twice
+                        return not between and bool(np.count_nonzero(grams[starts[i] : ends[i] + reach] == of_windows[starts[i]]) > 1)
+
+                    yield r, d, named[starts].view(np.int64), starts, ends - starts, is_full, contents, twice
 
         names = ["row", *(["doc"] if doc == "doc" else []), "text", "keys", "hot", "full"]
         return self.docs.join(flagged, "row").select(*names).mapInPandas(lambda batches: collected(pieces(batches)), schema)
@@ -263,21 +268,25 @@ class Plan:
     def places(self, flagged: DataFrame) -> DataFrame:
         """key, row (and doc), start, n (windows) and the content's id of each segment."""
         own = self.doc == "doc"
-        names = ["key", "row", *(["doc"] if own else []), "start", "n", "cid"]
+        types = {"key": "long", "row": "long", **({"doc": "long"} if own else {}), "start": "int", "n": "int", "cid": "long"}
 
         def collected(pieces):
             import pandas as pd
 
-            out = []
-            for k, r, d, s, n, _, _, content in pieces:
-                out.append((k, r, d, s, n, content_id(content)) if own else (k, r, s, n, content_id(content)))
-                if len(out) > CHUNK // 16:
-                    yield pd.DataFrame(out, columns=names)
-                    out = []
-            if out:
-                yield pd.DataFrame(out, columns=names)
-
-        return self._cut(flagged, collected, ", ".join(f"{n} {'int' if n in ('start', 'n') else 'long'}" for n in names))
+            held, size = {c: [] for c in types}, 0
+            for r, d, keys, starts, n, _, contents, _ in pieces:
+                ids = np.fromiter(map(content_id, contents), np.int64, len(contents))
+                row = {"key": keys, "row": np.full(len(keys), r), "doc": np.full(len(keys), d), "start": starts, "n": n, "cid": ids}
+                for c in held:
+                    held[c].append(row[c])
+                size += len(keys)
+                if size > CHUNK // 16:
+                    yield pd.DataFrame({c: np.concatenate(v) for c, v in held.items()})
+                    held, size = {c: [] for c in types}, 0
+            if size:
+                yield pd.DataFrame({c: np.concatenate(v) for c, v in held.items()})
+
+        return self._cut(flagged, collected, ", ".join(f"{c} {t}" for c, t in types.items()))
 
     def distinct(self, flagged: DataFrame) -> DataFrame:
         """deal, key, full, twice, content, the first place (doc, start) and count of each distinct segment, whole keys together
@@ -288,18 +297,27 @@ class Plan:
             import pandas as pd
 
             held, size = {}, 0
-            names = ["deal", "key", "full", "twice", "content", "doc", "start", "count"]
 
             def frame():
-                return pd.DataFrame([(content_id(c) if h[0] else k, k, h[0], h[1], c, *h[2], h[3]) for (k, c), h in held.items()], columns=names)
-
-            for k, _, d, s, _, full, twice, content in pieces:
-                place, known = (d, 0 if between else s), held.get((k, content))
-                if known:
-                    known[2], known[3] = min(known[2], place), known[3] + 1
-                    continue
-                held[k, content] = [full, twice(), place, 1]
-                size += len(content)
+                (keys, contents), (full, twice, docs, starts, counts) = zip(*held), zip(*held.values())
+                full = np.array(full, bool)
+                deal = np.array(keys, np.int64)
+                for i in np.flatnonzero(full).tolist():
+                    deal[i] = content_id(contents[i])
+                return pd.DataFrame({"deal": deal, "key": np.array(keys, np.int64), "full": full, "twice": np.array(twice, bool), "content": contents, "doc": np.array(docs, np.int64), "start": np.array(starts, np.int32), "count": np.array(counts, np.int64)})
+
+            for _, d, keys, starts, _, full, contents, twice in pieces:
+                for i, place in enumerate(zip(keys.tolist(), contents)):
+                    known = held.get(place)
+                    if known is None:
+                        held[place] = [full[i], twice(i), d, 0 if between else int(starts[i]), 1]
+                        size += len(contents[i])
+                    else:
+                        known[4] += 1
+                        if between:
+                            known[2] = min(known[2], d)
+                        elif (d, starts[i]) < (known[2], known[3]):
+                            known[2], known[3] = d, int(starts[i])
                 if size > CHUNK * 8:
                     yield frame()
                     held, size = {}, 0
