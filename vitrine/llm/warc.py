@@ -91,7 +91,7 @@ def _open(folder: str):
 def _write(folder: str, name: str, write) -> None:
     store, path = _open(folder)
     store.create_dir(path, recursive=True)
-    with store.open_output_stream(f"{path}/{name}") as out:
+    with store.open_output_stream(f"{path}/{name}", compression=None) as out:  # not by the ending of the name
         write(out)
 
 
