@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vitrine.sources.folders import new_folder, shared_dir, written
+
+__all__ = ["checkpointed", "fresh", "groups", "new_folder", "shared_dir", "table", "with_rows", "written"]
+
 #: A word is a run of characters other than space and the ASCII controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -18,43 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Local folders of this process, which go with it.
-_LOCAL: list[tempfile.TemporaryDirectory] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """URI of the folder that all executors share: spark.checkpoint.dir, or a new local one where it is unset and the
-    executors are threads of this process. What is written there stays for the caller to clear, as results read it."""
-    told = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not told:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        _LOCAL.append(tempfile.TemporaryDirectory(prefix="vitrine-checkpoint-", ignore_cleanup_errors=True))
-        told = "file://" + _LOCAL[-1].name
-        spark.conf.set("spark.checkpoint.dir", told)
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(told)
-    return told
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A fresh path, not made yet, in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def checkpointed(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the shared folder, so that a lost executor costs no recomputation of its lineage."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder, which takes less room there than a checkpoint and cuts lineage as well."""
-    path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def fresh(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns: an operator's own columns can't clash with others of its input."""
     return df.select(*(F.col(f"`{n}`") for n in names))
