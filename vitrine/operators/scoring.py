@@ -74,12 +74,12 @@ def matches(d: Dimension) -> Column:
 
 
 def _differ(d: Dimension) -> Column:
-    """True where counted evidence disagrees on the field; null is a value. No set of values is gathered for that."""
+    """True where counted evidence disagrees on the field; null is a value. Hashes of the values are compared: two longs for
+    each version, which Spark combines without sorting, and no set of values."""
     if d.field is None:
         return F.lit(False)
-    value, on = F.when(matches(d), F.col(d.field)), matches(d)
-    some, every = F.count_if(on & F.col(d.field).isNotNull()), F.count_if(on)
-    return F.coalesce(F.min(value) != F.max(value), F.lit(False)) | ((some > 0) & (some < every))
+    value = F.when(matches(d), F.xxhash64(d.field))
+    return F.coalesce(F.min(value) != F.max(value), F.lit(False))
 
 
 def dimension_aggregates(profile=DEFAULT_PROFILE) -> list[Column]:
