@@ -73,6 +73,23 @@ def test_trees_and_groups_of_many_parts(spark, monkeypatch):
     assert drawn(spark, rows) == heads(rows, pairs(rows))
 
 
+def test_members_that_only_resemble_a_group(spark):
+    """Copies at both sides of 0.8 from their original: some join the group through another copy only, some not at all."""
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(150)]
+    rows = [(0, " ".join(base), None, "a", 1)]
+    for i in range(1, 70):
+        new = list(base if i % 3 else rows[rng.randrange(len(rows))][1].split())
+        for at in rng.sample(range(len(new)), rng.choice([1, 2, 3, 4])):
+            new[at] = f"x{i}"
+        rows.append((i, " ".join(new), None, "a", 1))
+    links = pairs(rows)
+    want = heads(rows, links)
+    direct = {b for a, b in links if a == 0}
+    assert any(want[d] == 0 and d not in direct for d in range(1, 70)) and len({*want.values()}) > 3
+    assert drawn(spark, rows) == want
+
+
 def test_rows_that_repeat_or_lack_an_id(spark, sf):
     """Each row is a document: of equal texts the row with the least doc_id stays, those without one come last."""
     words = [" ".join(f"r{i}w{k}" for k in range(30)) for i in range(4)]

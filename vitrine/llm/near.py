@@ -11,9 +11,9 @@ Texts with the same set are one node. Most nodes join a group by one comparison:
 shares its own buckets with the most others, such as the original of many copies. What that leaves apart is searched in
 full: the nodes outside the component of a bucket's best known node make trees of about TREE nodes each, and every tree
 is sent to all groups of about PROBES nodes of the bucket (a bounded broadcast), so no pair of different components is
-skipped. Each node's likeliest partner is confirmed first, and then all candidates between components that are still
-apart. So a group of near copies costs comparisons in proportion to its size, but for its members that resemble many
-others and are near none. Components come from star contraction.
+skipped. A first search gives each of those nodes its likeliest partner; where candidates of other components remain, a
+second one carries the texts and gives the links it confirms, one for each component. Neither gives out all pairs of a
+group. Components come from star contraction.
 
 Defined cases: words are split and lower-cased (A-Z) as in simhash; a text under five words is one shingle, a null or
 empty one the empty shingle; each row is a document of its own, also where doc_ids repeat or are null; the first of a
@@ -106,50 +106,109 @@ def _compared(batches):
         yield pdf[pdf["agree"] >= LEAST]
 
 
-def _searched(batches):
-    """Candidates (a, b, agree) of groups that begin with the nodes of a tree (probe false), followed by the nodes to look up."""
+class Trees:
+    """The BK-trees of groups whose rows begin with the nodes of the tree (probe false), followed by the nodes to look up.
+    Each node is (name, n, component, minima, extra)."""
+
+    def __init__(self):
+        self.group, self.tree, self.held = None, BKTree(), []
+
+    def candidates(self, batch):
+        """(node, probe) pairs, of different components, that may be near; batch has lists by column."""
+        extras = batch.get("t") or [None] * len(batch["group"])
+        for g, probe, name, n, fp, component, minima, extra in zip(*(batch[c] for c in ("group", "probe", "name", "n", "fp", "component", "minima")), extras):
+            if g != self.group:
+                self.group, self.tree, self.held = g, BKTree(), []
+            node = [name, n, component, np.frombuffer(minima, np.uint16), extra]
+            if not probe:
+                at = self.tree.add(fp % (1 << 64))
+                if at == len(self.held):
+                    self.held.append([])
+                self.held[at].append(node)
+                continue
+            for at in self.tree.near(fp % (1 << 64), RADIUS):
+                for other in self.held[at]:
+                    if other[2] != component and SHARE[1] * min(n, other[1]) >= SHARE[0] * max(n, other[1]):
+                        agree = int(np.count_nonzero(node[3] == other[3]))
+                        if agree >= LEAST:
+                            yield other, node, agree
+
+
+def _likeliest(batches):
+    """a, b, agree, lo, hi: for the nodes a of trees their likeliest candidate b in a group, and the least and the largest of
+    the components of all."""
     import pandas as pd
 
-    group, tree, held = None, BKTree(), []
-    names = ["group", "probe", "name", "n", "fp", "component", "main", "minima"]
+    trees, group, best = Trees(), None, {}
+
+    def frame():
+        rows = [(a, -b, agree, lo, hi) for a, ((agree, b), lo, hi) in best.items()]
+        return pd.DataFrame(rows, columns=["a", "b", "agree", "lo", "hi"])
+
+    for pdf in batches:
+        for other, node, agree in trees.candidates({c: pdf[c].tolist() for c in pdf.columns}):
+            if trees.group != group:
+                if best:
+                    yield frame()
+                group, best = trees.group, {}
+            of = node[2]
+            known = best.get(other[0], ((-1, 0), of, of))  # of equal agreement, the least name
+            best[other[0]] = (max(known[0], (agree, -node[0])), min(known[1], of), max(known[2], of))
+    if best:
+        yield frame()
+
+
+def _hashes(text) -> np.ndarray:
+    found = shingles(text)
+    h = np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, len(found))
+    h.sort()
+    return h
+
+
+def _links(batches):
+    """Links (a, b) between the trees' nodes a and near nodes, one for each component, by the hashes of all their shingles."""
+    import pandas as pd
+
+    trees, group, done = Trees(), None, set()
     for pdf in batches:
         out = []
-        for g, probe, name, n, fp, component, main, minima in zip(*(pdf[c].tolist() for c in names)):
-            if g != group:
-                group, tree, held = g, BKTree(), []
-            fp, minima = fp % (1 << 64), np.frombuffer(minima, np.uint16)
-            if not probe:
-                at = tree.add(fp)
-                if at == len(held):
-                    held.append([])
-                held[at].append((name, n, component, minima))
+        for other, node, _ in trees.candidates({c: pdf[c].tolist() for c in pdf.columns}):
+            if trees.group != group:
+                group, done = trees.group, set()
+            if (other[0], node[2]) in done:
                 continue
-            for at in tree.near(fp, RADIUS):
-                for other, m, theirs, others in held[at]:
-                    # two nodes outside the main component meet in both directions
-                    if theirs != component and (main or name < other) and SHARE[1] * min(n, m) >= SHARE[0] * max(n, m):
-                        agree = int(np.count_nonzero(minima == others))
-                        if agree >= LEAST:
-                            out.append((other, name, agree))
+            for x in (other, node):
+                if not isinstance(x[4], np.ndarray):
+                    x[4] = _hashes(x[4])
+            both = len(np.intersect1d(other[4], node[4], assume_unique=True))
+            if SHARE[1] * both >= SHARE[0] * (len(other[4]) + len(node[4]) - both):
+                done.add((other[0], node[2]))
+                out.append((other[0], node[0]))
         if out:
-            yield pd.DataFrame(out, columns=["a", "b", "agree"]).drop_duplicates()
+            yield pd.DataFrame(out, columns=["a", "b"])
 
 
-def candidates(placed: DataFrame, minima: DataFrame) -> DataFrame:
-    """Candidates (a, b, agree) of different components, of nodes (key, name, n, fp, fame, component) with a common key; a is
-    outside its bucket's main component. minima has a row (name, minima) for each node."""
-    home = F.max_by("component", F.struct("fame", -F.col("name")))
-    apart = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), home.alias("home"), F.count("*").alias("size")).where("lo < hi")
-    nodes = placed.join(apart.select("key", "home", "size"), "key").withColumn("main", F.col("component") == F.col("home"))
-    outside = nodes.where("not main").groupBy("key").agg(F.count("*").alias("outside"))
-    nodes = written(nodes.join(outside, "key").join(minima, "name"), "apart")
+def sent(nodes: DataFrame, *more: str) -> DataFrame:
+    """Groups of a tree's nodes and nodes to look up, in order, of nodes (key, name, n, fp, component, minima, in_tree): those
+    with in_tree make trees, and all are looked up in every tree of their key."""
+    counts = nodes.groupBy("key").agg(F.count_if("in_tree").alias("outside"), F.count("*").alias("size"))
+    nodes = nodes.join(counts, "key")
     trees, groups = F.ceil(F.col("outside") / TREE).cast("int"), F.ceil(F.col("size") / PROBES).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     own = lambda n, seed: F.pmod(F.xxhash64("name", F.lit(seed)), n).cast("int")
-    in_tree = nodes.where("not main").select("*", own(trees, 1).alias("tree"), every(groups).alias("part"), F.lit(False).alias("probe"))
-    probes = nodes.select("*", every(trees).alias("tree"), own(groups, 2).alias("part"), F.lit(True).alias("probe"))
-    sent = in_tree.unionByName(probes).select(F.xxhash64("key", "tree", "part").alias("group"), "probe", "name", "n", "fp", "component", "main", "minima")
-    return sent.repartition("group").sortWithinPartitions("group", "probe").mapInPandas(_searched, "a long, b long, agree int")
+    in_tree = nodes.where("in_tree").select("*", own(trees, 1).alias("tree"), every(groups).alias("part"), F.lit(False).alias("probe"))
+    probes = nodes.where("outside > 0").select("*", every(trees).alias("tree"), own(groups, 2).alias("part"), F.lit(True).alias("probe"))
+    rows = in_tree.unionByName(probes).select(F.xxhash64("key", "tree", "part").alias("group"), "probe", "name", "n", "fp", "component", "minima", *more)
+    return rows.repartition("group").sortWithinPartitions("group", "probe")
+
+
+def apart(placed: DataFrame, minima: DataFrame) -> DataFrame:
+    """The nodes of buckets that hold several components, with in_tree for those outside the bucket's main component; placed
+    has key, name, n, fp, fame, component, and minima a row (name, minima) for each node."""
+    home = F.max_by("component", F.struct("fame", -F.col("name")))
+    open_ = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), home.alias("home")).where("lo < hi")
+    nodes = placed.join(open_.select("key", "home"), "key").withColumn("in_tree", F.col("component") != F.col("home"))
+    return written(nodes.select("key", "name", "n", "fp", "component", "in_tree").join(minima, "name"), "apart")
 
 
 def near_rows(rows: DataFrame) -> DataFrame:
@@ -189,13 +248,24 @@ def near_rows(rows: DataFrame) -> DataFrame:
     pairs = pairs.join(minima.toDF("b", "mb"), "b").join(minima.toDF("a", "ma"), "a").select("a", "b", "ma", "mb")
     links = confirmed(written(likeliest(pairs.mapInPandas(_compared, "a long, b long, agree int"), "b"), "first"))
 
-    # what that left apart: the likeliest partner of each node first, then all between components that are still apart
-    rest = written(candidates(placed(links), minima).distinct(), "rest")
-    links = links.unionByName(confirmed(likeliest(rest, "a")))
-    joined = components(links)
+    # what that left apart: the likeliest partner of each node first
+    nodes = apart(placed(links), minima)
+    found = written(sent(nodes).mapInPandas(_likeliest, "a long, b long, agree int, lo long, hi long"), "likeliest")
+    found = found.groupBy("a").agg(F.max_by("b", F.struct("agree", -F.col("b"))).alias("b"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    links = links.unionByName(confirmed(found.select("a", "b").distinct()))
+    joined = written(components(links), "joined")
+
+    # then, where candidates of other components remain, all of them, with their texts
     at = lambda c: joined.toDF(c, f"c{c}")
-    open_ = rest.join(at("a"), "a", "left").join(at("b"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
-    joined = components(links.unionByName(confirmed(written(open_.select("a", "b"), "open"))))
+    labels = found.join(at("a"), "a", "left").join(at("lo"), "lo", "left")
+    own, theirs = F.coalesce("ca", "a"), F.coalesce("clo", "lo")
+    open_ = labels.where((F.col("lo") != F.col("hi")) | (own != theirs)).select(F.col("a").alias("name"), F.lit(True).alias("open")).distinct()
+    nodes = nodes.join(open_, "name", "left").withColumn("in_tree", F.col("open").isNotNull())
+    keys = nodes.where("in_tree").select("key").distinct()
+    nodes = nodes.join(keys, "key", "left_semi").drop("component").join(joined, "name", "left").withColumn("component", F.coalesce("component", "name"))
+    nodes = nodes.join(rows.select(F.col("row").alias("name"), "t"), "name")
+    more = written(sent(nodes, "t").mapInPandas(_links, "a long, b long"), "links")
+    joined = components(links.unionByName(more))
 
     names = classes.join(joined, "name", "left").select("digest", F.coalesce("component", "name").alias("component"))
     return marked.select("row", "digest").join(names, "digest").select("row", "component")
