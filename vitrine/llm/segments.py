@@ -102,16 +102,19 @@ class Tokens:
         word[1:-1] = ~((b == 32) | ((b >= 9) & (b <= 13)))
         edges = np.flatnonzero(word[1:] != word[:-1])
         starts, ends = edges[::2], edges[1::2]
-        # a single space between words, so that content is the words joined by one space
-        self.data = b" ".join(data.split())
-        self.at = [0, *(np.cumsum(ends - starts + 1)).tolist()]
+        self.data, self.at, self.lengths = data, None, ends - starts
         self.hashes = _word_hashes(b, starts, ends)
 
     def __len__(self):
         return len(self.hashes)
 
     def content(self, start: int, end: int) -> bytes:
-        return self.data[start:end] if self.kind == "bytes" else self.data[self.at[start] : self.at[end] - 1]
+        if self.kind == "bytes":
+            return self.data[start:end]
+        if self.at is None:  # a single space between words, so that content is the words joined by one space
+            self.data = b" ".join(self.data.split())
+            self.at = [0, *np.cumsum(self.lengths + 1).tolist()]
+        return self.data[self.at[start] : self.at[end] - 1]
 
 
 def _word_hashes(b, starts, ends):

@@ -85,9 +85,12 @@ def duplicate_spans(rows: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Da
     schema = f"key long, cid long, first_doc long, first_start int, inner array<int>, windows {WINDOWS}"
     found = written(plan.distinct(flagged).mapInPandas(parsed, schema), "found")
     full = found.where("windows is not null")
-    met = met_windows(full, F.col("first_doc")).select("key", "cid", "later")
-    full = full.select("key", "cid", "first_doc").join(met, ["key", "cid"], "left").withColumn("inner", F.coalesce("later", F.array().cast("array<int>"))).drop("later")
-    found = found.where("windows is null").select("key", "cid", "first_doc", "inner").unionByName(full)
+    found = found.where("windows is null").select("key", "cid", "first_doc", "inner")
+    if full.take(1):
+        met = met_windows(full, F.col("first_doc")).select("key", "cid", "later")
+        none = F.array().cast("array<int>")
+        full = full.select("key", "cid", "first_doc").join(met, ["key", "cid"], "left")
+        found = found.unionByName(full.select("key", "cid", "first_doc", F.coalesce("later", none).alias("inner")))
     places = plan.places(flagged).join(found, ["key", "cid"])
     inner = F.when(F.col(plan.doc) == F.col("first_doc"), F.col("inner")).otherwise(F.array(F.lit(0), F.col("n")))
     spans = places.select("row", "start", inner.alias("inner")).where(F.size("inner") > 0)

@@ -88,12 +88,12 @@ def repeated_spans(rows: DataFrame, width: int = WIDTH, gram: int = GRAM, keep_f
     schema = f"key long, cid long, first_doc long, first_start int, count long, later array<int>, every array<int>, windows {WINDOWS}"
     found = written(plan.distinct(flagged).mapInPandas(compared, schema), "found")
     full = found.where("windows is not null")
-    met = met_windows(full, F.struct("first_doc", F.col("first_start") + F.col("at")))
-    none = F.array().cast("array<int>")
-    names = ["key", "cid", "first_doc", "first_start", "count"]
-    full = full.select(*names).join(met, ["key", "cid"], "left").where("count > 1 or every is not null")
-    full = full.withColumns({c: F.coalesce(c, none) for c in ("later", "every")})
-    found = found.where("windows is null").drop("windows").unionByName(full)
+    found = found.where("windows is null").drop("windows")
+    if full.take(1):
+        met = met_windows(full, F.struct("first_doc", F.col("first_start") + F.col("at")))
+        none = F.array().cast("array<int>")
+        full = full.select("key", "cid", "first_doc", "first_start", "count").join(met, ["key", "cid"], "left").where("count > 1 or every is not null")
+        found = found.unionByName(full.withColumns({c: F.coalesce(c, none) for c in ("later", "every")}))
     places = plan.places(flagged).join(found, ["key", "cid"])
     whole = F.array(F.lit(0), F.col("n"))
     if keep_first:
