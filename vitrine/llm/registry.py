@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from vitrine.llm import ann, bpe, chat, mixing, quality, simhash, substring_dedup, suffix_dedup, toxicity, warc
+from vitrine.llm import ann, bpe, chat, codes, decontaminate, mixing, periodic, quality, simhash, substring_dedup, suffix_dedup, toxicity, warc
 
-MODULES = (simhash, substring_dedup, toxicity, ann, chat, quality, bpe, suffix_dedup, mixing, warc)
+MODULES = (simhash, substring_dedup, toxicity, ann, chat, quality, bpe, suffix_dedup, mixing, warc, periodic, decontaminate, codes)
 
 
 def queries() -> dict:
