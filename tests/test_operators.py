@@ -85,15 +85,6 @@ def test_sinks(spark, tmp_path):
     sinks.replace_partitions(spark.createDataFrame([(3, "b")], "v int, k string"), path, "k")
     assert values(spark.read.parquet(path), "v") == [(1,), (3,)]
     log = str(tmp_path / "log")
-    children, table = (lambda rows: spark.createDataFrame(rows, "parent int, child string")), str(tmp_path / "children")
-    sinks.replace_children(children([(1, "a"), (1, "b"), (2, "c"), (3, "d")]), children([(1, ""), (2, ""), (3, "")]), table, "parent", str(tmp_path / "s1"))
-    sinks.replace_children(children([(1, "e"), (9, "not asked for")]), children([(1, ""), (2, "")]), table, "parent", str(tmp_path / "s2"))
-    assert values(spark.read.parquet(table), "parent", "child") == [(1, "e"), (3, "d")]  # 2 has lost its child
-    items = lambda rows: spark.createDataFrame(rows, "id int, name string")
-    sinks.upsert_table(items([(i, f"n{i}") for i in range(200)]), str(tmp_path / "items"), "id", ["name"], str(tmp_path / "s3"))
-    sinks.upsert_table(items([(5, "new"), (300, "more"), (7, None)]), str(tmp_path / "items"), "id", ["name"], str(tmp_path / "s4"))
-    want = {i: f"n{i}" for i in range(200)} | {5: "new", 300: "more"}
-    assert dict(values(spark.read.parquet(str(tmp_path / "items")), "id", "name")) == want
     with sinks.run_log(spark, log, "s") as told:
         told["counts"]["new"] = 2
     try:

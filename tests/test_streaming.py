@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import plain
-from vitrine.operators import registry, workflow as batch
+from vitrine.operators import workflow as batch
+from vitrine.sources.snapshots import SnapshotTable
 from vitrine.sources.views import view
 from vitrine.streaming import workflow as stream
 
@@ -36,18 +37,50 @@ def test_first_commands(spark, sf, landed, tmp_path):
     assert rows(got) == rows(batch.first_commands(view(spark, sf, "attempt")).select("command_id"))
 
 
-def test_incremental_ingest(spark, landed, tmp_path):
-    """Micro-batches that are merged one after the other give what one batch gives."""
+def newest(spark, sf):
+    place = F.struct("ts", "event_id")
+    log = view(spark, sf, "attempt").groupBy("run").agg(F.max_by("step", place).alias("step"), F.max_by(F.when(F.col("status") == "failed", F.col("event_id")), F.when(F.col("status") == "failed", place)).alias("failed"))
+    return rows(log)
 
-    def merge(old, new):
-        new = new.groupBy("run").agg(F.max("event_id").alias("last"))
-        return new if old is None else registry.upsert(old, new, "run", ["last"]).drop("outcome")
 
-    target = str(tmp_path / "table")
-    last = stream.ingest(stream.read_events(spark, landed), target, merge, str(tmp_path / "c"))
-    want = rows(spark.read.parquet(landed).groupBy(F.col("user_id").alias("run")).agg(F.max("event_id").alias("last")))
-    assert rows(spark.read.parquet(last)) == want
-    assert sorted(x.name for x in (tmp_path / "table").iterdir() if x.is_dir()) == ["0", "1"]
+def run_ingest(spark, tmp_path, table, checkpoint="c"):
+    events = stream.read_events(spark, str(tmp_path / "events")).withColumn("failed", F.when(F.col("status") == "failed", F.col("event_id")))
+    return stream.ingest(events, table, ["step", "failed"], ["ts", "event_id"], str(tmp_path / checkpoint))
+
+
+@pytest.mark.parametrize("order", [(0, 1, 2, 3), (3, 2, 1, 0), (2, 0, 3, 1)])
+def test_incremental_ingest(spark, sf, tmp_path, order):
+    """Files in any order give one table, and so does reading them all again from the start."""
+    landing(spark, sf, str(tmp_path / "events"), order, 4)
+    table = SnapshotTable(spark, str(tmp_path / "table"), "run", 8)
+    assert run_ingest(spark, tmp_path, table) == 3
+    assert rows(table.values()) == newest(spark, sf)
+    assert run_ingest(spark, tmp_path, table) == 3  # nothing new
+    run_ingest(spark, tmp_path, table, "again")
+    assert rows(table.values()) == newest(spark, sf)
+    assert len(table.versions()) == 2 and len(table._names(f"{table.path}/data")) <= 10  # older ones are cleared
+
+
+@pytest.mark.parametrize("after", [False, True])
+def test_ingest_goes_on_after_a_failure(spark, sf, tmp_path, monkeypatch, after):
+    """A batch that dies before or after its manifest is published is run again, and counts once."""
+    landing(spark, sf, str(tmp_path / "events"), (1, 3, 0, 2), 4)
+    table, publish = SnapshotTable(spark, str(tmp_path / "table"), "run", 8), SnapshotTable._publish
+
+    def dies(self, manifest):
+        if after:
+            publish(self, manifest)
+        if manifest["version"] == 2:
+            raise OSError("lost")
+        return after or publish(self, manifest)
+
+    monkeypatch.setattr(SnapshotTable, "_publish", dies)
+    with pytest.raises(Exception, match="lost"):
+        run_ingest(spark, tmp_path, table)
+    assert table.versions()[-1] == (2 if after else 1)
+    monkeypatch.setattr(SnapshotTable, "_publish", publish)
+    assert run_ingest(spark, tmp_path, table) == 3
+    assert rows(table.values()) == newest(spark, sf)
 
 
 def landing(spark, sf, path, order, n):
@@ -94,3 +127,75 @@ def test_leases_agree_with_the_batch_form(spark, sf):
     ends = {(r["run"], r["at"]) for r in log.groupBy("run").agg(F.max("ts").alias("ts")).select("run", at).collect()}
     want = {(run, x) for run, _, x in expected_leases(spark, sf, 3_600_000, 0)}
     assert want <= every and every - ends <= want
+
+
+def as_transitions(spark, sf, path, order, n):
+    """The transition log in n files, written in the given order; returns it as a stream."""
+    import os
+
+    log = view(spark, sf, "transition").withColumn("ts", F.col("ts").cast("timestamp")).toPandas().sort_values(["ts", "event_id"]).reset_index(drop=True)
+    os.makedirs(path)
+    for k, i in enumerate(order):
+        file = f"{path}/part-{k:03d}.parquet"
+        log.iloc[len(log) * i // n : len(log) * (i + 1) // n].to_parquet(file, index=False, coerce_timestamps="us")
+        os.utime(file, (1_700_000_000 + k, 1_700_000_000 + k))
+    schema = "event_id long, run long, ts timestamp_ntz, status string, from_state string, to_state string, reason string"
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def passed(df, spark, sf, delay_ms, rows_of="true"):
+    """Rows of the batch form that event time, which goes on with rows_of, has passed."""
+    at = (F.unix_micros(F.col("ts").cast("timestamp")) / 1000).cast("long")
+    log = view(spark, sf, "attempt").where(rows_of).select("event_id", at.alias("at"))
+    return df.join(log.join(log.agg(F.max("at").alias("last")), F.lit(True)).where(f"at <= last - {delay_ms}").select("event_id"), "event_id", "left_semi")
+
+
+@pytest.mark.parametrize("files", [list(range(8)), [i ^ 1 for i in range(8)], [4 * (i // 4) + (2, 0, 3, 1)[i % 4] for i in range(8)]])
+def test_transitions_stream(spark, sf, tmp_path, files):
+    """The stream gives the batch form's rows whatever the order of files within the delay."""
+    span = spark.read.parquet(f"{sf}/events.parquet").agg((F.unix_micros(F.max("ts").cast("timestamp")) - F.unix_micros(F.min("ts").cast("timestamp"))) / 1000).first()[0]
+    delay = 60_000 if files == sorted(files) else int(span / 8 * 4.5)
+    log = as_transitions(spark, sf, str(tmp_path / "log"), files, 8)
+    got = stream.run_to_table(stream.transitions(log, f"{delay} milliseconds"), f"transitions_{files[0]}", str(tmp_path / "c"))
+    want = passed(batch.transitions(view(spark, sf, "transition")), spark, sf, delay)
+    number = lambda df: rows(df.select("run", "event_id", "previous", "verdict", F.round("dwell_s", 1).alias("dwell_s")))
+    assert len(number(got)) == want.count() > 50
+    near = lambda a, b: a[:4] == b[:4] and (a[4] == b[4] or abs(float(a[4]) - float(b[4])) < 0.2)  # milliseconds against microseconds
+    assert all(near(a, b) for a, b in zip(number(got), number(want)))
+
+
+def test_retries_stream(spark, sf, tmp_path):
+    landing(spark, sf, str(tmp_path / "events"), (1, 0, 2, 3), 4)
+    span = spark.read.parquet(f"{sf}/events.parquet").agg((F.unix_micros(F.max("ts").cast("timestamp")) - F.unix_micros(F.min("ts").cast("timestamp"))) / 1000).first()[0]
+    delay = int(span / 4 * 2.5)
+    classes = F.element_at(F.array(F.lit("transient"), F.lit("input"), F.lit("policy")), (F.col("event_id") % 3 + 1).cast("int"))
+    got = stream.run_to_table(stream.retries(stream.read_events(spark, str(tmp_path / "events")).withColumn("error_class", classes), 3, f"{delay} milliseconds"), "retries", str(tmp_path / "c"))
+    log = view(spark, sf, "attempt").withColumn("error_class", classes)
+    want = passed(batch.retries(log, 3).select("event_id", "attempt", "next", "reason"), spark, sf, delay, "status = 'failed'")
+    assert rows(got) == rows(want) and got.count() > 10
+
+
+@pytest.mark.parametrize("width", [1, 3600, 10**9])
+def test_ranges_of_time_do_not_matter(spark, width):
+    """Ties, ranges of one row and of all rows, guards that fail at a range's start, a run with most of the rows."""
+    import random
+
+    rng = random.Random(5)
+    log, state = [], {}
+    for i in range(400):
+        run, t = rng.choice([1, 1, 1, 2, 3]), 10 * i // 3 * 700
+        guarded, to = rng.random() < 0.3, rng.choice("abc")
+        known = state.get(run)
+        before = known if rng.random() < 0.8 else rng.choice(["a", None])
+        log.append((i, run, t, before, known if guarded else to, "guard_failed:x" if guarded else None))
+        state[run] = log[-1][4]
+    df = spark.createDataFrame(log, "event_id long, run long, s long, from_state string, to_state string, reason string").withColumn("ts", F.timestamp_seconds("s"))
+    want, known, entered, seen = [], {}, {}, set()
+    for i, run, t, before, to, reason in log:
+        verdict = "guard_failed" if reason else "initial" if run not in seen and before is None else "ok" if before is not None and before == known.get(run) else "broken"
+        want.append((run, i, known.get(run), verdict, float(t - entered[run]) if run in entered else None))
+        known[run] = to
+        seen.add(run)
+        if not reason:
+            entered[run] = t
+    assert sorted(map(tuple, batch.transitions(df, width).collect()), key=lambda r: r[1]) == want

@@ -95,6 +95,36 @@ def upsert(target: DataFrame, batch: DataFrame, key: str, columns: list[str]) ->
     return merged.select(key, *(after[c].alias(c) for c in columns), outcome.alias("outcome"))
 
 
+def as_states(batch: DataFrame, key: str, columns: list[str], sequence: list[str]) -> DataFrame:
+    """A row for each key of batch, with a struct (sequence, value) in each column: its non-null value of the greatest
+    sequence, the greatest of several values there, null where there is none. Rows of a hot key are combined before the shuffle."""
+    state = lambda c: F.max(F.when(F.col(c).isNotNull(), F.struct(F.struct(*sequence).alias("sequence"), F.col(c).alias("value"))))
+    return batch.groupBy(key).agg(*(state(c).alias(c) for c in columns))
+
+
+def merge_states(old: DataFrame, new: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """The states of both, by the greater sequence. Neither the order of merges nor a repeated one changes the result."""
+    both = old.select(key, *columns).unionByName(new.select(key, *columns))
+    return both.groupBy(key).agg(*(F.max(c).alias(c) for c in columns))
+
+
+def state_values(states: DataFrame, key: str) -> DataFrame:
+    return states.select(key, *(F.col(f"`{c}`.value").alias(c) for c in states.columns if c != key))
+
+
+def state_outcomes(old: DataFrame | None, new: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """key and outcome of each key in new: new, updated, or unchanged where no value differs after the merge."""
+    if old is None:
+        return new.select(key, F.lit("new").alias("outcome"))
+    before = old.select(key, *(F.col(c).alias(f"_o_{c}") for c in columns), F.lit(True).alias("_old"))
+    rows = new.join(before, key, "left")
+    differs = F.lit(False)
+    for c in columns:
+        after = F.greatest(c, f"_o_{c}")  # of structs, by sequence; nulls are skipped
+        differs = differs | ~after["value"].eqNullSafe(F.col(f"_o_{c}.value"))
+    return rows.select(key, F.when(F.col("_old").isNull(), "new").when(differs, "updated").otherwise("unchanged").alias("outcome"))
+
+
 def outcome_counts(outcomes: DataFrame, *by: str) -> DataFrame:
     names = ("new", "updated", "unchanged", "deprecated", "error")
     return outcomes.groupBy(*by).agg(*(F.count_if(F.col("outcome") == n).alias(f"n_{n}") for n in names))

@@ -8,6 +8,7 @@ from vitrine.operators import registry as r
 from vitrine.plans.catalogue import Catalogue
 from vitrine.sources import landed, sinks
 from vitrine.sources.folders import new_folder
+from vitrine.sources.snapshots import SnapshotTable
 from vitrine.sources.views import view
 
 CATALOGUE = Catalogue()
@@ -132,10 +133,36 @@ def snk3_children(spark, d):
     """The interfaces of all versions as their children; then a third of the versions is derived again, half of it to nothing."""
     rows = view(spark, d, "evidence")
     of = lambda t: rows.where(F.col("evidence_type") == t).select("version_id", "name").distinct()
-    path, versions = new_folder(spark, "children"), rows.select("version_id").distinct()
-    sinks.replace_children(of("interface"), versions, path, "version_id", new_folder(spark, "staging"))
-    sinks.replace_children(of("dependency").where("version_id % 2 = 0"), versions.where("version_id % 3 = 0"), path, "version_id", new_folder(spark, "staging"))
-    return spark.read.parquet(path).select("version_id", "name")
+    table, versions = SnapshotTable(spark, new_folder(spark, "children"), "version_id"), rows.select("version_id").distinct()
+    table.replace_children(of("interface"), versions)
+    table.replace_children(of("dependency").where("version_id % 2 = 0"), versions.where("version_id % 3 = 0"))
+    return table.read().select("version_id", "name")
+
+
+@add("snk1_ordered", """
+WITH o AS (SELECT o_custkey, struct_pack(d := o_orderdate, k := o_orderkey) AS seq, o_orderstatus AS status, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderpriority END AS priority FROM {orders})
+SELECT o_custkey, arg_max(status, seq) AS status, arg_max(priority, seq) FILTER (priority IS NOT NULL) AS priority FROM o GROUP BY o_custkey""")
+def snk1_ordered(spark, d):
+    """The newest known values of every customer, merged from batches that come in the wrong order and in part twice."""
+    kept = F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderpriority"))
+    rows = view(spark, d, "orders").select("o_custkey", "o_orderdate", "o_orderkey", F.col("o_orderstatus").alias("status"), kept.alias("priority"))
+    table, columns, sequence = SnapshotTable(spark, new_folder(spark, "customers"), "o_custkey"), ["status", "priority"], ["o_orderdate", "o_orderkey"]
+    for on in ("o_orderkey % 4 >= 2", "o_orderkey % 4 <= 2"):  # both hold the rows of 2
+        table.merge(rows.where(on), columns, sequence)
+    return table.values()
+
+
+@add("snk2_ordered", """
+WITH o AS (SELECT o_custkey, o_orderkey, struct_pack(d := o_orderdate, k := o_orderkey) AS seq, o_orderstatus AS status FROM {orders}),
+a AS (SELECT o_custkey, arg_max(status, seq) AS status FROM o WHERE o_orderkey % 4 <> 0 GROUP BY o_custkey),
+b AS (SELECT o_custkey, arg_max(status, seq) AS status FROM o GROUP BY o_custkey)
+SELECT o_custkey, CASE WHEN a.o_custkey IS NULL THEN 'new' WHEN a.status <> b.status THEN 'updated' ELSE 'unchanged' END AS outcome
+FROM (SELECT DISTINCT o_custkey FROM o WHERE o_orderkey % 4 = 0) AS n JOIN b USING (o_custkey) LEFT JOIN a USING (o_custkey)""")
+def snk2_ordered(spark, d):
+    """What a late batch changes in what was known before."""
+    rows = view(spark, d, "orders").withColumnRenamed("o_orderstatus", "status")
+    states = lambda on: r.as_states(rows.where(on), "o_custkey", ["status"], ["o_orderdate", "o_orderkey"])
+    return r.state_outcomes(states("o_orderkey % 4 <> 0"), states("o_orderkey % 4 = 0"), "o_custkey", ["status"])
 
 
 @add("snk4_ledger", "SELECT event_id, step FROM {attempt} WHERE status = 'failed' UNION ALL SELECT event_id, step FROM {attempt} WHERE k % 2 = 0")

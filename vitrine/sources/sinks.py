@@ -1,4 +1,5 @@
-"""Writes: replace derived rows by partition, append to ledgers, keep a run log."""
+"""Writes: replace whole partitions, append to ledgers, keep a run log. Tables that are merged or whose derived rows are
+replaced are snapshots (vitrine.sources.snapshots)."""
 
 from __future__ import annotations
 
@@ -6,11 +7,7 @@ import json
 import time
 from contextlib import contextmanager
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from vitrine.operators.registry import upsert
+from pyspark.sql import DataFrame, SparkSession
 
 
 def replace_partitions(df: DataFrame, path: str, *by: str) -> None:
@@ -18,54 +15,6 @@ def replace_partitions(df: DataFrame, path: str, *by: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 
 
-BUCKETS = 64
-
-
-def bucket_of(key: str, buckets: int = BUCKETS) -> Column:
-    return F.pmod(F.xxhash64(F.col(key)), F.lit(buckets)).cast("int")
-
-
-def _rewrite(touched: DataFrame, path: str, staging: str, change) -> None:
-    """Replaces the partitions bucket of the table at path that touched (bucket) names by change(their rows, or None where
-    there is no table). The new rows are complete in the folder staging, a fresh one, before any of the old are replaced."""
-    spark = touched.sparkSession
-    buckets = sorted(r["bucket"] for r in touched.distinct().collect())  # at most BUCKETS
-    try:
-        old = spark.read.parquet(path).where(F.col("bucket").isin(buckets))
-    except AnalysisException:  # nothing there yet
-        old = None
-    rows = change(old)
-    rows.write.partitionBy("bucket").parquet(staging)
-    new = spark.read.schema(rows.schema).parquet(staging)
-    replace_partitions(new, path, "bucket")
-    if old is not None:
-        left = {r["bucket"] for r in new.select("bucket").distinct().collect()}
-        for b in set(buckets) - left:  # no row is left: the partition becomes an empty file
-            new.where("false").drop("bucket").write.mode("overwrite").parquet(f"{path}/bucket={b}")
-
-
-def replace_children(children: DataFrame, parents: DataFrame, path: str, parent: str, staging: str) -> None:
-    """Replaces all derived rows of the given parents (column parent) by children; a parent without new rows loses its old
-    ones, those of other parents stay. Only the parents' partitions, by a hash of the parent, are read and written."""
-    keys = parents.select(parent).distinct()
-
-    def change(old: DataFrame | None) -> DataFrame:
-        rows = children.join(keys, parent, "left_semi").withColumn("bucket", bucket_of(parent))
-        return rows if old is None else rows.unionByName(old.join(keys, parent, "left_anti").select(*rows.columns))
-
-    _rewrite(keys.select(bucket_of(parent).alias("bucket")), path, staging, change)
-
-
-def upsert_table(batch: DataFrame, path: str, key: str, columns: list[str], staging: str) -> None:
-    """Merges a batch into the table at path (registry.upsert); only the partitions of the batch's keys are read and written."""
-
-    def change(old: DataFrame | None) -> DataFrame:
-        rows = batch.select(key, *columns) if old is None else upsert(old, batch, key, columns).drop("outcome")
-        return rows.withColumn("bucket", bucket_of(key))
-
-    _rewrite(batch.select(bucket_of(key).alias("bucket")), path, staging, change)
-
-
 def append(df: DataFrame, path: str) -> None:
     """Adds rows to an append-only ledger."""
     df.write.mode("append").parquet(path)

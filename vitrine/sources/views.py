@@ -66,6 +66,12 @@ SELECT event_id, user_id AS run, event_type AS step, ts, CASE WHEN event_type =
   CASE CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) % 3 WHEN 0 THEN 'transient' WHEN 1 THEN 'input' ELSE 'policy' END AS error_class,
   CAST(user_id AS STRING) || '/' || event_type || '/' || CAST(CAST(ts AS DATE) AS STRING) AS command_id
 FROM {events}""",
+    "transition": """
+SELECT event_id, run, ts, status, CASE WHEN n = 1 AND k % 5 <> 0 THEN NULL WHEN k % 10 = 0 THEN 'lost' ELSE before END AS from_state,
+  CASE WHEN status = 'failed' THEN before ELSE step END AS to_state, CASE WHEN status = 'failed' THEN 'guard_failed:tests,license' ELSE 'step done' END AS reason
+FROM (
+  SELECT *, substr(max(CASE WHEN status = 'succeeded' THEN lpad(CAST(n AS STRING), 12, '0') || step END) OVER (PARTITION BY run ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 13) AS before
+  FROM (SELECT event_id, run, ts, step, status, k, row_number() OVER (PARTITION BY run ORDER BY ts, event_id) AS n FROM {attempt}))""",
     "response": """
 SELECT doc_id AS request_id, source AS provider,
   CASE WHEN quality = 1 AND doc_id % 5 = 0 THEN '{"component_kind": "repo", "confidence": ' || CAST(doc_id % 3 AS STRING) || '}'
