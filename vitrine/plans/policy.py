@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from vitrine.operators import fit, policy, scoring
 from vitrine.plans.catalogue import Catalogue
 from vitrine.plans.common import DIMENSION_SQL, GATE_SQL, acceptances, cards, decided, facts, gates
+from vitrine.sources.folders import written
 from vitrine.sources.views import view
 
 CATALOGUE = Catalogue()
@@ -74,6 +75,9 @@ def lif3_threshold(spark, d):
 
 _FIT_SQL = """
 WITH cand AS (SELECT DISTINCT version_id FROM {scorecard}),
+may AS (
+  SELECT r.req_id, cand.version_id FROM {requirement} AS r CROSS JOIN cand WHERE r.req_id NOT IN (SELECT req_id FROM {requirement_scope})
+  UNION ALL SELECT s.req_id, s.version_id FROM {requirement_scope} AS s JOIN cand ON s.version_id = cand.version_id),
 i AS (SELECT DISTINCT req_id, version_id FROM {requirement_constraint} AS c JOIN {evidence} AS e ON c.kind = 'required_interface' AND e.evidence_type = 'interface' AND lower(e.name) = lower(trim(c.name))
   AND (coalesce(fragment, '') = '' OR contains(coalesce(signature, ''), fragment))),
 f AS (SELECT DISTINCT req_id, version_id FROM {requirement_constraint} AS c JOIN {evidence} AS e ON c.kind = 'forbidden_dependency' AND e.evidence_type = 'dependency' AND lower(e.name) = lower(c.name)
@@ -85,12 +89,12 @@ rows AS (
       WHEN 'license_allowlist' THEN CASE WHEN spdx_ids = '' THEN 'malformed_constraint' WHEN NOT coalesce(list_has_any(spdx, string_split(upper(spdx_ids), ',')), FALSE) THEN 'license_mismatch' END
       WHEN 'forbidden_dependency' THEN CASE WHEN c.ecosystem = '' THEN 'malformed_constraint' WHEN f.req_id IS NOT NULL THEN 'forbidden_dependency_present' END
       ELSE 'unknown_constraint_kind' END AS gap
-  FROM cand CROSS JOIN {requirement_constraint} AS c LEFT JOIN l ON l.version_id = cand.version_id
+  FROM may AS cand JOIN {requirement_constraint} AS c ON c.req_id = cand.req_id LEFT JOIN l ON l.version_id = cand.version_id
   LEFT JOIN i ON i.req_id = c.req_id AND i.version_id = cand.version_id LEFT JOIN f ON f.req_id = c.req_id AND f.version_id = cand.version_id),
 summed AS (SELECT req_id, version_id, CAST(round(CAST(count(*) FILTER (gap IS NULL) AS DECIMAL(10,0)) / count(*), 3) AS DECIMAL(6,3)) AS fit_score,
   count(*) FILTER (gap IN ('license_mismatch', 'forbidden_dependency_present')) AS blocking_gap_count, count(*) AS n FROM rows GROUP BY req_id, version_id),
-fits AS (SELECT r.req_id, cand.version_id, CAST(coalesce(fit_score, 1) AS DECIMAL(6,3)) AS fit_score, coalesce(blocking_gap_count, 0) AS blocking_gap_count, CAST(coalesce(n, 0) AS INT) AS n_constraints
-  FROM {requirement} AS r CROSS JOIN cand LEFT JOIN summed ON summed.req_id = r.req_id AND summed.version_id = cand.version_id)"""
+fits AS (SELECT may.req_id, may.version_id, CAST(coalesce(fit_score, 1) AS DECIMAL(6,3)) AS fit_score, coalesce(blocking_gap_count, 0) AS blocking_gap_count, CAST(coalesce(n, 0) AS INT) AS n_constraints
+  FROM may LEFT JOIN summed ON summed.req_id = may.req_id AND summed.version_id = may.version_id)"""
 
 
 def _candidates(spark, d):
@@ -100,9 +104,27 @@ def _candidates(spark, d):
     return rows.select("version_id", scoring.card_columns()["total_score"].alias("intrinsic_score"))
 
 
+def _met(spark, d):
+    """facts of candidates, pairs of open requirements with their classes, and pairs of requirements with a scope of their own."""
+    constraints, requirements, scope = (view(spark, d, n) for n in ("requirement_constraint", "requirement", "requirement_scope"))
+    known = written(fit.candidate_facts(constraints, _candidates(spark, d), view(spark, d, "evidence")), "candidates")  # used twice or more
+    scoped = requirements.join(scope.select("req_id").distinct(), "req_id", "left_semi")
+    open_to_all = requirements.join(scope.select("req_id").distinct(), "req_id", "left_anti")
+    return known, fit.pairs(open_to_all, constraints, fit.candidate_classes(known)), fit.pairs(scoped, constraints, known, scope)
+
+
+_BY_CANDIDATE = ("req_id", "version_id", "intrinsic_score", "results")
+
+
 def _pairs(spark, d):
-    constraints = view(spark, d, "requirement_constraint")
-    return fit.pairs(view(spark, d, "requirement"), constraints, fit.candidate_facts(constraints, _candidates(spark, d), view(spark, d, "evidence")))
+    known, classes, scoped = _met(spark, d)
+    return fit.expanded(classes, known).select(*_BY_CANDIDATE).unionByName(scoped.select(*_BY_CANDIDATE))
+
+
+def _firsts(spark, d):
+    """The first candidate of each requirement, from the classes' least ids."""
+    _, classes, scoped = _met(spark, d)
+    return written(fit.best(fit.fit_scores(classes.select(*_BY_CANDIDATE).unionByName(scoped.select(*_BY_CANDIDATE)))), "firsts")
 
 
 def _kind(kind):
@@ -150,7 +172,13 @@ _VERDICT_SQL = "CASE rule_name WHEN 'strong_adopt' THEN 'ADOPT' WHEN 'adapt_clos
 
 @add("win5_ranks", f"{_RANK_SQL} SELECT req_id, version_id, rank FROM ranks")
 def win5_ranks(spark, d):
-    return fit.ranked(fit.fit_scores(_pairs(spark, d))).select("req_id", "version_id", "rank")
+    known, classes, scoped = _met(spark, d)
+    classes, scoped = fit.fit_scores(classes), fit.fit_scores(scoped)
+    names = ("req_id", "intrinsic_score", "fit_score", "blocking_gap_count")
+    counted = classes.drop("n", "version_id").join(fit.class_ranges(known), ["met", "intrinsic_score"]).select(*names, "id_range", "n")
+    counted = counted.unionByName(scoped.select(*names, fit.id_range().alias("id_range"), F.lit(1).cast("long").alias("n")))
+    rows = fit.expanded(classes, known).select(*names, "version_id").unionByName(scoped.select(*names, "version_id"))
+    return fit.ranked(rows, counted).select("req_id", "version_id", "rank")
 
 
 @add("rec1_rules", f"{_RANK_SQL} SELECT req_id, version_id, rule_name, {_VERDICT_SQL} FROM ruled")
@@ -168,7 +196,7 @@ recs AS (SELECT r.req_id, {_VERDICT_SQL}, coalesce(rule_name, '__no_candidates__
 
 
 def _recommended(spark, d):
-    firsts = fit.best(fit.fit_scores(_pairs(spark, d)))
+    firsts = _firsts(spark, d)
     bound = view(spark, d, "binding").join(firsts.select("version_id").distinct(), "version_id", "left_semi")
     return fit.recommend(view(spark, d, "requirement"), firsts, fit.pins(bound, view(spark, d, "revision")))
 
@@ -181,7 +209,7 @@ def rec2_recommend(spark, d):
 @add("rec3_trace", f"{_REC_SQL}, {_LINK_SQL} SELECT req_id, version_id, evidence_id, role FROM recs JOIN links USING (req_id, version_id)")
 def rec3_trace(spark, d):
     """The evidence behind each recommendation, through the links of its fit."""
-    firsts = fit.best(fit.fit_scores(_pairs(spark, d)))
+    firsts = _firsts(spark, d)
     return fit.fit_links(view(spark, d, "requirement_constraint"), view(spark, d, "evidence"), firsts)
 
 

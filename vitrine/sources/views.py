@@ -92,7 +92,13 @@ SELECT n_nationkey AS req_id, 'required_interface' AS kind, 'NAME' || CAST(n_nat
 UNION ALL SELECT n_nationkey, 'license_allowlist', NULL, NULL, NULL, CASE WHEN n_nationkey % 6 = 5 THEN '' ELSE 'mit,apache-2.0' END FROM {nation} WHERE n_nationkey % 3 <> 0 AND n_nationkey % 7 <> 3
 UNION ALL SELECT n_nationkey, 'forbidden_dependency', 'name' || CAST(n_nationkey % 7 AS STRING), NULL, CASE WHEN n_nationkey % 5 = 4 THEN '' ELSE 'PyPI' END, NULL FROM {nation}
   WHERE n_nationkey % 4 <> 1 AND n_nationkey % 7 <> 3
-UNION ALL SELECT n_nationkey, 'colour', NULL, NULL, NULL, NULL FROM {nation} WHERE n_nationkey % 9 = 0""",
+UNION ALL SELECT n_nationkey, 'colour', NULL, NULL, NULL, NULL FROM {nation} WHERE n_nationkey % 9 = 0
+UNION ALL SELECT n_nationkey, 'shape', NULL, NULL, NULL, NULL FROM {nation} WHERE n_nationkey = 10""",
+    "requirement_scope": """
+SELECT n_nationkey AS req_id, version_id FROM {nation} JOIN (
+  SELECT version_id, count(*) FILTER (WHERE evidence_type IN ('license', 'test_indicator', 'dependency')) AS n FROM {evidence} WHERE version_id % 50 <= 2 GROUP BY version_id) AS told
+  ON (n_nationkey = 17 AND n = 0) OR (n_nationkey = 3 AND version_id % 5 = 2)
+UNION ALL SELECT n_nationkey, CAST(-1 AS BIGINT) FROM {nation} WHERE n_nationkey IN (24, 23)""",
     "project_constraint": """
 SELECT n_nationkey AS project_id,
   CASE n_nationkey % 11 WHEN 0 THEN 'cpu_only' WHEN 1 THEN 'no_gpu' WHEN 2 THEN 'must_be_free_tier' WHEN 3 THEN 'must_be_local' WHEN 4 THEN 'always_off_at_night'
