@@ -106,7 +106,8 @@ def _candidates(spark, d):
 
 def _met(spark, d):
     """facts of candidates, pairs of open requirements with their classes, and pairs of requirements with a scope of their own."""
-    constraints, requirements, scope = (view(spark, d, n) for n in ("requirement_constraint", "requirement", "requirement_scope"))
+    requirements, scope = view(spark, d, "requirement"), view(spark, d, "requirement_scope")
+    constraints = written(fit.constraint_keys(view(spark, d, "requirement_constraint")), "constraints")
     known = written(fit.candidate_facts(constraints, _candidates(spark, d), view(spark, d, "evidence")), "candidates")  # used twice or more
     scoped = requirements.join(scope.select("req_id").distinct(), "req_id", "left_semi")
     open_to_all = requirements.join(scope.select("req_id").distinct(), "req_id", "left_anti")
