@@ -24,7 +24,7 @@ LICENSE_PHRASES = (
     ("MPL-2.0", "Mozilla Public License Version 2.0", "high"),
     ("Unlicense", "This is free and unencumbered software released into the public domain", "high"),
 )
-#: Further phrases, tried after the fixed ones.
+#: Further phrases of this library's own, for callers who ask for them.
 MORE_LICENSES = (
     ("MIT", "Released under the MIT License", "high"),
     ("GPL-3.0", "GNU General Public License, version 3", "high"),
@@ -59,16 +59,16 @@ def index_files(files: DataFrame) -> DataFrame:
     return files.select("revision", "path", F.octet_length("content").cast("long").alias("size_bytes"), language(F.col("path")).alias("language"), F.sha2("content", 256).alias("content_hash"))
 
 
-def first_license(content: Column, phrases=LICENSE_PHRASES + MORE_LICENSES) -> Column:
+def first_license(content: Column, phrases=LICENSE_PHRASES) -> Column:
     out = F.struct(F.lit("unknown").alias("spdx_id"), F.lit("unknown").alias("confidence"))
     for spdx, phrase, confidence in reversed(phrases):
         out = F.when(F.contains(content, F.lit(phrase)), F.struct(F.lit(spdx).alias("spdx_id"), F.lit(confidence).alias("confidence"))).otherwise(out)
     return out
 
 
-def licenses(files: DataFrame) -> DataFrame:
-    """Licence of each licence file at the root or one folder down; unknown where no phrase is found."""
-    rows = files.where(F.col("path").rlike(LICENSE_FILE)).withColumn("_l", first_license(F.col("content")))
+def licenses(files: DataFrame, phrases=LICENSE_PHRASES) -> DataFrame:
+    """Licence of each licence file at the root or one folder down, by the first phrase found; unknown where there is none."""
+    rows = files.where(F.col("path").rlike(LICENSE_FILE)).withColumn("_l", first_license(F.col("content"), phrases))
     return rows.select("revision", "path", "_l.spdx_id", "_l.confidence", F.octet_length("content").cast("long").alias("size_bytes"))
 
 

@@ -212,14 +212,15 @@ NATIVE = {
     "npm_import": ("npm_import",),
     "cargo_import": ("cargo_import",),
     "go_import": ("go_import",),
-    "cli_subprocess": ("cli_subprocess",),
-    "git_clone": ("git_clone",),
     "mcp_stdio": ("mcp_stdio", "mcp_sse", "mcp_http"),
     "mcp_sse": ("mcp_stdio", "mcp_sse", "mcp_http"),
     "mcp_http": ("mcp_stdio", "mcp_sse", "mcp_http"),
     "claude_skill": ("claude_skill", "claude_agent"),
     "claude_agent": ("claude_skill", "claude_agent"),
+    "cli_subprocess": ("cli_subprocess",),
+    "git_clone": ("git_clone",),
     "http_endpoint": ("http_endpoint", "mcp_http", "mcp_sse"),
+    "other": (),
 }
 #: Pairs that an adapter bridges.
 BRIDGES = (
@@ -230,10 +231,28 @@ BRIDGES = (
 )
 
 
+#: What a bridge is made of; other bridges have GENERIC_HINT.
+BRIDGE_HINTS = {
+    ("python_import", "cli_subprocess"): "subprocess.run() call, capture stdout",
+    ("cli_subprocess", "python_import"): "subprocess.run() call, capture stdout",
+    ("python_import", "http_endpoint"): "httpx.Client call",
+    ("http_endpoint", "python_import"): "httpx.Client call",
+    ("npm_import", "http_endpoint"): "fetch() call",
+    ("http_endpoint", "npm_import"): "fetch() call",
+    ("python_import", "mcp_stdio"): "mcp.ClientSession + stdio_client",
+    ("mcp_stdio", "python_import"): "mcp.ClientSession + stdio_client",
+    ("git_clone", "python_import"): "pip install -e . after clone",
+    ("git_clone", "cli_subprocess"): "clone then run the CLI binary from the tree",
+    ("claude_skill", "mcp_stdio"): "skill invokes the MCP tool by name",
+    ("claude_agent", "mcp_stdio"): "agent calls the tool via its MCP client",
+}
+GENERIC_HINT, UNKNOWN_HINT, CLASH_HINT = "generic glue script", "one side has no declared runtime; assume glue", "write a type transformer"
+
+
 def runtime_matrix(spark) -> DataFrame:
-    """src, tgt, class (native or bridge): a few dozen rows of configuration."""
-    rows = [(a, b, "native") for a, bs in NATIVE.items() for b in bs] + [(a, b, "bridge") for a, b in BRIDGES]
-    return spark.createDataFrame(rows, "src_runtime string, tgt_runtime string, class string")
+    """src, tgt, class (native or bridge) and a bridge's hint: a few dozen rows of configuration."""
+    rows = [(a, b, "native", None) for a, bs in NATIVE.items() for b in bs] + [(a, b, "bridge", BRIDGE_HINTS.get((a, b), GENERIC_HINT)) for a, b in BRIDGES]
+    return spark.createDataFrame(rows, "src_runtime string, tgt_runtime string, class string, hint string")
 
 
 def io_check(src: Column, tgt: Column) -> Column:
@@ -247,7 +266,7 @@ def io_check(src: Column, tgt: Column) -> Column:
 
 
 def compatibility(pairs: DataFrame) -> DataFrame:
-    """pairs (src_runtime, tgt_runtime, src_output, tgt_input) with verdict, reason and io_type_check."""
+    """pairs (src_runtime, tgt_runtime, src_output, tgt_input) with verdict, reason, io_type_check, detail and adapter_hint."""
     matrix = F.broadcast(runtime_matrix(pairs.sparkSession))  # fixed size
     rows = pairs.withColumn("src_runtime", F.lower("src_runtime")).withColumn("tgt_runtime", F.lower("tgt_runtime")).join(matrix, ["src_runtime", "tgt_runtime"], "left")
     rows = rows.withColumn("io_type_check", io_check(F.col("src_output"), F.col("tgt_input")))
@@ -258,4 +277,7 @@ def compatibility(pairs: DataFrame) -> DataFrame:
         F.when(unknown, "unknown_runtime").when(clash, "io_mismatch_within_family").when(F.col("class") == "native", "same_family")
         .when(F.col("class") == "bridge", "bridge_available").otherwise("no_known_bridge")
     )
-    return rows.withColumn("verdict", verdict).withColumn("reason", reason).drop("class")
+    hint = F.when(unknown, UNKNOWN_HINT).when(clash, CLASH_HINT).when(F.col("class") == "bridge", F.col("hint")).otherwise("")
+    src, tgt = (F.coalesce(c, F.lit("")) for c in ("src_runtime", "tgt_runtime"))
+    detail = F.when(clash, F.concat(src, F.lit(" <-> "), tgt, F.lit(" runtime-compatible but I/O types differ"))).otherwise(F.concat(src, F.lit(" -> "), tgt))
+    return rows.withColumns({"verdict": verdict, "reason": reason, "adapter_hint": hint, "detail": detail}).drop("class", "hint")

@@ -186,6 +186,10 @@ def _clip(x: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
 
 
+#: Metadata whose presence makes a component complete; four of them are enough.
+COMPLETE_FIELDS = ("gemini_description", "description", "content_hash", "topics", "language", "html_url", "seed_note")
+
+
 def health_dimensions() -> dict[str, tuple[Column, Column]]:
     """raw and has_evidence of each health dimension, over capability columns."""
     known = lambda *cols: reduce(lambda a, b: a | b, [F.col(c).isNotNull() for c in cols])
@@ -193,14 +197,14 @@ def health_dimensions() -> dict[str, tuple[Column, Column]]:
     stars = F.col("stars")
     popularity = F.when(stars.isNull(), 0.5).when(stars <= 0, 0.0).otherwise(_clip(F.log10(stars + 1) / 4.0))
     issues = F.when(F.col("open_issues") > 0, 0.5).otherwise(0.0) + F.when(F.col("forks") > 0, 0.5).otherwise(0.0)
-    fields = [F.col(c).isNotNull().cast("int") for c in ("gemini_description", "description", "topics")]
+    fields = [(F.coalesce(F.col(c).cast("string"), F.lit("")) != "").cast("int") for c in COMPLETE_FIELDS]
     filled = reduce(lambda a, b: a + b, fields)
     return {
         "freshness": (F.when(F.col("days_old").isNull(), 0.5).otherwise(_clip(1 - F.col("days_old") / 730.0)), known("days_old")),
         "popularity": (popularity, known("stars")),
         "activity": (F.when(known("open_issues", "forks"), issues).otherwise(0.5), known("open_issues", "forks")),
         "license_clarity": (F.when(F.col("license_spdx").isNotNull(), 1.0).otherwise(0.3), yes),
-        "description_quality": (F.when(F.col("gemini_description").isNotNull(), 1.0).when(F.col("description").isNotNull(), 0.6).otherwise(0.0), yes),
+        "description_quality": (F.when(F.col("gemini_description").isNotNull(), 1.0).when(known("description", "seed_note"), 0.6).otherwise(0.0), yes),
         "ecosystem_bonus": (F.when(F.col("ecosystem").isin("pypi", "npm", "cargo", "gem"), 1.0).when(F.col("ecosystem") == "source", 0.5).otherwise(0.3), yes),
         "completeness": (_clip(filled / 4.0), filled > 0),
         "transport_clarity": (F.when(F.lower("transport").isin("stdio", "sse", "http"), 1.0).otherwise(0.3), yes),

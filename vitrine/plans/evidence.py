@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vitrine.functions.text import language
-from vitrine.operators import evidence as e, judgment as j
+from vitrine.operators import evidence as e, judgment as j, responses as rs
 from vitrine.operators.query import matching
 from vitrine.plans.catalogue import Catalogue
 from vitrine.plans.query import BRIDGE_SQL, NATIVE_SQL
@@ -93,7 +93,8 @@ def ext8_tests(spark, d):
     return e.tests(_files(spark, d))
 
 
-_LICENSE_CASE = "CASE " + " ".join("WHEN contains(content, '{}') THEN '{}|{}'".format(p.replace("\n", "' || chr(10) || '"), s, c) for s, p, c in e.LICENSE_PHRASES + e.MORE_LICENSES) + " ELSE 'unknown|unknown' END"
+_phrases = lambda phrases: "CASE " + " ".join("WHEN contains(content, '{}') THEN '{}|{}'".format(p.replace("\n", "' || chr(10) || '"), s, c) for s, p, c in phrases) + " ELSE 'unknown|unknown' END"
+_LICENSE_CASE, _MORE_CASE = _phrases(e.LICENSE_PHRASES), _phrases(e.LICENSE_PHRASES + e.MORE_LICENSES)
 
 
 @add("ext9_license", f"WITH {_FILES}, l AS (SELECT *, {_LICENSE_CASE} AS found FROM files WHERE path IN ('LICENSE', 'docs/LICENSE.txt')) SELECT revision, path, string_split(found, '|')[1] AS spdx_id, string_split(found, '|')[2] AS confidence, CAST(octet_length(encode(content)) AS BIGINT) AS size_bytes FROM l")
@@ -102,6 +103,12 @@ def ext9_license(spark, d):
     return e.licenses(_files(spark, d))
 
 
+@add("ext9_more_phrases", f"WITH {_FILES}, l AS (SELECT *, {_MORE_CASE} AS found FROM files WHERE path IN ('LICENSE', 'docs/LICENSE.txt')) SELECT revision, path, string_split(found, '|')[1] AS spdx_id, string_split(found, '|')[2] AS confidence FROM l")
+def ext9_more_phrases(spark, d):
+    """With further phrases of the caller's choice."""
+    return e.licenses(_files(spark, d), e.LICENSE_PHRASES + e.MORE_LICENSES).select("revision", "path", "spdx_id", "confidence")
+
+
 _SECRET_SQL = " UNION ALL ".join(f"SELECT revision, path, '{n}' AS pattern_name, unnest(regexp_extract_all(content, '{p}', 1)) AS s FROM files" for n, p in e.SECRET_PATTERNS)
 
 
@@ -150,12 +157,12 @@ def ext11_locators(spark, d):
     return e.bad_locators(*_found(spark, d)).select("run", "extractor", "path", "violation")
 
 
-@add("dq2_references", "WITH n AS (SELECT l_partkey AS child, l_suppkey AS ref FROM {lineitem} WHERE l_suppkey % 7 = 0) SELECT child, ref FROM n WHERE ref NOT IN (SELECT s_suppkey FROM {supplier} WHERE s_suppkey % 3 <> 0)")
+@add("dq2_references", "WITH n AS (SELECT l_partkey AS child, l_suppkey AS ref FROM {lineitem}) SELECT child, ref FROM n WHERE ref NOT IN (SELECT s_suppkey FROM {supplier} WHERE s_suppkey % 3 <> 0)")
 def dq2_references(spark, d):
     """Rows whose reference doesn't resolve."""
     from vitrine.operators.registry import orphans
 
-    child = view(spark, d, "lineitem").where("l_suppkey % 7 = 0").select(F.col("l_partkey").alias("child"), F.col("l_suppkey").alias("ref"))
+    child = view(spark, d, "lineitem").select(F.col("l_partkey").alias("child"), F.col("l_suppkey").alias("ref"))
     return orphans(child, view(spark, d, "supplier").where("s_suppkey % 3 <> 0").select(F.col("s_suppkey").alias("ref")), "ref")
 
 
@@ -244,20 +251,102 @@ def jud5_apply(spark, d):
     return j.applied(j.classifications(view(spark, d, "response")), view(spark, d, "capability"))
 
 
-@add("jud6_links", "SELECT l_partkey AS a, l_suppkey AS b, CASE WHEN l_returnflag = 'N' THEN 'negative' WHEN l_linenumber >= 4 THEN 'linked' ELSE 'suppressed' END AS outcome, CASE WHEN l_returnflag = 'N' THEN round(1 - (l_linenumber + 1) * 0.15, 3)::DOUBLE ELSE CAST((l_linenumber + 1) * 0.15 AS DOUBLE) END AS confidence, CASE WHEN l_returnflag = 'N' THEN 'NOT_SAME: x' ELSE 'x' END AS rationale FROM {lineitem}")
+_LINK = """l AS (SELECT CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) || '-' || CAST(l_partkey AS STRING) || '-' || CAST(l_suppkey AS STRING) AS request_id, l_partkey AS a, l_suppkey AS b, l_returnflag <> 'N' AS same, CAST((l_linenumber + 1) * 0.15 AS DOUBLE) AS score,
+  CASE (l_orderkey + l_linenumber) % 13 WHEN 0 THEN 'not_json' WHEN 1 THEN 'not_object' WHEN 2 THEN 'missing_field: same_component' WHEN 3 THEN 'missing_field: rationale' WHEN 4 THEN 'bad_same_component'
+    WHEN 5 THEN 'bad_confidence' WHEN 6 THEN CASE WHEN l_linenumber >= 6 THEN 'confidence_out_of_range' END END AS schema_error, (l_orderkey + l_linenumber) % 13 AS k FROM {lineitem})"""
+
+
+def _line_id():
+    return F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+
+
+def _link_responses(spark, d):
+    """Every lineitem as an answer on one pair, with each kind of mistake."""
+    rows = view(spark, d, "lineitem").select(_line_id().alias("request_id"), F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b"), (F.col("l_returnflag") != "N").alias("same"), ((F.col("l_linenumber") + 1) * F.lit("0.15").cast("decimal(3,2)")).cast("string").alias("score"), ((F.col("l_orderkey") + F.col("l_linenumber")) % 13).alias("k"))
+    k, same = F.col("k"), F.col("same").cast("string")
+    right = F.concat(F.lit('{"same_component": '), same, F.lit(', "confidence": '), "score", F.lit(', "rationale": "  x "}'))
+    raw = (
+        F.when(k == 0, "no json").when(k == 1, '["a"]').when(k == 2, '{"confidence": 1, "rationale": "x"}').when(k == 3, '{"same_component": true, "confidence": 1}').when(k == 4, '{"same_component": "true", "confidence": 1, "rationale": "x"}')
+        .when(k == 5, '{"same_component": true, "confidence": "much", "rationale": "x"}').when(k == 6, F.concat(F.lit('{"same_component": '), same, F.lit(', "confidence": "'), "score", F.lit('", "rationale": " x"}')))
+        .when(k == 7, F.concat(F.lit("```json\n"), right, F.lit("\n```"))).otherwise(right)
+    )
+    return rows.select("request_id", "a", "b", raw.alias("raw_response"))
+
+
+@add("jud3_links", f"WITH {_LINK} SELECT request_id, schema_error, CASE WHEN schema_error IS NULL THEN same END AS same, CASE WHEN schema_error IS NULL THEN score END AS confidence, CASE WHEN schema_error IS NULL THEN 'x' END AS rationale FROM (SELECT * REPLACE (CASE WHEN k >= 6 AND score > 1 THEN 'confidence_out_of_range' ELSE schema_error END AS schema_error) FROM l)")
+def jud3_links(spark, d):
+    return rs.link_decisions(_link_responses(spark, d))
+
+
+@add("jud6_links", f"WITH {_LINK} SELECT a, b, CASE WHEN NOT same THEN 'negative' WHEN score >= 0.75 THEN 'linked' ELSE 'suppressed' END AS outcome, CASE WHEN NOT same THEN round(1 - score, 3)::DOUBLE ELSE score END AS confidence, CASE WHEN NOT same THEN 'NOT_SAME: x' ELSE 'x' END AS rationale FROM l WHERE schema_error IS NULL AND score <= 1")
 def jud6_links(spark, d):
-    score = ((F.col("l_linenumber") + 1) * F.lit("0.15").cast("decimal(3,2)")).cast("double")
-    rows = view(spark, d, "lineitem").select(F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b"), (F.col("l_returnflag") != "N").alias("same"), score.alias("confidence"), F.lit("x").alias("rationale"))
-    return j.link_rows(rows)
+    """The pairs' parsed answers as links."""
+    return j.link_rows(rs.link_decisions(_link_responses(spark, d), ("a", "b")).where("schema_error is null"))
+
+
+_RETIRED = """n AS (SELECT p_partkey AS request_id, tail, p_size % 2 = 0 AS deprecated, CASE WHEN p_size % 4 = 0 THEN 0.9::DOUBLE ELSE 0.5 END AS confidence, CASE p_partkey % 11 WHEN 0 THEN 'bad_deprecated' WHEN 1 THEN 'bad_successor_name' WHEN 2 THEN 'missing_field: successor_name'
+  WHEN 3 THEN 'confidence_out_of_range' END AS schema_error, CASE WHEN p_partkey % 11 IN (4, 5) THEN NULL ELSE tail END AS successor_name FROM {part} JOIN {capability} ON id = p_partkey)"""
+
 
+def _retired_responses(spark, d):
+    """Every part as an answer on whether it is retired; the successor is named, blank, null, missing or of a wrong type."""
+    tails = view(spark, d, "capability").select(F.col("id").alias("p_partkey"), "tail")
+    rows = view(spark, d, "part").join(tails, "p_partkey")
+    k, even = F.col("p_partkey") % 11, (F.col("p_size") % 2 == 0).cast("string")
+    score = F.when(k == 3, "-0.1").when(F.col("p_size") % 4 == 0, "0.9").otherwise("0.5")
+    name = F.when(k == 1, ', "successor_name": 7').when(k == 2, "").when(k == 4, ', "successor_name": null').when(k == 5, ', "successor_name": "  "').otherwise(F.concat(F.lit(', "successor_name": " '), "tail", F.lit('"')))
+    raw = F.concat(F.lit('{"deprecated": '), F.when(k == 0, "1").otherwise(even), F.lit(', "confidence": '), score, name, F.lit(', "rationale": 5}'))
+    return rows.select(F.col("p_partkey").alias("request_id"), raw.alias("raw_response"))
 
-@add("jud7_supersession", "WITH n AS (SELECT p_partkey AS ref, p_size % 2 = 0 AS deprecated, p_size % 4 = 0 AS sure FROM {part}), s AS (SELECT min(id) AS id, normalized_key FROM {capability} GROUP BY normalized_key) SELECT ref, deprecated AND sure AS deprecate, CASE WHEN deprecated AND sure THEN coalesce(a.id, b.id) END AS successor_id FROM n JOIN {capability} AS c ON c.id = ref LEFT JOIN s AS a ON a.normalized_key = 'pypi:' || c.tail LEFT JOIN s AS b ON b.normalized_key = 'npm:' || c.tail")
+
+@add("jud3_supersession", f"WITH {_RETIRED} SELECT request_id, schema_error, CASE WHEN schema_error IS NULL THEN deprecated END AS deprecated, CASE WHEN schema_error IS NULL THEN confidence END AS confidence, CASE WHEN schema_error IS NULL THEN successor_name END AS successor_name, CASE WHEN schema_error IS NULL THEN '5' END AS rationale FROM n")
+def jud3_supersession(spark, d):
+    return rs.supersession_decisions(_retired_responses(spark, d))
+
+
+@add("jud7_supersession", f"WITH {_RETIRED}, s AS (SELECT min(id) AS id, normalized_key FROM {{capability}} GROUP BY normalized_key) SELECT request_id AS ref, deprecated AND confidence >= 0.75 AS deprecate, CASE WHEN deprecated AND confidence >= 0.75 THEN coalesce(a.id, b.id) END AS successor_id FROM n LEFT JOIN s AS a ON a.normalized_key = 'pypi:' || successor_name LEFT JOIN s AS b ON b.normalized_key = 'npm:' || successor_name WHERE schema_error IS NULL")
 def jud7_supersession(spark, d):
     from vitrine.operators.registry import resolve_successors
 
-    part, cap = view(spark, d, "part"), view(spark, d, "capability")
-    told = part.select(F.col("p_partkey").alias("ref"), (F.col("p_size") % 2 == 0).alias("deprecated"), F.when(F.col("p_size") % 4 == 0, 0.9).otherwise(0.5).alias("confidence"))
-    return j.supersession_rows(told, resolve_successors(cap.select(F.col("id").alias("ref"), F.col("tail").alias("name")), cap))
+    told = rs.supersession_decisions(_retired_responses(spark, d)).where("schema_error is null").withColumnRenamed("request_id", "ref")
+    named = told.select("ref", F.col("successor_name").alias("name")).where("name is not null")
+    return j.supersession_rows(told, resolve_successors(named, view(spark, d, "capability")))
+
+
+@add("jud3_stages", """
+WITH n AS (SELECT p_partkey AS request_id, p_name, p_partkey % 9 AS k FROM {part})
+SELECT request_id, CASE k WHEN 0 THEN 'missing_stages_field' WHEN 1 THEN 'stages_not_a_nonempty_list' WHEN 2 THEN 'stage_1_not_object' WHEN 3 THEN 'stage_0_missing_role' WHEN 4 THEN 'stage_1_bad_role' WHEN 5 THEN 'stage_1_bad_kind' WHEN 6 THEN 'stage_1_bad_search_terms' END AS schema_error,
+  CASE WHEN k >= 7 THEN CAST(1 + k - 7 AS INT) END AS n_stages, CASE WHEN k >= 7 THEN p_name END AS name, CASE WHEN k >= 7 THEN 'a,3' END AS terms, CASE WHEN k >= 7 THEN 'sink/library' END AS shape FROM n""")
+def jud3_stages(spark, d):
+    """Every part as a proposal of stages, with each kind of mistake."""
+    k = F.col("p_partkey") % 9
+    good = F.concat(F.lit('{"name": " '), "p_name", F.lit('", "purpose": "x", "search_terms": ["a", " ", 3], "role": " Sink ", "preferred_component_kind": "LIBRARY"}'))
+    second = (
+        F.when(k == 2, "5").when(k == 4, F.replace(good, F.lit(" Sink "), F.lit("pump"))).when(k == 5, F.replace(good, F.lit("LIBRARY"), F.lit("robot")))
+        .when(k == 6, F.replace(good, F.lit('["a", " ", 3]'), F.lit("[]"))).when(k == 8, good)
+    )
+    first = F.when(k == 3, F.replace(good, F.lit('"role"'), F.lit('"rule"'))).otherwise(good)
+    raw = F.when(k == 0, "[]").when(k == 1, '{"stages": []}').otherwise(F.concat(F.lit('{"stages": ['), F.concat_ws(", ", first, second), F.lit("]}")))
+    told = rs.stage_proposals(view(spark, d, "part").select(F.col("p_partkey").alias("request_id"), raw.alias("raw_response")))
+    one = F.get("stages", F.lit(0))
+    return told.select("request_id", "schema_error", F.when(F.col("stages").isNotNull(), F.size("stages")).alias("n_stages"), one["name"].alias("name"), F.array_join(one["search_terms"], ",").alias("terms"), F.concat_ws("/", one["role"], one["kind"]).alias("shape")).withColumn("shape", F.when(F.col("n_stages").isNotNull(), F.col("shape")))
+
+
+@add("jud3_evidence", """
+WITH n AS (SELECT CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) || '-' || CAST(l_partkey AS STRING) || '-' || CAST(l_suppkey AS STRING) AS request_id, l_linenumber AS n, (l_orderkey + l_linenumber) % 8 AS k FROM {lineitem}),
+e AS (SELECT request_id, CASE k WHEN 0 THEN 'bad_verdict' WHEN 1 THEN 'criteria_score_out_of_range' WHEN 2 THEN 'bad_self_confidence' WHEN 3 THEN 'evidence_ref_not_a_uuid' END AS schema_error, k FROM n)
+SELECT request_id, schema_error, CASE WHEN schema_error IS NULL THEN 'good' END AS verdict, CASE WHEN schema_error IS NULL THEN 0.5::DOUBLE END AS score, CASE WHEN schema_error IS NULL THEN CASE WHEN k = 4 THEN 0 WHEN k = 5 THEN 2 ELSE 1 END END AS n_refs,
+  CASE WHEN schema_error IS NULL THEN k <> 5 END AS grounded FROM e""")
+def jud3_evidence(spark, d):
+    """Every lineitem as a judgment that names its own evidence, none, or one that isn't there."""
+    rows = view(spark, d, "lineitem").select(_line_id().alias("request_id"), ((F.col("l_orderkey") + F.col("l_linenumber")) % 8).alias("k"))
+    k, own = F.col("k"), F.md5("request_id")
+    hyphened = F.regexp_replace(F.upper(own), "(.{8})(.{4})(.{4})(.{4})(.{12})", r"$1-$2-$3-$4-$5")
+    refs = F.when(k == 3, '"no id"').when(k == 4, "").when(k == 5, F.concat(F.lit('"urn:uuid:'), own, F.lit('", "'), F.md5(F.lit("absent")), F.lit('"'))).when(k == 6, F.concat(F.lit('"{'), hyphened, F.lit('}"'))).otherwise(F.concat(F.lit('"'), own, F.lit('", "'), hyphened, F.lit('"')))
+    raw = F.concat(F.lit('{"verdict": "'), F.when(k == 0, " ").otherwise("good"), F.lit('", "criteria_scores": {"x": '), F.when(k == 1, "1.5").otherwise("0.5"), F.lit(', "y": 1}, "self_confidence": '), F.when(k == 2, "true").otherwise("0.25"), F.lit(', "evidence_refs": ['), refs, F.lit("]}"))
+    told = rs.evidence_judgments(rows.select("request_id", raw.alias("raw_response")))
+    outcomes = rs.reference_outcomes(told, rows.select(own.alias("ref")))
+    return told.join(outcomes, "request_id", "left").select("request_id", "schema_error", "verdict", F.col("criteria_scores")["x"].alias("score"), F.col("n_refs").cast("int").alias("n_refs"), "grounded")
 
 
 # ---- stage candidates and pipelines ----

@@ -194,13 +194,13 @@ def win9_interface(spark, d):
 
 
 _HEALTH_SQL = """
-WITH n AS (SELECT *, CAST(gemini_description IS NOT NULL AS INT) + CAST(description IS NOT NULL AS INT) + CAST(topics IS NOT NULL AS INT) AS filled FROM {capability}),
+WITH n AS (SELECT *, len(list_filter([gemini_description, description, content_hash, topics, language, html_url, seed_note], lambda x: coalesce(x, '') <> '')) AS filled FROM {capability}),
 raw AS (
   SELECT id, component_kind, CASE WHEN days_old IS NULL THEN 0.5::DOUBLE ELSE greatest(0, least(1, 1 - days_old / 730.0::DOUBLE)) END AS fresh,
     CASE WHEN stars IS NULL THEN 0.5::DOUBLE WHEN stars <= 0 THEN 0 ELSE greatest(0, least(1, log10(stars + 1) / 4.0::DOUBLE)) END AS pop,
     CASE WHEN open_issues IS NULL AND forks IS NULL THEN 0.5::DOUBLE ELSE CASE WHEN open_issues > 0 THEN 0.5::DOUBLE ELSE 0 END + CASE WHEN forks > 0 THEN 0.5::DOUBLE ELSE 0 END END AS act,
     CASE WHEN license_spdx IS NOT NULL THEN 1::DOUBLE ELSE 0.3 END AS lic,
-    CASE WHEN gemini_description IS NOT NULL THEN 1::DOUBLE WHEN description IS NOT NULL THEN 0.6 ELSE 0 END AS descr,
+    CASE WHEN gemini_description IS NOT NULL THEN 1::DOUBLE WHEN description IS NOT NULL OR seed_note IS NOT NULL THEN 0.6 ELSE 0 END AS descr,
     CASE WHEN ecosystem IN ('pypi', 'npm') THEN 1::DOUBLE ELSE 0.5 END AS eco, greatest(0, least(1, filled / 4.0::DOUBLE)) AS complete,
     CASE WHEN transport IN ('stdio', 'sse', 'http') THEN 1::DOUBLE ELSE 0.3 END AS trans,
     CAST(days_old IS NOT NULL AS INT) AS e1, CAST(stars IS NOT NULL AS INT) AS e2, CAST(open_issues IS NOT NULL OR forks IS NOT NULL AS INT) AS e3, CAST(filled > 0 AS INT) AS e4
@@ -245,6 +245,11 @@ NATIVE_SQL = "CASE WHEN s = t THEN TRUE WHEN s LIKE 'mcp%' AND t LIKE 'mcp%' THE
 BRIDGE_SQL = """s || '>' || t IN ('python_import>cli_subprocess', 'cli_subprocess>python_import', 'python_import>http_endpoint', 'http_endpoint>python_import', 'npm_import>http_endpoint', 'http_endpoint>npm_import',
     'python_import>mcp_stdio', 'mcp_stdio>python_import', 'cli_subprocess>http_endpoint', 'http_endpoint>cli_subprocess', 'git_clone>python_import', 'git_clone>cli_subprocess', 'claude_skill>mcp_stdio',
     'claude_agent>mcp_stdio', 'claude_skill>python_import', 'claude_agent>python_import')"""
+HINT_SQL = """CASE s || '>' || t WHEN 'python_import>cli_subprocess' THEN 'subprocess.run() call, capture stdout' WHEN 'cli_subprocess>python_import' THEN 'subprocess.run() call, capture stdout'
+    WHEN 'python_import>http_endpoint' THEN 'httpx.Client call' WHEN 'http_endpoint>python_import' THEN 'httpx.Client call' WHEN 'npm_import>http_endpoint' THEN 'fetch() call' WHEN 'http_endpoint>npm_import' THEN 'fetch() call'
+    WHEN 'python_import>mcp_stdio' THEN 'mcp.ClientSession + stdio_client' WHEN 'mcp_stdio>python_import' THEN 'mcp.ClientSession + stdio_client' WHEN 'git_clone>python_import' THEN 'pip install -e . after clone'
+    WHEN 'git_clone>cli_subprocess' THEN 'clone then run the CLI binary from the tree' WHEN 'claude_skill>mcp_stdio' THEN 'skill invokes the MCP tool by name' WHEN 'claude_agent>mcp_stdio' THEN 'agent calls the tool via its MCP client'
+    ELSE 'generic glue script' END"""
 _PAIR_SQL = f"""
 WITH f AS (SELECT capability_id, name, signature FROM (SELECT capability_id, name, signature, row_number() OVER (PARTITION BY capability_id ORDER BY name, signature NULLS FIRST) AS n
     FROM {{evidence}} JOIN (SELECT capability_id, max(version_id) AS version_id FROM {{capability_version}} GROUP BY capability_id) USING (version_id) WHERE evidence_type = 'interface') WHERE n = 1),
@@ -254,7 +259,9 @@ x AS (SELECT *, CASE WHEN sk IS NULL OR tk IS NULL THEN 'unknown_io' WHEN sk <>
   {NATIVE_SQL} AS native,
   {BRIDGE_SQL} AS bridge FROM p)
 SELECT src, tgt, io_type_check, CASE WHEN s IS NULL OR t IS NULL OR bridge OR (native AND io_type_check = 'mismatch') THEN 'adapter_needed' WHEN native THEN 'compatible' ELSE 'incompatible' END AS verdict,
-  CASE WHEN s IS NULL OR t IS NULL THEN 'unknown_runtime' WHEN native AND io_type_check = 'mismatch' THEN 'io_mismatch_within_family' WHEN native THEN 'same_family' WHEN bridge THEN 'bridge_available' ELSE 'no_known_bridge' END AS reason
+  CASE WHEN s IS NULL OR t IS NULL THEN 'unknown_runtime' WHEN native AND io_type_check = 'mismatch' THEN 'io_mismatch_within_family' WHEN native THEN 'same_family' WHEN bridge THEN 'bridge_available' ELSE 'no_known_bridge' END AS reason,
+  CASE WHEN s IS NULL OR t IS NULL THEN 'one side has no declared runtime; assume glue' WHEN native AND io_type_check = 'mismatch' THEN 'write a type transformer' WHEN native THEN '' WHEN bridge THEN {HINT_SQL} ELSE '' END AS adapter_hint,
+  coalesce(s, '') || CASE WHEN native AND io_type_check = 'mismatch' THEN ' <-> ' || t || ' runtime-compatible but I/O types differ' ELSE ' -> ' || coalesce(t, '') END AS detail
 FROM x"""
 
 
@@ -269,4 +276,4 @@ def pol11_compatibility(spark, d):
     rows = cap.join(face.withColumnRenamed("capability_id", "id"), "id", "left").select("id", "runtime", F.when(F.col("name").isNotNull(), F.struct(F.col("name").alias("kind"), null.alias("type"), null.alias("of"))).alias("io"))
     src = rows.select(F.col("id").alias("src"), (F.col("id") + 1).alias("tgt"), F.col("runtime").alias("src_runtime"), F.col("io").alias("src_output"))
     tgt = rows.select(F.col("id").alias("tgt"), F.col("runtime").alias("tgt_runtime"), F.col("io").alias("tgt_input"))
-    return policy.compatibility(src.join(tgt, "tgt")).select("src", "tgt", "io_type_check", "verdict", "reason")
+    return policy.compatibility(src.join(tgt, "tgt")).select("src", "tgt", "io_type_check", "verdict", "reason", "adapter_hint", "detail")

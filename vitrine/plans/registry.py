@@ -20,22 +20,37 @@ def src1_scan(spark, d):
     return view(spark, d, "part").where("p_size > 40").select("p_partkey", "p_name")
 
 
-@add("src2_listing", """SELECT CASE WHEN p_size % 9 <> 0 THEN 'source:github:brand' || CAST(p_size AS STRING) || '/' || lower(replace(p_name, ' ', '-')) END AS normalized_key,
+_LISTING_SQL = """SELECT CASE WHEN p_size % 9 <> 0 THEN 'source:github:brand' || CAST(p_size AS STRING) || '/' || lower(replace(p_name, ' ', '-')) END AS normalized_key,
   'pushed:' || CASE WHEN p_size % 3 = 0 THEN 'unknown' ELSE '2024-01-0' || CAST(p_size % 3 AS STRING) END AS revision_key, CASE WHEN p_size % 2 = 0 THEN 'MIT' END AS license_spdx, p_partkey AS stars,
-  CASE WHEN p_size % 9 = 0 THEN 'error' WHEN p_size % 7 = 0 THEN 'deprecated' ELSE 'ok' END AS outcome FROM {part}""")
-@add("reg7_deprecation", """SELECT CASE WHEN p_size % 9 <> 0 THEN 'source:github:brand' || CAST(p_size AS STRING) || '/' || lower(replace(p_name, ' ', '-')) END AS normalized_key,
-  'pushed:' || CASE WHEN p_size % 3 = 0 THEN 'unknown' ELSE '2024-01-0' || CAST(p_size % 3 AS STRING) END AS revision_key, CASE WHEN p_size % 2 = 0 THEN 'MIT' END AS license_spdx, p_partkey AS stars,
-  CASE WHEN p_size % 9 = 0 THEN 'error' WHEN p_size % 7 = 0 THEN 'deprecated' ELSE 'ok' END AS outcome FROM {part}""")
+  CASE WHEN p_size % 9 = 0 THEN 'error' WHEN p_size % 7 = 0 OR p_size % 11 = 0 THEN 'deprecated' ELSE 'ok' END AS outcome"""
+
+
+@add("src2_listing", f"""{_LISTING_SQL}, 'free' AS cost_tier, CASE WHEN p_size % 9 <> 0 THEN 'Brand' || CAST(p_size AS STRING) || '/' || replace(p_name, ' ', '-') END AS github_full_name,
+  CASE WHEN p_size % 5 <> 0 THEN p_name END AS description, CASE WHEN p_size % 4 <> 0 THEN p_partkey % 100 END AS forks, CASE WHEN p_size % 4 <> 1 THEN p_partkey % 10 END AS open_issues, p_partkey + 1 AS watchers,
+  CASE WHEN p_size % 6 = 0 THEN 'Python' END AS language, CASE p_size % 3 WHEN 0 THEN '' WHEN 1 THEN p_type ELSE p_type || ',x' END AS topics, CASE WHEN p_size % 2 = 0 THEN 'main' END AS default_branch,
+  CASE WHEN p_size % 3 = 1 THEN '2024-01-01' END AS pushed_at, CASE WHEN p_size % 3 = 2 THEN '2024-01-02' END AS updated_at, 'https://example.com/' || CAST(p_partkey AS STRING) AS html_url,
+  coalesce(p_size % 7 = 0, FALSE) AS archived, p_size % 11 = 0 AS disabled FROM {{part}}""")
 def src2_listing(spark, d):
-    """Each part as a listing item in JSON, parsed again with the listing's schema."""
-    size = F.col("p_size")
-    pushed = F.when(size % 3 == 1, F.concat(F.lit("2024-01-0"), (size % 3).cast("string")))
+    return _listed(spark, d).withColumn("topics", F.array_join("topics", ","))
+
+
+@add("reg7_deprecation", _LISTING_SQL + " FROM {part}")
+def reg7_deprecation(spark, d):
+    return _listed(spark, d).select("normalized_key", "revision_key", "license_spdx", "stars", "outcome")
+
+
+def _listed(spark, d):
+    """Each part as a listing item in JSON, with keys left out here and there, parsed again with the listing's schema."""
+    size, part = F.col("p_size"), F.col("p_partkey")
+    owner, name = F.concat(F.lit("Brand"), size.cast("string")), F.replace("p_name", F.lit(" "), F.lit("-"))
     item = F.struct(
-        F.replace("p_name", F.lit(" "), F.lit("-")).alias("name"), F.when(size % 9 != 0, F.struct(F.concat(F.lit("Brand"), size.cast("string")).alias("login"))).alias("owner"), F.col("p_partkey").alias("stargazers_count"),
-        pushed.alias("pushed_at"), F.when(size % 3 == 2, "2024-01-02").alias("updated_at"), (size % 7 == 0).alias("archived"), F.struct(F.when(size % 2 == 0, "MIT").otherwise("NOASSERTION").alias("spdx_id")).alias("license"),
+        F.when(size % 9 != 0, F.concat_ws("/", owner, name)).alias("full_name"), name.alias("name"), F.when(size % 9 != 0, F.struct(owner.alias("login"))).alias("owner"), F.when(size % 5 != 0, F.col("p_name")).alias("description"),
+        part.alias("stargazers_count"), F.when(size % 4 != 0, part % 100).alias("forks_count"), F.when(size % 4 != 1, part % 10).alias("open_issues_count"), (part + 1).alias("watchers_count"), F.when(size % 6 == 0, "Python").alias("language"),
+        F.when(size % 3 == 1, F.array("p_type")).when(size % 3 == 2, F.array(F.col("p_type"), F.lit("x"))).alias("topics"), F.when(size % 2 == 0, "main").alias("default_branch"), F.when(size % 3 == 1, "2024-01-01").alias("pushed_at"),
+        F.when(size % 3 == 2, "2024-01-02").alias("updated_at"), F.concat(F.lit("https://example.com/"), part.cast("string")).alias("html_url"), F.when(size % 7 == 0, True).alias("archived"), F.when(size % 11 == 0, True).alias("disabled"),
+        F.struct(F.when(size % 2 == 0, "MIT").otherwise("NOASSERTION").alias("spdx_id")).alias("license"),
     )
-    items = view(spark, d, "part").select(F.from_json(F.to_json(item), landed.LISTING).alias("j")).select("j.*")
-    return landed.listing_rows(items).select("normalized_key", "revision_key", "license_spdx", "stars", "outcome")
+    return landed.listing_rows(view(spark, d, "part").select(F.from_json(F.to_json(item), landed.LISTING).alias("j")).select("j.*"))
 
 
 @add("src3_links", "SELECT CAST(p_partkey AS STRING) AS list_id, p.o AS owner, p.n AS name FROM {part}, (VALUES ('Own', 'repo'), ('own', 'repo'), ('b', 'x.y')) AS p(o, n)")

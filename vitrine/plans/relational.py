@@ -217,12 +217,14 @@ def fn2_tail(spark, d):
     return view(spark, d, "capability").select("id", tail_name(F.col("normalized_key")).alias("tail"))
 
 
-@add("fn3_successor_keys", "SELECT page_id, 'source:github:a' || CAST(page_id AS STRING) || '/b,' || 'source:github:c/d' AS keys FROM {pages} WHERE page_id % 2 = 0 UNION ALL SELECT page_id, 'pypi:x' || CAST(page_id AS STRING) || ',npm:x' || CAST(page_id AS STRING) FROM {pages} WHERE page_id % 2 = 1")
+@add("fn3_successor_keys", r"""WITH n AS (SELECT page_id, regexp_extract(url, '://([a-z0-9]+)\.', 1) AS label FROM {pages})
+SELECT page_id, CASE WHEN page_id % 2 = 0 AND label <> '' THEN 'source:github:' || label || '/p' || CAST(page_id AS STRING) || ',source:github:' || label || '/d' ELSE 'pypi:x' || CAST(page_id AS STRING) || ',npm:x' || CAST(page_id AS STRING) END AS keys FROM n""")
 def fn3_successor_keys(spark, d):
-    even = F.concat(F.lit("https://GitHub.com/A"), F.col("page_id").cast("string"), F.lit("/B.git"))
-    name = F.when(F.col("page_id") % 2 == 0, even).otherwise(F.concat(F.lit(" X"), F.col("page_id").cast("string")))
-    keys = successor_keys(name)
-    keys = F.when(F.col("page_id") % 2 == 0, F.concat(keys, successor_keys(F.lit("C/d")))).otherwise(keys)
+    """Names made from each page's address: a link, an owner and name, or a bare name."""
+    label, id = F.regexp_extract("url", r"://([a-z0-9]+)\.", 1), F.col("page_id").cast("string")
+    linked = (F.col("page_id") % 2 == 0) & (label != "")
+    name = F.when(linked, F.concat(F.lit("https://GitHub.com/"), F.upper(label), F.lit("/P"), id, F.lit(".git"))).otherwise(F.concat(F.lit(" X"), id))
+    keys = F.when(linked, F.concat(successor_keys(name), successor_keys(F.concat(label, F.lit("/D"))))).otherwise(successor_keys(name))
     return view(spark, d, "pages").select("page_id", F.array_join(keys, ",").alias("keys"))
 
 

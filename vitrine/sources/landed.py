@@ -29,15 +29,18 @@ def read_listing(spark: SparkSession, path: str) -> DataFrame:
 
 
 def listing_rows(items: DataFrame) -> DataFrame:
-    """normalized_key, revision_key, licence and counts of repository listings; a row without owner or name is an error."""
+    """normalized_key, revision_key, licence, cost tier, outcome and the metadata of repository listings: without topics there
+    is an empty list, without archived and disabled false, other missing keys are null. A row without owner or name is an error."""
     spdx = F.when(F.col("license.spdx_id") != "NOASSERTION", F.col("license.spdx_id"))
     bad = F.col("owner.login").isNull() | F.col("name").isNull()
     key = F.concat(F.lit("source:github:"), F.lower("owner.login"), F.lit("/"), F.lower("name"))
     outcome = F.when(bad, "error").when(F.coalesce("archived", F.lit(False)) | F.coalesce("disabled", F.lit(False)), "deprecated").otherwise("ok")
     return items.select(
         F.when(~bad, key).alias("normalized_key"), F.concat(F.lit("pushed:"), F.coalesce("pushed_at", "updated_at", F.lit("unknown"))).alias("revision_key"),
-        spdx.alias("license_spdx"), F.lit("free").alias("cost_tier"), F.col("stargazers_count").alias("stars"), F.col("forks_count").alias("forks"),
-        F.col("open_issues_count").alias("open_issues"), "description", "topics", outcome.alias("outcome"),
+        spdx.alias("license_spdx"), F.lit("free").alias("cost_tier"), F.col("full_name").alias("github_full_name"), "description", F.col("stargazers_count").alias("stars"),
+        F.col("forks_count").alias("forks"), F.col("open_issues_count").alias("open_issues"), F.col("watchers_count").alias("watchers"), "language",
+        F.coalesce("topics", F.array().cast("array<string>")).alias("topics"), "default_branch", "pushed_at", "updated_at", "html_url",
+        F.coalesce("archived", F.lit(False)).alias("archived"), F.coalesce("disabled", F.lit(False)).alias("disabled"), outcome.alias("outcome"),
     )
 
 
@@ -65,11 +68,13 @@ def server_configs(files: DataFrame) -> DataFrame:
     kind = F.lower("c.type")
     transport = F.when(kind.isin("stdio", "sse", "http"), kind).when(F.col("c.url").isNotNull(), "sse").when(F.col("c.command").isNotNull(), "stdio").otherwise("unknown")
     rows = rows.withColumn("transport", transport).withColumn("config", F.to_json("c")).withColumn("env_names", F.array_sort(F.coalesce(F.map_keys("c.env"), F.array().cast("array<string>"))))
-    first = Window.partitionBy("name").orderBy("_o", "scope", "path")
-    rows = rows.withColumn("_first", F.first("config").over(first)).withColumn("_n", F.row_number().over(first))
+    # the first config of a name is a least value, and scopes count once for each config: both are combined before the
+    # shuffle, so a name that every file has is no task of its own
+    rows = rows.groupBy("name", "scope", "config").agg(F.min(F.struct("_o", "scope", "path", "transport", "env_names", "config")).alias("least"))
+    firsts = rows.groupBy("name").agg(F.min("least").alias("first")).select("name", "first.transport", "first.env_names", F.col("first.config").alias("_first"))
     shown = F.when(F.col("config") == F.col("_first"), F.col("scope")).otherwise(F.concat("scope", F.lit("#config-differs")))
-    scopes = rows.groupBy("name").agg(F.array_sort(F.collect_set(shown)).alias("scopes"))
-    return rows.where("_n = 1").select("name", "transport", "env_names").join(scopes, "name")
+    scopes = rows.join(firsts, "name").groupBy("name").agg(F.array_sort(F.collect_set(shown)).alias("scopes"))
+    return firsts.drop("_first").join(scopes, "name")
 
 
 def front_matter(files: DataFrame) -> DataFrame:

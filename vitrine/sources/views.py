@@ -33,6 +33,10 @@ SELECT p_partkey AS id, p_name AS display_name, replace(p_name, ' ', '-') AS tai
   CASE WHEN p_partkey % 6 = 0 THEN p_name ELSE NULL END AS gemini_description,
   CASE p_partkey % 5 WHEN 0 THEN 'stdio' WHEN 1 THEN 'sse' WHEN 2 THEN 'http' WHEN 3 THEN 'unknown' ELSE NULL END AS transport,
   CASE p_partkey % 6 WHEN 0 THEN 'cuda,ml' WHEN 1 THEN 'kafka' WHEN 2 THEN 'Cron,web' WHEN 3 THEN 'web' WHEN 4 THEN 'scheduler' ELSE NULL END AS topics,
+  CASE WHEN p_partkey % 3 = 1 THEN 'h' || CAST(p_size AS STRING) WHEN p_partkey % 12 = 5 THEN '' ELSE NULL END AS content_hash,
+  CASE WHEN p_size % 4 = 0 THEN 'Python' ELSE NULL END AS language,
+  CASE WHEN p_partkey % 5 < 2 THEN 'https://example.com/' || CAST(p_partkey AS STRING) ELSE NULL END AS html_url,
+  CASE WHEN p_partkey % 16 = 4 THEN 'seed' ELSE NULL END AS seed_note,
   p_partkey % 10 = 3 AS requires_gpu,
   CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE CAST(p_partkey % 40 AS INT) END AS monthly_cost_usd
 FROM {part}""",
