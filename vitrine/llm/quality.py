@@ -6,7 +6,8 @@ rejects, orders the rules by rejection per cost, and folds them into one CASE: a
 tried against the rules after it. The order changes the work, never the verdict.
 
 Defined cases: null text has no words and fails the base rules; a rule that gives null does not reject; repeated rows
-are judged alike; other columns of the input pass through or are dropped by the caller, their names don't matter.
+are judged alike; empty tables give empty ones; other columns of the input pass through whatever their names, but for those
+that are called like a result, which takes their place.
 """
 
 from __future__ import annotations
@@ -73,10 +74,11 @@ def default_rules(text: str = "text") -> dict[str, Column]:
     }
 
 
-def cascade_order(docs: DataFrame, rules: dict[str, Column], sample_rows: int = SAMPLE_ROWS) -> list[str]:
-    """Names of rules, those with the most rejections per second on the sample first; ties by name."""
+def cascade_order(docs: DataFrame, rules: dict[str, Column], sample_rows: int = SAMPLE_ROWS, text: str = "text") -> list[str]:
+    """Names of rules, those with the most rejections per second on the sample first; ties by name. Features are computed for
+    the sample's rows alone: it is drawn from the texts as they are read."""
     total = docs.count()
-    sample = docs.sample(min(1.0, sample_rows / max(total, 1)), 1).cache()
+    sample = base_features(docs.select(text).sample(min(1.0, sample_rows / max(total, 1)), 1), text).cache()
     shares = sample.agg(F.count("*").alias("_n"), *(F.count_if(r).alias(k) for k, r in rules.items())).first()
     many = sample.withColumn("_again", F.explode(F.sequence(F.lit(1), F.lit(EVALUATIONS))))
 
@@ -102,13 +104,20 @@ def cascade(rules: dict[str, Column], order: list[str]) -> Column:
     return kept
 
 
+#: What quality_verdicts adds.
+RESULTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def quality_verdicts(docs: DataFrame, rules: dict[str, Column] | None = None, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """docs with the base features, base_failed and kept."""
-    df = base_features(docs, text)
     rules = default_rules(text) if rules is None else rules
+    order = cascade_order(docs, rules, sample_rows, text)
+    others = [c for c in docs.columns if c not in RESULTS]
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in others)).alias("_row"), F.col(f"`{text}`"))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    order = cascade_order(df, rules, sample_rows)
-    return df.withColumn("base_failed", failed).withColumn("kept", F.when(F.col("base_failed"), False).otherwise(cascade(rules, order)))
+    df = base_features(rows, text).withColumn("base_failed", failed)
+    df = df.withColumn("kept", F.when(F.col("base_failed"), False).otherwise(cascade(rules, order)))
+    return df.select(*(F.col(f"_row.`{c}`").alias(c) for c in others), *RESULTS)
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
