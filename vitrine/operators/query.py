@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.operators import scoring
+from vitrine.operators import scoring, textindex
 from vitrine.operators.policy import constraint_verdicts
 
 FILTERS = ("ecosystem", "kind", "component_kind", "runtime", "cost_tier")
@@ -51,11 +51,13 @@ def best_first(df: DataFrame, limit: int) -> DataFrame:
     return df.orderBy(F.coalesce(F.col("total_score"), F.lit(0)).desc(), F.asc("display_name"), F.asc("id")).limit(limit)
 
 
-def search(capability, versions, evidence, query: str, limit: int = 20, constraints: DataFrame | None = None, project_id: int | None = None, **filters) -> DataFrame:
+def search(
+    capability, versions, evidence, query: str, limit: int = 20, constraints: DataFrame | None = None, project_id: int | None = None, index: str | None = None, **filters
+) -> DataFrame:
     """The best matches of a query; a blank query has none. With a project, those of them that its constraints let pass: as
-    the limit comes first, there may be fewer."""
+    the limit comes first, there may be fewer. With the path of a text index only what its posting lists name is looked at."""
     query = query.strip()
-    rows = where_given(capability, **filters).where(matching(query) if query else F.lit(False))
+    rows = where_given(textindex.narrowed(capability, index, query) if index and query else capability, **filters).where(matching(query) if query else F.lit(False))
     return fitting(best_first(with_head(rows, versions, evidence), clamp(limit, 100)), constraints, project_id)
 
 

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vitrine.functions.text import language
-from vitrine.operators import evidence as e, judgment as j, responses as rs
-from vitrine.operators.query import matching
+from vitrine.operators import evidence as e, judgment as j, responses as rs, textindex
+from vitrine.operators.query import matching, representative_interface, with_head
 from vitrine.plans.catalogue import Catalogue
-from vitrine.plans.query import BRIDGE_SQL, NATIVE_SQL
+from vitrine.plans.common import DIMENSION_SQL, HEAD_SQL
+from vitrine.plans.query import BRIDGE_SQL, CHECK_SQL, HINT_SQL, NATIVE_SQL, text_index
+from vitrine.sources.folders import written
 from vitrine.sources.views import view
 
 CATALOGUE = Catalogue()
@@ -356,21 +358,33 @@ STAGE_KINDS = ("repo", "library", "skill", "agent", "mcp_tool", "library")
 _TERM_SQL = ", ".join(f"({s}, {t}, '{w}', '{STAGE_KINDS[s]}')" for s, t, w in TERMS)
 
 
-def _candidates(spark, d):
+def _candidates(spark, d, constraints=None, project_id=None):
+    """The stages' terms and their candidates, by their heads' scores; the terms' hits come from a text index."""
     from vitrine.plans.compose import stage_candidates
 
     terms = spark.createDataFrame([(s, t, w, STAGE_KINDS[s]) for s, t, w in TERMS], "stage int, term int, word string, want string")
-    return terms, stage_candidates(view(spark, d, "capability"), terms, "stars")
+    hits = textindex.narrowed_to_any(view(spark, d, "capability"), text_index(spark, d), [w for _, _, w in TERMS])
+    scored = with_head(hits, view(spark, d, "capability_version"), view(spark, d, "evidence"))
+    return terms, written(stage_candidates(scored, terms, "total_score", 3, constraints, project_id), "stages")
+
+
+def _stage_sql(only="TRUE"):
+    return f"""
+WITH {DIMENSION_SQL.strip()}, {HEAD_SQL.strip()}, {CHECK_SQL.strip()},
+t AS (SELECT * FROM (VALUES {_TERM_SQL}) AS t(stage, term, word, want)),
+m AS (SELECT stage, term, want, id, display_name, runtime, component_kind = want AS preferred, coalesce(total_score, 0) AS score FROM t JOIN scored ON display_name ILIKE '%' || word || '%' OR normalized_key ILIKE '%' || word || '%'),
+o AS (SELECT *, row_number() OVER (PARTITION BY stage, term, preferred ORDER BY score DESC, display_name, id) AS pn, row_number() OVER (PARTITION BY stage, term ORDER BY score DESC, display_name, id) AS an FROM m),
+h AS (SELECT * FROM o WHERE ((preferred AND pn <= 3) OR an <= 3) AND {only}),
+f AS (SELECT stage, min(term) AS first FROM h GROUP BY stage), p AS (SELECT stage, count(*) FILTER (preferred AND term = first) AS n FROM h JOIN f USING (stage) GROUP BY stage),
+k AS (SELECT stage, id, display_name, runtime, score, min(term) AS term FROM h JOIN f USING (stage) JOIN p USING (stage) WHERE preferred OR (term = first AND n = 0) GROUP BY ALL),
+ranks AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY stage ORDER BY score DESC, term, display_name, id) AS rank FROM k) WHERE rank <= 3),
+i AS (SELECT capability_id, name FROM (SELECT capability_id, name, row_number() OVER (PARTITION BY capability_id ORDER BY name) AS n
+    FROM {{evidence}} JOIN (SELECT capability_id, max(version_id) AS version_id FROM {{capability_version}} GROUP BY capability_id) USING (version_id) WHERE evidence_type = 'interface') WHERE n = 1),
+steps AS (SELECT stage, pick, s, io, lead(stage) OVER w AS next_stage, lead(pick) OVER w AS next_pick, lead(s) OVER w AS t, lead(io) OVER w AS next_io
+  FROM (SELECT DISTINCT stage FROM t) LEFT JOIN (SELECT stage, id AS pick, runtime AS s, name AS io FROM ranks LEFT JOIN i ON capability_id = id WHERE rank = 1) USING (stage) WINDOW w AS (ORDER BY stage))"""
 
 
-_STAGE_SQL = f"""
-WITH t AS (SELECT * FROM (VALUES {_TERM_SQL}) AS t(stage, term, word, want)),
-h AS (SELECT stage, term, c.id, c.stars, c.runtime, c.component_kind = want AS preferred FROM t JOIN {{capability}} AS c ON display_name ILIKE '%' || word || '%'),
-f AS (SELECT stage, min(term) AS first FROM h GROUP BY stage), p AS (SELECT stage, count(*) FILTER (preferred AND term = first) AS n FROM h JOIN f USING (stage) GROUP BY stage),
-k AS (SELECT DISTINCT stage, id, stars, runtime FROM h JOIN f USING (stage) JOIN p USING (stage) WHERE preferred OR (term = first AND n = 0)),
-ranks AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY stage ORDER BY stars DESC NULLS LAST, id) AS rank FROM k) WHERE rank <= 3),
-steps AS (SELECT stage, pick, s, lead(stage) OVER w AS next_stage, lead(pick) OVER w AS next_pick, lead(s) OVER w AS t
-  FROM (SELECT DISTINCT stage FROM t) LEFT JOIN (SELECT stage, id AS pick, runtime AS s FROM ranks WHERE rank = 1) USING (stage) WINDOW w AS (ORDER BY stage))"""
+_STAGE_SQL = _stage_sql()
 
 
 @add("cmp1_stage_candidates", f"{_STAGE_SQL} SELECT stage, id, rank FROM ranks")
@@ -378,14 +392,30 @@ def cmp1_stage_candidates(spark, d):
     return _candidates(spark, d)[1].select("stage", "id", "rank")
 
 
+@add("cmp1_project", f"{_stage_sql('id NOT IN (SELECT capability_id FROM judged WHERE project_id = 8 AND NOT passed)')} SELECT stage, id, rank FROM ranks")
+def cmp1_project(spark, d):
+    """Candidates that a project's constraints let pass."""
+    return _candidates(spark, d, view(spark, d, "project_constraint"), 8)[1].select("stage", "id", "rank")
+
+
+_CLASH = f"({NATIVE_SQL}) AND io <> next_io"
+
+
 @add("cmp2_pipeline", f"""{_STAGE_SQL} SELECT stage, pick, next_stage, next_pick,
-  CASE WHEN next_stage IS NULL THEN NULL WHEN pick IS NULL OR next_pick IS NULL THEN 'unresolved' WHEN s IS NULL OR t IS NULL THEN 'adapter_needed' WHEN {NATIVE_SQL} THEN 'compatible' WHEN {BRIDGE_SQL} THEN 'adapter_needed' ELSE 'incompatible' END AS verdict,
-  CASE WHEN next_stage IS NULL THEN NULL WHEN pick IS NULL OR next_pick IS NULL THEN 'missing_pick' WHEN s IS NULL OR t IS NULL THEN 'unknown_runtime' WHEN {NATIVE_SQL} THEN 'same_family' WHEN {BRIDGE_SQL} THEN 'bridge_available' ELSE 'no_known_bridge' END AS reason,
+  CASE WHEN next_stage IS NULL THEN NULL WHEN pick IS NULL OR next_pick IS NULL THEN 'unresolved' WHEN s IS NULL OR t IS NULL OR {_CLASH} THEN 'adapter_needed' WHEN {NATIVE_SQL} THEN 'compatible' WHEN {BRIDGE_SQL} THEN 'adapter_needed' ELSE 'incompatible' END AS verdict,
+  CASE WHEN next_stage IS NULL THEN NULL WHEN pick IS NULL OR next_pick IS NULL THEN 'missing_pick' WHEN s IS NULL OR t IS NULL THEN 'unknown_runtime' WHEN {_CLASH} THEN 'io_mismatch_within_family' WHEN {NATIVE_SQL} THEN 'same_family' WHEN {BRIDGE_SQL} THEN 'bridge_available' ELSE 'no_known_bridge' END AS reason,
+  CASE WHEN next_stage IS NULL THEN NULL WHEN pick IS NULL OR next_pick IS NULL THEN '' WHEN s IS NULL OR t IS NULL THEN 'one side has no declared runtime; assume glue' WHEN {_CLASH} THEN 'write a type transformer' WHEN {NATIVE_SQL} THEN '' WHEN {BRIDGE_SQL} THEN {HINT_SQL} ELSE '' END AS adapter_hint,
   CASE WHEN pick IS NULL THEN 'stage ' || CAST(stage AS STRING) || ': no candidates in the registry' END AS note FROM steps""")
 def cmp2_pipeline(spark, d):
-    from vitrine.plans.compose import pipeline
-
-    return pipeline(*_candidates(spark, d))
+    """Stages whose steps are judged by runtimes and by the types of the picks' interfaces, whose names stand for kinds."""
+    from vitrine.plans.compose import IO, pipeline
+
+    terms, candidates = _candidates(spark, d)
+    picks = candidates.where("rank = 1").select(F.col("id").alias("capability_id")).distinct()
+    faces = representative_interface(view(spark, d, "evidence"), view(spark, d, "capability_version").join(picks, "capability_id", "left_semi"))
+    null = F.lit(None).cast("string")
+    io = F.struct(F.col("name").alias("kind"), null.alias("type"), null.alias("of")).cast(IO)
+    return pipeline(terms, candidates, faces.select(F.col("capability_id").alias("id"), io.alias("output"), io.alias("input")))
 
 
 @add("jon11_adjacent", f"{_STAGE_SQL} SELECT stage, pick, next_stage, next_pick FROM steps")

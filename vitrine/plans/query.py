@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
-from vitrine.operators import policy, query as q, scoring
+from vitrine.operators import policy, query as q, scoring, textindex
 from vitrine.plans.catalogue import Catalogue
 from vitrine.plans.common import DIMENSION_SQL, HEAD_SQL
+from vitrine.sources.folders import new_folder
 from vitrine.sources.views import view
 
 CATALOGUE = Catalogue()
@@ -28,6 +31,30 @@ def qry1_search(spark, d):
     return _shown(q.search(*_tables(spark, d), "Ring ", limit=1000, component_kind="repo"))
 
 
+def text_index(spark, d):
+    """A text index over names and keys of all components, made for this query."""
+    path = new_folder(spark, "text-index")
+    textindex.build(view(spark, d, "capability"), ["display_name", "normalized_key"], path)
+    return path
+
+
+@CATALOGUE.add("qry1_indexed", f"{_SCORED} SELECT {SHOWN} FROM scored WHERE display_name ILIKE '%purple ri%' OR normalized_key ILIKE '%purple ri%' {_ORDER} LIMIT 100")
+def qry1_indexed(spark, d):
+    """A search through the posting lists of its rarest trigrams."""
+    return _shown(q.search(*_tables(spark, d), "Purple RI", limit=100, index=text_index(spark, d)))
+
+
+PHRASES = ("ring", "R%d w_dg", "-wid", "no such thing", "r_d", "%")
+
+
+@CATALOGUE.add("fil2_indexed", "WITH p AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{p}')" for i, p in enumerate(PHRASES)) + ") AS p(n, phrase)) SELECT n, id FROM p JOIN {capability} ON display_name ILIKE '%' || phrase || '%' OR normalized_key ILIKE '%' || phrase || '%'")
+def fil2_indexed(spark, d):
+    """Substrings through the text index, with wildcards, without any gram, and one that isn't there."""
+    cap, path = view(spark, d, "capability"), text_index(spark, d)
+    found = [textindex.narrowed(cap, path, p).where(q.matching(p)).select(F.lit(i).alias("n"), "id") for i, p in enumerate(PHRASES)]
+    return reduce(lambda a, b: a.unionByName(b), found)
+
+
 @CATALOGUE.add("qry2_browse", f"{_SCORED} SELECT {SHOWN} FROM scored WHERE component_kind = 'library' {_ORDER} LIMIT 50")
 def qry2_browse(spark, d):
     return _shown(q.browse(*_tables(spark, d), component_kind="library"))
