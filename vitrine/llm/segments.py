@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from vitrine.llm.common import written
 
 #: Rows of a key above which its windows are keyed by more orders, and above which they meet by hash.
-HOT, FULL = 1000, 1 << 17
+HOT, FULL = 1000, 1 << 16
 ORDERS = 3
 #: Windows in a segment at most; longer runs of one key are cut.
 RUN = {"bytes": 512, "words": 64}

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitrine.llm.common import table, with_rows, written
+from vitrine.llm.parts import repeated
 from vitrine.llm.segments import WINDOWS, Plan, blocks, content_id, covered, met_more, met_windows, piece_runs, window_hashes
 from vitrine.llm.suffixes import Suffixes
 
@@ -53,12 +54,16 @@ class Reference:
             i += lengths[i] - self.width + 1
         return out
 
-    def parse(self) -> dict[int, list[int]]:
-        """[start, end, ...] by segment: runs of windows (their first words) that the reference holds."""
+    def seen(self):
+        """Whether a window that the reference holds starts at a word."""
         seen = np.zeros(len(self.longest), bool)
         for start, n in self.factors():
             seen[start : start + n - self.width + 1] = True
-        return piece_runs(seen, self.starts)
+        return seen
+
+    def parse(self) -> dict[int, list[int]]:
+        """[start, end, ...] by segment: runs of windows (their first words) that the reference holds."""
+        return piece_runs(self.seen(), self.starts)
 
 
 def duplicate_spans(rows: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
@@ -70,9 +75,11 @@ def duplicate_spans(rows: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Da
         import pandas as pd
 
         for block in blocks(batches, "deal", BLOCK_BYTES):
+            block = {c: v[np.argsort(block["doc"], kind="stable")] for c, v in block.items()}
             content, full, count = block["content"], block["full"].astype(bool), block["count"]
             met = met_more(block)
-            spans = Reference(list(content[met]), block["doc"][met], width).parse() if met.any() else {}
+            starts, seen, _ = repeated(list(content[met]), block["doc"][met], "words", width, lambda c, d: (Reference(c, d, width).seen(), None), False)
+            spans = piece_runs(seen, starts)
             number, out = np.cumsum(met) - 1, []
             for i in np.flatnonzero(full | met | (count > 1)).tolist():
                 j = number[i] if met[i] else -1
