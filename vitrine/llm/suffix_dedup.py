@@ -22,8 +22,10 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vitrine.llm.common import table, with_rows, written
+from vitrine.llm.parts import repeated
 from vitrine.llm.segments import WINDOWS, Plan, blocks, byte_hashes, content_id, covered, gram_hashes, mask_runs, met_more, met_windows, piece_runs, window_hashes
 from vitrine.llm.suffixes import Suffixes
 
@@ -66,6 +68,10 @@ def repeated_spans(rows: DataFrame, width: int = WIDTH, gram: int = GRAM, keep_f
     plan = Plan(rows, "bytes", width, gram, False)
     flagged = plan.flagged()
 
+    def factors(contents, _):
+        _, previous, source = longest_factors(contents, width)
+        return previous > 0, source
+
     def compared(batches):
         import pandas as pd
 
@@ -73,9 +79,9 @@ def repeated_spans(rows: DataFrame, width: int = WIDTH, gram: int = GRAM, keep_f
             block = {c: v[np.lexsort((block["start"], block["doc"]))] for c, v in block.items()}
             content, full, count = block["content"], block["full"].astype(bool), block["count"]
             met = met_more(block)
-            starts, previous, source = longest_factors(list(content[met]), width)
-            later = piece_runs(previous > 0, starts)
-            every = later if keep_first else piece_runs((previous > 0) | source, starts)
+            starts, again, source = repeated(list(content[met]), np.arange(met.sum()), "bytes", width, factors, True)
+            later = piece_runs(again, starts)
+            every = later if keep_first else piece_runs(again | source, starts)
             number, out = np.cumsum(met) - 1, []
             for i in np.flatnonzero(full | met | (count > 1)).tolist():
                 j = number[i] if met[i] else -1
@@ -134,8 +140,8 @@ def remove_repeats(
             out = pdf[["doc_id", "carried"]].astype({"doc_id": "Int64"})
             yield out.assign(kept=kept, removed=removed, n_bytes=sizes)
 
-    carried = rows.schema["carried"].dataType.simpleString()
-    schema = f"doc_id long, carried {carried}, kept {'string' if as_text else 'binary'}, removed array<int>, n_bytes long"
+    kept = T.StringType() if as_text else T.BinaryType()
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), rows.schema["carried"], T.StructField("kept", kept), T.StructField("removed", T.ArrayType(T.IntegerType())), T.StructField("n_bytes", T.LongType())])
     return rows.join(spans, "row", "left").select("doc_id", "text", "carried", "spans").mapInPandas(cut, schema)
 
 
