@@ -1,7 +1,8 @@
 """A training corpus from raw documents: toxicity, near-duplicates, repeated passages, mixing and tokens.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the one before it has written. All but the last return
-the columns of docs. doc_id is the key of a document.
+the columns of docs. doc_id is the key of a document. For all stages: an empty table gives an empty one, texts of any length
+are worked on whole, nulls in other columns stay as they are, and other columns pass through whatever their names are.
 """
 
 from __future__ import annotations
@@ -13,11 +14,16 @@ from vitrine.llm import bpe, mixing, near, suffix_dedup, toxicity
 from vitrine.llm.common import new_folder, table
 
 
+def _as_one(docs: DataFrame) -> DataFrame:
+    """docs as a single column row, so that no name of theirs meets one that a stage adds."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the rows whose severity grade is over 0; null text is empty, and each row is graded by its own text."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    scored = docs.withColumn("__toxicity", toxicity.scores(spark, model, F.col("text")))
-    return scored.where(~F.col("__toxicity.toxic")).select(*docs.columns)
+    scored = _as_one(docs).withColumn("severity", toxicity.scores(spark, model, F.col("row.text")))
+    return scored.where(~F.col("severity.toxic")).select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,19 +46,19 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Where a source's target ends within a document, its last draw holds the words up to there. Draws reach their rows by a
     key made for each row, written down before: rows without a doc_id and rows that repeat one are documents of their own."""
     path = new_folder(spark, "mixing-rows")
-    docs.withColumn("__row", F.monotonically_increasing_id()).write.parquet(path)
+    _as_one(docs).withColumn("at", F.monotonically_increasing_id()).write.parquet(path)
     keyed = spark.read.parquet(path)
-    drawn = mixing.mix(keyed, carry=("__row",)).select("__row", F.col("size").alias("__size"), F.explode("draws").alias("__draw"))
-    rows = keyed.join(drawn, "__row")
-    words = F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), "")
-    whole = F.col("__draw.words") >= F.col("__size")
-    text = F.when(whole, F.col("text")).otherwise(F.array_join(F.slice(words, F.lit(1), F.greatest(F.col("__draw.words"), F.lit(1)).cast("int")), " "))
+    names = ("doc_id", "text", "source")
+    drawn = mixing.mix(keyed.select("at", *(F.col(f"row.{c}").alias(c) for c in names)), carry=("at",)).select("at", "size", F.explode("draws").alias("draw"))
+    rows = keyed.join(drawn, "at")
+    words = F.array_remove(F.split("row.text", r"[\x20\x09-\x0D]+"), "")
+    whole = F.col("draw.words") >= F.col("size")
+    text = F.when(whole, F.col("row.text")).otherwise(F.array_join(F.slice(words, F.lit(1), F.greatest(F.col("draw.words"), F.lit(1)).cast("int")), " "))
     rows = rows.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.length("text").cast("long"))
     pieces = -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // mixing.SHARDS)  # tasks for each shard
-    piece = F.pmod("__draw.place", F.lit(pieces))
-    return rows.repartition("__draw.shard", piece).sortWithinPartitions("__draw.shard", "__draw.place").select(*docs.columns)
+    rows = rows.repartition("draw.shard", F.pmod("draw.place", F.lit(pieces))).sortWithinPartitions("draw.shard", "draw.place")
+    new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return rows.select(*(new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
