@@ -50,3 +50,24 @@ def test_nulls_and_empty_tables(spark, tmp_path):
             stage(spark, docs, str(tmp_path)).write.parquet(path)
             docs = spark.read.parquet(path)
         assert (docs.count() > 0) == bool(rows)
+
+
+def test_other_columns_pass_whatever_their_names(spark, tmp_path):
+    """Columns with the names that stages and operators use inside keep their values."""
+    from pyspark.sql import functions as F
+
+    from tests.llm.cases import DOC, documents
+
+    spark.createDataFrame([(1, 0, 1), (2, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    names = ("row", "at", "severity", "draw", "draws", "size", "target", "src", "block", "part", "key", "keys", "doc", "cid", "spans", "carried", "kept", "__row", "__toxicity", "_row", "word", "t", "a.b")
+    docs = spark.createDataFrame(documents(5, 40), DOC).withColumns({n: F.concat(F.lit(n), F.col("doc_id").cast("string")) for n in names})
+    columns, before = docs.columns, docs.count()
+    for name, stage in p.STAGES[:-1]:
+        path = new_folder(spark, name)
+        stage(spark, docs, str(tmp_path)).write.parquet(path)
+        docs = spark.read.parquet(path)
+        assert docs.columns == columns and 0 < docs.count() <= 4 * before
+        for n in names:
+            assert docs.where(F.col(f"`{n}`") != F.concat(F.lit(n), F.col("doc_id").cast("string"))).count() == 0, (name, n)
+    tokens = p.STAGES[-1][1](spark, docs, str(tmp_path))
+    assert tokens.count() == docs.count()
