@@ -16,8 +16,9 @@ BROKER_TOPICS = ("celery", "airflow", "kafka", "rabbitmq", "cron", "scheduler")
 REMOTE_RUNTIMES = ("http_endpoint", "mcp_http", "mcp_sse")
 
 
-def gate_columns() -> list[Column]:
-    """A struct gate_name, status, is_blocking, reason, detail (JSON) for each gate, over scoring.version_facts."""
+def gate_columns(more=()) -> list[Column]:
+    """A struct gate_name, status, is_blocking, reason, detail (JSON) for each gate, over scoring.version_facts; more are gates
+    of plug-ins, whose facts are there as well."""
     ids, allowed = F.col("spdx_ids"), F.array(*map(F.lit, ACCEPTABLE_LICENSES))
     ok, none = F.arrays_overlap(ids, allowed), F.col("n_licenses") == 0
     unknown = (F.size(ids) == 1) & F.array_contains(ids, "unknown")
@@ -49,12 +50,14 @@ def gate_columns() -> list[Column]:
         ),
     }
     names = ("status", "reason", "detail")
-    return [F.struct(F.lit(g).alias("gate_name"), F.lit(b).alias("is_blocking"), *(c.alias(n) for n, c in zip(names, gates[g]))) for g, b in GATES]
+    gates |= {g.name: (g.status, g.reason, bare) for g in more}
+    every = [*GATES, *((g.name, g.is_blocking) for g in more)]
+    return [F.struct(F.lit(g).alias("gate_name"), F.lit(b).alias("is_blocking"), *(c.alias(n) for n, c in zip(names, gates[g]))) for g, b in every]
 
 
-def gate_results(facts: DataFrame) -> DataFrame:
+def gate_results(facts: DataFrame, more=()) -> DataFrame:
     """version_id, gate_name, is_blocking, status, reason, detail in long form."""
-    return facts.select("version_id", F.explode(F.array(*gate_columns())).alias("g")).select("version_id", "g.*")
+    return facts.select("version_id", F.explode(F.array(*gate_columns(more))).alias("g")).select("version_id", "g.*")
 
 
 def valid_acceptances(acceptance: DataFrame) -> DataFrame:
@@ -86,10 +89,10 @@ def publication(versions: DataFrame, results: DataFrame, acceptance: DataFrame)
     return out.select("version_id", *(c.alias(n) for n, c in verdict(F.col("gates"), F.col("accepted")).items()))
 
 
-def decided(facts: DataFrame, acceptance: DataFrame) -> DataFrame:
-    """facts with allowed, blocking and warnings, the gates folded within the row."""
+def decided(facts: DataFrame, acceptance: DataFrame, more=()) -> DataFrame:
+    """facts with allowed, blocking and warnings, the gates, and more of plug-ins, folded within the row."""
     rows = facts.join(accepted_gates(acceptance), "version_id", "left")
-    return rows.withColumns(verdict(F.array(*gate_columns()), F.col("accepted"))).drop("accepted")
+    return rows.withColumns(verdict(F.array(*gate_columns(more)), F.col("accepted"))).drop("accepted")
 
 
 def guard_row(decided: DataFrame, revision: DataFrame, confidence: Column) -> DataFrame:

@@ -87,15 +87,16 @@ def dimension_aggregates(profile=DEFAULT_PROFILE) -> list[Column]:
     return [F.count_if(matches(d)).alias(d.name) for d in profile] + [_differ(d).alias(f"{d.name}_differ") for d in profile]
 
 
-def version_facts(evidence: DataFrame, revision: DataFrame, binding: DataFrame | None = None, versions: DataFrame | None = None, profile=DEFAULT_PROFILE) -> DataFrame:
-    """One row for each version with all that scores, gates, guards and pins look at, from one pass and one shuffle.
+def version_facts(evidence: DataFrame, revision: DataFrame, binding: DataFrame | None = None, versions: DataFrame | None = None, profile=DEFAULT_PROFILE, more=()) -> DataFrame:
+    """One row for each version with all that scores, gates, guards and pins look at, from one pass and one shuffle; more are
+    further aggregates.
 
     A version is bound to the revisions of its evidence and of binding; versions without any evidence come from versions.
     The sets of licence and pattern names are as small as their vocabularies."""
     rows = evidence.select("version_id", "revision_id", "evidence_type", "spdx_id", "name")
-    for more in (binding, versions):
-        if more is not None:
-            rows = rows.unionByName(more.select(*(c for c in ("version_id", "revision_id") if c in more.columns)), allowMissingColumns=True)
+    for other in (binding, versions):
+        if other is not None:
+            rows = rows.unionByName(other.select(*(c for c in ("version_id", "revision_id") if c in other.columns)), allowMissingColumns=True)
     rows = rows.join(revision.select("revision_id", "asset_id", "identified_at", "content_hash"), "revision_id", "left")
     of_type = lambda t: F.col("evidence_type") == t
     names = lambda t, c: F.array_sort(F.collect_set(F.when(of_type(t), F.col(c))))
@@ -103,7 +104,7 @@ def version_facts(evidence: DataFrame, revision: DataFrame, binding: DataFrame |
     facts = rows.groupBy("version_id").agg(
         *dimension_aggregates(profile), names("license", "spdx_id").alias("spdx_ids"), names("secret_indicator", "name").alias("secret_names"), F.count_if(of_type("license")).alias("n_licenses"),
         F.count_if(of_type("secret_indicator")).alias("n_secrets"), F.count_if(of_type("setup_py_detected")).alias("n_setup_py"), F.count_if(of_type("interface")).alias("n_interfaces"),
-        (F.count("revision_id") > 0).alias("has_binding"), (F.count("content_hash") > 0).alias("has_hash"), F.max(bound).alias("bound"),
+        (F.count("revision_id") > 0).alias("has_binding"), (F.count("content_hash") > 0).alias("has_hash"), F.max(bound).alias("bound"), *more,
     )
     return facts.withColumns({"bound_at": F.col("bound.identified_at"), "asset_id": F.col("bound.asset_id"), "pinned_revision": F.col("bound.revision_id")}).drop("bound")
 
@@ -222,20 +223,21 @@ HEALTH_PROFILES = {
 }
 
 
-def health_long(capability: DataFrame) -> DataFrame:
-    """capability_id, component_kind, dimension, raw, weight, weighted, has_evidence."""
-    dims = health_dimensions()
+def health_long(capability: DataFrame, more=()) -> DataFrame:
+    """capability_id, component_kind, dimension, raw, weight, weighted, has_evidence; more are dimensions of plug-ins."""
+    dims = health_dimensions() | {d.name: (d.raw.cast("double"), d.has_evidence) for d in more}
     by_kind = F.array().cast("array<struct<dimension:string,raw:double,weight:double,has_evidence:boolean>>")
     for kind, weights in HEALTH_PROFILES.items():
+        weights = weights | {d.name: d.weights[kind] for d in more if kind in d.weights}
         rows = [F.struct(F.lit(k).alias("dimension"), dims[k][0].alias("raw"), F.lit(w).alias("weight"), dims[k][1].alias("has_evidence")) for k, w in weights.items()]
         by_kind = F.when(F.col("component_kind") == kind, F.array(*rows)).otherwise(by_kind)
     rows = capability.select(F.col("id").alias("capability_id"), "component_kind", F.explode(by_kind).alias("d")).select("capability_id", "component_kind", "d.*")
     return rows.withColumn("weighted", F.round(F.col("raw") * F.col("weight"), 4).cast("decimal(18,4)"))
 
 
-def health_scores(capability: DataFrame) -> DataFrame:
-    """capability_id, profile_name, total, confidence (the share of dimensions with real evidence)."""
-    long = health_long(capability)
+def health_scores(capability: DataFrame, more=()) -> DataFrame:
+    """capability_id, profile_name, total (1 at most), confidence (the share of dimensions with real evidence)."""
+    long = health_long(capability, more)
     out = long.groupBy("capability_id", "component_kind").agg(
         F.least(F.lit(1.0), F.round(F.sum("weighted"), 3).cast("double")).alias("total"), F.round(F.avg(F.col("has_evidence").cast("int")), 3).alias("confidence")
     )

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vitrine.functions.text import language
-from vitrine.operators import evidence as e, judgment as j, responses as rs, textindex
+from vitrine.operators import evidence as e, judgment as j, plugins, policy, responses as rs, textindex
 from vitrine.operators.query import matching, representative_interface, with_head
+from vitrine.operators.scoring import health_scores, version_facts
 from vitrine.plans.catalogue import Catalogue
-from vitrine.plans.common import DIMENSION_SQL, HEAD_SQL
+from vitrine.plans.common import DIMENSION_SQL, GATE_SQL, HEAD_SQL, acceptances
 from vitrine.plans.query import BRIDGE_SQL, CHECK_SQL, HINT_SQL, NATIVE_SQL, text_index
 from vitrine.sources.folders import written
 from vitrine.sources.views import view
@@ -435,18 +436,70 @@ def cmp3_env_hints(spark, d):
     return env_hints(view(spark, d, "capability"))
 
 
-@add("udx1_extractor_plugin", "SELECT CAST(doc_id AS STRING) AS path, (length(text) - length(replace(text, 'TODO', ''))) // 4 AS n FROM {documents} WHERE contains(text, 'TODO')")
+def _line_counter(path, content):
+    n = content.count("\n")
+    return [("note", "lines", str(n + 1))] if n else []
+
+
+def _fragile(path, content):
+    if "13" in path:
+        raise RuntimeError("unlucky")
+    return [("note", "path", path)]
+
+
+def _plugins(spark) -> plugins.Plugins:
+    """An extractor that works, one that fails on some files, a blocking gate and a health dimension of agents."""
+    tests = F.count_if(F.col("evidence_type") == "test_indicator")
+    gate = plugins.Gate("enough_tests", True, {"n_plugin_tests": tests}, F.when(F.col("n_plugin_tests") >= 2, "pass").otherwise("fail"), F.concat(F.col("n_plugin_tests").cast("string"), F.lit(" test(s)")))
+    starred = plugins.HealthDimension("starred", F.when(F.col("stars") > 6000, 1.0).otherwise(0.0), F.col("stars").isNotNull(), {"agent": 0.2})
+    note = ("note",)
+    return plugins.Plugins().register(spark, plugins.Extractor("line_counter", r"\.md$", note, _line_counter), plugins.Extractor("fragile", r"\.md$", note, _fragile), gate, starred)
+
+
+@add("udx1_extractor_plugin", """
+SELECT revision, 'line_counter' AS extractor, 'succeeded' AS status, count(*) AS n_items, CAST(NULL AS STRING) AS error FROM {file} WHERE contains(content, chr(10)) GROUP BY revision
+UNION ALL SELECT revision, 'fragile', CASE WHEN bool_or(contains(path, '13')) THEN 'failed' ELSE 'succeeded' END, CASE WHEN bool_or(contains(path, '13')) THEN 0 ELSE count(*) END,
+  CASE WHEN bool_or(contains(path, '13')) THEN 'RuntimeError: unlucky' END FROM {file} GROUP BY revision""")
 def udx1_extractor_plugin(spark, d):
-    """An extractor of the caller's: a function of the files' frame."""
-    found = view(spark, d, "documents").where(F.contains("text", F.lit("TODO")))
-    return found.select(F.col("doc_id").cast("string").alias("path"), F.regexp_count("text", F.lit("TODO")).cast("long").alias("n"))
+    """Stages of two extractors of the caller's; one fails where it meets certain files, the other goes on."""
+    return plugins.stage_results(plugins.extracted(view(spark, d, "file"), _plugins(spark).extractors))
+
 
+@add("udx1_evidence", """WITH bad AS (SELECT DISTINCT revision FROM {file} WHERE contains(path, '13'))
+SELECT revision, path, 'lines' AS name, CAST(length(content) - length(replace(content, chr(10), '')) + 1 AS STRING) AS detail FROM {file} WHERE contains(content, chr(10))
+UNION ALL SELECT revision, path, 'path', path FROM {file} WHERE revision NOT IN (SELECT revision FROM bad)""")
+def udx1_evidence(spark, d):
+    """What plug-ins add to the evidence: nothing of failed stages."""
+    return plugins.plugin_evidence(plugins.extracted(view(spark, d, "file"), _plugins(spark).extractors)).select("revision", "path", "name", "detail")
 
-@add("udx2_gate_plugin", "SELECT version_id, CASE WHEN count(*) FILTER (evidence_type = 'test_indicator') >= 2 THEN 'pass' ELSE 'warn' END AS status FROM {evidence} GROUP BY version_id")
+
+_WITH_PLUGIN = f"""WITH {GATE_SQL.strip()},
+every AS (SELECT version_id, gate_name, status, is_blocking, reason FROM gates UNION ALL
+  SELECT version_id, 'enough_tests', CASE WHEN n >= 2 THEN 'pass' ELSE 'fail' END, TRUE, CAST(n AS STRING) || ' test(s)' FROM (SELECT version_id, count(*) FILTER (evidence_type = 'test_indicator') AS n FROM {{evidence}} GROUP BY version_id))"""
+
+
+@add("udx2_gate_plugin", f"""{_WITH_PLUGIN}
+SELECT e.version_id, coalesce(string_agg(CASE WHEN status = 'fail' AND is_blocking AND a.version_id IS NULL THEN e.gate_name END, ',' ORDER BY e.gate_name), '') AS blocking FROM every AS e LEFT JOIN accepted AS a ON a.version_id = e.version_id AND a.gate_name = e.gate_name GROUP BY e.version_id""")
 def udx2_gate_plugin(spark, d):
-    """A gate of the caller's: a Column over the evidence aggregate."""
-    gate = lambda n: F.when(n >= 2, "pass").otherwise("warn")
-    return view(spark, d, "evidence").groupBy("version_id").agg(gate(F.count_if(F.col("evidence_type") == "test_indicator")).alias("status"))
+    """Publication with a gate of the caller's among the others."""
+    more = _plugins(spark)
+    rows = version_facts(view(spark, d, "evidence"), view(spark, d, "revision"), more=more.fact_columns())
+    return policy.decided(rows, acceptances(policy.gate_results(rows)), more.gates).select("version_id", F.array_join("blocking", ",").alias("blocking"))
+
+
+@add("udx2_gates", f"{_WITH_PLUGIN} SELECT version_id, gate_name, status, is_blocking, reason FROM every")
+def udx2_gates(spark, d):
+    more = _plugins(spark)
+    rows = version_facts(view(spark, d, "evidence"), view(spark, d, "revision"), more=more.fact_columns())
+    return policy.gate_results(rows, more.gates).select("version_id", "gate_name", "status", "is_blocking", "reason")
+
+
+@add("udx2_health", """SELECT id AS capability_id, least(1.0::DOUBLE, CAST(CASE WHEN gemini_description IS NOT NULL THEN 1 WHEN description IS NOT NULL OR seed_note IS NOT NULL THEN 0.6 ELSE 0 END + CASE WHEN stars > 6000 THEN 0.2 ELSE 0 END AS DOUBLE)) AS total,
+  CASE WHEN stars IS NULL THEN 0.5::DOUBLE ELSE 1 END AS confidence FROM {capability} WHERE component_kind = 'agent'""")
+def udx2_health(spark, d):
+    """Health of agents with a dimension of the caller's."""
+    cap = view(spark, d, "capability").where("component_kind = 'agent'")
+    return health_scores(cap, _plugins(spark).dimensions).select("capability_id", "total", "confidence")
 
 
 @add("udx3_model_hook", f"SELECT id, '{{{{\"component_kind\": \"repo\", \"confidence\": 0.' || CAST(length({_PROMPT}) % 10 AS STRING) || '}}}}' AS raw_response FROM {{capability}}".replace("{{", "{").replace("}}", "}"))
