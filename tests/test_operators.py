@@ -175,3 +175,28 @@ def test_archives_give_a_row_for_what_they_refuse(spark):
     rows = landed.archive_files(spark.createDataFrame(given, "path string, length long, content binary"), 20, 5000).collect()
     got = sorted((r["archive"], str(r["path"]), r["outcome"]) for r in rows)
     assert got == [("cut", "None", "broken"), ("good", "a.md", "ok"), ("good", "b.bin", "too_large"), ("huge", "None", "refused"), ("text", "None", "broken")]
+
+
+def test_link_candidates_of_a_hot_name(spark):
+    """A name that most components share is dealt in blocks; only new members meet, and nothing where none is new."""
+    rows = [(i, f"pypi:{'hot' if i % 3 else i}", "library") for i in range(300)] + [(1000 + i, f"source:github:x{i}/{'hot' if i % 4 else i}", "repo") for i in range(400)]
+    rows += [(2000, None, "repo"), (2001, "pypi:hot", "skill"), (2002, "pypi:lonely", "library")]
+    cap = spark.createDataFrame(rows, "id long, normalized_key string, component_kind string")
+    want = {tuple(r) for r in registry.link_candidates(cap).select("library_id", "repo_id").collect()}
+    pairs, ledger = registry.new_link_candidates(cap, block=20)
+    assert sorted(map(tuple, pairs.collect())) == sorted(want) and len(want) > 50_000
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "40"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        tasks = registry.new_link_candidates(cap, block=20)[0].groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert max(r["count"] for r in tasks) < len(want) / 8  # of the hot name's pairs, no task makes more than a few blocks
+    again, more = registry.new_link_candidates(cap, ledger, 20)
+    assert again.count() == 0 and more.count() == 0
+    grown = cap.unionByName(spark.createDataFrame([(3000, "npm:hot", "library"), (3001, "source:github:y/lonely", "repo")], cap.schema))
+    newer, more = registry.new_link_candidates(grown, ledger, 20)
+    assert {tuple(r) for r in newer.collect()} == {tuple(r) for r in registry.link_candidates(grown).select("library_id", "repo_id").collect()} - want and more.count() == 2

@@ -68,6 +68,39 @@ def link_candidates(capability: DataFrame, asked: DataFrame | None = None) -> Da
     return pairs if asked is None else pairs.join(asked, ["library_id", "repo_id"], "left_anti")
 
 
+#: Members of a name on one side of a block of pairs, about.
+PAIR_BLOCK = 1000
+
+
+def _tailed(capability: DataFrame) -> DataFrame:
+    """id, tail and side (library or repo) of what may be linked."""
+    named = capability.select("id", tail_name(F.col("normalized_key")).alias("tail"), F.col("component_kind").alias("side"))
+    return named.where("tail is not null and side in ('library', 'repo')")
+
+
+def new_link_candidates(capability: DataFrame, met: DataFrame | None = None, block: int = PAIR_BLOCK) -> tuple[DataFrame, DataFrame]:
+    """(pairs library_id, repo_id with one tail name of which at least one member is new; the new members id, tail, side, to be
+    added to the ledger met). Members that the ledger holds are old: they have met each other, and don't meet again.
+
+    A name with more than `block` libraries or repos is cut into blocks on either side, and each pair of blocks is a join key
+    of its own, so no task has more than about block x block pairs to make, however many components share a name."""
+    members = _tailed(capability)
+    if met is None:
+        members = members.withColumn("new", F.lit(True))
+    else:
+        members = members.join(met.select("id", "tail", "side").distinct().withColumn("_met", F.lit(True)), ["id", "tail", "side"], "left").withColumn("new", F.col("_met").isNull()).drop("_met")
+    per_side = lambda s: F.greatest(F.lit(1), F.ceil(F.count_if(F.col("side") == s) / block)).cast("int")
+    cuts = members.groupBy("tail").agg(per_side("library").alias("of_library"), per_side("repo").alias("of_repo"), F.bool_or("new").alias("changed")).where("changed")
+    rows = members.join(cuts, "tail")
+    own = lambda s: F.pmod(F.xxhash64("id"), F.col(f"of_{s}")).cast("int")
+    every = lambda s: F.explode(F.sequence(F.lit(0), F.col(f"of_{s}") - 1))
+    lib = rows.where("side = 'library'").select("tail", F.col("id").alias("library_id"), F.col("new").alias("new_library"), own("library").alias("lb"), every("repo").alias("rb"))
+    repo = rows.where("side = 'repo'").select("tail", F.col("id").alias("repo_id"), F.col("new").alias("new_repo"), every("library").alias("lb"), own("repo").alias("rb"))
+    met_by = lambda a, b: a.join(b, ["tail", "lb", "rb"]).select("library_id", "repo_id")
+    pairs = met_by(lib.where("new_library"), repo).unionByName(met_by(lib.where("not new_library"), repo.where("new_repo")))
+    return pairs, members.where("new").select("id", "tail", "side")
+
+
 def resolve_successors(names: DataFrame, capability: DataFrame) -> DataFrame:
     """names (ref, name) to the registered component with the earliest key of the name, the smallest id among equal keys."""
     keys = names.select("ref", F.posexplode(successor_keys(F.col("name"))).alias("pos", "normalized_key"))

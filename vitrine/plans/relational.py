@@ -59,6 +59,14 @@ def jon7_link_candidates(spark, d):
     return r.link_candidates(cap, asked).select("tail", "library_id", "repo_id")
 
 
+@add("jon7_new_members", "SELECT a.id AS library_id, b.id AS repo_id FROM {capability} AS a JOIN {capability} AS b USING (tail) WHERE a.component_kind = 'library' AND b.component_kind = 'repo' AND (a.id % 3 = 0 OR b.id % 3 = 0)")
+def jon7_new_members(spark, d):
+    """Two thirds of the components have met; the others are new, and meet all."""
+    cap = view(spark, d, "capability")
+    _, ledger = r.new_link_candidates(cap.where("id % 3 <> 0"))
+    return r.new_link_candidates(cap, ledger, block=10)[0]
+
+
 @add("jon8_successors", """
 WITH n AS (SELECT o_orderkey AS ref, p_name FROM {orders} JOIN {part} ON p_partkey = o_custkey),
 k AS (SELECT ref, 1 AS pos, 'pypi:' || replace(p_name, ' ', '-') AS normalized_key FROM n UNION ALL SELECT ref, 2, 'npm:' || replace(p_name, ' ', '-') FROM n)
