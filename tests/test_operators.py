@@ -120,6 +120,13 @@ def test_confidence_falls_with_contradiction(spark):
     assert [v for v in hashes if hashes[v] != again[v]] == [1] and len(hashes) == 4  # other evidence in equal number
 
 
+def _sha(payload):
+    import hashlib
+    import json
+
+    return hashlib.sha256(json.dumps(payload, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+
+
 def test_fit_without_constraints_and_links(spark):
     cons = spark.createDataFrame([(1, "required_interface", "Run", "x", None, None), (1, "license_allowlist", None, None, None, "mit"), (2, "license_allowlist", None, None, None, "isc,mit"), (2, "forbidden_dependency", "Foo", None, "PyPI", None),
                                   (3, "colour", None, None, None, None), (3, "required_interface", " ", None, None, None)], "req_id int, kind string, name string, fragment string, ecosystem string, spdx_ids string")
@@ -137,6 +144,19 @@ def test_fit_without_constraints_and_links(spark):
     firsts = fit.best(scores)
     assert values(firsts, "req_id", "version_id", "blocking_gap_count") == [(1, 10, 0), (2, 10, 0), (3, 10, 0), (4, 10, 0)]
     assert {(r["req_id"], r["version_id"]) for r in fit.ranked(scores).where("rank = 1").collect()} == {(r, 10) for r in (1, 2, 3, 4)}
+    hashes = {(r["req_id"], r["version_id"]): r["computed_hash"] for r in fit.fit_hashes(reqs, cons, pairs, ev).collect()}
+    assert hashes[1, 10] == _sha({"requirement_id": "1", "capability_version_id": "10", "fit_score": "1.000", "gaps": [], "links": [{"evidence_item_id": e, "role": "supports_match"} for e in ("e1", "e2")],
+        "constraint_shape": [{"kind": "license_allowlist", "detail": {"spdx_ids": ["mit"]}}, {"kind": "required_interface", "detail": {"name": "Run", "signature_contains": "x"}}]})
+    assert hashes[2, 20] == _sha({"requirement_id": "2", "capability_version_id": "20", "fit_score": "0.000", "links": [{"evidence_item_id": e, "role": "documents_gap"} for e in ("e3", "e4")],
+        "gaps": [{"kind": "forbidden_dependency_present", "is_blocking": True, "detail": {"ecosystem": "pypi", "name": "foo", "occurrences": 1}},
+                 {"kind": "license_mismatch", "is_blocking": True, "detail": {"allowlist": ["ISC", "MIT"], "observed": ["GPL-3.0"]}}],
+        "constraint_shape": [{"kind": "forbidden_dependency", "detail": {"ecosystem": "PyPI", "name": "Foo"}}, {"kind": "license_allowlist", "detail": {"spdx_ids": ["isc", "mit"]}}]})
+    assert hashes[3, 30] == _sha({"requirement_id": "3", "capability_version_id": "30", "fit_score": "0.000", "links": [],
+        "gaps": [{"kind": "malformed_constraint", "is_blocking": False, "detail": {"kind": "required_interface", "reason": "no name"}},
+                 {"kind": "unknown_constraint_kind", "is_blocking": False, "detail": {"kind": "colour", "note": "no matcher registered"}}],
+        "constraint_shape": [{"kind": "colour", "detail": {}}, {"kind": "required_interface", "detail": {}}]})
+    assert hashes[4, 10] == _sha({"requirement_id": "4", "capability_version_id": "10", "fit_score": "1.000", "gaps": [], "links": [], "constraint_shape": []})
+    assert len(hashes) == 12 and hashes == {(r["req_id"], r["version_id"]): r["computed_hash"] for r in fit.fit_hashes(reqs, cons.repartition(7), pairs.repartition(5), ev.repartition(3)).collect()}
     none = fit.recommend(reqs, firsts.limit(0), spark.createDataFrame([], "version_id long, pinned_revision long"))
     assert {r["rule_name"] for r in none.collect()} == {"__no_candidates__"}
 

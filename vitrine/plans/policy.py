@@ -163,6 +163,37 @@ def fit4_links(spark, d):
     return fit.fit_links(view(spark, d, "requirement_constraint"), view(spark, d, "evidence"))
 
 
+_FIT_HASH_SQL = """shapes AS (
+  SELECT req_id, '[' || string_agg('{"detail":' || detail || ',"kind":"' || kind || '"}', ',' ORDER BY kind, detail) || ']' AS shape
+  FROM (SELECT req_id, kind, CASE kind WHEN 'required_interface' THEN '{"name":"' || name || '"' || CASE WHEN fragment IS NULL THEN '' ELSE ',"signature_contains":"' || fragment || '"' END || '}'
+      WHEN 'license_allowlist' THEN CASE WHEN spdx_ids = '' THEN '{}' ELSE '{"spdx_ids":["' || replace(spdx_ids, ',', '","') || '"]}' END
+      WHEN 'forbidden_dependency' THEN CASE WHEN ecosystem = '' THEN '{' ELSE '{"ecosystem":"' || ecosystem || '",' END || '"name":"' || name || '"}' ELSE '{}' END AS detail FROM {requirement_constraint}) GROUP BY req_id),
+observed AS (SELECT version_id, '[' || coalesce(string_agg(DISTINCT '"' || spdx_id || '"', ',' ORDER BY '"' || spdx_id || '"'), '') || ']' AS ids FROM {evidence} WHERE evidence_type = 'license' GROUP BY version_id),
+times AS (SELECT req_id, version_id, count(*) AS n FROM {requirement_constraint} AS c JOIN {evidence} AS e ON c.kind = 'forbidden_dependency' AND e.evidence_type = 'dependency' AND c.ecosystem <> ''
+  AND lower(e.name) = lower(c.name) AND lower(e.ecosystem) = lower(c.ecosystem) GROUP BY req_id, version_id),
+told AS (
+  SELECT r.req_id, r.version_id, r.gap, CASE WHEN gap = 'malformed_constraint' THEN '{"kind":"' || r.kind || '","reason":"' || CASE r.kind WHEN 'license_allowlist' THEN 'empty allowlist' ELSE 'need ecosystem and name' END || '"}'
+      WHEN gap = 'missing_interface' THEN '{"want_name":"' || lower(name) || '","want_signature_contains":"' || coalesce(fragment, '') || '"}'
+      WHEN gap = 'license_mismatch' THEN '{"allowlist":["APACHE-2.0","MIT"],' || CASE WHEN ids IS NULL THEN '"reason":"capability has no identified license"' ELSE '"observed":' || ids END || '}'
+      WHEN gap = 'forbidden_dependency_present' THEN '{"ecosystem":"' || lower(ecosystem) || '","name":"' || lower(name) || '","occurrences":' || CAST(times.n AS STRING) || '}'
+      ELSE '{"kind":"' || r.kind || '","note":"no matcher registered"}' END AS detail
+  FROM rows AS r JOIN {requirement_constraint} AS c ON c.req_id = r.req_id AND c.kind = r.kind LEFT JOIN observed ON observed.version_id = r.version_id
+  LEFT JOIN times ON times.req_id = r.req_id AND times.version_id = r.version_id WHERE gap IS NOT NULL),
+gap_lists AS (SELECT req_id, version_id, string_agg('{"detail":' || detail || ',"is_blocking":' || CASE WHEN gap IN ('license_mismatch', 'forbidden_dependency_present') THEN 'true' ELSE 'false' END || ',"kind":"' || gap || '"}', ',' ORDER BY gap, detail) AS gaps
+  FROM told GROUP BY req_id, version_id),
+link_lists AS (SELECT req_id, version_id, string_agg('{"evidence_item_id":"' || evidence_id || '","role":"' || role || '"}', ',' ORDER BY evidence_id, role) AS linked FROM links GROUP BY req_id, version_id)"""
+
+
+@add("fit4_hash", f"""{_FIT_SQL.strip()}, {_LINK_SQL}, {_FIT_HASH_SQL}
+SELECT f.req_id, f.version_id, sha256('{{"capability_version_id":"' || CAST(f.version_id AS STRING) || '","constraint_shape":' || coalesce(shape, '[]') || ',"fit_score":"' || CAST(fit_score AS STRING) || '","gaps":['
+  || coalesce(gaps, '') || '],"links":[' || coalesce(linked, '') || '],"requirement_id":"' || CAST(f.req_id AS STRING) || '"}}') AS computed_hash
+FROM fits AS f LEFT JOIN shapes USING (req_id) LEFT JOIN gap_lists AS g ON g.req_id = f.req_id AND g.version_id = f.version_id LEFT JOIN link_lists AS k ON k.req_id = f.req_id AND k.version_id = f.version_id""")
+def fit4_hash(spark, d):
+    """The determinism hash of every fit."""
+    constraints = written(fit.constraint_keys(view(spark, d, "requirement_constraint")), "constraints")
+    return fit.fit_hashes(view(spark, d, "requirement"), constraints, written(_pairs(spark, d), "pairs"), view(spark, d, "evidence"))
+
+
 _RANK_SQL = f"""{_FIT_SQL.strip()}, {DIMENSION_SQL.strip()},
 ranks AS (SELECT fits.*, coalesce(total_score, 0) AS intrinsic_score, row_number() OVER (PARTITION BY req_id ORDER BY blocking_gap_count, fit_score DESC, coalesce(total_score, 0) DESC, fits.version_id) AS rank
   FROM fits LEFT JOIN cards USING (version_id)),
