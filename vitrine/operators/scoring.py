@@ -58,6 +58,8 @@ def profile_hash(profile=DEFAULT_PROFILE) -> str:
 def register_profile(registered: DataFrame, name: str, version: int, profile=DEFAULT_PROFILE) -> DataFrame:
     """registered (name, version, profile_hash) with the profile's row. A registered version can't change: another content
     under its number raises, so the number has to rise with the content."""
+    if version < 1:
+        raise ValueError(f"profile {name}: version {version} is not positive")
     told = profile_hash(profile)
     there = [r["profile_hash"] for r in registered.where((F.col("name") == name) & (F.col("version") == version)).select("profile_hash").take(2)]
     if any(h != told for h in there):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vitrine.operators import scoring
+from vitrine.operators import profiles, scoring
 from vitrine.plans.catalogue import Catalogue
 from vitrine.plans.common import DIMENSION_SQL, cards, facts
 from vitrine.sources.views import view
@@ -77,3 +77,47 @@ def src9_profile(spark, d):
     rows = spark.createDataFrame([(x.name, x.weight) for x in scoring.DEFAULT_PROFILE], "dimension string, weight string")
     n = view(spark, d, "evidence").agg(F.count_distinct("version_id").alias("n_versions"))
     return rows.join(n, F.lit(True)).select("dimension", F.col("weight").cast("decimal(4,2)").alias("weight"), "n_versions")
+
+
+_CONFIGS = """
+SELECT path, kind, CASE WHEN faults = '' THEN name END AS name, CASE WHEN faults = '' AND kind <> 'providers' THEN k + 1 END AS version, CASE WHEN faults = '' THEN sha256(told) END AS sha256,
+  CASE WHEN faults = '' THEN CASE kind WHEN 'profile' THEN 2 ELSE 1 END END AS n_items, faults
+FROM (SELECT *, CASE kind WHEN 'providers' THEN NULL ELSE left(kind, 1) || CAST(k AS STRING) END AS name,
+  CASE kind
+    WHEN 'profile' THEN CASE f WHEN 1 THEN 'version is not a positive integer' WHEN 2 THEN 'dimension 0: unknown kind sum' WHEN 3 THEN 'dimension tests is used twice' WHEN 4 THEN 'weights don''t add up to 1' WHEN 5 THEN 'not a mapping' ELSE '' END
+    WHEN 'rules' THEN CASE f WHEN 1 THEN 'unknown default MAYBE' WHEN 2 THEN 'rule 0: bad condition {"field": "fit_score", "op": "~", "value": 0.5}' WHEN 3 THEN 'rule 0: bad condition {"field": "price", "op": ">=", "value": 0.5}'
+      WHEN 4 THEN 'rule 0: unknown verdict X' WHEN 5 THEN 'name is missing' ELSE '' END
+    ELSE CASE f WHEN 1 THEN 'provider 0: data_retention_posture is missing' WHEN 2 THEN 'provider 0: a model has no id' WHEN 3 THEN 'providers are missing' ELSE '' END END AS faults,
+  CASE kind
+    WHEN 'profile' THEN '{"dimensions":[{"evidence_type":"test_indicator","kind":"count","name":"tests","normalize_cap":null,"normalize_ceiling":10,"require_field":null,"require_field_not_value":null,"weight":0.25},{"evidence_type":"license","kind":"presence","name":"licensed","normalize_cap":null,"normalize_ceiling":null,"require_field":"spdx_id","require_field_not_value":"'
+      || segment || '","weight":0.75}],"name":"p' || CAST(k AS STRING) || '","version":' || CAST(k + 1 AS STRING) || '}'
+    WHEN 'rules' THEN '{"default":"BUILD","name":"r' || CAST(k AS STRING) || '","rules":[{"conditions":[{"field":"fit_score","op":">=","value":0.5}],"name":"' || segment || '","verdict":"ADAPT"}],"version":' || CAST(k + 1 AS STRING) || '}'
+    ELSE '[{"api_key_env":"KEY","base_url":"https://' || CAST(k AS STRING) || '","data_retention_posture":"none","models":[{"id":"m"}],"name":"' || segment || '","tier":"free"}]' END AS told
+FROM (SELECT c_custkey AS k, (c_custkey // 3) % 6 AS f, c_mktsegment AS segment, 'config/' || CAST(c_custkey AS STRING) AS path, CASE c_custkey % 3 WHEN 0 THEN 'profile' WHEN 1 THEN 'rules' ELSE 'providers' END AS kind FROM {customer}))"""
+
+
+@add("src9_configs", _CONFIGS)
+def src9_configs(spark, d):
+    """A configuration file for each customer, a profile, rules or providers in turn, most with one fault."""
+    k, version, f = F.col("c_custkey").cast("string"), (F.col("c_custkey") + 1).cast("string"), F.floor(F.col("c_custkey") / 3) % 6
+    kind = F.element_at(F.array(*map(F.lit, ("profile", "rules", "providers"))), (F.col("c_custkey") % 3 + 1).cast("int"))
+
+    def quoted(wrong: int, odd: str, good):
+        return F.concat(F.lit('"'), F.when(f == wrong, odd).otherwise(good), F.lit('"'))
+
+    text = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    profile = text(
+        '{"version": ', F.when(f == 1, "0").otherwise(version), ', "name": "p', k, '", "dimensions": [{"name": "tests", "kind": ', quoted(2, "sum", "count"),
+        ', "weight": 0.25, "normalize": {"ceiling": 10}, "inputs": {"evidence_type": "test_indicator"}}, {"inputs": {"evidence_type": "license"}, "name": ', quoted(3, "tests", "licensed"),
+        ', "weight": ', F.when(f == 4, "0.5").otherwise("0.75"), ', "kind": "presence", "require_field_not": {"field": "spdx_id", "value": "', F.col("c_mktsegment"), '"}}]}',
+    )
+    rules = text(
+        '{"name": ', quoted(5, "", F.concat(F.lit("r"), k)), ', "version": ', version, ', "default": ', quoted(1, "MAYBE", "BUILD"), ', "rules": [{"name": "', F.col("c_mktsegment"), '", "verdict": ', quoted(4, "X", "ADAPT"),
+        ', "conditions": [{"op": ', quoted(2, "~", ">="), ', "field": ', quoted(3, "price", "fit_score"), ', "value": 0.5}]}]}',
+    )
+    providers = text(
+        "{", quoted(3, "vendors", "providers"), ': [{"name": "', F.col("c_mktsegment"), '", "tier": "free", "base_url": "https://', k, '", "api_key_env": "KEY", "data_retention_posture": ', quoted(1, "", "none"),
+        ', "models": [{', quoted(2, "nid", "id"), ': "m"}]}]}',
+    )
+    content = F.when(kind == "profile", F.when(f == 5, F.left(profile, F.lit(30))).otherwise(profile)).when(kind == "rules", rules).otherwise(providers)
+    return profiles.checked(view(spark, d, "customer").select(F.concat(F.lit("config/"), k).alias("path"), kind.alias("kind"), content.alias("content")))
