@@ -19,3 +19,15 @@ def test_pairs_are_not_broadcast_for_hashes(spark, sf):
 
     plan = optimized(fit4_hash(spark, sf))
     assert plan.count("rightHint=(strategy=merge)") >= 3
+
+
+def test_members_of_a_hot_name_stand_in_few_blocks(spark):
+    """However small a block and however large a name, a member's rows are bounded, and they are not broadcast."""
+    rows = [(i, "pypi:hot", "library") for i in range(500)] + [(1000 + i, f"source:github:x{i}/hot", "repo") for i in range(500)]
+    cap = spark.createDataFrame(rows, "id long, normalized_key string, component_kind string")
+    members = registry._tailed(cap)
+    placed = registry._in_blocks(members.join(registry._cuts(members, 1), "tail"), "library")
+    assert placed.count() == 500 * registry.MOST_BLOCKS
+    pairs, _ = registry.new_link_candidates(cap, block=1)
+    assert "BroadcastExchange" not in executed(pairs).split("Generate explode")[0] and "SortMergeJoin" in executed(pairs)
+    assert pairs.distinct().count() == pairs.count() == 250_000
