@@ -31,3 +31,12 @@ def test_members_of_a_hot_name_stand_in_few_blocks(spark):
     pairs, _ = registry.new_link_candidates(cap, block=1)
     assert "BroadcastExchange" not in executed(pairs).split("Generate explode")[0] and "SortMergeJoin" in executed(pairs)
     assert pairs.distinct().count() == pairs.count() == 250_000
+
+
+def test_successors_of_a_key_with_many_components(spark):
+    """A name meets one component of a key, not all of them."""
+    cap = spark.createDataFrame([(i, "npm:hot") for i in range(9, 3000)] + [(4000, "pypi:cold"), (7, "npm:cold")], "id long, normalized_key string")
+    names = spark.createDataFrame([(1, "Hot"), (2, "cold"), (3, "none")], "ref long, name string")
+    found = registry.resolve_successors(names, cap)
+    assert sorted(map(tuple, found.collect())) == [(1, 9), (2, 4000)]
+    assert optimized(found).count("Aggregate [normalized_key") == 1
