@@ -40,3 +40,15 @@ def test_successors_of_a_key_with_many_components(spark):
     found = registry.resolve_successors(names, cap)
     assert sorted(map(tuple, found.collect())) == [(1, 9), (2, 4000)]
     assert optimized(found).count("Aggregate [normalized_key") == 1
+
+
+def test_responses_are_parsed_and_taken_apart_once(spark):
+    """Checks look at fields that were taken out before, not into the whole response again and again."""
+    from vitrine.operators import responses as rs
+
+    raw = spark.createDataFrame([("a", "{}")], "request_id string, raw_response string")
+    for parsed in (rs.link_decisions, rs.supersession_decisions, rs.evidence_judgments):
+        plan = optimized(parsed(raw))
+        assert plan.count("tryParseJson") + plan.count("try_parse_json") + plan.count("parseJson(") <= 1
+        error = next(line for line in plan.splitlines() if "AS schema_error" in line)
+        assert "$.confidence" not in error.split("AS schema_error")[0] and "$.criteria_scores" not in error.split("AS schema_error")[0]

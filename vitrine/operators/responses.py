@@ -67,17 +67,33 @@ def an_object(v: Column) -> Checks:
     return [(v.isNull(), "not_json"), (~is_object(v), "not_object")]
 
 
-def required(v: Column, *names: str) -> Checks:
-    return [(of(v, n).isNull(), f"missing_field: {n}") for n in names]
+def held(name: str) -> Column:
+    """A field that _parsed has taken out of a response."""
+    return F.col(f"_{name}")
 
 
-def loose_confidence(v: Column) -> Checks:
-    score = number_of(of(v, "confidence"))
+def held_type(name: str) -> Column:
+    return F.col(f"_{name}_type")
+
+
+def required(*names: str) -> Checks:
+    return [(held(n).isNull(), f"missing_field: {n}") for n in names]
+
+
+def loose_confidence() -> Checks:
+    score = held("number")
     return [(score.isNull(), "bad_confidence"), (F.isnan(score) | ~score.between(0, 1), "confidence_out_of_range")]
 
 
-def _parsed(responses: DataFrame, raw: Column, checks, values: dict[str, Column], keys=("request_id",)) -> DataFrame:
+def _parsed(responses: DataFrame, raw: Column, checks, values: dict[str, Column], keys=("request_id",), fields: tuple[str, ...] = (), made: dict[str, Column] | None = None) -> DataFrame:
+    """fields are taken out of each response once, with their types, and made from them once, before checks and values look at
+    them many times."""
     rows = responses.select(*keys, F.try_parse_json(raw).alias("v"))
+    if fields:
+        rows = rows.select("*", *(of(F.col("v"), n).alias(f"_{n}") for n in fields))
+        rows = rows.select("*", *(type_of(held(n)).alias(f"_{n}_type") for n in fields))
+        for n, c in (made or {}).items():
+            rows = rows.withColumn(f"_{n}", c)
     rows = rows.withColumn("schema_error", first_error(checks(F.col("v"))))
     right = F.col("schema_error").isNull()
     return rows.select(*keys, "schema_error", *(F.when(right, c).alias(n) for n, c in values.items()))
@@ -85,27 +101,27 @@ def _parsed(responses: DataFrame, raw: Column, checks, values: dict[str, Column]
 
 def link_decisions(responses: DataFrame, keys=("request_id",)) -> DataFrame:
     """same, confidence and rationale of each response, which the columns keys name."""
-    v = F.col("v")
+    fields = ("same_component", "confidence", "rationale")
 
     def checks(v):
-        return [*an_object(v), *required(v, "same_component", "confidence", "rationale"), (type_of(of(v, "same_component")) != "BOOLEAN", "bad_same_component"), *loose_confidence(v)]
+        return [*an_object(v), *required(*fields), (held_type("same_component") != "BOOLEAN", "bad_same_component"), *loose_confidence()]
 
-    rationale = F.left(stripped(of(v, "rationale", "string")), F.lit(RATIONALE))
-    return _parsed(responses, without_fence(F.col("raw_response")), checks, {"same": of(v, "same_component", "boolean"), "confidence": number_of(of(v, "confidence")), "rationale": rationale}, keys)
+    rationale = F.left(stripped(of(F.col("v"), "rationale", "string")), F.lit(RATIONALE))
+    values = {"same": of(F.col("v"), "same_component", "boolean"), "confidence": held("number"), "rationale": rationale}
+    return _parsed(responses, without_fence(F.col("raw_response")), checks, values, keys, fields, {"number": number_of(held("confidence"))})
 
 
 def supersession_decisions(responses: DataFrame) -> DataFrame:
     """deprecated, confidence, successor_name (null for a blank one) and rationale of each response."""
-    v = F.col("v")
+    v, fields = F.col("v"), ("deprecated", "confidence", "successor_name", "rationale")
 
     def checks(v):
-        told = type_of(of(v, "successor_name"))
-        named = [(~told.isin("STRING", "VOID"), "bad_successor_name")]
-        return [*an_object(v), *required(v, "deprecated", "confidence", "successor_name", "rationale"), (type_of(of(v, "deprecated")) != "BOOLEAN", "bad_deprecated"), *loose_confidence(v), *named]
+        named = [(~held_type("successor_name").isin("STRING", "VOID"), "bad_successor_name")]
+        return [*an_object(v), *required(*fields), (held_type("deprecated") != "BOOLEAN", "bad_deprecated"), *loose_confidence(), *named]
 
     name = stripped(of(v, "successor_name", "string"))
-    values = {"deprecated": of(v, "deprecated", "boolean"), "confidence": number_of(of(v, "confidence")), "successor_name": F.when(name != "", name), "rationale": F.left(stripped(of(v, "rationale", "string")), F.lit(RATIONALE))}
-    return _parsed(responses, without_fence(F.col("raw_response")), checks, values)
+    values = {"deprecated": of(v, "deprecated", "boolean"), "confidence": held("number"), "successor_name": F.when(name != "", name), "rationale": F.left(stripped(of(v, "rationale", "string")), F.lit(RATIONALE))}
+    return _parsed(responses, without_fence(F.col("raw_response")), checks, values, ("request_id",), fields, {"number": number_of(held("confidence"))})
 
 
 STAGE_FIELDS = ("name", "purpose", "search_terms", "role", "preferred_component_kind")
@@ -138,23 +154,23 @@ def stage_proposals(responses: DataFrame) -> DataFrame:
 
 def evidence_judgments(responses: DataFrame) -> DataFrame:
     """verdict, criteria_scores (a map), self_confidence and evidence_refs (ids in lower-case hex without hyphens)."""
-    v = F.col("v")
+    v, fields = F.col("v"), ("verdict", "criteria_scores", "self_confidence", "evidence_refs")
     plain = lambda ref: F.lower(F.replace(F.regexp_replace(F.regexp_replace(ref, "urn:|uuid:", ""), r"^[{}]+|[{}]+$", ""), F.lit("-"), F.lit("")))
 
     def checks(v):
-        verdict, scores, refs = of(v, "verdict"), of(v, "criteria_scores"), of(v, "evidence_refs")
-        each, listed = F.map_values(of(v, "criteria_scores", "map<string,variant>")), of(v, "evidence_refs", "array<variant>")
+        each, listed = F.map_values(held("scores")), held("listed")
         return [
-            *an_object(v), *required(v, "verdict", "criteria_scores", "self_confidence", "evidence_refs"),
-            ((type_of(verdict) != "STRING") | (stripped(verdict.cast("string")) == ""), "bad_verdict"),
-            (~is_object(scores) | (F.size(each) == 0), "bad_criteria_scores"), (F.exists(each, lambda s: ~is_score(s)), "criteria_score_out_of_range"),
-            (~is_score(of(v, "self_confidence")), "bad_self_confidence"), (~is_list(refs), "evidence_refs_not_a_list"),
-            (F.exists(listed, lambda r: type_of(r) != "STRING"), "evidence_ref_not_a_string"), (F.exists(listed, lambda r: ~plain(r.cast("string")).rlike("^[0-9a-f]{32}$")), "evidence_ref_not_a_uuid"),
+            *an_object(v), *required(*fields),
+            ((held_type("verdict") != "STRING") | (stripped(held("verdict").cast("string")) == ""), "bad_verdict"),
+            (~F.startswith(held_type("criteria_scores"), F.lit("OBJECT")) | (F.size(each) == 0), "bad_criteria_scores"), (F.exists(each, lambda s: ~is_score(s)), "criteria_score_out_of_range"),
+            (~is_score(held("self_confidence")), "bad_self_confidence"), (~F.startswith(held_type("evidence_refs"), F.lit("ARRAY")), "evidence_refs_not_a_list"),
+            (F.exists(listed, lambda r: type_of(r) != "STRING"), "evidence_ref_not_a_string"), (F.exists(held("refs"), lambda r: ~r.rlike("^[0-9a-f]{32}$")), "evidence_ref_not_a_uuid"),
         ]
 
-    scores = F.transform_values(of(v, "criteria_scores", "map<string,variant>"), lambda _, s: s.cast("string").cast("double"))
-    values = {"verdict": of(v, "verdict", "string"), "criteria_scores": scores, "self_confidence": of(v, "self_confidence", "double"), "evidence_refs": F.transform(of(v, "evidence_refs", "array<variant>"), lambda r: plain(r.cast("string")))}
-    return _parsed(responses, F.col("raw_response"), checks, values)
+    made = {"scores": of(v, "criteria_scores", "map<string,variant>"), "listed": of(v, "evidence_refs", "array<variant>"), "refs": F.transform(held("listed"), lambda r: plain(r.cast("string")))}
+    scores = F.transform_values(held("scores"), lambda _, s: s.cast("string").cast("double"))
+    values = {"verdict": of(v, "verdict", "string"), "criteria_scores": scores, "self_confidence": of(v, "self_confidence", "double"), "evidence_refs": held("refs")}
+    return _parsed(responses, F.col("raw_response"), checks, values, ("request_id",), fields, made)
 
 
 def reference_outcomes(judgments: DataFrame, evidence: DataFrame) -> DataFrame:
