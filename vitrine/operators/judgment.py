@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,13 +44,22 @@ def supersession_prompts(capability: DataFrame) -> DataFrame:
     return capability.select("id", text.alias("prompt"), F.sha2(text, 256).alias("prompt_hash"))
 
 
+def with_link_text(capability: DataFrame) -> DataFrame:
+    """capability with told, what a link prompt tells of a component, as JSON made once for each component."""
+    key, name, described = _summary(400)
+    return capability.withColumn("told", F.to_json(F.struct(key, name, F.col("component_kind"), described), _NULLS))
+
+
+def link_prompts_of(pairs: DataFrame) -> DataFrame:
+    """pairs (library_id, repo_id, library_told, repo_told) with prompt (JSON) and its hash."""
+    text = F.concat(F.lit('{"task":' + json.dumps(LINK_TASK) + ',"a":'), "library_told", F.lit(',"b":'), "repo_told", F.lit("}"))
+    return pairs.select("library_id", "repo_id", text.alias("prompt"), F.sha2(text, 256).alias("prompt_hash"))
+
+
 def link_prompts(pairs: DataFrame, capability: DataFrame) -> DataFrame:
     """pairs (library_id, repo_id) with prompt (JSON) and its hash."""
-    key, name, described = _summary(400)
-    side = capability.select("id", F.struct(key, name, F.col("component_kind"), described).alias("c"))
-    rows = pairs.join(side.toDF("library_id", "a"), "library_id").join(side.toDF("repo_id", "b"), "repo_id")
-    text = F.to_json(F.struct(F.lit(LINK_TASK).alias("task"), "a", "b"), _NULLS)
-    return rows.select("library_id", "repo_id", text.alias("prompt"), F.sha2(text, 256).alias("prompt_hash"))
+    side = with_link_text(capability).select("id", "told")
+    return link_prompts_of(pairs.join(side.toDF("library_id", "library_told"), "library_id").join(side.toDF("repo_id", "repo_told"), "repo_id"))
 
 
 def evidence_prompts(evidence: DataFrame) -> DataFrame:
