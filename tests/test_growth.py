@@ -52,3 +52,16 @@ def test_responses_are_parsed_and_taken_apart_once(spark):
         assert plan.count("tryParseJson") + plan.count("try_parse_json") + plan.count("parseJson(") <= 1
         error = next(line for line in plan.splitlines() if "AS schema_error" in line)
         assert "$.confidence" not in error.split("AS schema_error")[0] and "$.criteria_scores" not in error.split("AS schema_error")[0]
+
+
+def test_pairs_are_made_once_and_not_shuffled(spark, sf):
+    """A hot name's pairs leave the join as they are made: no exchange of theirs follows it, for prompts and asked pairs alike."""
+    from vitrine.plans.evidence import jud1_links
+    from vitrine.plans.relational import jon7_link_candidates
+
+    for query in (jon7_link_candidates, jud1_links):
+        plan = executed(query(spark, sf))
+        assert plan.count("SortMergeJoin [tail") == 1 and "Exchange" not in plan.split("SortMergeJoin [tail")[0]
+    cap = spark.createDataFrame([(1, "pypi:x", "library"), (2, "npm:x", "library"), (3, "source:github:o/x", "repo")], "id long, normalized_key string, component_kind string")
+    asked = spark.createDataFrame([(1, 3)], "library_id long, repo_id long")
+    assert [(r["library_id"], r["repo_id"]) for r in registry.link_candidates(cap, asked).collect()] == [(2, 3)]
