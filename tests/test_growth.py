@@ -65,3 +65,19 @@ def test_pairs_are_made_once_and_not_shuffled(spark, sf):
     cap = spark.createDataFrame([(1, "pypi:x", "library"), (2, "npm:x", "library"), (3, "source:github:o/x", "repo")], "id long, normalized_key string, component_kind string")
     asked = spark.createDataFrame([(1, 3)], "library_id long, repo_id long")
     assert [(r["library_id"], r["repo_id"]) for r in registry.link_candidates(cap, asked).collect()] == [(2, 3)]
+
+
+def test_evidence_is_joined_once_for_fits(spark, sf, monkeypatch):
+    """All steps of a fit read one written join of the evidence's tables, and results meet the members of a class as its columns."""
+    from vitrine.plans import policy
+
+    real, seen = policy.written, []
+    monkeypatch.setattr(policy, "written", lambda df, name: seen.append((name, optimized(df).count("lineitem") + optimized(df).count("l_orderkey") > 0)) or real(df, name))
+    for query in (policy.fit4_fit, policy.fit4_links, policy.jon9_requirements, policy.rec1_rules, policy.win5_ranks, policy.rec2_recommend, policy.rec3_trace):
+        seen.clear()
+        last = optimized(query(spark, sf))
+        assert [n for n, joins in seen if joins] == ["evidence"] * any(n == "evidence" for n, _ in seen)
+        if query is not policy.fit4_links:
+            assert "evidence" in [n for n, _ in seen] and "l_orderkey" not in last
+    plan = optimized(policy.fit4_fit(spark, sf))
+    assert "results" not in plan.split("Join Inner")[0]
