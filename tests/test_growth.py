@@ -81,3 +81,20 @@ def test_evidence_is_joined_once_for_fits(spark, sf, monkeypatch):
             assert "evidence" in [n for n, _ in seen] and "l_orderkey" not in last
     plan = optimized(policy.fit4_fit(spark, sf))
     assert "results" not in plan.split("Join Inner")[0]
+
+
+def test_links_are_not_shuffled(spark):
+    """Links leave a version's evidence as they are made: one exchange by version, no distinct; rows of one id are one item."""
+    from vitrine.operators import fit
+
+    asks = [(1, "license_allowlist", "mit"), (1, "license_allowlist", "mit,isc"), (2, "license_allowlist", "isc"), (3, "license_allowlist", "")]
+    constraints = spark.createDataFrame([(*a, None, None, None) for a in asks], "req_id long, kind string, spdx_ids string, name string, fragment string, ecosystem string")
+    said = [(7, "a", "MIT"), (7, "a", "MIT"), (7, "b", None), (8, "c", "ISC"), (8, "c", "GPL")]
+    evidence = spark.createDataFrame([(v, e, "license", s, None, None, None) for v, e, s in said], "version_id long, evidence_id string, evidence_type string, spdx_id string, name string, ecosystem string, signature string")
+    links = fit.fit_links(constraints, evidence)
+    plan = executed(links)
+    s, g = "supports_match", "documents_gap"
+    # the allowlist of mit alone is met by version 7 only, that of isc alone by version 8 only; a malformed one has no links
+    want = [(1, 7, "a", s), (1, 8, "c", g), (1, 8, "c", s), (2, 7, "a", g), (2, 7, "b", g), (2, 8, "c", s)]
+    assert sorted(map(tuple, links.collect())) == want
+    assert plan.count("Exchange hashpartitioning(version_id") == 1 and "hashpartitioning(req_id" not in plan
