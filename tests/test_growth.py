@@ -98,3 +98,19 @@ def test_links_are_not_shuffled(spark):
     want = [(1, 7, "a", s), (1, 8, "c", g), (1, 8, "c", s), (2, 7, "a", g), (2, 7, "b", g), (2, 8, "c", s)]
     assert sorted(map(tuple, links.collect())) == want
     assert plan.count("Exchange hashpartitioning(version_id") == 1 and "hashpartitioning(req_id" not in plan
+
+
+def test_counts_before_a_range_are_few(spark, monkeypatch):
+    """Ranges hold about as many candidates each, however sparse their ids; ranks stay the same."""
+    from pyspark.sql import functions as F
+
+    from vitrine.operators import fit
+
+    monkeypatch.setattr(fit, "_RANGE_ROWS", 100)
+    rows = spark.range(1000).select(F.lit(1).alias("req_id"), (F.col("id") * F.col("id") * 1_000_003).alias("version_id"), F.lit("0.500").cast("decimal(18,3)").alias("intrinsic_score"), F.lit("1.000").cast("decimal(6,3)").alias("fit_score"), F.lit(0).cast("long").alias("blocking_gap_count"))
+    cuts = fit.id_cuts(rows)
+    sizes = [r["count"] for r in rows.groupBy(fit.id_range(cuts).alias("v")).count().collect()]
+    assert len(sizes) == len(cuts) + 1 == 11 and max(sizes) < 200
+    got = fit.ranked(rows, cuts=cuts).orderBy("version_id").select("rank").collect()
+    assert [r["rank"] for r in got] == list(range(1, 1001))
+    assert fit.id_cuts(rows.limit(50)) == []
