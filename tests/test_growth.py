@@ -114,3 +114,14 @@ def test_counts_before_a_range_are_few(spark, monkeypatch):
     got = fit.ranked(rows, cuts=cuts).orderBy("version_id").select("rank").collect()
     assert [r["rank"] for r in got] == list(range(1, 1001))
     assert fit.id_cuts(rows.limit(50)) == []
+
+
+def test_stage_terms_make_no_index(spark, sf, monkeypatch):
+    """One look at the components finds the hits of all terms, written once for their heads and their candidates."""
+    from vitrine.operators import textindex
+    from vitrine.plans import evidence
+
+    real, names = evidence.written, []
+    monkeypatch.setattr(evidence, "written", lambda df, name: names.append(name) or real(df, name))
+    monkeypatch.setattr(textindex, "build", lambda *a, **k: pytest.fail("an index was made for one use"))
+    assert evidence.jon11_adjacent(spark, sf).count() == 6 and names == ["hits", "stages"]
