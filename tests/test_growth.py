@@ -125,3 +125,11 @@ def test_stage_terms_make_no_index(spark, sf, monkeypatch):
     monkeypatch.setattr(evidence, "written", lambda df, name: names.append(name) or real(df, name))
     monkeypatch.setattr(textindex, "build", lambda *a, **k: pytest.fail("an index was made for one use"))
     assert evidence.jon11_adjacent(spark, sf).count() == 6 and names == ["hits", "stages"]
+
+
+def test_archives_are_packed_and_opened_once(spark, sf):
+    """No branch packs the archives again for those that are refused, and small archives share a frame."""
+    from vitrine.plans.registry import src6_archives
+
+    plan = optimized(src6_archives(spark, sf))
+    assert plan.count("MapInPandas packed") + plan.count("MapInPandas opened") == 2

@@ -103,14 +103,15 @@ def src6_archives(spark, d):
             out = []
             for doc, text in zip(pdf["doc_id"], pdf["text"]):
                 data, buffer = (text or "").encode(), io.BytesIO()
-                with tarfile.open(fileobj=buffer, mode="w:gz") as tar:
+                with tarfile.open(fileobj=buffer, mode="w:gz", compresslevel=1) as tar:
                     m = tarfile.TarInfo(f"top/docs/{doc}.md")
                     m.size = len(data)
                     tar.addfile(m, io.BytesIO(data))
                 out.append(buffer.getvalue()[: 15 if doc % 7 == 3 else None])
             yield pdf.assign(path=pdf["doc_id"].astype(str), length=[len(x) for x in out], content=out)[["path", "length", "content"]]
 
-    archives = view(spark, d, "documents").select("doc_id", "text").mapInPandas(packed, "path string, length long, content binary")
+    # a table of few files, or of few row groups, is dealt to all cores
+    archives = view(spark, d, "documents").select("doc_id", "text").repartition("doc_id").mapInPandas(packed, "path string, length long, content binary")
     return landed.archive_files(archives, 20_000).select("archive", "path", "size", F.sha2("content", 256).alias("content_hash"), "outcome")
 
 

@@ -19,6 +19,8 @@ NON_REPO_OWNERS = (
 
 #: Largest file of an archive and largest archive, in bytes.
 MAX_FILE, MAX_ARCHIVE = 5 << 20, 200 << 20
+#: Bytes of files after which a frame of them is handed on.
+FRAME_BYTES = 8 << 20
 #: A link to a repository (owner, name), and file endings that are no part of the name.
 REPOSITORY_LINK = r"github\.com/([A-Za-z0-9](?:[A-Za-z0-9-]{0,38})?)/([A-Za-z0-9._-]{1,100})"
 NO_NAME_ENDING = r"\.(git|md|png|jpg|jpeg|svg|gif)$"
@@ -113,16 +115,25 @@ def archive_files(archives: DataFrame, max_file: int = MAX_FILE, max_archive: in
             except (tarfile.TarError, EOFError, OSError, zlib.error):
                 yield name, None, None, None, "broken"
 
+        def frame(rows):
+            return pd.DataFrame(rows, columns=["archive", "path", "size", "content", "outcome"]).astype({"size": "Int64"})
+
         for pdf in batches:
-            for name, content in zip(pdf["path"], pdf["content"]):  # a frame for each archive bounds memory
-                rows = pd.DataFrame(files(name, content), columns=["archive", "path", "size", "content", "outcome"])
-                yield rows.astype({"size": "Int64"})
+            out, held = [], 0
+            for name, length, content in zip(pdf["path"], pdf["length"], pdf["content"]):
+                for row in [(name, None, length, None, "refused")] if length > max_archive else files(name, content):
+                    out.append(row)
+                    held += len(row[3] or b"")
+                    if held > FRAME_BYTES:  # small archives share a frame, whose bytes bound memory
+                        yield frame(out)
+                        out, held = [], 0
+            if out:
+                yield frame(out)
 
     schema = "archive string, path string, size long, content binary, outcome string"
-    read = archives.where(F.col("length") <= max_archive).select("path", "content").mapInPandas(opened, schema)
-    none = lambda t: F.lit(None).cast(t)
-    refused = archives.where(F.col("length") > max_archive).select(F.col("path").alias("archive"), none("string").alias("path"), F.col("length").alias("size"), none("binary").alias("content"), F.lit("refused").alias("outcome"))
-    return read.unionByName(refused)
+    known = archives.where(F.col("length").isNotNull())
+    # one pass over the archives; what is refused doesn't reach Python
+    return known.select("path", "length", F.when(F.col("length") <= max_archive, F.col("content")).alias("content")).mapInPandas(opened, schema)
 
 
 def matching_assets(assets: DataFrame, query: str) -> DataFrame:
