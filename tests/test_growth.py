@@ -133,3 +133,12 @@ def test_archives_are_packed_and_opened_once(spark, sf):
 
     plan = optimized(src6_archives(spark, sf))
     assert plan.count("MapInPandas packed") + plan.count("MapInPandas opened") == 2
+
+
+def test_facts_are_made_once_for_transitions(spark, sf, monkeypatch):
+    """Acceptances, guards and versions come from one written aggregate."""
+    from vitrine.plans import common, policy
+
+    plan = optimized(policy.lif2_transitions(spark, sf))
+    assert "l_orderkey" not in plan and "rightHint=(strategy=broadcast)" in plan
+    assert "l_orderkey" not in optimized(common.decided(spark, sf))
