@@ -142,3 +142,18 @@ def test_facts_are_made_once_for_transitions(spark, sf, monkeypatch):
     plan = optimized(policy.lif2_transitions(spark, sf))
     assert "l_orderkey" not in plan and "rightHint=(strategy=broadcast)" in plan
     assert "l_orderkey" not in optimized(common.decided(spark, sf))
+
+
+def test_evidence_is_looked_at_once_for_fits(spark, sf, monkeypatch):
+    """One aggregate tells what fits look at; what is written and read again has a row for each version, not each item."""
+    from vitrine.plans import policy
+    from vitrine.sources.views import view
+
+    real, seen = policy.written, {}
+    monkeypatch.setattr(policy, "written", lambda df, name: seen.setdefault(name, real(df, name)))
+    versions = view(spark, sf, "capability_version").count()
+    for query in (policy.CATALOGUE.queries["fit1_interface"], policy.CATALOGUE.queries["fit2_license"], policy.rec1_rules, policy.win5_ranks):
+        seen.clear()
+        last = optimized(query(spark, sf))
+        assert "candidates" not in seen and "l_orderkey" not in last
+        assert seen["evidence"].count() == seen["evidence"].select("version_id").distinct().count() == versions

@@ -161,6 +161,22 @@ def test_fit_without_constraints_and_links(spark):
     assert {r["rule_name"] for r in none.collect()} == {"__no_candidates__"}
 
 
+def test_version_facts_in_one_pass(spark):
+    """met is the same as by matches, and no evidence counts twice for speaking to several constraints."""
+    c, e = "req_id int, kind string, name string, fragment string, ecosystem string, spdx_ids string", "version_id long, evidence_type string, spdx_id string, name string, ecosystem string, signature string"
+    cons = [(1, "required_interface", "Run", "x", None, None), (1, "required_interface", "run ", None, None, None), (2, "license_allowlist", None, None, None, "isc,mit"), (2, "license_allowlist", None, None, None, "mit"),
+            (3, "license_allowlist", None, None, None, ""), (3, "forbidden_dependency", "Foo", None, "PyPI", None), (4, "colour", None, None, None, None)]
+    ev = [(10, "interface", None, "RUN", None, "run(x)"), (10, "interface", None, "run", None, None), (10, "license", "MIT", None, None, None), (10, "license", "MIT", None, None, None), (20, "license", None, None, None, None),
+          (20, "interface", None, "run", None, None), (20, "dependency", None, "foo", "pypi", None), (30, "dependency", None, None, None, None), (40, "setup_py_detected", None, "run", None, "x"), (50, None, "mit", "run", None, "x")]
+    cons, ev = spark.createDataFrame(cons, c), spark.createDataFrame(ev, e)
+    got = fit.version_facts(cons, ev, F.count("*").alias("n"))
+    want = fit.candidate_facts(cons, ev.groupBy("version_id").agg(F.count("*").alias("n")), ev)
+    assert values(got, "version_id", "met", "n") == values(want, "version_id", "met", "n")
+    assert [(v, len(met), n) for v, met, n in values(got, "version_id", "met", "n")] == [(10, 4, 4), (20, 2, 3), (30, 0, 1), (40, 0, 1), (50, 0, 1)]
+    none = fit.version_facts(cons.limit(0), ev)
+    assert none.count() == 5 and none.schema["met"].dataType == want.schema["met"].dataType
+
+
 def test_ranks_over_id_ranges(spark, monkeypatch):
     import random
 
