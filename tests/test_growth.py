@@ -157,3 +157,16 @@ def test_evidence_is_looked_at_once_for_fits(spark, sf, monkeypatch):
         last = optimized(query(spark, sf))
         assert "candidates" not in seen and "l_orderkey" not in last
         assert seen["evidence"].count() == seen["evidence"].select("version_id").distinct().count() == versions
+
+
+def test_gates_look_up_no_pins(spark, sf, monkeypatch):
+    """A gate asks for the verdict only: no pin is looked up for it, and evidence isn't written by item."""
+    from vitrine.plans import policy
+
+    real, seen = policy.written, {}
+    monkeypatch.setattr(policy, "written", lambda df, name: seen.setdefault(name, real(df, name)))
+    monkeypatch.setattr(policy.fit, "pins", lambda *a: pytest.fail("pins were looked up"))
+    for query in (policy.pol12_build_gate, policy.pol13_authorizable):
+        seen.clear()
+        plan = optimized(query(spark, sf))
+        assert "l_orderkey" not in plan and "revision_id" not in seen["evidence"].columns
