@@ -170,3 +170,51 @@ def test_gates_look_up_no_pins(spark, sf, monkeypatch):
         seen.clear()
         plan = optimized(query(spark, sf))
         assert "l_orderkey" not in plan and "revision_id" not in seen["evidence"].columns
+
+
+def test_fits_are_hashed_where_evidence_streams(spark, sf, monkeypatch):
+    """No row of a pair is written or shuffled for its hash: only versions and their evidence are, once for the digests."""
+    from vitrine.plans import policy
+
+    real, seen = policy.written, []
+    monkeypatch.setattr(policy, "written", lambda df, name: seen.append((name, df.columns)) or real(df, name))
+    plan = executed(policy.fit4_hash(spark, sf))
+    assert not [name for name, columns in seen if {"req_id", "version_id"} <= set(columns) and name != "scope"]
+    last, _, before = plan.partition("MapInArrow")
+    assert "Exchange" not in last and before and "explode(results" not in before and "CartesianProduct" not in before and "NestedLoop" not in before
+
+
+def test_fit_hashes_of_long_streams(spark, monkeypatch):
+    """Links that go into digests bit by bit, requirements in several passes, and candidates that meet requirements everywhere
+    give the hashes of pairs; rows of one id are one item, and one without an id is an item of its own."""
+    import hashlib
+    import json
+
+    from pyspark.sql import functions as F
+
+    from vitrine.operators import fit
+
+    asks = [(r, "license_allowlist", "mit", None, None) for r in range(5)] + [(r, "forbidden_dependency", None, "foo", "npm") for r in (1, 3)] + [(4, "license_allowlist", "isc", None, None)]
+    constraints = spark.createDataFrame(asks, "req_id int, kind string, spdx_ids string, name string, ecosystem string").withColumn("fragment", F.lit(None).cast("string"))
+    said = [(7, f"e{i:04}", "license", "MIT", None, None) for i in range(300)] + [(7, "e0005", "license", "GPL", None, None), (7, None, "license", "MIT", None, None), (7, "", "dependency", None, "Foo", "NPM")]
+    said += [(8, 'q"\u00e9', "license", "ISC", None, None), (9, "x", "license", "MIT", None, None)]  # 9 is no candidate
+    evidence = spark.createDataFrame([(*s, None) for s in said], "version_id long, evidence_id string, evidence_type string, spdx_id string, name string, ecosystem string, signature string")
+    requirements = spark.range(6).select(F.col("id").cast("int").alias("req_id"))
+    candidates = spark.createDataFrame([(7, 1), (8, 1), (6, 1)], "version_id long, intrinsic_score int")
+    facts = fit.candidate_facts(constraints, candidates, evidence)
+    pairs = fit.pairs(requirements, constraints, facts).where("req_id <> 2 or version_id = 8")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    want = rows(fit.fit_hashes(requirements, constraints, pairs, evidence))
+    assert len(want) == 16
+    link = lambda e, role: {"evidence_item_id": e, "role": role}
+    found = {"kind": "forbidden_dependency_present", "is_blocking": True, "detail": {"ecosystem": "npm", "name": "foo", "occurrences": 1}}
+    licence, dependency = {"kind": "license_allowlist", "detail": {"spdx_ids": ["mit"]}}, {"kind": "forbidden_dependency", "detail": {"ecosystem": "npm", "name": "foo"}}
+    links = [link("", "supports_match"), link("", "documents_gap")] + [link(f"e{i:04}", "supports_match") for i in range(300)]
+    told = {"requirement_id": "1", "capability_version_id": "7", "fit_score": "0.500", "gaps": [found], "links": links, "constraint_shape": [dependency, licence]}
+    assert (1, 7, hashlib.sha256(json.dumps(told, sort_keys=True, separators=(",", ":")).encode()).hexdigest()) in want
+    asked, everywhere = spark.createDataFrame([(2, 8)], "req_id int, version_id long"), requirements.where("req_id <> 2")
+    for waiting, hashes, texts, most in ((1, 1, 1, 8), (1000, 7, 50_000, 100_000)):
+        for name, value in (("_WAITING", waiting), ("_HASHES", hashes), ("_TEXTS", texts), ("BROADCAST_ROWS", most)):
+            monkeypatch.setattr(fit, name, value)
+        assert rows(fit.fit_hashes(requirements, constraints, pairs, evidence)) == want
+        assert rows(fit.fit_hashes(requirements, constraints, asked, evidence, facts, everywhere)) == want
