@@ -218,3 +218,33 @@ def test_fit_hashes_of_long_streams(spark, monkeypatch):
             monkeypatch.setattr(fit, name, value)
         assert rows(fit.fit_hashes(requirements, constraints, pairs, evidence)) == want
         assert rows(fit.fit_hashes(requirements, constraints, asked, evidence, facts, everywhere)) == want
+
+
+def test_components_that_read_alike_share_a_prompt(spark, monkeypatch):
+    """A prompt is made for groups of components, not for each pair; groups and blocks of any size give all pairs once."""
+    from pyspark.sql import functions as F
+
+    from vitrine.operators import judgment
+
+    rows = [(i, f"pypi:{'hot' if i < 300 else 'cold'}", "library", "ab"[i % 2]) for i in range(303)] + [(1000 + i, f"source:github:x/{'hot' if i < 200 else 'cold'}", "repo", "c") for i in range(202)]
+    rows += [(2000, "npm:hot", "library", None), (2001, "source:github:x/alone", "repo", "c"), (2002, "pypi:hot", "skill", "a")]
+    cap = spark.createDataFrame(rows, "id long, normalized_key string, component_kind string, description string").withColumn("display_name", F.lit("n")).withColumn("gemini_description", F.lit(None).cast("string"))
+    sides = judgment.with_link_text(cap)
+    told = lambda pairs: sorted(map(tuple, judgment.link_prompts_of(pairs).select("library_id", "repo_id", "prompt_hash").collect()))
+    want = told(registry.link_candidates(sides, carried=("told",)))
+    assert len(want) == 301 * 200 + 3 * 2
+    for alike, block in ((128, 1000), (128, 20), (7, 30), (1, 1000)):
+        monkeypatch.setattr(registry, "ALIKE", alike)
+        groups = registry.alike_groups(sides, "told")
+        prompts = registry.alike_link_candidates(groups, "told", block)
+        assert told(prompts.withColumn("library_id", F.explode("library_id")).withColumn("repo_id", F.explode("repo_id"))) == want
+        assert groups.count() <= 11 + 503 / alike * 2 and (alike < 128 or prompts.count() <= 6 * 2 + 4)
+
+
+def test_prompts_are_hashed_before_pairs_are_made(spark, sf):
+    """The hash stands below the rows of pairs, and the few bytes of groups are not gathered into few tasks."""
+    from vitrine.plans.evidence import jud1_links
+
+    above, _, below = executed(jud1_links(spark, sf)).partition("SortMergeJoin [tail")
+    assert above.count("Generate explode") == 2 and "sha2" in above.split("Generate explode")[2]
+    assert below.count("REPARTITION_BY_NUM") == 2 and "to_json" not in below
